@@ -23,7 +23,7 @@ TEMPLATES = ("chatml", "simple_chat", "simple_sft")
 def capitalize(s) -> Column:
     """Python ``str.capitalize``: first character upper, the rest lower (not ``initcap``)."""
     c = as_col(s)
-    return F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substring(c, 2, 2147483647)))
+    return F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substring(c, F.lit(2), F.length(c))))
 
 
 def _render_one(template: str, m: Column, eos_token: str) -> Column:
@@ -78,7 +78,7 @@ def name_tail(name) -> Column:
 
 def format_reward(x) -> Column:
     """Two decimals, half-to-even on the binary value, no thousands separator."""
-    return F.format_number(as_col(x).cast("double"), "0.00")
+    return F.call_function("format_number", as_col(x).cast("double"), F.lit("0.00"))
 
 
 def strip_token(text, token: str) -> Column:
