@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rewardlens.functions.common import as_col, lit_or_col
@@ -28,11 +28,22 @@ def cap_exp(x, cap: float = -1, dtype: str = "float") -> Column:
 
 
 def logsumexp(arr) -> Column:
-    """Stable log-sum-exp of a numeric array (max shift)."""
-    a = F.transform(as_col(arr), lambda x: x.cast("double"))
-    m = F.array_max(a)
-    s = F.aggregate(a, F.lit(0.0), lambda acc, x: acc + F.exp(x - m))
-    return m + F.log(s)
+    """Log-sum-exp of a numeric array in one pass (running max + rescaled sum).
+
+    Each element is visited once; no outer expression is re-evaluated inside
+    the lambda (Spark does not hoist those out of a lambda body).
+    """
+    init = F.struct(F.lit(float("-inf")).alias("m"), F.lit(0.0).alias("s"))
+
+    def step(st, x):
+        v = x.cast("double")
+        up = v > st["m"]
+        return F.struct(
+            F.when(up, v).otherwise(st["m"]).alias("m"),
+            F.when(up, st["s"] * F.exp(st["m"] - v) + F.lit(1.0)).otherwise(st["s"] + F.exp(v - st["m"])).alias("s"),
+        )
+
+    return F.aggregate(as_col(arr), init, step, lambda st: st["m"] + F.log(st["s"]))
 
 
 def selective_log_softmax(logits, index) -> Column:
@@ -41,19 +52,25 @@ def selective_log_softmax(logits, index) -> Column:
     return F.get(a, lit_or_col(index)).cast("double") - logsumexp(a)
 
 
-def log_softmax(arr) -> Column:
-    a = F.transform(as_col(arr), lambda x: x.cast("double"))
-    lse = logsumexp(a)
-    return F.transform(a, lambda x: x - lse)
-
-
-def logit_mixture(model_logits, ref_logits, mixture_coef: float = 0.5) -> Column:
-    """``log_softmax(c * ref + (1 - c) * model)``."""
-    mixed = F.zip_with(
+def mixture(model_logits, ref_logits, mixture_coef: float = 0.5) -> Column:
+    """``c * ref + (1 - c) * model`` element-wise, as doubles."""
+    return F.zip_with(
         as_col(model_logits), as_col(ref_logits),
         lambda m, r: F.lit(mixture_coef) * r.cast("double") + F.lit(1.0 - mixture_coef) * m.cast("double"),
     )
-    return log_softmax(mixed)
+
+
+def log_softmax(df: DataFrame, col: str, out: str) -> DataFrame:
+    """``out = log_softmax(col)``; the normaliser is its own column, computed once per row."""
+    return (df.withColumn("_lse", logsumexp(col))
+              .withColumn(out, F.transform(col, lambda x: x.cast("double") - F.col("_lse")))
+              .drop("_lse"))
+
+
+def logit_mixture(df: DataFrame, model_col: str, ref_col: str, out: str = "logps", mixture_coef: float = 0.5) -> DataFrame:
+    """``out = log_softmax(c * ref + (1 - c) * model)`` (staged: mix, normaliser, subtract)."""
+    staged = df.withColumn("_mix", mixture(model_col, ref_col, mixture_coef))
+    return log_softmax(staged, "_mix", out).drop("_mix")
 
 
 def argmax(arr) -> Column:

@@ -50,18 +50,19 @@ def quantile_bucket(df: DataFrame, col: str, n_buckets: int | None = None, rel_e
 def running(
     df: DataFrame,
     order_cols: Sequence[str | Column],
-    value: Column | None = None,
+    value: Column | dict[str, Column] | None = None,
     bucket: Column | Sequence[Column] | None = None,
     out: str = "ordinal",
     inclusive: bool = False,
     n_buckets: int | None = None,
 ) -> DataFrame:
-    """Add ``out`` = running total of ``value`` over the total order ``order_cols``.
+    """Add running totals over the total order ``order_cols``.
 
-    ``value=None`` counts rows, giving a dense 0-based ordinal (``inclusive``
-    False) -- the order must be total (unique) for a deterministic result.
-    ``bucket`` must not decrease along the order; default: quantile buckets of
-    the first order column.
+    ``value=None`` counts rows into ``out``, giving a dense 0-based ordinal
+    (``inclusive`` False) -- the order must be total (unique) for a
+    deterministic result. ``value`` may be a dict ``{out_name: Column}`` to
+    compute several running totals in one pass. ``bucket`` must not decrease
+    along the order; default: quantile buckets of the first order column.
     """
     order = [as_col(c) for c in order_cols]
     if bucket is None:
@@ -71,16 +72,25 @@ def running(
         bucket = [quantile_bucket(df, first, n_buckets)]
     elif isinstance(bucket, Column):
         bucket = [bucket]
+    if value is None:
+        values = {out: F.lit(1).cast("long")}
+    elif isinstance(value, Column):
+        values = {out: value}
+    else:
+        values = dict(value)
     bcols = [f"_b{i}" for i in range(len(bucket))]
-    val = F.lit(1).cast("long") if value is None else value
-    b = df.withColumns({**{n: c for n, c in zip(bcols, bucket)}, "_v": val})
+    vcols = {o: f"_v{i}" for i, o in enumerate(values)}
+    b = df.withColumns({**{n: c for n, c in zip(bcols, bucket)}, **{vcols[o]: c for o, c in values.items()}})
 
-    totals = b.groupBy(*bcols).agg(F.sum("_v").alias("_t"))
+    totals = b.groupBy(*bcols).agg(*[F.sum(v).alias(f"_t{v}") for v in vcols.values()])
     w_all = Window.orderBy(*bcols).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.withColumn("_off", F.coalesce(F.sum("_t").over(w_all), F.lit(0))).drop("_t")
+    offsets = totals.select(*bcols, *[
+        F.coalesce(F.sum(f"_t{v}").over(w_all), F.lit(0)).alias(f"_o{v}") for v in vcols.values()
+    ])
 
     w_in = Window.partitionBy(*bcols).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    within = F.sum("_v").over(w_in)
     res = b.join(F.broadcast(offsets), on=bcols, how="inner")
-    res = res.withColumn(out, F.col("_off") + within - (F.lit(0) if inclusive else F.col("_v")))
-    return res.drop(*bcols, "_v", "_off")
+    for o, v in vcols.items():
+        within = F.sum(v).over(w_in)
+        res = res.withColumn(o, F.col(f"_o{v}") + within - (F.lit(0) if inclusive else F.col(v)))
+    return res.drop(*bcols, *vcols.values(), *[f"_o{v}" for v in vcols.values()])
