@@ -90,18 +90,6 @@ def attention_mask(arr, pad_token_id: int) -> Column:
     return F.transform(as_col(arr), lambda x: (x != F.lit(pad_token_id)).cast("int"))
 
 
-def position_ids(mask) -> Column:
-    """Exclusive running sum of a 0/1 mask (``cumsum(mask) - mask``)."""
-    m = as_col(mask)
-    acc = F.aggregate(
-        m,
-        F.struct(F.array().cast("array<int>").alias("out"), F.lit(0).alias("s")),
-        lambda st, x: F.struct(F.concat(st["out"], F.array(st["s"])).alias("out"), (st["s"] + x).alias("s")),
-        lambda st: st["out"],
-    )
-    return acc
-
-
 def mask_fill(arr, mask, value) -> Column:
     """Replace elements where ``mask`` is 0/false by ``value``."""
     return F.zip_with(as_col(arr), as_col(mask), lambda x, m: F.when(m.cast("boolean"), x).otherwise(lit_or_col(value)))
@@ -129,7 +117,7 @@ def add_bos(ids, mask, bos_token_id: int | None) -> tuple[Column, Column]:
     bos = F.lit(bos_token_id)
     need = (F.size(i) == 0) | F.coalesce(F.get(i, 0) != bos, F.lit(True))
     return (
-        F.when(need, F.concat(F.array(bos.cast(_elem(i))), i)).otherwise(i),
+        F.when(need, F.concat(F.array(bos), i)).otherwise(i),
         F.when(need, F.concat(F.array(F.lit(1)), m)).otherwise(m),
     )
 
@@ -145,11 +133,6 @@ def add_eos(ids, mask, eos_token_id: int) -> tuple[Column, Column]:
     )
 
 
-def _elem(c: Column) -> str:
-    # element type is resolved by Spark; ints are the common case
-    return "int"
-
-
 def rotate_left(arr, k) -> Column:
     """``torch.roll(a, -k)`` for ``0 <= k < size``."""
     a = as_col(arr)
@@ -185,26 +168,42 @@ def label_completion_single(labels, response_template: list[int], ignore_index:
     return F.when(F.size(starts) == 0, F.array_repeat(F.lit(ignore_index), F.size(a))).otherwise(masked)
 
 
-def label_completion_multi(labels, response_template: list[int], instruction_template: list[int], ignore_index: int = -100) -> Column:
-    """Mask everything outside assistant responses (instruction/response spans)."""
+def completion_spans(labels, response_template: list[int], instruction_template: list[int]) -> Column:
+    """``struct(spans, tail, none)`` for multi-turn masking (stage it as a column).
+
+    ``spans`` are [start, end) ranges to mask (the first from 0), ``tail`` the
+    start of a trailing instruction without a response, ``none`` true when a
+    template is missing (the whole row is masked).
+    """
     a = as_col(labels)
     resp_end = F.transform(match_starts(a, response_template), lambda i: i + len(response_template))
     inst = match_starts(a, instruction_template)
+    return F.struct(resp_end.alias("re"), inst.alias("hi"))
+
+
+def label_completion_multi(df, labels: str, response_template: list[int], instruction_template: list[int], ignore_index: int = -100, out: str | None = None):
+    """Mask everything outside assistant responses (instruction/response spans).
+
+    Staged: the template searches and spans are columns of their own, so the
+    per-element mask only reads them (Spark re-evaluates any outer expression
+    inside a lambda once per element).
+    """
+    out = out or labels
+    st = df.withColumn("_cs", completion_spans(labels, response_template, instruction_template))
+    re_, hi = F.col("_cs.re"), F.col("_cs.hi")
     # an instruction list starting after the first response gets a leading 0
-    inst2 = F.when(
-        (F.size(inst) > 0) & (F.size(resp_end) > 0) & (F.get(inst, 0) > F.get(resp_end, 0)),
-        F.concat(F.array(F.lit(0)), inst),
-    ).otherwise(inst)
-    npairs = F.least(F.size(inst2), F.size(resp_end))
+    hi2 = F.when((F.size(hi) > 0) & (F.size(re_) > 0) & (F.get(hi, 0) > F.get(re_, 0)), F.concat(F.array(F.lit(0)), hi)).otherwise(hi)
+    st = st.withColumn("_hi2", hi2)
+    h2 = F.col("_hi2")
+    npairs = F.least(F.size(h2), F.size(re_))
     idxs = F.when(npairs > 0, F.sequence(F.lit(0), npairs - 1)).otherwise(F.array().cast("array<int>"))
-    spans = F.transform(idxs, lambda k: F.struct(F.when(k == 0, F.lit(0)).otherwise(F.get(inst2, k)).alias("s"), F.get(resp_end, k).alias("e")))
-    tail_from = F.when(F.size(resp_end) < F.size(inst2), F.element_at(inst2, -1))
-    out = F.transform(
-        a,
-        lambda x, i: F.when(
-            F.exists(spans, lambda sp: (i >= sp["s"]) & (i < sp["e"])) | (tail_from.isNotNull() & (i >= tail_from)),
-            F.lit(ignore_index),
-        ).otherwise(x),
-    )
-    none = (F.size(resp_end) == 0) | (F.size(inst) == 0)
-    return F.when(none, F.array_repeat(F.lit(ignore_index), F.size(a))).otherwise(out)
+    st = st.withColumn("_spans", F.transform(idxs, lambda k: F.struct(
+        F.when(k == 0, F.lit(0)).otherwise(F.get(h2, k)).alias("s"), F.get(re_, k).alias("e"))))
+    st = st.withColumn("_tail", F.when(F.size(re_) < F.size(h2), F.element_at(h2, -1)))
+    st = st.withColumn("_none", (F.size(re_) == 0) | (F.size(hi) == 0))
+    a = F.col(labels)
+    masked = F.transform(a, lambda x, i: F.when(
+        F.exists(F.col("_spans"), lambda sp: (i >= sp["s"]) & (i < sp["e"])) | (F.col("_tail").isNotNull() & (i >= F.col("_tail"))),
+        F.lit(ignore_index)).otherwise(x))
+    res = F.when(F.col("_none"), F.array_repeat(F.lit(ignore_index), F.size(a))).otherwise(masked)
+    return st.withColumn(out, res).drop("_cs", "_hi2", "_spans", "_tail", "_none")

@@ -16,6 +16,7 @@ a retried task recomputes the same answer.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -29,22 +30,46 @@ def default_buckets(df: DataFrame) -> int:
     return max(16, min(n, 20000))
 
 
+def _numeric(df: DataFrame, col: str) -> Column:
+    dt = dict(df.dtypes)[col]
+    if dt.startswith("timestamp"):
+        return F.unix_micros(F.col(col).cast("timestamp")).cast("double")
+    if dt == "date":
+        return F.unix_date(F.col(col)).cast("double")
+    return F.col(col).cast("double")
+
+
 def quantile_bucket(df: DataFrame, col: str, n_buckets: int | None = None, rel_err: float = 1e-3) -> Column:
-    """Bucket id from approximate quantiles of a numeric column.
+    """Bucket id from approximate quantiles of a numeric / temporal column.
 
     Only ``n_buckets`` split points reach the driver. The id counts the split
     points at or below the value: monotone in the value, so ordering is kept.
     """
     nb = n_buckets or default_buckets(df)
     probs = [i / nb for i in range(1, nb)]
-    splits = sorted(set(x for x in df.approxQuantile(col, probs, rel_err) if x is not None))
+    v = _numeric(df, col)
+    qs = df.select(v.alias("_q")).approxQuantile("_q", probs, rel_err)
+    splits = sorted(set(x for x in qs if x is not None))
     if not splits:
         return F.lit(0)
+    return count_at_or_below(splits, v)
+
+
+def count_at_or_below(splits: list[float], v: Column) -> Column:
+    """Number of sorted ``splits`` <= ``v``: a binary search unrolled into one ``aggregate``."""
     arr = F.array(*[F.lit(float(s)) for s in splits])
-    v = F.col(col).cast("double")
-    # a binary search would be cheaper per row for very many buckets; the
-    # linear count keeps the expression JVM-side and is exact
-    return F.size(F.filter(arr, lambda s: s <= v))
+    n = len(splits)
+    steps = F.sequence(F.lit(1), F.lit(max(1, math.ceil(math.log2(n + 1)) + 1)))
+
+    def step(st, _):
+        lo, hi = st["lo"], st["hi"]
+        mid = ((lo + hi + 1) / 2).cast("int")
+        ok = (mid > 0) & (F.get(arr, mid - 1) <= v)
+        go = lo < hi
+        return F.struct(F.when(go & ok, mid).otherwise(lo).alias("lo"),
+                        F.when(go & ~ok, mid - 1).otherwise(hi).alias("hi"))
+
+    return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.lit(n).alias("hi")), step, lambda st: st["lo"])
 
 
 def running(
