@@ -1 +1,79 @@
-"""placeholder"""
+"""Sampling, shuffling and generation-expansion queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from rewardlens.functions.common import round6
+from rewardlens.operators import sample as SM
+from rewardlens.plans import fixtures as V
+from rewardlens.plans.catalog import query
+from rewardlens.sources.tables import read_table
+
+SEED = 42
+PK = f"((o_orderkey * {SM.PERM_MULT} + {SEED}) % {SM.PERM_MOD})"
+
+
+def _sql_sampler(mini: int, B: int, rep: int) -> str:
+    return f"""
+WITH o AS (SELECT o_orderkey AS key, row_number() OVER (ORDER BY {PK}) - 1 AS ord FROM orders),
+n AS (SELECT count(*) AS n FROM orders),
+c AS (SELECT key, ord, ord // {B} AS chunk FROM o, n WHERE ord // {B} < n.n // {B})
+SELECT CAST(chunk * {rep * B * mini} + r * {B * mini} + (ord % {B}) * {mini} + m AS BIGINT) AS position, key AS o_orderkey
+FROM c, range({rep}) a(r), range({mini}) b(m)"""
+
+
+def _orders(spark, sf):
+    return read_table(spark, sf, "orders", ["o_orderkey"])
+
+
+@query("repeat_sampler", _sql_sampler(4, 3, 2))
+def q_repeat_sampler(spark, sf):
+    return SM.repeat_sampler(_orders(spark, sf), "o_orderkey", mini_repeat_count=4, batch_size=3, repeat_count=2, seed=SEED)
+
+
+@query("sampler_train", _sql_sampler(4, 4 * 1 * 16 // 4, 1))
+def q_sampler_train(spark, sf):
+    return SM.sampler_train(_orders(spark, sf), "o_orderkey", per_device_batch_size=4, num_processes=1, grad_accum=16,
+                            num_generations=4, num_iterations=1, seed=SEED)
+
+
+@query("sampler_eval", _sql_sampler(4, 1, 1))
+def q_sampler_eval(spark, sf):
+    return SM.sampler_eval(_orders(spark, sf), "o_orderkey", num_generations=4, seed=SEED)
+
+
+@query("shuffle_rows", f"SELECT o_orderkey, row_number() OVER (ORDER BY {PK}) - 1 AS ordinal FROM orders")
+def q_shuffle_rows(spark, sf):
+    return SM.shuffle_rows(_orders(spark, sf), "o_orderkey", SEED)
+
+
+@query("random_score", f"SELECT o_orderkey, round(CAST({PK} AS DOUBLE) / {SM.PERM_MOD}.0, 6) AS score FROM orders")
+def q_random_score(spark, sf):
+    o = _orders(spark, sf)
+    return o.select("o_orderkey", round6(SM.random_score("o_orderkey", SEED)).alias("score"))
+
+
+@query("expand_generations", f"""
+WITH f AS (SELECT prompt, min(ts) AS ts, arg_min(event_id, (ts, event_id)) AS event_id FROM ({V.SQL_BATCHES}) GROUP BY prompt),
+r AS (SELECT prompt, row_number() OVER (ORDER BY ts, event_id) - 1 AS prompt_rank FROM f)
+SELECT prompt_rank, prompt, g AS generation FROM r, range(4) t(g)""")
+def q_expand_generations(spark, sf):
+    e = SM.expand_generations(V.batches(spark, sf), "prompt", ["ts", "event_id"], 4)
+    return e.select("prompt_rank", "prompt", F.col("generation").cast("long").alias("generation"))
+
+
+MU, ACCUM = 2, 4
+
+
+@query("reuse_schedule", f"""
+WITH s AS (SELECT event_id AS step, ((event_id // {ACCUM}) - (event_id // {ACCUM}) % {MU}) * {ACCUM} + event_id % {ACCUM} AS source_step FROM events),
+g AS (SELECT event_id AS step, value FROM events WHERE (event_id // {ACCUM}) % {MU} = 0)
+SELECT s.step, s.source_step, g.value FROM s JOIN g ON s.source_step = g.step""")
+def q_reuse_schedule(spark, sf):
+    ev = read_table(spark, sf, "events", ["event_id", "value"])
+    steps = ev.select(F.col("event_id").alias("step"))
+    # completions are generated on micro-steps whose optimiser step is a multiple of num_iterations
+    gen = ev.filter(((F.col("event_id") / ACCUM).cast("long") % MU) == 0).select(F.col("event_id").alias("step"), "value")
+    r = SM.reuse_schedule(steps, gen, "step", MU, ACCUM)
+    return r.select("step", "source_step", "value")
