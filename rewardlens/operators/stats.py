@@ -148,30 +148,43 @@ def running_moments(df: DataFrame, value: str, batch: str) -> DataFrame:
     )
 
 
-def prompt_tracker(df: DataFrame, prompt: str, reward: str, batch: str, order: Sequence[str], buffer_size: int = 8, min_count: int = 3, eps: float = TRACKER_EPS) -> DataFrame:
-    """Per-prompt advantages with a buffer of the last ``buffer_size`` rewards.
+def _tracker_buffers(df: DataFrame, prompt: str, reward: str, batch: str, order: Sequence[str], k: int, state: DataFrame | None) -> DataFrame:
+    """One row per (prompt, batch): the buffer at the end of the batch and the running count.
 
-    For each (prompt, batch) the buffer is the prompt's last ``buffer_size``
-    rewards up to the end of that batch. With fewer than ``min_count`` of them,
-    the whole batch's mean / population std are used instead. Work is done on
-    a reduced table of one row per (prompt, batch) holding at most
-    ``buffer_size`` rewards, so a hot prompt costs its number of batches, not
-    its number of rows.
+    ``state`` -- ``(prompt, last ARRAY<DOUBLE>, count)`` carried from earlier
+    batches (the streaming form) -- enters as a pseudo batch before all others.
     """
-    k = buffer_size
     last = top_k_per_key(df.select(prompt, batch, *order, reward), [prompt, batch], list(order), k, last=True)
     pb = last.groupBy(prompt, batch).agg(
         F.transform(F.array_sort(F.collect_list(F.struct(*[F.col(o) for o in order], F.col(reward).cast("double").alias("_r")))), lambda s: s["_r"]).alias("_last")
     )
     cnt = df.groupBy(prompt, batch).agg(F.count(F.lit(1)).alias("_n"))
-    pb = pb.join(cnt, [prompt, batch])
-    w = Window.partitionBy(prompt).orderBy(batch)
+    pb = pb.join(cnt, [prompt, batch]).withColumn("_bo", F.lit(1))
+    if state is not None:
+        seed = state.select(prompt, F.lit(None).cast(dict(df.dtypes)[batch]).alias(batch),
+                            F.col("last").cast("array<double>").alias("_last"), F.col("count").cast("long").alias("_n"), F.lit(0).alias("_bo"))
+        pb = pb.unionByName(seed)
+    w = Window.partitionBy(prompt).orderBy("_bo", batch)
     pb = pb.withColumn("_buf", F.flatten(F.collect_list("_last").over(w.rowsBetween(-(k - 1), 0))))
     pb = pb.withColumn("_buf", F.slice("_buf", F.greatest(F.lit(1), F.size("_buf") - k + 1), k))
-    pb = pb.withColumn("_len", F.least(F.lit(k), F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0))))
+    pb = pb.withColumn("_cum", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return pb.withColumn("_len", F.least(F.lit(k), F.col("_cum")))
+
+
+def prompt_tracker(df: DataFrame, prompt: str, reward: str, batch: str, order: Sequence[str], buffer_size: int = 8, min_count: int = 3,
+                   eps: float = TRACKER_EPS, state: DataFrame | None = None) -> DataFrame:
+    """Per-prompt advantages with a buffer of the last ``buffer_size`` rewards.
+
+    For each (prompt, batch) the buffer is the prompt's last ``buffer_size``
+    rewards up to the end of that batch. With fewer than ``min_count`` of them,
+    the whole batch's mean / population std are used instead. Work is done on
+    a reduced table of one row per (prompt, batch) holding at most
+    ``buffer_size`` rewards, so a hot prompt costs its number of batches, not
+    its number of rows.
+    """
+    pb = _tracker_buffers(df, prompt, reward, batch, order, buffer_size, state).filter(F.col("_bo") == 1)
     n = F.size("_buf").cast("double")
-    pmean = F.aggregate("_buf", F.lit(0.0), lambda a, x: a + x) / n
-    pb = pb.withColumn("_pm", pmean)
+    pb = pb.withColumn("_pm", F.aggregate("_buf", F.lit(0.0), lambda a, x: a + x) / n)
     pb = pb.withColumn("_ps", F.sqrt(F.aggregate("_buf", F.lit(0.0), lambda a, x: a + (x - F.col("_pm")) * (x - F.col("_pm"))) / n))
     bstats = df.groupBy(batch).agg(F.avg(F.col(reward).cast("double")).alias("_bm"), F.stddev_pop(F.col(reward).cast("double")).alias("_bs"))
     j = df.join(pb.select(prompt, batch, "_len", "_pm", "_ps"), [prompt, batch]).join(bstats, [batch])
@@ -181,6 +194,13 @@ def prompt_tracker(df: DataFrame, prompt: str, reward: str, batch: str, order: S
     return j.withColumn("advantage", (F.col(reward).cast("double") - mean) / std).withColumn("cold", cold).drop("_len", "_pm", "_ps", "_bm", "_bs")
 
 
+def tracker_state(df: DataFrame, prompt: str, reward: str, batch: str, order: Sequence[str], buffer_size: int = 8, state: DataFrame | None = None) -> DataFrame:
+    """``(prompt, last, count)`` after all batches of ``df`` (and an earlier ``state``)."""
+    pb = _tracker_buffers(df, prompt, reward, batch, order, buffer_size, state)
+    key = F.struct("_bo", batch)
+    return pb.groupBy(prompt).agg(F.max_by("_buf", key).alias("last"), F.max_by("_cum", key).alias("count"))
+
+
 def prompt_stats(df: DataFrame, prompt: str, reward: str, order: Sequence[str], buffer_size: int = 8) -> DataFrame:
     """Mean, population std and count of each prompt's last ``buffer_size`` rewards."""
     last = top_k_per_key(df, [prompt], list(order), buffer_size, last=True)

@@ -1 +1,116 @@
-"""placeholder"""
+"""Source and sink queries. Sinks write under ``spark.checkpoint.dir`` and read back."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from rewardlens.functions.common import round6
+from rewardlens.operators import rewards as R
+from rewardlens.operators import stats as ST
+from rewardlens.plans import fixtures as V
+from rewardlens.plans.catalog import query
+from rewardlens.plans.ordinal import running
+from rewardlens.session import scratch_path
+from rewardlens.sources import sinks as K
+from rewardlens.sources.tables import read_preference, read_table
+
+
+@query("src_preference", f"""
+SELECT idx, question, chosen, rejected, 'saved_images/' || CAST(idx AS VARCHAR) || '.jpg' AS image_path FROM ({V.SQL_PREF_TEXT})""")
+def q_src_preference(spark, sf):
+    t = V.pref_text(spark, sf).select(
+        F.col("idx").cast("long").alias("idx"), "question", "chosen", "rejected",
+        F.concat(F.lit("saved_images/"), F.col("idx").cast("string"), F.lit(".jpg")).alias("image_path"))
+    path = scratch_path(spark, "preference")
+    t.write.mode("overwrite").parquet(path)
+    return read_preference(spark, path)
+
+
+PCT = 5
+
+
+@query("src_split_head", f"""
+WITH o AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS ord FROM orders)
+SELECT o_orderkey, o_custkey, o_totalprice FROM o
+WHERE ord < (SELECT CAST(round_even(count(*) * {PCT} / 100.0, 0) AS BIGINT) FROM orders)""")
+def q_src_split_head(spark, sf):
+    o = read_table(spark, sf, "orders", ["o_orderkey", "o_custkey", "o_totalprice"])
+    n = o.count()
+    k = int(round(n * PCT / 100.0))  # Python rounds half to even, as the split syntax does
+    r = running(o, ["o_orderkey"], out="_ord")
+    return r.filter(F.col("_ord") < k).drop("_ord")
+
+
+@query("src_take", """SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 501""")
+def q_src_take(spark, sf):
+    # the reference stops after its counter passes 500: 501 rows
+    return read_table(spark, sf, "orders", ["o_orderkey", "o_totalprice"]).orderBy("o_orderkey").limit(501)
+
+
+@query("sink_score_log", f"""
+SELECT idx, question, round(chosen_score, 6) AS chosen_score, round(rejected_score, 6) AS rejected_score,
+       len(generated_scores) AS n_generated, 'saved_images/' || CAST(idx AS VARCHAR) || '.jpg' AS image_path,
+       rejected AS rejected_text
+FROM ({V.SQL_SCORED})""")
+def q_sink_score_log(spark, sf):
+    rec = K.score_log_records(V.scored(spark, sf))
+    path = scratch_path(spark, "score_log")
+    K.append_json(rec, path)
+    back = K.read_json(spark, path, K.SCORE_LOG_SCHEMA)
+    return back.select("idx", "question", round6("chosen_score").alias("chosen_score"), round6("rejected_score").alias("rejected_score"),
+                       F.size("generated_score").cast("long").alias("n_generated"), "image_path",
+                       F.get(F.col("rejected"), 1)["content"].alias("rejected_text"))
+
+
+@query("sink_json_report", f"""
+SELECT round(avg(chosen_score), 6) AS average_chosen_score, round(avg(rejected_score), 6) AS average_rejected_score,
+       round(avg(list_sum(generated_scores) / len(generated_scores)), 6) AS average_generated_score FROM ({V.SQL_SCORED})""")
+def q_sink_json_report(spark, sf):
+    from pyspark.sql import types as T
+    rep = ST.score_averages(V.scored(spark, sf))
+    path = scratch_path(spark, "report")
+    rep.write.mode("overwrite").json(path)
+    schema = T.StructType([T.StructField(c, T.DoubleType()) for c in rep.columns])
+    back = spark.read.schema(schema).json(path)
+    return back.select(*[round6(c).alias(c) for c in back.columns])
+
+
+ORACLE_SINK_COMPLETION = """
+SELECT event_id AS step, CAST(user_id AS VARCHAR) AS prompt, event_type AS completion, value AS reward FROM events WHERE event_id % 10 = 0"""
+
+
+@query("sink_completion_log", ORACLE_SINK_COMPLETION)
+def q_sink_completion_log(spark, sf):
+    ev = read_table(spark, sf, "events", ["event_id", "user_id", "event_type", "value"])
+    log = ev.select(F.col("event_id").alias("step"), F.col("user_id").cast("string").alias("prompt"),
+                    F.col("event_type").alias("completion"), F.col("value").alias("reward"))
+    path = scratch_path(spark, "completions")
+    K.append_parquet(R.filter_logging_steps(log, 10, "step"), path)
+    return spark.read.parquet(path)
+
+
+@query("sink_metrics", f"""
+SELECT mode, CASE WHEN mode = 'eval' THEN 'eval_' || key ELSE key END AS key, round(avg(value), 6) AS value
+FROM ({V.SQL_METRIC_LOG}) GROUP BY mode, key""")
+def q_sink_metrics(spark, sf):
+    m = R.metric_average(V.metric_log(spark, sf))
+    path = scratch_path(spark, "metrics")
+    K.append_parquet(m, path)
+    back = spark.read.parquet(path)
+    return back.select("mode", "key", round6("value").alias("value"))
+
+
+@query("state_save_load", f"""
+WITH p AS (SELECT batch_id, CAST(count(reward) AS DOUBLE) AS n, avg(reward) AS bmean, var_pop(reward) AS bvar
+           FROM ({V.SQL_BATCHES}) GROUP BY batch_id),
+t AS (SELECT 1e-24 + sum(n) AS cnt, sum(n * bmean) AS csx, sum(n * bvar + n * bmean * bmean) AS csq FROM p),
+d AS (SELECT cnt, csx / cnt AS mean, csq FROM t),
+e AS (SELECT cnt, mean, (1e-24 * 1.0 + csq - cnt * mean * mean) / cnt AS var FROM d)
+SELECT round(cnt, 6) AS count, round(mean, 6) AS mean, round(sqrt(var * cnt / (cnt - 1)), 6) AS std, round(var, 6) AS var FROM e""")
+def q_state_save_load(spark, sf):
+    rm = ST.running_moments(V.batches(spark, sf), "reward", "batch_id")
+    last = rm.orderBy(F.col("batch_id").desc()).limit(1).select("count", "mean", "std", "var")
+    path = scratch_path(spark, "moments")
+    K.save_state(last, path)
+    back = K.load_state(spark, path)
+    return back.select(*[round6(c).alias(c) for c in ("count", "mean", "std", "var")])

@@ -142,9 +142,12 @@ def q_join_logps(spark, sf):
     return j.select("sample_id", "pos", *[round6(c).alias(c) for c in ("logp", "old_logp", "ref_logp")])
 
 
-@query("metric_average", f"""
+SQL_METRIC_AVERAGE = f"""
 SELECT mode, CASE WHEN mode = 'eval' THEN 'eval_' || key ELSE key END AS key, round(avg(value), 6) AS value
-FROM ({V.SQL_METRIC_LOG}) GROUP BY mode, key""")
+FROM ({V.SQL_METRIC_LOG}) GROUP BY mode, key"""
+
+
+@query("metric_average", SQL_METRIC_AVERAGE)
 def q_metric_average(spark, sf):
     m = R.metric_average(V.metric_log(spark, sf))
     return m.select("mode", "key", round6("value").alias("value"))

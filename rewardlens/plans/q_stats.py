@@ -109,7 +109,7 @@ def q_batch_moments(spark, sf):
     return _r(ST.batch_moments(V.batches(spark, sf), "reward", "batch_id"))
 
 
-@query("running_moments", f"""
+SQL_RUNNING_MOMENTS = f"""
 WITH p AS (SELECT batch_id, CAST(count(reward) AS DOUBLE) AS n, avg(reward) AS bmean, var_pop(reward) AS bvar
            FROM ({V.SQL_BATCHES}) GROUP BY batch_id),
 q AS (SELECT *, n * bmean AS sx, n * bvar + n * bmean * bmean AS sq FROM p),
@@ -118,12 +118,15 @@ c AS (SELECT *, 1e-24 + sum(n) OVER w AS cnt, sum(sx) OVER w AS csx, sum(sq) OVE
 d AS (SELECT *, csx / cnt AS mean FROM c),
 e AS (SELECT *, (1e-24 * 1.0 + csq - cnt * mean * mean) / cnt AS var FROM d)
 SELECT batch_id, round(bmean, 6) AS batch_mean, round(sqrt(bvar * n / (n - 1)), 6) AS batch_std, round(mean, 6) AS mean,
-       round(var, 6) AS var, round(sqrt(var * cnt / (cnt - 1)), 6) AS std, round(cnt, 6) AS count FROM e""")
+       round(var, 6) AS var, round(sqrt(var * cnt / (cnt - 1)), 6) AS std, round(cnt, 6) AS count FROM e"""
+
+
+@query("running_moments", SQL_RUNNING_MOMENTS)
 def q_running_moments(spark, sf):
     return _r(ST.running_moments(V.batches(spark, sf), "reward", "batch_id"))
 
 
-@query("prompt_tracker", f"""
+SQL_PROMPT_TRACKER = f"""
 WITH b AS ({V.SQL_BATCHES}),
 w AS (SELECT *, avg(reward) OVER f AS pm, stddev_pop(reward) OVER f AS ps, count(*) OVER g AS cn
       FROM b WINDOW f AS (PARTITION BY prompt ORDER BY batch_id, ts, event_id ROWS BETWEEN {K - 1} PRECEDING AND CURRENT ROW),
@@ -134,7 +137,10 @@ s AS (SELECT batch_id, avg(reward) AS bm, stddev_pop(reward) AS bs FROM b GROUP
 SELECT b.event_id, b.batch_id, b.prompt, e.len < {MIN_COUNT} AS cold,
        round((b.reward - CASE WHEN e.len < {MIN_COUNT} THEN s.bm ELSE e.pm END)
              / ((CASE WHEN e.len < {MIN_COUNT} THEN s.bs ELSE e.ps END) + 1e-6), 6) AS advantage
-FROM b JOIN e ON b.prompt = e.prompt AND b.batch_id = e.batch_id JOIN s ON b.batch_id = s.batch_id""")
+FROM b JOIN e ON b.prompt = e.prompt AND b.batch_id = e.batch_id JOIN s ON b.batch_id = s.batch_id"""
+
+
+@query("prompt_tracker", SQL_PROMPT_TRACKER)
 def q_prompt_tracker(spark, sf):
     t = ST.prompt_tracker(V.batches(spark, sf), "prompt", "reward", "batch_id", ["ts", "event_id"], K, MIN_COUNT)
     return t.select("event_id", "batch_id", "prompt", "cold", round6("advantage").alias("advantage"))

@@ -1 +1,70 @@
-"""placeholder"""
+"""Streaming queries: each runs a Structured Streaming job (availableNow) over
+the events file into a fresh folder under ``spark.checkpoint.dir`` and returns
+the sink read back. The oracle is the batch form's SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from rewardlens.functions.common import round6
+from rewardlens.plans import fixtures as V
+from rewardlens.plans.catalog import query
+from rewardlens.plans.q_io import ORACLE_SINK_COMPLETION
+from rewardlens.plans.q_rewards import SQL_METRIC_AVERAGE
+from rewardlens.plans.q_stats import SQL_PROMPT_TRACKER, SQL_RUNNING_MOMENTS, K, MIN_COUNT
+from rewardlens.session import scratch_path
+from rewardlens.streaming import jobs as J
+from rewardlens.sources.tables import read_table
+
+
+def _events_stream(spark, sf):
+    schema = read_table(spark, sf, "events").schema
+    return J.file_stream(spark, sf, "events.parquet", schema)
+
+
+def _batches_stream(spark, sf):
+    ev = _events_stream(spark, sf)
+    return ev.select(F.dayofmonth("ts").alias("batch_id"), "ts", "event_id", F.col("user_id").alias("prompt"), F.col("value").alias("reward"))
+
+
+def _run(q):
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+
+
+@query("stream_running_moments", SQL_RUNNING_MOMENTS)
+def q_stream_running_moments(spark, sf):
+    out, st, ck = (scratch_path(spark, n) for n in ("rm-out", "rm-state", "rm-ckpt"))
+    _run(J.run_running_moments(_batches_stream(spark, sf), "reward", "batch_id", out, st, ck))
+    r = spark.read.parquet(out).drop("epoch")
+    return r.select(*[round6(c).alias(c) if t == "double" else F.col(c) for c, t in r.dtypes])
+
+
+@query("stream_prompt_tracker", SQL_PROMPT_TRACKER)
+def q_stream_prompt_tracker(spark, sf):
+    out, st, ck = (scratch_path(spark, n) for n in ("pt-out", "pt-state", "pt-ckpt"))
+    _run(J.run_prompt_tracker(_batches_stream(spark, sf), "prompt", "reward", "batch_id", ["ts", "event_id"], out, st, ck, K, MIN_COUNT))
+    r = spark.read.parquet(out)
+    return r.select("event_id", "batch_id", "prompt", "cold", round6("advantage").alias("advantage"))
+
+
+@query("stream_completion_log", ORACLE_SINK_COMPLETION)
+def q_stream_completion_log(spark, sf):
+    ev = _events_stream(spark, sf).select(
+        F.col("event_id").alias("step"), F.col("user_id").cast("string").alias("prompt"),
+        F.col("event_type").alias("completion"), F.col("value").alias("reward"))
+    out, ck = scratch_path(spark, "cl-out"), scratch_path(spark, "cl-ckpt")
+    _run(J.run_completion_log(ev, out, ck, 10))
+    return spark.read.parquet(out)
+
+
+@query("stream_metric_average", SQL_METRIC_AVERAGE)
+def q_stream_metric_average(spark, sf):
+    ev = _events_stream(spark, sf).select(
+        F.when(F.col("event_type") == "error", "eval").otherwise("train").alias("mode"),
+        F.col("event_type").alias("key"), F.col("event_id").alias("step"), "value")
+    out, ck = scratch_path(spark, "ma-out"), scratch_path(spark, "ma-ckpt")
+    _run(J.run_metric_average(ev, out, ck))
+    r = spark.read.parquet(out)
+    return r.select("mode", "key", round6("value").alias("value"))
