@@ -42,4 +42,5 @@ def load_all() -> None:
         q_stats,
         q_streaming,
         q_tokens,
+        q_udf,
     )
