@@ -32,7 +32,7 @@ def rollouts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 SQL_ROLLOUTS = """
-SELECT l_orderkey AS group_id, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice,
+SELECT l_orderkey AS group_id, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice,
        l_discount AS reward_discount, l_tax AS reward_tax, l_quantity / 50 AS reward_quantity
 FROM lineitem"""
 
@@ -224,7 +224,7 @@ def batches(spark: SparkSession, sf: str) -> DataFrame:
 
 
 SQL_BATCHES = """
-SELECT CAST(day(ts) AS INTEGER) AS batch_id, ts, event_id, user_id AS prompt, value AS reward FROM events"""
+SELECT CAST(day(ts) AS BIGINT) AS batch_id, ts, event_id, user_id AS prompt, value AS reward FROM events"""
 
 
 def metric_log(spark: SparkSession, sf: str) -> DataFrame:

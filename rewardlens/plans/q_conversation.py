@@ -212,7 +212,7 @@ def q_project_signature(spark, sf):
 
 
 @query("cast_schema", f"""
-SELECT CAST(idx AS INTEGER) AS idx, question, CAST(chosen_score AS FLOAT) AS chosen_score FROM ({V.SQL_SCORED})""")
+SELECT CAST(CAST(idx AS INTEGER) AS BIGINT) AS idx, question, CAST(CAST(chosen_score AS FLOAT) AS DOUBLE) AS chosen_score FROM ({V.SQL_SCORED})""")
 def q_cast_schema(spark, sf):
     from pyspark.sql import types as T
     schema = T.StructType([

@@ -43,7 +43,7 @@ def q_cap_exp(spark, sf):
 
 
 @query("argmax_class", """
-SELECT vec_id AS sample_id, list_position(embedding, list_max(embedding)) - 1 AS argmax, label FROM embeddings""")
+SELECT vec_id AS sample_id, CAST(list_position(embedding, list_max(embedding)) - 1 AS BIGINT) AS argmax, CAST(label AS BIGINT) AS label FROM embeddings""")
 def q_argmax_class(spark, sf):
     lg = V.logits(spark, sf)
     return lg.select("sample_id", N.argmax("logits").alias("argmax"), F.col("index").alias("label"))

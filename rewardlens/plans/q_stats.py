@@ -66,7 +66,7 @@ a AS (SELECT series, score AS x, lo, hi, (hi - lo) / 50.0 AS step,
 b AS (SELECT *, CASE WHEN x < (CASE WHEN i0 = 50 THEN hi ELSE 0.0 + i0 * step + lo END) THEN i0 - 1 ELSE i0 END AS i1 FROM a),
 c AS (SELECT *, CASE WHEN x >= (CASE WHEN i1 + 1 = 50 THEN hi ELSE 0.0 + (i1 + 1) * step + lo END) AND i1 <> 49
                      THEN i1 + 1 ELSE i1 END AS i2 FROM b)
-SELECT series, i2 AS bin, count(*) AS count FROM c GROUP BY series, i2""")
+SELECT series, CAST(i2 AS BIGINT) AS bin, count(*) AS count FROM c GROUP BY series, i2""")
 def q_score_histogram(spark, sf):
     return ST.score_histogram(long_scores(spark, sf))
 

@@ -34,7 +34,7 @@ def digest(arr) -> F.Column:
 
 
 def sdig(col: str) -> str:
-    return f"coalesce(list_sum(list_transform({col}, lambda x, i: CAST(i AS BIGINT) * (CAST(x AS BIGINT) + 128))), 0)"
+    return f"CAST(coalesce(list_sum(list_transform({col}, lambda x, i: CAST(i AS BIGINT) * (CAST(x AS BIGINT) + 128))), 0) AS BIGINT)"
 
 
 SQL_IDS = f"""
@@ -339,7 +339,7 @@ walk(rn, doc_id, bid, after) AS (
          CASE WHEN w.after >= {BUF_M} THEN w.bid + 1 ELSE w.bid END,
          CASE WHEN w.after >= {BUF_M} THEN d.sz ELSE w.after + d.sz END
   FROM walk w JOIN d ON d.rn = w.rn + 1)
-SELECT doc_id, bid AS buffer_id FROM walk"""
+SELECT doc_id, CAST(bid AS BIGINT) AS buffer_id FROM walk"""
 
 
 def _sql_pack_buffered(order: str) -> str:
