@@ -31,6 +31,9 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
+    if master and master.startswith("local"):
+        # local mode: the driver JVM is the only executor; give it the heap
+        builder = builder.config("spark.driver.memory", "16g").config("spark.driver.maxResultSize", "4g")
     builder = builder.config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
