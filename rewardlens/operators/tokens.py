@@ -31,9 +31,17 @@ def split_words(text) -> Column:
     return F.filter(F.split(as_col(text), WS_PATTERN), lambda t: t != "")
 
 
+WS_CHARS = " \t\n\x0b\f\r"
+
+
 def words(df: DataFrame, key: str, text: str) -> DataFrame:
-    """``(key, pos, token)``: one row per whitespace token, 0-based position."""
-    return df.select(key, F.posexplode(split_words(text)).alias("pos", "token"))
+    """``(key, pos, token)``: one row per whitespace token, 0-based position.
+
+    Trimming the whitespace set first leaves no empty piece except for an
+    all-whitespace text (a single ``""``), so no per-array lambda is needed.
+    """
+    pieces = F.split(F.trim(as_col(text), F.lit(WS_CHARS)), WS_PATTERN)
+    return df.select(key, F.posexplode(pieces).alias("pos", "token")).filter(F.col("token") != "")
 
 
 def build_vocab(words_df: DataFrame, token: str = "token") -> DataFrame:

@@ -200,9 +200,10 @@ CROSS JOIN (SELECT unnest(range(1, 65)) AS i) g"""
 # ---------------------------------------------------------------- tokens
 def words(spark: SparkSession, sf: str) -> DataFrame:
     """``(doc_id, pos, token)``: whitespace tokens of every document, 0-based position."""
+    from rewardlens.operators.tokens import words as split_words_long
+
     d = read_table(spark, sf, "documents", ["doc_id", "text"])
-    toks = F.filter(F.split("text", WS_PATTERN), lambda t: t != "")
-    return d.select("doc_id", F.posexplode(toks).alias("pos", "token"))
+    return split_words_long(d, "doc_id", "text")
 
 
 SQL_WORDS = f"""

@@ -16,6 +16,8 @@ TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
 
+TEXT_TABLES = frozenset({"documents", "conversations", "pages", "benchmark"})
+
 # Schema of a preference dataset as the reference loads it (image kept as a path).
 PREFERENCE_SCHEMA = T.StructType([
     T.StructField("idx", T.LongType()),
@@ -31,8 +33,21 @@ def table_path(sf_dir: str, name: str) -> str:
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
+    """Read a table, pruned to ``columns``.
+
+    A text table (heavy per-row work: splitting, rendering) with fewer scan
+    partitions than the cluster's default parallelism -- a single small file
+    with one row group -- is spread round-robin, so that work is not one task.
+    A large input has far more splits than that and is left alone; numeric
+    tables are cheap per row and never pay the extra exchange.
+    """
     df = spark.read.parquet(table_path(sf_dir, name))
-    return df.select(*columns) if columns else df
+    if columns:
+        df = df.select(*columns)
+    want = spark.sparkContext.defaultParallelism
+    if name in TEXT_TABLES and df.rdd.getNumPartitions() < want:
+        df = df.repartition(want)
+    return df
 
 
 def read_preference(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
