@@ -220,3 +220,8 @@ def distinct_values(df: DataFrame, key: str) -> DataFrame:
 
 def batch_width(df: DataFrame, arr: str, batch: str) -> DataFrame:
     return df.groupBy(batch).agg(F.max(F.size(arr)).alias("width"))
+
+
+def join_state(rows: DataFrame, state: DataFrame, key: str = "prompt") -> DataFrame:
+    """Look up each row's keyed state (``self.stats[prompt]``): an equi-join to the state table."""
+    return rows.join(state, key, "left")

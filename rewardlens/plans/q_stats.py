@@ -192,3 +192,18 @@ def q_chunk_ordinal(spark, sf):
     o = read_table(spark, sf, "orders", ["o_orderkey"])
     r = running(o, ["o_orderkey"], out="ordinal")
     return r.select("o_orderkey", "ordinal", (F.col("ordinal") / 100).cast("long").alias("chunk"))
+
+
+@query("join_state", f"""
+WITH b AS ({V.SQL_BATCHES}),
+r AS (SELECT *, row_number() OVER (PARTITION BY prompt ORDER BY batch_id DESC, ts DESC, event_id DESC) AS rn,
+             count(*) OVER (PARTITION BY prompt) AS cnt FROM b),
+s AS (SELECT prompt, any_value(cnt) AS count, avg(reward) FILTER (WHERE rn <= {K}) AS m FROM r GROUP BY prompt)
+SELECT b.event_id, b.prompt, s.count, round(s.m, 6) AS state_mean FROM b JOIN s ON b.prompt = s.prompt""")
+def q_join_state(spark, sf):
+    b = V.batches(spark, sf)
+    st = ST.tracker_state(b, "prompt", "reward", "batch_id", ["ts", "event_id"], K)
+    st = st.select("prompt", F.col("count").cast("long").alias("count"),
+                   (F.aggregate("last", F.lit(0.0), lambda a, x: a + x) / F.size("last")).alias("state_mean"))
+    j = ST.join_state(b.select("event_id", "prompt"), st, "prompt")
+    return j.select("event_id", "prompt", "count", round6("state_mean").alias("state_mean"))
