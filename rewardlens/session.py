@@ -23,7 +23,8 @@ DEFAULTS = {
 }
 
 
-def get_session(master: str | None = None, shuffle_partitions: int | None = None, app: str = "rewardlens") -> SparkSession:
+def get_session(master: str | None = None, shuffle_partitions: int | None = None, app: str = "rewardlens",
+                extra: dict[str, str] | None = None) -> SparkSession:
     """Return the active session, or build a local one (tests, bench)."""
     active = SparkSession.getActiveSession()
     if active is not None:
@@ -37,7 +38,7 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     builder = builder.config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    for k, v in DEFAULTS.items():
+    for k, v in {**DEFAULTS, **(extra or {})}.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
