@@ -183,10 +183,10 @@ def join_prompt_completion(prompts: DataFrame, completions: DataFrame, key: str
     p = prompts.withColumn("_p", F.lit(True))
     c = completions.withColumn("_c", F.lit(True))
     j = p.join(c, on=key, how="full_outer")
-    return j.withColumn(
-        "_ok",
-        F.when(F.col("_p").isNull() | F.col("_c").isNull(), F.raise_error(F.lit("prompts and completions differ in length"))).otherwise(F.lit(True)),
-    ).drop("_p", "_c", "_ok")
+    # the guard is part of the key column, so column pruning cannot remove it
+    guarded = F.when(F.col("_p").isNull() | F.col("_c").isNull(),
+                     F.raise_error(F.lit("prompts and completions differ in length"))).otherwise(F.col(key))
+    return j.withColumn(key, guarded).drop("_p", "_c")
 
 
 def join_rewards_long(df: DataFrame, sample_cols: Sequence[str], funcs: Sequence[str], func_col: str = "func", reward_col: str = "reward") -> DataFrame:
