@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -45,21 +46,58 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     return spark
 
 
+_LOCAL_SCRATCH: dict[str, str] = {}
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """The shared folder for checkpoints and written tables.
 
-    A cluster names a shared folder there. Only when it is unset (local tests)
-    do we create a private scratch folder and register it.
+    It is the session's ``spark.checkpoint.dir``. A session whose executors are
+    other processes must name one: without it this raises. Only a plain
+    ``local[..]`` session, where driver and executors are one process, gets a
+    private folder when the setting is unset (tests). The configuration itself
+    is never changed.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
-        d = tempfile.mkdtemp(prefix="rewardlens-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError(
+                "spark.checkpoint.dir is not set: name a folder that the driver and all executors share "
+                "when the session is built")
+        d = _LOCAL_SCRATCH.get(sc.applicationId)
+        if d is None:
+            d = _LOCAL_SCRATCH[sc.applicationId] = tempfile.mkdtemp(prefix="rewardlens-ckpt-")
+    sc.setCheckpointDir(d)
     return d
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-path of the shared checkpoint folder for written tables."""
-    base = checkpoint_dir(spark)
-    return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give this package's modules to the executors (once per application).
+
+    Python functions that run in tasks are pickled by reference, so executors
+    must be able to import ``rewardlens``. Where it is installed there (see
+    ``pyproject.toml``) this changes nothing; elsewhere the sources travel as a
+    small zip through Spark's own file distribution.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="rewardlens-src-"), "rewardlens.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(root):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.join("rewardlens", os.path.relpath(full, root)))
+    sc.addPyFile(out)
+    _SHIPPED.add(sc.applicationId)

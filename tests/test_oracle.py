@@ -46,4 +46,6 @@ def test_entry_runs(spark):
 
 
 def test_every_query_has_oracle():
-    assert set(E.queries()) == set(E.oracle_sql())
+    from rewardlens.plans.catalog import ORACLE, QUERIES
+
+    assert set(QUERIES) == set(ORACLE)
