@@ -27,13 +27,32 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rewardlens.llm.langid import held_out, identify
+
+    docs = read(spark, sf_dir, "documents")
+    out = held_out(F.col("doc_id"), 4)
+    pred = identify(docs, docs.filter(~out & F.col("lang").isNotNull()))
+    return pred.select("doc_id", out.alias("held_out"), "lang_pred", "score", "bits")
+
+
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rewardlens.llm.langid import held_out
+    from rewardlens.llm.lm import score_texts
+
+    docs = read(spark, sf_dir, "documents")
+    out = held_out(F.col("doc_id"), 7)
+    s = score_texts(docs, docs.filter(~out))
+    return s.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rewardlens.llm.urls import judge_urls
 
     return judge_urls(read(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op2_sharding, op4_exact_dedup, op8_url_filter)}
+QUERIES = {f.__name__: f for f in (op2_sharding, op4_exact_dedup, op5_language_id, op8_url_filter, op10_lm_score)}
 
 ORACLE = {
     "op2_sharding": f"""
