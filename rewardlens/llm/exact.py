@@ -61,7 +61,8 @@ def _compare_bytes(docs: DataFrame, id_col: str, text_col: str, rows: DataFrame)
     norm = strip_space(F.col(text_col))
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(norm).alias("h"), F.sha2(norm, 256).alias("sha"), norm.alias("norm"))
     copies = materialize(texts.join(classes, ["h", "sha"]), "dedup-copies")
-    homes = copies.filter(F.col("id").eqNullSafe(F.col("keep_id"))).groupBy("h", "sha").agg(F.min("norm").alias("home"), F.max("norm").alias("other"))
+    homes = materialize(copies.filter(F.col("id").eqNullSafe(F.col("keep_id"))).groupBy("h", "sha")
+                        .agg(F.min("norm").alias("home"), F.max("norm").alias("other")), "dedup-homes")
     bad = copies.join(homes, ["h", "sha"]).filter((F.col("norm") != F.col("home")) | (F.col("home") != F.col("other")))
     if not bad.isEmpty():
         raise RuntimeError("texts of one digest differ in their bytes")

@@ -46,13 +46,21 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from rewardlens.llm.packing import pack
+
+    return pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rewardlens.llm.urls import judge_urls
 
     return judge_urls(read(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op2_sharding, op4_exact_dedup, op5_language_id, op8_url_filter, op10_lm_score)}
+QUERIES = {f.__name__: f for f in (op2_sharding, op4_exact_dedup, op5_language_id, op7_packing, op8_url_filter, op10_lm_score)}
 
 ORACLE = {
     "op2_sharding": f"""
