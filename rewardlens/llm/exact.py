@@ -26,10 +26,11 @@ from rewardlens.session import scratch_path
 BUCKET_ENTRIES = 4096
 
 
-def _log(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _log(docs: DataFrame, id_col: str, text_col: str, rid_col: str | None) -> DataFrame:
     norm = strip_space(F.col(text_col))
+    rid = F.col(rid_col) if rid_col else F.monotonically_increasing_id()
     return docs.select(
-        F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"),
+        rid.alias("rid"), F.col(id_col).alias("id"),
         F.xxhash64(norm).alias("h"), F.sha2(norm, 256).alias("sha"),
         F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("n_chars"))
 
@@ -68,16 +69,17 @@ def _compare_bytes(docs: DataFrame, id_col: str, text_col: str, rows: DataFrame)
         raise RuntimeError("texts of one digest differ in their bytes")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = BUCKET_ENTRIES) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = BUCKET_ENTRIES,
+                rid_col: str | None = None) -> DataFrame:
     """Classes of rows whose texts are equal without white space.
 
     One row for each row of ``docs``: ``(rid, id_col, keep_id, group_size, kept, text_sha256, bucket, chain)``.
     Of equal texts the row with the most code points stays, then the smallest
-    id (a null id comes last), then, of wholly repeated rows, the first written.
-    A null text counts as empty; an empty table gives no rows. Columns other
+    id (a null id comes last), then, of wholly repeated rows, the first written
+    (or first by ``rid_col``, a column that numbers the rows). A null text counts as empty; an empty table gives no rows. Columns other
     than the two named are not read.
     """
-    log = materialize(_log(docs, id_col, text_col), "dedup-log")
+    log = materialize(_log(docs, id_col, text_col, rid_col), "dedup-log")
     index = build_index(log, capacity)
     rows = log.join(index, ["h", "sha"]).select(
         "rid", "id", "h", "sha", "keep_id", "keep_rid", "group_size", "bucket", "chain")
@@ -89,23 +91,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = BUCKET_ENTRIES) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns.
-
-    Rows that repeat both the id and the normalised text of the row that stays
-    are told apart by their other columns, read as text; the first stays.
-    """
-    same_id = F.col(id_col).eqNullSafe(F.col("keep_id"))
-    homes = materialize(exact_dedup(docs, id_col, text_col, capacity).filter(same_id)
-                        .groupBy(F.col("text_sha256").alias("_sha"), F.col("keep_id").alias("_keep")).agg(F.count(F.lit(1)).alias("_rows")), "dedup-homes")
-    marked = docs.withColumn("_own_sha", F.sha2(strip_space(F.col(text_col)), 256))
-
-    def at(h: DataFrame) -> DataFrame:
-        return marked.join(h, (F.col("_own_sha") == F.col("_sha")) & F.col(id_col).eqNullSafe(F.col("_keep")), "left_semi")
-
-    once = at(homes.filter("_rows = 1")).select(*docs.columns)
-    many = homes.filter("_rows > 1")
-    if many.isEmpty():
-        return once
-    order = [(-F.length(F.coalesce(F.col(text_col), F.lit("")))).alias("_short"), *[F.col(f"`{c}`").cast("string") for c in docs.columns]]
-    first = F.row_number().over(Window.partitionBy("_own_sha").orderBy(*order))
-    return once.unionByName(at(many).withColumn("_first", first).filter("_first = 1").select(*docs.columns))
+    """The rows of ``docs`` that stay, with all their columns; of wholly repeated rows one."""
+    numbered = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "dedup-docs")
+    kept = exact_dedup(numbered, id_col, text_col, capacity, "_row").filter("kept").select(F.col("rid").alias("_row"))
+    return numbered.join(kept, "_row", "left_semi").select(*docs.columns)

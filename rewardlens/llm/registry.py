@@ -21,6 +21,13 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extendible_shards(docs, "doc_id", F.octet_length("text"), SHARD_LIMIT)
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rewardlens.llm.simhash import simhash_groups
+
+    groups = simhash_groups(read(spark, sf_dir, "documents"))
+    return groups.select("doc_id", "fingerprint", "component_id", "group_size")
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rewardlens.llm.exact import exact_dedup
 
@@ -60,7 +67,7 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(read(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op2_sharding, op4_exact_dedup, op5_language_id, op7_packing, op8_url_filter, op10_lm_score)}
+QUERIES = {f.__name__: f for f in (op2_sharding, op3_simhash, op4_exact_dedup, op5_language_id, op7_packing, op8_url_filter, op10_lm_score)}
 
 ORACLE = {
     "op2_sharding": f"""
