@@ -43,6 +43,12 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pred.select("doc_id", out.alias("held_out"), "lang_pred", "score", "bits")
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rewardlens.llm.pii import find_personal_data
+
+    return find_personal_data(read(spark, sf_dir, "documents"))
+
+
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rewardlens.llm.langid import held_out
     from rewardlens.llm.lm import score_texts
@@ -53,6 +59,13 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rewardlens.llm.decontam import contaminated
+
+    found = contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "score", "share", "item_words", "first_word", "last_word")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -67,7 +80,8 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(read(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op2_sharding, op3_simhash, op4_exact_dedup, op5_language_id, op7_packing, op8_url_filter, op10_lm_score)}
+QUERIES = {f.__name__: f for f in (op2_sharding, op3_simhash, op4_exact_dedup, op5_language_id, op6_decontamination, op7_packing, op8_url_filter,
+                                    op9_personal_data, op10_lm_score)}
 
 ORACLE = {
     "op2_sharding": f"""
