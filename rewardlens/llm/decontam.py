@@ -23,11 +23,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rewardlens.llm.common import materialize
-from rewardlens.llm.textbatch import LOWER, U64, Words, inside_row, slices, text_buffer, window_hashes
+from rewardlens.llm.textbatch import U64, Words, inside_row, slices, text_buffer, window_hashes
 from rewardlens.session import ship_package
 
 SEED_WORDS = 3
@@ -37,13 +38,13 @@ MIN_SHARE = 0.5
 MIN_SCORE = 5
 LONG_ITEM = 50
 
-PLAIN = LOWER.copy()
+PLAIN = np.arange(256, dtype=np.uint8)
 PLAIN[[b for b in range(33, 127) if not chr(b).isalnum()]] = 32
 
 
 def _words(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of all rows, and where each row begins."""
-    buf, offs = text_buffer(col)
+    buf, offs = text_buffer(pc.utf8_lower(col))
     w = Words(PLAIN[buf], offs)
     return w.hashes(), w.row
 
