@@ -14,6 +14,13 @@ URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.exam
              ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rewardlens.llm.substring import remove_repeats
+
+    found = remove_repeats(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256", F.size("spans").cast("long").alias("n_spans"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rewardlens.llm.sharding import extendible_shards
 
@@ -80,7 +87,7 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(read(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op2_sharding, op3_simhash, op4_exact_dedup, op5_language_id, op6_decontamination, op7_packing, op8_url_filter,
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_sharding, op3_simhash, op4_exact_dedup, op5_language_id, op6_decontamination, op7_packing, op8_url_filter,
                                     op9_personal_data, op10_lm_score)}
 
 ORACLE = {
