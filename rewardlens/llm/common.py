@@ -36,3 +36,16 @@ def lower_ascii(c: Column) -> Column:
 def strip_space(c: Column) -> Column:
     """Delete every white-space character; null counts as empty."""
     return F.translate(F.coalesce(c, F.lit("")), SPACE_CHARS, "")
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def columns(df: DataFrame) -> list[Column]:
+    """The columns of ``df``, whatever characters their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rewardlens.llm.common import materialize
+from rewardlens.llm.common import columns, fresh, materialize
 from rewardlens.llm.textbatch import U64, Words, inside_row, slices, text_buffer, window_hashes
 from rewardlens.session import ship_package
 
@@ -228,8 +228,9 @@ def _align_task(ready, item_kind: str):
     return task
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without an aligned passage, with all columns."""
-    numbered = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "leak-docs")
-    hit = contaminated(numbered, items, "_row", text_col).select("_row").distinct()
-    return numbered.join(hit, "_row", "left_anti").select(*docs.columns)
+def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` (a table as read) without an aligned passage, with all columns."""
+    row = fresh(docs, "row")
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    hit = contaminated(numbered, items, row, text_col).select(row).distinct()
+    return numbered.join(hit, row, "left_anti").select(*columns(docs))

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rewardlens.llm.common import materialize, strip_space
+from rewardlens.llm.common import columns, fresh, materialize, strip_space
 from rewardlens.llm.sharding import BITS, directory
 from rewardlens.session import scratch_path
 
@@ -91,7 +91,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = BUCKET_ENTRIES) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; of wholly repeated rows one."""
-    numbered = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "dedup-docs")
-    kept = exact_dedup(numbered, id_col, text_col, capacity, "_row").filter("kept").select(F.col("rid").alias("_row"))
-    return numbered.join(kept, "_row", "left_semi").select(*docs.columns)
+    """The rows of ``docs`` that stay, with all their columns; of wholly repeated rows one.
+
+    Row numbers come from the scan, so ``docs`` should be a table as read.
+    """
+    row = fresh(docs, "row")
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    kept = exact_dedup(numbered, id_col, text_col, capacity, row).filter("kept").select(F.col("rid").alias(row))
+    return numbered.join(kept, row, "left_semi").select(*columns(docs))

@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from rewardlens.llm.common import columns, fresh
 from rewardlens.llm.ppm import count_events, fit, score_rows
 from rewardlens.session import ship_package
 
@@ -18,31 +20,44 @@ def held_out(key: Column, buckets: int, which: int = 2) -> Column:
     return (F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % buckets) == which
 
 
-def identify(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang",
-             max_contexts: int = 16384) -> DataFrame:
-    """``(id_col, lang_pred, score, bits)`` for every row of ``docs``.
+def with_language(docs: DataFrame, train: DataFrame, text_col: str = "text", label_col: str = "lang",
+                  max_contexts: int = 16384, prefix: str = "lang_") -> DataFrame:
+    """``docs`` with ``lang_pred``, ``lang_score`` and ``lang_bits`` (under ``prefix``); one map over the rows, nothing shuffled.
 
     ``train`` has ``label_col`` and ``text_col``; rows with a null there teach
-    nothing. Predictions read the text alone. ``lang_pred`` is ``und`` with
-    score 0 for a null text, one without a letter, or when there was nothing to
-    learn from. ``score`` is the language's posterior probability under equal
-    priors; ties go to the first label in order. ``bits`` is the code length.
+    nothing. Predictions read the text alone. The language is ``und`` with score
+    0 for a null text, one without a letter, or when there was nothing to learn
+    from. The score is the language's posterior probability under equal priors;
+    ties go to the first label in order. The bits are the code length.
     """
     spark = docs.sparkSession
     ship_package(spark)
     model = fit(count_events(train.select(F.col(label_col).alias("label"), F.col(text_col).alias("text"))), max_contexts)
-    labels = model.labels
+    labels, each, bits = model.labels, prefix + "each", prefix + "bits"
     sent = spark.sparkContext.broadcast(model)
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("letters"), F.col(text_col).alias("text"))
-    kind = rows.schema["id"].dataType.simpleString()
-    scored = rows.mapInArrow(score_rows(lambda: sent.value, "text"), f"id {kind}, letters boolean, bits array<double>")
+    schema = T.StructType([*docs.schema.fields, T.StructField(each, T.ArrayType(T.DoubleType()))])
+    scored = docs.mapInArrow(score_rows(lambda: sent.value, text_col, each), schema)
+    letters = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
     if not labels:
-        return scored.select(F.col("id").alias(id_col), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("bits"))
-    best = F.array_min("bits")
-    known = scored.withColumns({"best": best}).withColumns({
-        "at": F.array_position("bits", F.col("best")).cast("int"),
-        "post": 1 / F.aggregate("bits", F.lit(0.0), lambda a, b: a + F.pow(F.lit(2.0), F.col("best") - b))})
-    return known.select(
-        F.col("id").alias(id_col),
-        F.when(F.col("letters"), F.element_at(F.array(*[F.lit(x) for x in labels]), F.col("at"))).otherwise("und").alias("lang_pred"),
-        F.when(F.col("letters"), F.col("post")).otherwise(F.lit(0.0)).alias("score"), F.col("best").alias("bits"))
+        return scored.drop(each).withColumns({prefix + "pred": F.lit("und"), prefix + "score": F.lit(0.0), bits: F.lit(0.0)})
+    best = scored.withColumn(bits, F.array_min(each))
+    at = F.array_position(each, F.col(bits)).cast("int")
+    post = 1 / F.aggregate(each, F.lit(0.0), lambda a, b: a + F.pow(F.lit(2.0), F.col(bits) - b))
+    return best.withColumns({
+        prefix + "pred": F.when(letters, F.element_at(F.array(*[F.lit(x) for x in labels]), at)).otherwise("und"),
+        prefix + "score": F.when(letters, post).otherwise(F.lit(0.0))}).drop(each)
+
+
+def identify(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang",
+             max_contexts: int = 16384) -> DataFrame:
+    """``(id_col, lang_pred, score, bits)`` for every row of ``docs``; only its id and text are read."""
+    rows = with_language(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")),
+                         train.select(F.col(label_col).alias("lang"), F.col(text_col).alias("text")), max_contexts=max_contexts)
+    return rows.select(F.col("id").alias(id_col), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_bits").alias("bits"))
+
+
+def keep_identified(docs: DataFrame, text_col: str = "text", label_col: str = "lang", least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose text has a language of at least ``least`` probability; learns from the labelled rows."""
+    prefix = fresh(docs, "lang_each")[:-4]
+    rows = with_language(docs, docs.filter(F.col(label_col).isNotNull()), text_col, label_col, prefix=prefix)
+    return rows.filter((F.col(prefix + "pred") != "und") & (F.col(prefix + "score") >= least)).select(*columns(docs))

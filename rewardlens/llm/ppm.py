@@ -208,8 +208,8 @@ def _code_lengths(counts: np.ndarray, at: np.ndarray, k: np.ndarray, parent: np.
     return -np.log2(np.maximum(prob, 1e-300))
 
 
-def score_rows(model_of, text: str):
-    """A ``mapInArrow`` body: each batch's rows with the list ``bits``, one number for each label."""
+def score_rows(model_of, text: str, name: str):
+    """A ``mapInArrow`` body: all columns of each row and the list ``name``, its code length under each label."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of()
@@ -218,7 +218,6 @@ def score_rows(model_of, text: str):
                 bits = model.runs(*text_buffer(part.column(text)))
                 n, labels = bits.shape
                 col = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * labels), pa.array(bits.ravel()))
-                keep = [i for i, name in enumerate(part.schema.names) if name != text]
-                yield pa.RecordBatch.from_arrays([*[part.column(i) for i in keep], col], [*[part.schema.names[i] for i in keep], "bits"])
+                yield pa.RecordBatch.from_arrays([*part.columns, col], [*part.schema.names, name])
 
     return task

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from rewardlens.llm.common import read
 
 SHARD_LIMIT = 1 << 20
@@ -89,6 +90,7 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_sharding, op3_simhash, op4_exact_dedup, op5_language_id, op6_decontamination, op7_packing, op8_url_filter,
                                     op9_personal_data, op10_lm_score)}
+QUERIES["pipeline"] = corpus_pipeline.run
 
 ORACLE = {
     "op2_sharding": f"""

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rewardlens.llm.common import materialize
+from rewardlens.llm.common import columns, fresh, materialize
 from rewardlens.llm.components import components
 from rewardlens.llm.textbatch import LOWER, Words, slices, text_buffer
 from rewardlens.session import ship_package
@@ -183,7 +183,8 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
-    """One row of each near-duplicate group, with all columns of ``docs``."""
-    numbered = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "simhash-docs")
-    kept = simhash_groups(numbered, id_col, text_col, words, "_row").filter("kept").select(F.col("rid").alias("_row"))
-    return numbered.join(kept, "_row", "left_semi").select(*docs.columns)
+    """One row of each near-duplicate group, with all columns of ``docs``, which should be a table as read."""
+    row = fresh(docs, "row")
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    kept = simhash_groups(numbered, id_col, text_col, words, row).filter("kept").select(F.col("rid").alias(row))
+    return numbered.join(kept, row, "left_semi").select(*columns(docs))
