@@ -32,7 +32,7 @@ from rewardlens.llm.textbatch import U64, Words, inside_row, slices, text_buffer
 from rewardlens.session import ship_package
 
 SEED_WORDS = 3
-SPAN = 6
+SPAN = 3
 BLOCK_WORDS = 1 << 20
 MIN_SHARE = 0.5
 MIN_SCORE = 5

@@ -35,8 +35,11 @@ def with_language(docs: DataFrame, train: DataFrame, text_col: str = "text", lab
     model = fit(count_events(train.select(F.col(label_col).alias("label"), F.col(text_col).alias("text"))), max_contexts)
     labels, each, bits = model.labels, prefix + "each", prefix + "bits"
     sent = spark.sparkContext.broadcast(model)
-    schema = T.StructType([*docs.schema.fields, T.StructField(each, T.ArrayType(T.DoubleType()))])
-    scored = docs.mapInArrow(score_rows(lambda: sent.value, text_col, each), schema)
+    # columns travel under plain names, whatever theirs are
+    plain = docs.select(*columns(docs)).toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    text = plain.columns[docs.columns.index(text_col)]
+    schema = T.StructType([*plain.schema.fields, T.StructField("bits", T.ArrayType(T.DoubleType()))])
+    scored = plain.mapInArrow(score_rows(lambda: sent.value, text, "bits"), schema).toDF(*docs.columns, each)
     letters = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
     if not labels:
         return scored.drop(each).withColumns({prefix + "pred": F.lit("und"), prefix + "score": F.lit(0.0), bits: F.lit(0.0)})
