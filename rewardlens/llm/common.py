@@ -38,6 +38,23 @@ def strip_space(c: Column) -> Column:
     return F.translate(F.coalesce(c, F.lit("")), SPACE_CHARS, "")
 
 
+def most_frequent(df: DataFrame, count: str, most: int) -> DataFrame:
+    """The rows of the largest counts, at most ``most`` of them, without sorting.
+
+    Counts fall into bins of 1/32 octave, some 2000 at any size; rows from the
+    lowest bin on at which no more than ``most`` rows remain are kept, so all
+    rows of one count stay or go together.
+    """
+    bin_ = F.floor(F.log2(F.col(count).cast("double")) * 32)
+    left = most
+    low = None
+    for b, n in sorted(((r[0], r[1]) for r in df.groupBy(bin_.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True):
+        if n > left:
+            break
+        left, low = left - n, b
+    return df.limit(0) if low is None else df.filter(bin_ >= low)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, with underscores before it until no column of ``df`` has it in any case."""
     taken = {c.lower() for c in df.columns}

@@ -5,9 +5,9 @@ bytes (texts begin after five newlines) and itself. Tasks sort and count the
 packed six bytes, Spark adds the counts up. Contexts of order 0 to 5 are sums
 of these.
 
-*Trie.* The ``max_contexts`` most frequent contexts stay (shorter ones first on
-ties). Each suffix and prefix of a context is at least as frequent, so the set
-holds both, and the context after any byte follows from the context before it.
+*Trie.* The most frequent contexts stay, at most ``max_contexts``. Each suffix and
+prefix of a context is at least as frequent, so the set holds both, and the
+context after any byte follows from the context before it.
 
 *Probabilities.* Escape method C with symbol exclusion: in a context of ``t``
 events of ``d`` symbols a seen symbol has ``c / (t + d)``, the escape
@@ -27,10 +27,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rewardlens.llm.common import materialize
+from rewardlens.llm.common import materialize, most_frequent
 from rewardlens.llm.textbatch import slices, text_buffer
 
 ORDER = 5
@@ -144,16 +145,17 @@ def fit(events: DataFrame, max_contexts: int = 16384) -> Model:
 
     every = events.select("label", "event", "n", at_order).select("label", "k", context(F.col("event")).alias("ctx"), F.col("event").bitwiseAND(F.lit(255)).alias("sym"), "n")
     table = materialize(every.groupBy("label", "k", "ctx", "sym").agg(F.sum("n").alias("n")), "ppm-counts")
-    top = (table.groupBy("k", "ctx").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "k", "ctx").limit(max_contexts))
-    kept = table.join(top.select("k", "ctx"), ["k", "ctx"], "left_semi").toPandas()
-    labels = sorted(kept["label"].unique().tolist())
-    contexts = kept[["k", "ctx"]].drop_duplicates().sort_values(["k", "ctx"]).reset_index(drop=True)
-    used = np.sort(kept["sym"].unique())
-    if not len(contexts):
-        contexts.loc[0] = (0, 0)
-    k, ctx = contexts["k"].to_numpy(np.int64), contexts["ctx"].to_numpy(np.int64)
-    symbol = np.full(256, len(used), np.uint8 if len(used) < 256 else np.int16)
-    symbol[used.astype(np.int64)] = np.arange(len(used))
+    top = most_frequent(materialize(table.groupBy("k", "ctx").agg(F.sum("n").alias("total")), "ppm-contexts"), "total", max_contexts)
+    kept = table.join(top.select("k", "ctx"), ["k", "ctx"], "left_semi").toArrow()
+    labels = sorted(kept.column("label").unique().to_pylist())
+    of_label = {x: pc.equal(kept.column("label"), x) for x in labels}
+    place = (kept.column("k").to_numpy().astype(np.int64) << 48) | kept.column("ctx").to_numpy()
+    contexts = np.unique(np.r_[place, 0])  # by order, then bytes; the empty context always
+    k, ctx = contexts >> 48, contexts & ((1 << 48) - 1)
+    sym = kept.column("sym").to_numpy().astype(np.int64)
+    used = np.unique(np.r_[sym, START])  # contexts at a text's begin hold START
+    symbol = np.full(256, min(len(used), 255), np.int32)
+    symbol[used] = np.arange(len(used))
     find = {o: (np.flatnonzero(k == o), ctx[k == o]) for o in range(ORDER + 1)}
 
     def look(order: int, want: np.ndarray) -> np.ndarray:
@@ -166,25 +168,25 @@ def fit(events: DataFrame, max_contexts: int = 16384) -> Model:
     width = len(used) + (len(used) < 256)
     nxt = np.zeros((len(k), width), np.int32)
     for order in range(1, ORDER + 1):
-        rows = np.flatnonzero(k + 1 >= order)
-        want = ((ctx[rows, None] << 8) | used[None, :].astype(np.int64)) & ((1 << (8 * order)) - 1)
-        got = look(order, want)
-        nxt[rows, :len(used)] = np.where(got >= 0, got, nxt[rows, :len(used)])
+        for rows in np.array_split(np.flatnonzero(k + 1 >= order), 1 + len(k) // 4096):
+            want = ((ctx[rows, None] << 8) | used[None, :]) & ((1 << (8 * order)) - 1)
+            got = look(order, want)
+            nxt[rows, :len(used)] = np.where(got >= 0, got, nxt[rows, :len(used)])
     parent = np.zeros(len(k), np.int64)
     for order in range(1, ORDER + 1):
         own = np.flatnonzero(k == order)
         parent[own] = look(order - 1, ctx[own] & ((1 << (8 * (order - 1))) - 1))
-    row = {(a, b): i for i, (a, b) in enumerate(zip(k.tolist(), ctx.tolist()))}
-    kept["row"] = [row[x] for x in zip(kept["k"].tolist(), kept["ctx"].tolist())]
     bits = np.zeros((len(k) * width, max(1, len(labels))), np.float32)
+    row, column = np.searchsorted(contexts, place), symbol[sym]
+    n = kept.column("n").to_numpy()
     for j, label in enumerate(labels):
-        own = kept[kept["label"] == label]
+        own = np.flatnonzero(of_label[label].to_numpy())
         counts = np.zeros((len(k), width), np.float32)
-        counts[own["row"].to_numpy(), symbol[own["sym"].to_numpy(np.int64)].astype(np.int64)] = own["n"].to_numpy()
+        counts[row[own], column[own]] = n[own]
         for b in range(0, len(k), 4096):
             own = slice(b, b + 4096)
             bits[b * width:(b + 4096) * width, j] = _code_lengths(counts, np.arange(len(k))[own], k, parent, len(used)).ravel()
-    return Model(labels, symbol.astype(np.int32), nxt.ravel(), bits)
+    return Model(labels, symbol, nxt.ravel(), bits)
 
 
 def _code_lengths(counts: np.ndarray, at: np.ndarray, k: np.ndarray, parent: np.ndarray, used: int) -> np.ndarray:
