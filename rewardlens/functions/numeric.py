@@ -40,10 +40,12 @@ def logsumexp(arr) -> Column:
         up = v > st["m"]
         return F.struct(
             F.when(up, v).otherwise(st["m"]).alias("m"),
-            F.when(up, st["s"] * F.exp(st["m"] - v) + F.lit(1.0)).otherwise(st["s"] + F.exp(v - st["m"])).alias("s"),
+            F.when(up, st["s"] * F.exp(st["m"] - v) + F.lit(1.0))
+            .when(v == F.lit(float("-inf")), st["s"])  # adds nothing; the difference would be NaN
+            .otherwise(st["s"] + F.exp(v - st["m"])).alias("s"),
         )
 
-    return F.aggregate(as_col(arr), init, step, lambda st: st["m"] + F.log(st["s"]))
+    return F.aggregate(as_col(arr), init, step, lambda st: F.when(st["s"] > 0, st["m"] + F.log(st["s"])).otherwise(st["m"]))
 
 
 def selective_log_softmax(logits, index) -> Column:

@@ -7,16 +7,12 @@ from pyspark.sql import functions as F
 
 from rewardlens.functions.chat import render
 from rewardlens.operators import tokens as T
+from rewardlens.plans.ordinal import written
 
 
 def encode_text(df: DataFrame, vocab: DataFrame, key: str, text: str, max_length: int | None = None) -> DataFrame:
     """``(key, input_ids, attention_mask)`` of a text column; rows without tokens get empty arrays."""
-    w = T.words(df.select(key, text), key, text)
-    enc = T.encode(w, vocab, key, max_length)
-    base = df.select(key)
-    out = base.join(enc, key, "left")
-    empty = F.array().cast("array<int>")
-    return out.select(key, F.coalesce("input_ids", empty).alias("input_ids"), F.coalesce("attention_mask", empty).alias("attention_mask"))
+    return T.encode(T.words(df.select(key, text), key, text), vocab, key, max_length, keys=df)
 
 
 def chatml_collate(df: DataFrame, vocab: DataFrame, key: str = "conv_id", messages: str = "messages", pad_id: int = 0,
@@ -38,6 +34,7 @@ def chatml_collate(df: DataFrame, vocab: DataFrame, key: str = "conv_id", messag
     npf = F.size("prompts")
     j = j.withColumn("labels", F.concat(F.array_repeat(F.lit(ignore_index), npf), F.slice("input_ids", npf + 1, n)))
     j = j.withColumn("prompt_attention_mask", F.array_repeat(F.lit(1), F.size("prompts")))
+    j = written(j, "chatml-ids")  # padding reads the rows twice
     return T.pad_batch(j, {
         "input_ids": (pad_id, "left"), "attention_mask": (0, "left"), "labels": (ignore_index, "left"),
         "prompts": (pad_id, "left"), "prompt_attention_mask": (0, "left"),

@@ -9,9 +9,9 @@ group of at most ``seq_length`` tokens. No single task sees the stream.
 
 Buffered packing (``pack_buffered``) closes a buffer once its size reaches
 ``max_buffer_size`` and drops each buffer's short tail. Buffer boundaries are
-a greedy reset-sum over sizes: exact but sequential. It is computed on the
-sizes only, per bucket of the order, with a driver-side chain over bucket
-summaries (see :func:`buffer_ids`).
+a greedy reset-sum over sizes: exact but sequential. It is computed on keys and
+sizes only, by a tree of summaries over ranges of the order (see
+:func:`buffer_ids`).
 """
 
 from __future__ import annotations
@@ -23,7 +23,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rewardlens.plans.ordinal import quantile_bucket, running
+from rewardlens.operators.sample import draw
+from rewardlens.plans.ordinal import range_buckets, running, written
+from rewardlens.session import ship_package
 
 
 def with_concat_token(ids, concat_token_id: int | None) -> Column:
@@ -39,7 +41,7 @@ def format_text(df: DataFrame, formatting: Column | None = None, text_field: str
         return formatting
     if text_field is not None:
         return F.col(text_field)
-    raise ValueError("Either `dataset_text_field` or `formatting_func` should be provided.")
+    raise ValueError("name a text field or give a formatting expression")
 
 
 def concat_token(eos_token_id: int | None, fallback: int = 0) -> int:
@@ -50,11 +52,10 @@ def concat_token(eos_token_id: int | None, fallback: int = 0) -> int:
 def pack_constant_length(
     df: DataFrame,
     ids: str,
-    order: Sequence[str | Column],
+    order: Sequence[str],
     seq_length: int = 1024,
     concat_token_id: int | None = 0,
     group_cols: Sequence[str] = (),
-    bucket: Column | Sequence[Column] | None = None,
 ) -> DataFrame:
     """``(piece_id, input_ids, labels)``: the concatenated stream cut into ``seq_length`` pieces.
 
@@ -72,9 +73,10 @@ def pack_constant_length(
         s = s.withColumn("_off", F.sum("_len").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_len"))
         s = s.withColumn("_gt", F.sum("_len").over(Window.partitionBy(*group_cols)))
     else:
-        s = running(s, list(order), value=F.col("_len"), out="_off", bucket=bucket)
-        tot = s.agg(F.sum("_len").alias("_gt"))
-        s = s.crossJoin(F.broadcast(tot))
+        # offsets from keys and lengths only; the tokens join them afterwards
+        offs = running(s.select(*order, "_len"), list(order), value=F.col("_len"), out="_off")
+        tot = offs.agg(F.sum("_len").alias("_gt"))  # one row
+        s = s.join(offs.select(*order, "_off"), list(order)).crossJoin(F.broadcast(tot))
     full = (F.col("_gt") / L).cast("long")  # pieces that are complete
     first = (F.col("_off") / L).cast("long")
     last = F.least(((F.col("_off") + F.col("_len") - 1) / L).cast("long"), full - 1)
@@ -90,125 +92,128 @@ def pack_constant_length(
 
 
 # ---------------------------------------------------------------- buffered packing
-def _greedy_exits(sizes: np.ndarray, M: float):
-    """For one bucket: the exit state for every possible first boundary.
-
-    ``sizes`` in order. Entering with ``e`` already in the open buffer, the
-    first buffer closes at the first row j with e + P[j] >= M (P = inclusive
-    prefix sums); candidates are the rows with P[j-1] < M. Walks from
-    different candidates merge once they share a boundary, so walks are
-    memoised by boundary, and runs of candidates with the same outcome are
-    merged. Returns rows (j, thr, exit, n): for entry e, the first row (by j)
-    with e >= thr gives the bucket's exit state and number of closed buffers.
-    """
-    P = np.cumsum(sizes, dtype=np.float64)
-    total = float(P[-1]) if len(P) else 0.0
-    excl = P - sizes
-    memo: dict[int, tuple[float, int]] = {}
-
-    def walk(j: int) -> tuple[float, int]:
-        path = []
-        k = j
-        while k not in memo:
-            path.append(k)
-            nxt = int(np.searchsorted(P, P[k] + M, side="left"))
-            if nxt >= len(P):
-                memo[k] = (total - float(P[k]), 1)
-                path.pop()
-                break
-            k = nxt
-        ex, n = memo[k]
-        for q in reversed(path):
-            n += 1
-            memo[q] = (ex, n)
-        return memo[j]
+#: Neighbouring units that one level of the tree joins.
+FAN = 32
+SUMMARY = "unit long, thr array<double>, exit array<double>, n array<long>, total double"
 
-    out = []
-    for j in np.nonzero(excl < M)[0]:
-        ex, n = walk(int(j))
-        thr = M - float(P[j])
-        if out and out[-1][2] == ex and out[-1][3] == n:
-            out[-1] = (int(j), thr, ex, n)
-        else:
-            out.append((int(j), thr, ex, n))
-    return out, total
+
+def _outcome(e: np.ndarray, thr: np.ndarray, exit_: np.ndarray, n: np.ndarray, total: float) -> tuple[np.ndarray, np.ndarray]:
+    """Exit fill and closed buffers of a unit entered with fill ``e``; thresholds descend."""
+    at = len(thr) - np.searchsorted(thr[::-1], e, side="right")
+    through = at == len(thr)
+    if not len(thr):
+        return e + total, np.zeros(len(e), np.int64)
+    at = np.minimum(at, len(thr) - 1)
+    return np.where(through, e + total, exit_[at]), np.where(through, 0, n[at])
+
+
+def _merge_equal(thr: np.ndarray, exit_: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of neighbouring thresholds with one outcome the lowest stays."""
+    keep = np.r_[(exit_[1:] != exit_[:-1]) | (n[1:] != n[:-1]), True] if len(thr) else np.zeros(0, bool)
+    return thr[keep], exit_[keep], n[keep]
 
 
-def buffer_ids(df: DataFrame, size: Column, order: Sequence[str], max_buffer_size: float, n_buckets: int | None = None) -> DataFrame:
-    """Add ``buffer_id``: greedy buffers closing once their size reaches ``max_buffer_size``.
+def _unit(sizes: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """What a run of rows does to the open buffer, for every fill it can be entered with.
 
-    1. rows are cut into order buckets (quantiles of the first order column);
-    2. per bucket, on sizes only, the exit state for each possible entry
-       state is summarised (``applyInPandas``; one bucket per group);
-    3. the driver chains the bucket summaries in order (one small row per
-       distinct exit, per bucket) to get each bucket's entry state and buffer
-       offset, and broadcasts that table (bounded by the bucket count);
-    4. per bucket the greedy walk runs again from its true entry state and
-       numbers the buffers.
+    Entered with fill ``e`` the first buffer closes at the first row j with
+    ``e >= limit - P[j]`` (P: inclusive prefix sums). From there the walk is fixed:
+    each closing row leads to the next, and walks that share one go on together.
     """
-    first = order[0]
-    b = df.withColumn("_bk", quantile_bucket(df, first, n_buckets)).withColumn("_sz", size.cast("double"))
-    M = float(max_buffer_size)
-    okeys = list(order)
-
-    def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(okeys)
-        rows, total = _greedy_exits(pdf["_sz"].to_numpy(), M)
-        bk = int(pdf["_bk"].iloc[0])
-        if not rows:
-            rows = [(-1, float("inf"), 0.0, 0)]
-        return pd.DataFrame({"_bk": bk, "j": [r[0] for r in rows], "thr": [r[1] for r in rows],
-                             "exit": [r[2] for r in rows], "n": [r[3] for r in rows], "total": total})
-
-    summ = b.select("_bk", *okeys, "_sz").groupBy("_bk").applyInPandas(
-        summarise, "_bk int, j long, thr double, exit double, n long, total double")
-    # driver gets one row per run of equal outcomes per bucket (walks merge fast),
-    # at most the candidates inside each bucket's first buffer
-    rows = sorted(summ.collect(), key=lambda r: (r["_bk"], r["j"]))
-    per: dict[int, list] = {}
-    for r in rows:
-        per.setdefault(r["_bk"], []).append(r)
-    entry, offset = 0.0, 0
-    chain = []
-    for bk in sorted(per):
-        cands = per[bk]
-        total = cands[0]["total"] if cands else 0.0
-        chain.append((bk, entry, offset))
-        # first candidate (in row order) whose threshold the entry meets
-        hit = None
-        for r in cands:
-            if entry >= r["thr"]:
-                hit = r
-                break
-        if hit is None:
-            entry = entry + total
+    p = np.cumsum(sizes, dtype=np.float64)
+    total = float(p[-1]) if len(p) else 0.0
+    first = np.flatnonzero(p - sizes < limit)
+    after = np.searchsorted(p, p + limit, side="left")  # the row that closes the next buffer
+    exit_, n = np.zeros(len(p)), np.ones(len(p), np.int64)
+    for j in range(len(p) - 1, -1, -1) if len(first) else ():
+        if after[j] < len(p):
+            exit_[j], n[j] = exit_[after[j]], n[after[j]] + 1
         else:
-            offset += int(hit["n"])
-            entry = float(hit["exit"])
-    buckets_present = b.select("_bk").distinct()
-    spark = df.sparkSession
-    chain_df = spark.createDataFrame(chain, "_bk int, _entry double, _offset long")
-    b = b.join(F.broadcast(chain_df), "_bk", "left").fillna({"_entry": 0.0, "_offset": 0})
-    del buckets_present
+            exit_[j] = total - p[j]
+    return *_merge_equal(limit - p[first], exit_[first], n[first]), total
+
+
+def _then(u: tuple, v: tuple) -> tuple:
+    """Unit ``u`` followed by unit ``v`` as one unit."""
+    thr, exit_, n, total = u
+    ends, more = _outcome(exit_, *v)
+    low = thr[-1] if len(thr) else np.inf
+    late = v[0] - total < low  # entered below all of u's thresholds, u only fills
+    return *_merge_equal(np.r_[thr, (v[0] - total)[late]], np.r_[ends, v[1][late]], np.r_[n + more, v[2][late]]), total + v[3]
+
+
+def _row(unit: int, x: tuple) -> pd.DataFrame:
+    return pd.DataFrame({"unit": [unit], "thr": [x[0]], "exit": [x[1]], "n": [x[2]], "total": [x[3]]})
+
+
+def _rows(pdf: pd.DataFrame) -> list[tuple]:
+    pdf = pdf.sort_values("unit")
+    return [(int(r.unit), (np.asarray(r.thr, float), np.asarray(r.exit, float), np.asarray(r.n, np.int64), float(r.total))) for r in pdf.itertuples()]
+
+
+def _combine(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    units = _rows(pdf)
+    whole = units[0][1]
+    for _, x in units[1:]:
+        whole = _then(whole, x)
+    return _row(int(key[0]), whole)
+
+
+def _descend(key: tuple, units: pd.DataFrame, parent: pd.DataFrame) -> pd.DataFrame:
+    out = []
+    fill, closed = (float(parent["fill"].iloc[0]), int(parent["closed"].iloc[0])) if len(parent) else (0.0, 0)
+    for unit, x in _rows(units) if len(units) else ():
+        out.append((unit, fill, closed))
+        e, n = _outcome(np.array([fill]), *x)
+        fill, closed = float(e[0]), closed + int(n[0])
+    return pd.DataFrame(out, columns=["unit", "fill", "closed"])
+
+
+def buffer_ids(df: DataFrame, size: Column, order: Sequence[str], max_buffer_size: float) -> DataFrame:
+    """``(order..., buffer_id)``: greedy buffers closing once their size reaches ``max_buffer_size``.
+
+    Only keys and sizes move. Rows are cut into ranges of the order; each range
+    sums up what it does to an open buffer of any fill. ``FAN`` neighbouring
+    ranges join into one, level by level, up to a single one; then the fill that
+    each range really starts with comes back down the same tree, and each range
+    numbers its own buffers. A summary has at most as many thresholds as rows fit
+    into one buffer, whatever the input's size, and nothing reaches the driver.
+    """
+    ship_package(df.sparkSession)
+    limit, keys = float(max_buffer_size), list(order)
+    rows = range_buckets(df.select(*keys, size.cast("double").alias("_sz")), [F.col(k) for k in keys], "_unit")
+
+    def summarise(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return _row(int(key[0]), _unit(pdf.sort_values(keys)["_sz"].fillna(0).to_numpy(), limit))
+
+    levels = [written(rows.groupBy("_unit").applyInPandas(summarise, SUMMARY), "buffer-units")]
+    while levels[-1].count() > 1:
+        levels.append(written(levels[-1].groupBy(F.floor(F.col("unit") / FAN).alias("up")).applyInPandas(_combine, SUMMARY), "buffer-units"))
+    start = levels[-1].select(F.col("unit"), F.lit(0.0).alias("fill"), F.lit(0).cast("long").alias("closed"))
+    for level in levels[-2::-1]:
+        start = written(level.groupBy(F.floor(F.col("unit") / FAN).alias("up")).cogroup(start.groupBy(F.col("unit").alias("up")))
+                        .applyInPandas(_descend, "unit long, fill double, closed long"), "buffer-starts")
 
     def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(okeys)
-        e = float(pdf["_entry"].iloc[0]) if len(pdf) else 0.0
-        off = int(pdf["_offset"].iloc[0]) if len(pdf) else 0
-        sizes = pdf["_sz"].to_numpy()
-        out = np.empty(len(sizes), dtype=np.int64)
-        cur, bid = e, off
-        for i, sz in enumerate(sizes):
-            out[i] = bid
-            cur += sz
-            if cur >= M:
-                bid += 1
-                cur = 0.0
-        pdf = pdf.assign(buffer_id=out)
-        return pdf.drop(columns=["_entry", "_offset", "_sz", "_bk"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + ", buffer_id long"
-    return b.groupBy("_bk").applyInPandas(assign, schema)
+        pdf = pdf.sort_values(keys)
+        p = np.cumsum(pdf["_sz"].fillna(0).to_numpy(), dtype=np.float64)
+        number = np.zeros(len(p) + 1, np.int64)
+        at = int(np.searchsorted(p, limit - float(pdf["fill"].iloc[0]), side="left"))
+        while at < len(p):  # one step for each buffer that closes
+            number[at + 1] += 1
+            at = int(np.searchsorted(p, p[at] + limit, side="left"))
+        return pdf[keys].assign(buffer_id=int(pdf["closed"].iloc[0]) + np.cumsum(number)[:-1])
+
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", buffer_id long"
+    return rows.join(start, rows["_unit"] == start["unit"]).select(*keys, "_sz", "_unit", "fill", "closed").groupBy("_unit").applyInPandas(assign, schema)
+
+
+def shuffle_pieces(pieces: DataFrame, seed: int, group_cols: Sequence[str] = ("buffer_id",), piece: str = "piece_id") -> DataFrame:
+    """Finished pieces in a seeded order inside their buffer; ``piece`` becomes the new position."""
+    key = F.concat_ws(":", *group_cols, piece)
+    w = Window.partitionBy(*group_cols).orderBy(draw(key, seed), piece)
+    return pieces.withColumn(piece, (F.row_number().over(w) - 1).cast("long"))
 
 
 def pack_buffered(
@@ -220,9 +225,12 @@ def pack_buffered(
     chars_per_token: float = 3.6,
     text_len: Column | None = None,
     concat_token_id: int | None = 0,
+    shuffle_seed: int | None = None,
 ) -> DataFrame:
     """Pack per buffer: tails are dropped once per buffer, as in the reference.
 
+    With ``shuffle_seed`` a buffer's texts, and then its finished pieces, come in a seeded order.
+
     Buffers are measured in characters (``text_len``) or, for pre-tokenised
     input (``text_len=None``), in tokens.
     """
@@ -232,5 +240,10 @@ def pack_buffered(
     else:
         M = seq_length * chars_per_token * num_of_sequences
         size = text_len
-    withb = buffer_ids(df, size, order, M)
-    return pack_constant_length(withb, ids, order, seq_length, concat_token_id, group_cols=["buffer_id"])
+    withb = df.select(*order, ids).join(buffer_ids(df, size, order, M), list(order))
+    if shuffle_seed is None:
+        return pack_constant_length(withb, ids, order, seq_length, concat_token_id, group_cols=["buffer_id"])
+    # the buffer's texts in a seeded order, cut, and the pieces in another
+    mixed = withb.withColumn("_draw", draw(F.concat_ws(":", *order), shuffle_seed))
+    pieces = pack_constant_length(mixed, ids, ["_draw", *order], seq_length, concat_token_id, group_cols=["buffer_id"])
+    return shuffle_pieces(pieces, shuffle_seed)

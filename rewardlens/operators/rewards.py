@@ -29,22 +29,16 @@ def weights_check(reward_cols: Sequence[str], weights: Sequence[float] | None) -
     if weights is None:
         return [1.0] * len(reward_cols)
     if len(weights) != len(reward_cols):
-        raise ValueError(
-            f"Number of reward weights ({len(weights)}) must match number of reward functions ({len(reward_cols)})"
-        )
+        raise ValueError(f"{len(weights)} weights for {len(reward_cols)} reward columns")
     return [float(w) for w in weights]
 
 
-def exact_div(a: int, b: int, msg: str = "") -> int:
-    q = a // b
-    if a != q * b:
-        raise ValueError(f"{msg}, inexact division: {a} / {b} = {a / b}")
-    return q
-
-
-def valid_group_sizes(global_batch: int) -> list[int]:
-    """Group sizes (>= 2) that divide the global batch."""
-    return [n for n in range(2, global_batch + 1) if global_batch % n == 0]
+def uneven_batches(df: DataFrame, batch_col: str, num_generations: int = DEFAULT_NUM_GENERATIONS) -> DataFrame:
+    """``(batch, rows, left_over)``: batches that do not hold whole groups of ``num_generations`` rows."""
+    if num_generations < 2:
+        raise ValueError("num_generations must be at least 2")
+    rows = df.groupBy(batch_col).agg(F.count(F.lit(1)).alias("rows"))
+    return rows.withColumn("left_over", F.col("rows") % num_generations).filter("left_over > 0")
 
 
 def weighted_reward(df: DataFrame, reward_cols: Sequence[str], weights: Sequence[float] | None = None, out: str = "reward") -> DataFrame:
@@ -209,11 +203,12 @@ def filter_milestones(df: DataFrame, total_steps: int, step_col: str = "step") -
     return df.filter(F.col(step_col).isin(milestone_steps(total_steps)))
 
 
-def metric_average(log: DataFrame, mode_col: str = "mode", key_col: str = "key", value_col: str = "value") -> DataFrame:
-    """Mean per (mode, key); keys get an ``eval_`` prefix in eval mode."""
-    agg = log.groupBy(mode_col, key_col).agg(F.avg(F.col(value_col).cast("double")).alias("value"))
+def metric_average(log: DataFrame, mode_col: str = "mode", key_col: str = "key", value_col: str = "value", step: str | None = None) -> DataFrame:
+    """Mean per (mode, key), and per ``step`` when one is named; keys get an ``eval_`` prefix in eval mode."""
+    steps = [step] if step else []
+    agg = log.groupBy(mode_col, *steps, key_col).agg(F.avg(F.col(value_col).cast("double")).alias("value"))
     return agg.select(
-        F.col(mode_col).alias("mode"),
+        F.col(mode_col).alias("mode"), *steps,
         F.when(F.col(mode_col) == "eval", F.concat(F.lit("eval_"), F.col(key_col))).otherwise(F.col(key_col)).alias("key"),
         "value",
     )

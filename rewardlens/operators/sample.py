@@ -1,9 +1,9 @@
 """Repeatable sampling, shuffling and generation expansion.
 
-Randomness is a seeded bijection of an integer key, computed per row:
-``(key * A + seed) mod P`` with P = 2^31 - 1 prime and A invertible mod P.
-It is a permutation of keys below P, identical on every retry and every
-partitioning (``rand()`` is not), and portable to plain SQL.
+Randomness is a digest of seed and key, computed per row: the first 60 bits of
+``md5(seed:key)``. Rows are ordered by it, then by the key, so any key type and
+size gives a total order, another seed gives an unrelated one, and retries and
+re-partitioning give the same (``rand()`` does not). Plain SQL can repeat it.
 """
 
 from __future__ import annotations
@@ -14,26 +14,24 @@ from pyspark.sql import functions as F
 from rewardlens.functions.common import as_col
 from rewardlens.plans.ordinal import running
 
-# Fixed parameters of the permutation.
-PERM_MULT = 1103515245
-PERM_MOD = 2147483647
+DIGEST_BITS = 60
 
 
-def perm_key(key, seed: int = 0) -> Column:
-    """Seeded permutation position of an integer key in [0, 2^31 - 1)."""
-    k = as_col(key).cast("long")
-    return ((k * F.lit(PERM_MULT) + F.lit(seed)) % F.lit(PERM_MOD)).cast("long")
+def draw(key, seed: int = 0) -> Column:
+    """60 random bits of (seed, key) as a non-negative long."""
+    text = F.concat(F.lit(f"{seed}:"), F.coalesce(as_col(key).cast("string"), F.lit("")))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
 def random_score(key, seed: int = 0) -> Column:
     """Uniform [0, 1) placeholder reward from (seed, key)."""
-    return perm_key(key, seed).cast("double") / F.lit(float(PERM_MOD))
+    return draw(key, seed).cast("double") / F.lit(float(1 << DIGEST_BITS))
 
 
 def shuffle_rows(df: DataFrame, key: str, seed: int = 0, out: str = "ordinal") -> DataFrame:
-    """Dense 0-based position of every row in the seeded permutation."""
-    s = df.withColumn("_pk", perm_key(key, seed))
-    return running(s, ["_pk"], out=out).drop("_pk")
+    """Dense 0-based position of every row in the seeded order; equal digests go by the key."""
+    s = df.withColumn("_draw", draw(key, seed))
+    return running(s, ["_draw", key], out=out).drop("_draw")
 
 
 def repeat_sampler(df: DataFrame, key: str, mini_repeat_count: int, batch_size: int = 1, repeat_count: int = 1, seed: int = 0) -> DataFrame:

@@ -113,39 +113,67 @@ def batch_moments(df: DataFrame, value: str, batch: str | None = None, mask: str
         return df.groupBy(*keys).agg(F.count(x).alias("count"), F.avg(x).alias("mean"), F.var_pop(x).alias("var"))
     m = F.col(mask).cast("double")
     s = df.groupBy(*keys).agg(F.sum(m).alias("count"), F.sum(x if compat else x * m).alias("_sx"))
-    s = s.withColumn("mean", F.col("_sx") / F.col("count"))
-    dev = df.join(s.select(*keys, "mean"), keys, "inner") if keys else df.crossJoin(F.broadcast(s.select("mean")))
-    d = dev.groupBy(*keys).agg(F.sum(F.pow(x - F.col("mean"), 2) * m).alias("_ss"))
-    out = s.join(d, keys, "inner") if keys else s.crossJoin(d)
-    return out.select(*keys, "count", "mean", (F.col("_ss") / F.col("count")).alias("var"))
+    s = s.withColumn("mean", F.try_divide("_sx", "count"))
+    means = s.select(*[F.col(k).alias(f"_{k}") for k in keys], "mean")
+    dev = df.join(means, F.col(keys[0]).eqNullSafe(F.col(f"_{keys[0]}"))) if keys else df.crossJoin(F.broadcast(means))
+    d = dev.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.sum(F.pow(x - F.col("mean"), 2) * m).alias("_ss"))
+    out = s.join(d, F.col(keys[0]).eqNullSafe(F.col(f"_{keys[0]}"))) if keys else s.crossJoin(d)
+    return out.select(*keys, "count", "mean", F.try_divide("_ss", "count").alias("var"))
 
 
 def running_moments(df: DataFrame, value: str, batch: str) -> DataFrame:
     """Running mean / variance / unbiased std after each batch, plus each batch's own mean and std.
 
-    The merge the reference applies batch by batch equals a running sum of
-    per-batch count, sum and sum of squares (its start state -- count 1e-24,
-    mean 0, variance 1 -- is one more pseudo batch). Per-batch aggregates are
-    distributed; the running sums run over the reduced batch table with
-    bucketed offsets (no single-partition window over rows).
+    Count, mean and variance after a batch are those of all rows so far, plus
+    a start state of count 1e-24, mean 0 and variance 1. They come from running
+    sums of deviations from one anchor, the mean over all rows, so values that
+    are large next to their spread lose no digits. Per-batch aggregates are
+    distributed; the running sums run over the reduced batch table.
     """
+    per = batch_table(df, value, batch)
+    anchor = per.agg(F.coalesce(F.sum(F.col("n") * F.col("bmean")) / F.sum("n"), F.lit(0.0)).alias("anchor"))
+    per = per.crossJoin(F.broadcast(anchor))  # one row
+    acc = running(per, [batch], value=deviation_sums(), inclusive=True)
+    start = F.lit(MOMENTS_INIT_COUNT)
+    return acc.select(batch, *merged_moments(
+        start, start * (0 - F.col("anchor")), start * (F.lit(MOMENTS_INIT_VAR) + F.col("anchor") * F.col("anchor"))))
+
+
+def batch_table(df: DataFrame, value: str, batch: str) -> DataFrame:
+    """``(batch, n, bmean, bvar)``; batches without a value have n = 0 and null moments."""
     x = F.col(value).cast("double")
-    per = df.groupBy(batch).agg(F.count(x).cast("double").alias("n"), F.avg(x).alias("bmean"), F.var_pop(x).alias("bvar"))
-    per = per.withColumn("_sx", F.col("n") * F.col("bmean")).withColumn("_sq", F.col("n") * F.col("bvar") + F.col("n") * F.col("bmean") * F.col("bmean"))
-    acc = running(per, [batch], value={"cn": F.col("n"), "csx": F.col("_sx"), "csq": F.col("_sq")}, inclusive=True)
-    c0 = F.lit(MOMENTS_INIT_COUNT)
-    cnt = c0 + F.col("cn")
-    mean = F.col("csx") / cnt
-    m2 = c0 * F.lit(MOMENTS_INIT_VAR) + F.col("csq") - cnt * mean * mean
-    var = m2 / cnt
-    return acc.select(
-        batch,
+    return df.groupBy(batch).agg(F.count(x).cast("double").alias("n"), F.avg(x).alias("bmean"), F.var_pop(x).alias("bvar"))
+
+
+def deviation_sums() -> dict[str, Column]:
+    """Per batch: count, sum and sum of squares of the deviations from ``anchor``."""
+    d = F.col("bmean") - F.col("anchor")
+    zero = F.lit(0.0)
+    return {"cn": F.col("n"), "csd": F.coalesce(F.col("n") * d, zero), "csq": F.coalesce(F.col("n") * (F.col("bvar") + d * d), zero)}
+
+
+def merged_moments(n0: Column, sd0: Column, sq0: Column) -> list[Column]:
+    """Output columns from running ``cn, csd, csq`` around ``anchor`` and what went before (``n0, sd0, sq0``)."""
+    cnt = n0 + F.col("cn")
+    shift = (sd0 + F.col("csd")) / cnt
+    var = (sq0 + F.col("csq")) / cnt - shift * shift
+    return [
         F.col("bmean").alias("batch_mean"),
         F.sqrt(F.try_divide(F.col("bvar") * F.col("n"), F.col("n") - 1)).alias("batch_std"),
-        mean.alias("mean"), var.alias("var"),
+        (F.col("anchor") + shift).alias("mean"), var.alias("var"),
         F.sqrt(F.try_divide(var * cnt, cnt - 1)).alias("std"),
         cnt.alias("count"),
-    )
+    ]
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on ``keys`` in which a null key meets the null key; the left side's keys stay."""
+    r = right.select(*[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns])
+    on = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
+    cond = on[0]
+    for c in on[1:]:
+        cond = cond & c
+    return left.join(r, cond).drop(*[f"_r_{k}" for k in keys])
 
 
 def _tracker_buffers(df: DataFrame, prompt: str, reward: str, batch: str, order: Sequence[str], k: int, state: DataFrame | None) -> DataFrame:
@@ -159,7 +187,7 @@ def _tracker_buffers(df: DataFrame, prompt: str, reward: str, batch: str, order:
         F.transform(F.array_sort(F.collect_list(F.struct(*[F.col(o) for o in order], F.col(reward).cast("double").alias("_r")))), lambda s: s["_r"]).alias("_last")
     )
     cnt = df.groupBy(prompt, batch).agg(F.count(F.lit(1)).alias("_n"))
-    pb = pb.join(cnt, [prompt, batch]).withColumn("_bo", F.lit(1))
+    pb = null_safe_join(pb, cnt, [prompt, batch]).withColumn("_bo", F.lit(1))
     if state is not None:
         seed = state.select(prompt, F.lit(None).cast(dict(df.dtypes)[batch]).alias(batch),
                             F.col("last").cast("array<double>").alias("_last"), F.col("count").cast("long").alias("_n"), F.lit(0).alias("_bo"))
@@ -187,7 +215,7 @@ def prompt_tracker(df: DataFrame, prompt: str, reward: str, batch: str, order: S
     pb = pb.withColumn("_pm", F.aggregate("_buf", F.lit(0.0), lambda a, x: a + x) / n)
     pb = pb.withColumn("_ps", F.sqrt(F.aggregate("_buf", F.lit(0.0), lambda a, x: a + (x - F.col("_pm")) * (x - F.col("_pm"))) / n))
     bstats = df.groupBy(batch).agg(F.avg(F.col(reward).cast("double")).alias("_bm"), F.stddev_pop(F.col(reward).cast("double")).alias("_bs"))
-    j = df.join(pb.select(prompt, batch, "_len", "_pm", "_ps"), [prompt, batch]).join(bstats, [batch])
+    j = null_safe_join(null_safe_join(df, pb.select(prompt, batch, "_len", "_pm", "_ps"), [prompt, batch]), bstats, [batch])
     cold = F.col("_len") < min_count
     mean = F.when(cold, F.col("_bm")).otherwise(F.col("_pm"))
     std = F.when(cold, F.col("_bs")).otherwise(F.col("_ps")) + F.lit(eps)

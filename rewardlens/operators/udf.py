@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rewardlens.operators.rewards import weighted_reward, weights_check
+from rewardlens.session import ship_package
 
 WS = re.compile(r"[ \t\n\x0b\f\r]+")
 
@@ -26,14 +27,15 @@ def apply_rewards(df: DataFrame, funcs: dict[str, RewardFn], weights: Sequence[f
                   completion: str = "completion", out: str = "reward") -> DataFrame:
     """Add ``reward_<name>`` per function and their weighted sum.
 
-    Callables receive (prompt, completion, *other columns) as Columns -- the
-    reference forwards every column but prompt and completion.
+    Callables are called as ``fn(prompt, completion, **columns)`` with Columns:
+    every other column comes under its own name, so a function names the ones it
+    reads and takes the rest as ``**_``.
     """
     weights_check(list(funcs), weights)
-    extra = [F.col(c) for c in df.columns if c not in (prompt, completion)]
+    extra = {c: F.col(c) for c in df.columns if c not in (prompt, completion)}
     cols = {}
     for name, fn in funcs.items():
-        cols[f"reward_{name}"] = fn if isinstance(fn, Column) else fn(F.col(prompt), F.col(completion), *extra)
+        cols[f"reward_{name}"] = fn if isinstance(fn, Column) else fn(F.col(prompt), F.col(completion), **extra)
     res = df.withColumns(cols)
     return weighted_reward(res, list(cols), weights, out)
 
@@ -51,12 +53,10 @@ class LexicalDiversityScorer:
         self.split = WS.split
 
     def score(self, texts: pd.Series) -> pd.Series:
-        def one(t):
-            if t is None:
-                return None
-            toks = [x for x in self.split(t) if x]
-            return len(set(toks)) / len(toks) if toks else None
-        return texts.map(one).astype("float64")
+        tokens = texts.fillna("").str.strip(" \t\n\x0b\f\r").str.split(WS, regex=True).explode()
+        tokens = tokens[tokens.notna() & (tokens != "")]
+        by = tokens.groupby(level=0)
+        return (by.nunique() / by.size()).reindex(texts.index).astype("float64")
 
 
 def model_scorer(factory: Callable[[], object] = LexicalDiversityScorer):
@@ -76,8 +76,7 @@ def formatting_udf(template: str, fields: Sequence[str]):
 
     @F.pandas_udf(T.StringType())
     def fmt(*cols: pd.Series) -> pd.Series:
-        frame = pd.concat(cols, axis=1, keys=list(fields))
-        return frame.apply(lambda r: template.format(**r.to_dict()), axis=1)
+        return pd.Series([template.format(**dict(zip(fields, row))) for row in zip(*cols)], index=cols[0].index)
 
     return fmt
 
@@ -85,6 +84,8 @@ def formatting_udf(template: str, fields: Sequence[str]):
 def map_batched(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str | T.StructType) -> DataFrame:
     """``Dataset.map(fn, batched=True)``: ``fn`` over pandas batches of each partition."""
 
+    ship_package(df.sparkSession)
+
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             yield fn(pdf)

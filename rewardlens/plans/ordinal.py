@@ -1,17 +1,19 @@
 """Global ordinals and prefix sums without a global window.
 
 A window with an ``ORDER BY`` and no ``PARTITION BY`` moves every row into a
-single task. Here the order is cut into buckets by a column that never
-decreases along the order (by default: approximate quantiles of the first
-order column, so buckets hold about equal row counts). Then:
-
-1. per-bucket totals -- a reduced table of at most ``n_buckets`` rows;
-2. exclusive running total of the bucket totals on that small table;
-3. broadcast of the offsets (size bounded by ``n_buckets``, not by the data);
-4. a window *partitioned by bucket* for the running value inside each bucket.
-
-Bucket assignment is a pure function of the row, never of partition ids, so
-a retried task recomputes the same answer.
+single task. Here the rows are range-partitioned by the *whole* order tuple, so
+rows that tie in its first column are dealt to several buckets too, and written
+with their bucket number to the shared scratch folder. Then:
+
+1. per-bucket totals -- one row for each bucket;
+2. an exclusive running total of these on that small table;
+3. a window *partitioned by bucket* for the running value inside each bucket;
+4. an ordinary join of the offsets (Spark broadcasts them when they are small).
+
+The number of buckets grows with the square root of the row count, and so do the
+rows of a bucket and the table of offsets. What is written is fixed: a retried
+task reads the same buckets again. Callers pass keys and values only and join
+the result to their payload.
 """
 
 from __future__ import annotations
@@ -23,99 +25,58 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rewardlens.functions.common import as_col
+from rewardlens.session import scratch_path
 
 
-def default_buckets(df: DataFrame) -> int:
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(16, min(n, 20000))
-
-
-def _numeric(df: DataFrame, col: str) -> Column:
-    dt = dict(df.dtypes)[col]
-    if dt.startswith("timestamp"):
-        return F.unix_micros(F.col(col).cast("timestamp")).cast("double")
-    if dt == "date":
-        return F.unix_date(F.col(col)).cast("double")
-    return F.col(col).cast("double")
-
-
-def quantile_bucket(df: DataFrame, col: str, n_buckets: int | None = None, rel_err: float = 1e-3) -> Column:
-    """Bucket id from approximate quantiles of a numeric / temporal column.
-
-    Only ``n_buckets`` split points reach the driver. The id counts the split
-    points at or below the value: monotone in the value, so ordering is kept.
-    """
-    nb = n_buckets or default_buckets(df)
-    probs = [i / nb for i in range(1, nb)]
-    v = _numeric(df, col)
-    qs = df.select(v.alias("_q")).approxQuantile("_q", probs, rel_err)
-    splits = sorted(set(x for x in qs if x is not None))
-    if not splits:
-        return F.lit(0)
-    return count_at_or_below(splits, v)
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared scratch folder: later jobs read files instead of the lineage."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def count_at_or_below(splits: list[float], v: Column) -> Column:
-    """Number of sorted ``splits`` <= ``v``: a binary search unrolled into one ``aggregate``."""
-    arr = F.array(*[F.lit(float(s)) for s in splits])
-    n = len(splits)
-    steps = F.sequence(F.lit(1), F.lit(max(1, math.ceil(math.log2(n + 1)) + 1)))
+def bucket_count(rows: int) -> int:
+    """Buckets for ``rows`` rows: 16 at a hundred thousand, 1600 at a thousand million."""
+    return max(1, math.ceil(math.sqrt(rows) / 20))
 
-    def step(st, _):
-        lo, hi = st["lo"], st["hi"]
-        mid = ((lo + hi + 1) / 2).cast("int")
-        ok = (mid > 0) & (F.get(arr, mid - 1) <= v)
-        go = lo < hi
-        return F.struct(F.when(go & ok, mid).otherwise(lo).alias("lo"),
-                        F.when(go & ~ok, mid - 1).otherwise(hi).alias("hi"))
 
-    return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.lit(n).alias("hi")), step, lambda st: st["lo"])
+def range_buckets(df: DataFrame, order: Sequence[Column], name: str = "bucket") -> DataFrame:
+    """``df`` as a written table with a bucket number that never decreases along ``order``."""
+    keyed = written(df, "unordered")
+    n = bucket_count(keyed.count())  # from the files' row counts
+    return written(keyed.repartitionByRange(n, *order).withColumn(name, F.spark_partition_id()), "ordered")
 
 
 def running(
     df: DataFrame,
     order_cols: Sequence[str | Column],
     value: Column | dict[str, Column] | None = None,
-    bucket: Column | Sequence[Column] | None = None,
     out: str = "ordinal",
     inclusive: bool = False,
-    n_buckets: int | None = None,
 ) -> DataFrame:
     """Add running totals over the total order ``order_cols``.
 
     ``value=None`` counts rows into ``out``, giving a dense 0-based ordinal
     (``inclusive`` False) -- the order must be total (unique) for a
     deterministic result. ``value`` may be a dict ``{out_name: Column}`` to
-    compute several running totals in one pass. ``bucket`` must not decrease
-    along the order; default: quantile buckets of the first order column.
+    compute several running totals in one pass.
     """
     order = [as_col(c) for c in order_cols]
-    if bucket is None:
-        first = order_cols[0]
-        if not isinstance(first, str):
-            raise ValueError("give a bucket column when the first order column is an expression")
-        bucket = [quantile_bucket(df, first, n_buckets)]
-    elif isinstance(bucket, Column):
-        bucket = [bucket]
     if value is None:
         values = {out: F.lit(1).cast("long")}
     elif isinstance(value, Column):
         values = {out: value}
     else:
         values = dict(value)
-    bcols = [f"_b{i}" for i in range(len(bucket))]
     vcols = {o: f"_v{i}" for i, o in enumerate(values)}
-    b = df.withColumns({**{n: c for n, c in zip(bcols, bucket)}, **{vcols[o]: c for o, c in values.items()}})
+    b = range_buckets(df.withColumns({vcols[o]: c for o, c in values.items()}), order, "_bucket")
 
-    totals = b.groupBy(*bcols).agg(*[F.sum(v).alias(f"_t{v}") for v in vcols.values()])
-    w_all = Window.orderBy(*bcols).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*bcols, *[
-        F.coalesce(F.sum(f"_t{v}").over(w_all), F.lit(0)).alias(f"_o{v}") for v in vcols.values()
-    ])
+    totals = b.groupBy("_bucket").agg(*[F.sum(v).alias(f"_t{v}") for v in vcols.values()])
+    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_bucket", *[F.coalesce(F.sum(f"_t{v}").over(before), F.lit(0)).alias(f"_o{v}") for v in vcols.values()])
 
-    w_in = Window.partitionBy(*bcols).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    res = b.join(F.broadcast(offsets), on=bcols, how="inner")
+    w_in = Window.partitionBy("_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    res = b.withColumns({f"_w{v}": F.sum(v).over(w_in) for v in vcols.values()}).join(offsets, "_bucket")
     for o, v in vcols.items():
-        within = F.sum(v).over(w_in)
-        res = res.withColumn(o, F.col(f"_o{v}") + within - (F.lit(0) if inclusive else F.col(v)))
-    return res.drop(*bcols, *vcols.values(), *[f"_o{v}" for v in vcols.values()])
+        res = res.withColumn(o, F.col(f"_o{v}") + F.col(f"_w{v}") - (F.lit(0) if inclusive else F.col(v)))
+    return res.drop("_bucket", *[p + v for v in vcols.values() for p in ("", "_o", "_w")])

@@ -9,10 +9,10 @@ from rewardlens.operators import rewards as R
 from rewardlens.operators import stats as ST
 from rewardlens.plans import fixtures as V
 from rewardlens.plans.catalog import query
-from rewardlens.plans.ordinal import running
+from rewardlens.plans.q_stats import SQL_SCORE_HISTOGRAM, long_scores
 from rewardlens.session import scratch_path
 from rewardlens.sources import sinks as K
-from rewardlens.sources.tables import read_preference, read_table
+from rewardlens.sources.tables import read_preference, read_table, split_head
 
 
 @query("src_preference", f"""
@@ -35,10 +35,7 @@ SELECT o_orderkey, o_custkey, o_totalprice FROM o
 WHERE ord < (SELECT CAST(round_even(count(*) * {PCT} / 100.0, 0) AS BIGINT) FROM orders)""")
 def q_src_split_head(spark, sf):
     o = read_table(spark, sf, "orders", ["o_orderkey", "o_custkey", "o_totalprice"])
-    n = o.count()
-    k = int(round(n * PCT / 100.0))  # Python rounds half to even, as the split syntax does
-    r = running(o, ["o_orderkey"], out="_ord")
-    return r.filter(F.col("_ord") < k).drop("_ord")
+    return split_head(o, "o_orderkey", PCT)
 
 
 @query("src_take", """SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 501""")
@@ -63,16 +60,20 @@ def q_sink_score_log(spark, sf):
 
 
 @query("sink_json_report", f"""
-SELECT round(avg(chosen_score), 6) AS average_chosen_score, round(avg(rejected_score), 6) AS average_rejected_score,
-       round(avg(list_sum(generated_scores) / len(generated_scores)), 6) AS average_generated_score FROM ({V.SQL_SCORED})""")
+SELECT 'average_chosen_score' AS entry, CAST(NULL AS BIGINT) AS bin, round(avg(chosen_score), 6) AS value FROM ({V.SQL_SCORED})
+UNION ALL SELECT 'average_rejected_score', NULL, round(avg(rejected_score), 6) FROM ({V.SQL_SCORED})
+UNION ALL SELECT 'average_generated_score', NULL, round(avg(list_sum(generated_scores) / len(generated_scores)), 6) FROM ({V.SQL_SCORED})
+UNION ALL SELECT 'histogram_' || series, bin, CAST(count AS DOUBLE) FROM ({SQL_SCORE_HISTOGRAM})""")
 def q_sink_json_report(spark, sf):
-    from pyspark.sql import types as T
+    """Averages and the inputs of the three histograms, as one JSON line for each entry."""
     rep = ST.score_averages(V.scored(spark, sf))
+    lines = rep.select(F.explode(F.array(*[F.struct(F.lit(c).alias("entry"), F.lit(None).cast("long").alias("bin"), F.col(c).alias("value")) for c in rep.columns])).alias("l")).select("l.*")
+    hist = ST.score_histogram(long_scores(spark, sf)).select(
+        F.concat(F.lit("histogram_"), "series").alias("entry"), F.col("bin").cast("long").alias("bin"), F.col("count").cast("double").alias("value"))
     path = scratch_path(spark, "report")
-    rep.write.mode("overwrite").json(path)
-    schema = T.StructType([T.StructField(c, T.DoubleType()) for c in rep.columns])
-    back = spark.read.schema(schema).json(path)
-    return back.select(*[round6(c).alias(c) for c in back.columns])
+    lines.unionByName(hist).write.json(path)
+    back = spark.read.schema("entry string, bin long, value double").json(path)
+    return back.select("entry", "bin", round6("value").alias("value"))
 
 
 ORACLE_SINK_COMPLETION = """
@@ -89,24 +90,23 @@ def q_sink_completion_log(spark, sf):
     return spark.read.parquet(path)
 
 
+LOG_EVERY = 100
+
+
 @query("sink_metrics", f"""
-SELECT mode, CASE WHEN mode = 'eval' THEN 'eval_' || key ELSE key END AS key, round(avg(value), 6) AS value
-FROM ({V.SQL_METRIC_LOG}) GROUP BY mode, key""")
+SELECT mode, step // {LOG_EVERY} * {LOG_EVERY} AS step, CASE WHEN mode = 'eval' THEN 'eval_' || key ELSE key END AS key, round(avg(value), 6) AS value
+FROM ({V.SQL_METRIC_LOG}) GROUP BY ALL""")
 def q_sink_metrics(spark, sf):
-    m = R.metric_average(V.metric_log(spark, sf))
+    log = V.metric_log(spark, sf).withColumn("step", (F.col("step") / LOG_EVERY).cast("long") * LOG_EVERY)
     path = scratch_path(spark, "metrics")
-    K.append_parquet(m, path)
+    K.append_parquet(R.metric_average(log, step="step"), path)
     back = spark.read.parquet(path)
-    return back.select("mode", "key", round6("value").alias("value"))
+    return back.select("mode", "step", "key", round6("value").alias("value"))
 
 
 @query("state_save_load", f"""
-WITH p AS (SELECT batch_id, CAST(count(reward) AS DOUBLE) AS n, avg(reward) AS bmean, var_pop(reward) AS bvar
-           FROM ({V.SQL_BATCHES}) GROUP BY batch_id),
-t AS (SELECT 1e-24 + sum(n) AS cnt, sum(n * bmean) AS csx, sum(n * bvar + n * bmean * bmean) AS csq FROM p),
-d AS (SELECT cnt, csx / cnt AS mean, csq FROM t),
-e AS (SELECT cnt, mean, (1e-24 * 1.0 + csq - cnt * mean * mean) / cnt AS var FROM d)
-SELECT round(cnt, 6) AS count, round(mean, 6) AS mean, round(sqrt(var * cnt / (cnt - 1)), 6) AS std, round(var, 6) AS var FROM e""")
+SELECT CAST(count(reward) AS DOUBLE) AS count, round(avg(reward), 6) AS mean, round(stddev_samp(reward), 6) AS std,
+       round(var_pop(reward), 6) AS var FROM ({V.SQL_BATCHES})""")
 def q_state_save_load(spark, sf):
     rm = ST.running_moments(V.batches(spark, sf), "reward", "batch_id")
     last = rm.orderBy(F.col("batch_id").desc()).limit(1).select("count", "mean", "std", "var")

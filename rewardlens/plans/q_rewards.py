@@ -192,3 +192,9 @@ def q_join_rewards(spark, sf):
     ])).alias("x")).select(*FULL_KEYS, "x.func", "x.reward")
     wide = R.join_rewards_long(long, FULL_KEYS, RCOLS)
     return wide.select(*KEYS, *[round6(c).alias(c) for c in RCOLS])
+
+
+@query("uneven_batches", f"""
+SELECT batch_id, count(*) AS rows, count(*) % 4 AS left_over FROM ({V.SQL_BATCHES}) GROUP BY batch_id HAVING count(*) % 4 > 0""")
+def q_uneven_batches(spark, sf):
+    return R.uneven_batches(V.batches(spark, sf), "batch_id", 4)

@@ -11,7 +11,8 @@ from rewardlens.plans.catalog import query
 from rewardlens.sources.tables import read_table
 
 SEED = 42
-PK = f"((o_orderkey * {SM.PERM_MULT} + {SEED}) % {SM.PERM_MOD})"
+DRAW = f"('0x' || substr(md5('{SEED}:' || CAST(o_orderkey AS VARCHAR)), 1, 15))::BIGINT"
+PK = f"{DRAW}, o_orderkey"
 
 
 def _sql_sampler(mini: int, B: int, rep: int) -> str:
@@ -48,7 +49,7 @@ def q_shuffle_rows(spark, sf):
     return SM.shuffle_rows(_orders(spark, sf), "o_orderkey", SEED)
 
 
-@query("random_score", f"SELECT o_orderkey, round(CAST({PK} AS DOUBLE) / {SM.PERM_MOD}.0, 6) AS score FROM orders")
+@query("random_score", f"SELECT o_orderkey, round(CAST({DRAW} AS DOUBLE) / {float(1 << SM.DIGEST_BITS)!r}, 6) AS score FROM orders")
 def q_random_score(spark, sf):
     o = _orders(spark, sf)
     return o.select("o_orderkey", round6(SM.random_score("o_orderkey", SEED)).alias("score"))

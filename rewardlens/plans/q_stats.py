@@ -57,7 +57,7 @@ def q_score_range(spark, sf):
     return _r(ST.score_range(long_scores(spark, sf)))
 
 
-@query("score_histogram", f"""
+SQL_SCORE_HISTOGRAM = f"""
 WITH l AS ({SQL_LONG_SCORES}),
 r AS (SELECT CASE WHEN min(score) = max(score) THEN min(score) - 0.5 ELSE min(score) END AS lo,
              CASE WHEN min(score) = max(score) THEN max(score) + 0.5 ELSE max(score) END AS hi FROM l),
@@ -66,7 +66,10 @@ a AS (SELECT series, score AS x, lo, hi, (hi - lo) / 50.0 AS step,
 b AS (SELECT *, CASE WHEN x < (CASE WHEN i0 = 50 THEN hi ELSE 0.0 + i0 * step + lo END) THEN i0 - 1 ELSE i0 END AS i1 FROM a),
 c AS (SELECT *, CASE WHEN x >= (CASE WHEN i1 + 1 = 50 THEN hi ELSE 0.0 + (i1 + 1) * step + lo END) AND i1 <> 49
                      THEN i1 + 1 ELSE i1 END AS i2 FROM b)
-SELECT series, CAST(i2 AS BIGINT) AS bin, count(*) AS count FROM c GROUP BY series, i2""")
+SELECT series, CAST(i2 AS BIGINT) AS bin, count(*) AS count FROM c GROUP BY series, i2"""
+
+
+@query("score_histogram", SQL_SCORE_HISTOGRAM)
 def q_score_histogram(spark, sf):
     return ST.score_histogram(long_scores(spark, sf))
 
@@ -109,16 +112,33 @@ def q_batch_moments(spark, sf):
     return _r(ST.batch_moments(V.batches(spark, sf), "reward", "batch_id"))
 
 
+@query("batch_moments_masked", f"""
+WITH b AS (SELECT *, CAST(event_id % 3 <> 0 AS INTEGER) AS m FROM ({V.SQL_BATCHES}))
+SELECT batch_id, CAST(sum(m) AS DOUBLE) AS count, round(avg(reward) FILTER (WHERE m = 1), 6) AS mean,
+       round(var_pop(reward) FILTER (WHERE m = 1), 6) AS var FROM b GROUP BY batch_id""")
+def q_batch_moments_masked(spark, sf):
+    b = V.batches(spark, sf).withColumn("m", (F.col("event_id") % 3 != 0).cast("int"))
+    return _r(ST.batch_moments(b, "reward", "batch_id", mask="m"))
+
+
+@query("batch_moments_compat", f"""
+WITH b AS (SELECT *, CAST(event_id % 3 <> 0 AS INTEGER) AS m FROM ({V.SQL_BATCHES})),
+s AS (SELECT batch_id, CAST(sum(m) AS DOUBLE) AS n, sum(reward) / sum(m) AS mean FROM b GROUP BY batch_id)
+SELECT batch_id, any_value(n) AS count, round(any_value(mean), 6) AS mean, round(sum(m * (reward - mean) ** 2) / any_value(n), 6) AS var
+FROM b JOIN s USING (batch_id) GROUP BY batch_id""")
+def q_batch_moments_compat(spark, sf):
+    b = V.batches(spark, sf).withColumn("m", (F.col("event_id") % 3 != 0).cast("int"))
+    return _r(ST.batch_moments(b, "reward", "batch_id", mask="m", compat=True))
+
+
 SQL_RUNNING_MOMENTS = f"""
-WITH p AS (SELECT batch_id, CAST(count(reward) AS DOUBLE) AS n, avg(reward) AS bmean, var_pop(reward) AS bvar
-           FROM ({V.SQL_BATCHES}) GROUP BY batch_id),
-q AS (SELECT *, n * bmean AS sx, n * bvar + n * bmean * bmean AS sq FROM p),
-c AS (SELECT *, 1e-24 + sum(n) OVER w AS cnt, sum(sx) OVER w AS csx, sum(sq) OVER w AS csq FROM q
-      WINDOW w AS (ORDER BY batch_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
-d AS (SELECT *, csx / cnt AS mean FROM c),
-e AS (SELECT *, (1e-24 * 1.0 + csq - cnt * mean * mean) / cnt AS var FROM d)
-SELECT batch_id, round(bmean, 6) AS batch_mean, round(sqrt(bvar * n / (n - 1)), 6) AS batch_std, round(mean, 6) AS mean,
-       round(var, 6) AS var, round(sqrt(var * cnt / (cnt - 1)), 6) AS std, round(cnt, 6) AS count FROM e"""
+WITH b AS ({V.SQL_BATCHES}),
+o AS (SELECT batch_id, avg(reward) AS bm, stddev_samp(reward) AS bs FROM b GROUP BY batch_id),
+r AS (SELECT batch_id, avg(reward) OVER w AS mean, var_pop(reward) OVER w AS var, stddev_samp(reward) OVER w AS std,
+             CAST(count(reward) OVER w AS DOUBLE) AS count
+      FROM b WINDOW w AS (ORDER BY batch_id RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT DISTINCT batch_id, round(bm, 6) AS batch_mean, round(bs, 6) AS batch_std, round(mean, 6) AS mean,
+       round(var, 6) AS var, round(std, 6) AS std, count FROM r JOIN o USING (batch_id)"""
 
 
 @query("running_moments", SQL_RUNNING_MOMENTS)

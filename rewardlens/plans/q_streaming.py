@@ -1,6 +1,8 @@
 """Streaming queries: each runs a Structured Streaming job (availableNow) over
-the events file into a fresh folder under ``spark.checkpoint.dir`` and returns
-the sink read back. The oracle is the batch form's SQL."""
+the events into a fresh folder under ``spark.checkpoint.dir`` and returns the
+sink read back. Where state is kept, the events come as three files of whole
+days, one micro-batch each, so the state is carried. The oracle is the batch
+form's SQL."""
 
 from __future__ import annotations
 
@@ -22,8 +24,17 @@ def _events_stream(spark, sf):
     return J.file_stream(spark, sf, "events.parquet", schema)
 
 
+MICRO_BATCHES = 3
+
+
 def _batches_stream(spark, sf):
-    ev = _events_stream(spark, sf)
+    src = scratch_path(spark, "event-files")
+    ev = read_table(spark, sf, "events")
+    day = F.dayofmonth("ts")
+    for k in range(MICRO_BATCHES):  # the days of a month in three runs, written one after another
+        run = ev.filter(F.floor(day * MICRO_BATCHES / 32) == k)
+        run.coalesce(1).write.mode("append").parquet(src)
+    ev = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(src)
     return ev.select(F.dayofmonth("ts").alias("batch_id"), "ts", "event_id", F.col("user_id").alias("prompt"), F.col("value").alias("reward"))
 
 

@@ -16,6 +16,7 @@ from rewardlens.operators import tokens as T
 from rewardlens.plans import fixtures as V
 from rewardlens.plans import sqltext as S
 from rewardlens.plans.catalog import query
+from rewardlens.plans.ordinal import written
 from rewardlens.sources.tables import read_table
 
 # Fixed query parameters (token ids are vocabulary ranks of the documents corpus).
@@ -38,14 +39,21 @@ def sdig(col: str) -> str:
 
 
 SQL_IDS = f"""
-SELECT w.doc_id, list(CAST(v.token_id AS INTEGER) ORDER BY w.pos) AS ids
-FROM ({V.SQL_WORDS}) w JOIN ({V.SQL_VOCAB}) v USING (token) GROUP BY w.doc_id"""
+SELECT doc_id, coalesce(ids, CAST([] AS INTEGER[])) AS ids FROM documents LEFT JOIN (
+  SELECT w.doc_id, list(CAST(v.token_id AS INTEGER) ORDER BY w.pos) AS ids
+  FROM ({V.SQL_WORDS}) w JOIN ({V.SQL_VOCAB}) v USING (token) GROUP BY w.doc_id) USING (doc_id)"""
 
 
 def token_ids(spark, sf):
     w = V.words(spark, sf)
     vocab = T.build_vocab(w)
-    return T.encode(w, vocab, "doc_id").select("doc_id", F.col("input_ids").alias("ids"), (F.col("doc_id") / BATCH).cast("long").alias("batch_id"))
+    ids = T.encode(w, vocab, "doc_id", keys=read_table(spark, sf, "documents", ["doc_id"]))
+    return ids.select("doc_id", F.col("input_ids").alias("ids"), (F.col("doc_id") / BATCH).cast("long").alias("batch_id"))
+
+
+def token_table(spark, sf):
+    """The same, written once, for queries that read the sequences more than once."""
+    return written(token_ids(spark, sf), "token-ids")
 
 
 def _out(df, cols, keys=("doc_id",)):
@@ -76,12 +84,13 @@ def q_encode_fixed(spark, sf):
 
 
 @query("decode_tokens", f"""
-SELECT w.doc_id, string_agg(w.token, ' ' ORDER BY w.pos) AS text
-FROM ({V.SQL_WORDS}) w JOIN ({V.SQL_VOCAB}) v USING (token) WHERE v.token_id NOT IN ({BOS}, {EOS}) GROUP BY w.doc_id""")
+SELECT doc_id, coalesce(t, '') AS text FROM documents LEFT JOIN (
+  SELECT w.doc_id, string_agg(w.token, ' ' ORDER BY w.pos) AS t
+  FROM ({V.SQL_WORDS}) w JOIN ({V.SQL_VOCAB}) v USING (token) WHERE v.token_id NOT IN ({BOS}, {EOS}) GROUP BY w.doc_id) USING (doc_id)""")
 def q_decode_tokens(spark, sf):
     w = V.words(spark, sf)
     vocab = T.build_vocab(w)
-    ids = T.encode(w, vocab, "doc_id")
+    ids = written(T.encode(w, vocab, "doc_id", keys=read_table(spark, sf, "documents", ["doc_id"])), "token-ids")
     return T.decode(ids, vocab, "doc_id", "input_ids", SPECIAL)
 
 
@@ -142,11 +151,11 @@ SQL_LEFT = f"SELECT doc_id, batch_id, {_sql_pad('ids', 'w', PAD, 'left')} AS ids
 
 
 def right_padded(spark, sf):
-    return T.pad_batch(token_ids(spark, sf), {"ids": (PAD, "right")}, "batch_id")
+    return T.pad_batch(token_table(spark, sf), {"ids": (PAD, "right")}, "batch_id")
 
 
 def left_padded(spark, sf):
-    return T.pad_batch(token_ids(spark, sf), {"ids": (PAD, "left")}, "batch_id")
+    return T.pad_batch(token_table(spark, sf), {"ids": (PAD, "left")}, "batch_id")
 
 
 @query("pad_batch", f"SELECT {_sout(['ids'])} FROM ({SQL_LEFT})")
@@ -168,7 +177,7 @@ def q_pad_to_length(spark, sf):
 @query("pad_multiple_of", f"""
 SELECT {_sout(['ids'])} FROM (SELECT doc_id, {_sql_pad('ids', 'CAST(ceil(w / 64) * 64 AS BIGINT)', PAD, 'right')} AS ids FROM ({SQL_BATCHED}))""")
 def q_pad_multiple_of(spark, sf):
-    return _out(T.pad_batch(token_ids(spark, sf), {"ids": (PAD, "right")}, "batch_id", multiple_of=64), ["ids"])
+    return _out(T.pad_batch(token_table(spark, sf), {"ids": (PAD, "right")}, "batch_id", multiple_of=64), ["ids"])
 
 
 @query("attention_mask", f"""
@@ -319,7 +328,7 @@ g AS (SELECT x, row_number() OVER (ORDER BY doc_id, i) - 1 AS gp FROM e)"""
 SELECT gp // {PACK_LEN} AS piece_id, count(*) AS input_ids_size, CAST(sum((gp % {PACK_LEN} + 1) * (CAST(x AS BIGINT) + 128)) AS BIGINT) AS input_ids_digest
 FROM g WHERE gp // {PACK_LEN} < (SELECT count(*) FROM g) // {PACK_LEN} GROUP BY gp // {PACK_LEN}""")
 def q_pack_constant_length(spark, sf):
-    t = token_ids(spark, sf)
+    t = token_table(spark, sf)
     p = P.pack_constant_length(t, "ids", ["doc_id"], PACK_LEN, P.concat_token(EOS))
     return _out(p, ["input_ids"], keys=("piece_id",))
 
@@ -355,28 +364,33 @@ FROM g WHERE gp // {PACK_LEN} < n // {PACK_LEN} GROUP BY buffer_id, gp // {PACK_
 
 
 def _docs_with_ids(spark, sf):
-    t = token_ids(spark, sf)
-    d = read_table(spark, sf, "documents", ["doc_id", "text"])
-    return t.join(d, "doc_id")
+    d = read_table(spark, sf, "documents", ["doc_id", "text"]).select("doc_id", F.length("text").alias("n_text"))
+    return written(token_ids(spark, sf).join(d, "doc_id").drop("batch_id"), "token-ids")
 
 
 @query("pack_buffered", _sql_pack_buffered("doc_id"))
 def q_pack_buffered(spark, sf):
     t = _docs_with_ids(spark, sf)
-    p = P.pack_buffered(t.drop("batch_id"), "ids", ["doc_id"], PACK_LEN, BUF_SEQ, 3.6, text_len=F.length("text"), concat_token_id=EOS)
+    p = P.pack_buffered(t, "ids", ["doc_id"], PACK_LEN, BUF_SEQ, 3.6, text_len=F.col("n_text"), concat_token_id=EOS)
     return _out(p, ["input_ids"], keys=("buffer_id", "piece_id"))
 
 
 SEED = 42
 
 
-@query("pack_shuffle", _sql_pack_buffered(f"(doc_id * 1103515245 + {SEED}) % 2147483647"))
+def _sql_draw(key: str) -> str:
+    return f"('0x' || substr(md5('{SEED}:' || {key}), 1, 15))::BIGINT"
+
+
+_SQL_SHUFFLED = _sql_pack_buffered(f"{_sql_draw('CAST(doc_id AS VARCHAR)')}, doc_id")
+
+
+@query("pack_shuffle", f"""
+SELECT buffer_id, row_number() OVER (PARTITION BY buffer_id ORDER BY {_sql_draw("buffer_id || ':' || piece_id")}, piece_id) - 1 AS piece_id,
+       input_ids_size, input_ids_digest FROM ({_SQL_SHUFFLED})""")
 def q_pack_shuffle(spark, sf):
-    from rewardlens.operators.sample import perm_key
-    t = _docs_with_ids(spark, sf).drop("batch_id")
-    withb = P.buffer_ids(t, F.length("text"), ["doc_id"], BUF_M)
-    withb = withb.withColumn("_shuf", perm_key("doc_id", SEED))
-    p = P.pack_constant_length(withb, "ids", ["_shuf"], PACK_LEN, EOS, group_cols=["buffer_id"])
+    t = _docs_with_ids(spark, sf)
+    p = P.pack_buffered(t, "ids", ["doc_id"], PACK_LEN, BUF_SEQ, 3.6, text_len=F.col("n_text"), concat_token_id=EOS, shuffle_seed=SEED)
     return _out(p, ["input_ids"], keys=("buffer_id", "piece_id"))
 
 
@@ -441,13 +455,13 @@ def _pref_ids(spark, sf):
     from rewardlens.operators.collate import encode_text
     p = V.preference(spark, sf)
     vocab = conv_vocab(spark, sf)
-    texts = p.select("conv_id", render("prompt", add_generation_prompt=True).alias("prompt_text"),
-                     render("chosen").alias("chosen_text"), render("rejected").alias("rejected_text"))
-    out = texts.select("conv_id", (F.col("conv_id") / BATCH).cast("long").alias("batch_id"))
-    for k in ("prompt", "chosen", "rejected"):
-        e = encode_text(texts, vocab, "conv_id", f"{k}_text").withColumnRenamed("input_ids", f"{k}_input_ids").withColumnRenamed("attention_mask", f"{k}_attention_mask")
-        out = out.join(e, "conv_id", "left")
-    return out
+    texts = {"prompt": render("prompt", add_generation_prompt=True), "chosen": render("chosen"), "rejected": render("rejected")}
+    # one long table of all three texts, one vocabulary join, one row for each conversation again
+    long = p.select("conv_id", F.explode(F.array(*[F.struct(F.lit(k).alias("part"), t.alias("text")) for k, t in texts.items()])).alias("t"))
+    e = encode_text(long.select(F.struct("conv_id", "t.part").alias("key"), "t.text"), vocab, "key", "text")
+    wide = e.groupBy(F.col("key.conv_id").alias("conv_id")).agg(*[
+        F.first(F.when(F.col("key.part") == k, F.col(c)), ignorenulls=True).alias(f"{k}_{c}") for k in texts for c in ("input_ids", "attention_mask")])
+    return written(wide.withColumn("batch_id", (F.col("conv_id") / BATCH).cast("long")), "preference-ids")
 
 
 def _sql_pref_ids() -> str:
@@ -500,3 +514,62 @@ def q_collate_preference(spark, sf):
                  F.col("chosen_input_ids").alias("chosen_labels"), "rejected_input_ids")
     c = T.collate_preference(x, pad_id=0)
     return _out(c, ["prompt_input_ids", "prompt_attention_mask", "chosen_input_ids", "chosen_labels", "rejected_input_ids"], keys=("conv_id",))
+
+
+@query("collate_preference_logps", f"""
+WITH {_sql_pref_ids()},
+x AS (SELECT conv_id, batch_id, chosen_ids, CAST(-len(chosen_ids) AS DOUBLE) AS ref_chosen_logps,
+             list_transform(prompt_ids[1:4], lambda t: CAST(t AS DOUBLE) / 2) AS pixels FROM ids),
+w AS (SELECT *, max(len(pixels)) OVER (PARTITION BY batch_id) AS wp FROM x)
+SELECT conv_id, ref_chosen_logps, len(p) AS n_pixels, list_sum(p) AS pixel_sum FROM (
+  SELECT conv_id, ref_chosen_logps, {_sql_pad('pixels', 'wp', 0, 'right')} AS p FROM w)""")
+def q_collate_preference_logps(spark, sf):
+    """Log-probabilities are carried, pixel values padded with 0."""
+    x = _pref_ids(spark, sf).select(
+        "conv_id", "batch_id", (-F.size("chosen_input_ids")).cast("double").alias("ref_chosen_logps"),
+        F.transform(F.slice("prompt_input_ids", 1, 4), lambda t: t.cast("double") / 2).alias("prompt_pixel_values"))
+    c = T.collate_preference(x, pad_id=None)
+    return c.select("conv_id", "ref_chosen_logps", F.size("prompt_pixel_values").cast("long").alias("n_pixels"),
+                    F.aggregate("prompt_pixel_values", F.lit(0.0), lambda a, v: a + v).alias("pixel_sum"))
+
+
+@query("collate_preference_seq2seq", f"""
+WITH {_sql_pref_ids()},
+w AS (SELECT *, max(len(prompt_ids)) OVER (PARTITION BY batch_id) AS wp, max(len(chosen_ids)) OVER (PARTITION BY batch_id) AS wc FROM ids)
+SELECT {_sout(['prompt_input_ids', 'chosen_labels', 'rejected_decoder_input_ids'], 'conv_id')} FROM (
+  SELECT conv_id, {_sql_pad('prompt_ids', 'wp', 0, 'right')} AS prompt_input_ids, {_sql_pad('chosen_ids', 'wc', -100, 'right')} AS chosen_labels,
+         {_sql_pad('chosen_ids', 'wc', -100, 'right')} AS rejected_decoder_input_ids FROM w)""")
+def q_collate_preference_seq2seq(spark, sf):
+    """Encoder-decoder: everything is padded on the right, decoder sides with the ignored label."""
+    x = _pref_ids(spark, sf).select("conv_id", "batch_id", "prompt_input_ids", F.col("chosen_input_ids").alias("chosen_labels"),
+                                    F.col("chosen_input_ids").alias("rejected_decoder_input_ids"))
+    c = T.collate_preference(x, pad_id=0, encoder_decoder=True)
+    return _out(c, ["prompt_input_ids", "chosen_labels", "rejected_decoder_input_ids"], keys=("conv_id",))
+
+
+@query("pad_nested", f"""
+WITH s AS (SELECT vec_id, vec_id // {BATCH} AS batch_id, list_transform(range(1 + vec_id % 3), lambda r: embedding[1:CAST(1 + (vec_id + r) % 4 AS BIGINT)]) AS a FROM embeddings),
+w AS (SELECT *, max(len(a)) OVER (PARTITION BY batch_id) AS w0, max(list_max(list_transform(a, lambda x: len(x)))) OVER (PARTITION BY batch_id) AS w1 FROM s)
+SELECT vec_id, w0 AS n_rows, w1 AS n_cols, round(list_sum(list_transform(a, lambda x: list_sum(x))) - (w0 * w1 - list_sum(list_transform(a, lambda x: len(x)))), 4) AS total FROM w""")
+def q_pad_nested(spark, sf):
+    """Two-dimensional padding: the batch's most rows and longest row, filled with -1."""
+    e = read_table(spark, sf, "embeddings", ["vec_id", "embedding"])
+    rows = F.transform(F.sequence(F.lit(0), (F.col("vec_id") % 3).cast("int")), lambda r: F.slice("embedding", 1, (1 + (F.col("vec_id") + r) % 4).cast("int")))
+    s = e.select("vec_id", (F.col("vec_id") / BATCH).cast("long").alias("batch_id"), rows.alias("a"))
+    p = T.pad_nested_batch(s, "a", -1.0)
+    flat = F.aggregate(F.flatten("a"), F.lit(0.0), lambda t, x: t + x)
+    return p.select("vec_id", F.size("a").cast("long").alias("n_rows"), F.size(F.get("a", 0)).cast("long").alias("n_cols"), F.round(flat, 4).alias("total"))
+
+
+@query("add_bos_sides", f"""
+WITH {_sql_pref_ids()},
+b AS (SELECT conv_id, CASE WHEN prompt_ids[1] = {BOS} THEN prompt_ids ELSE list_concat([{BOS}], prompt_ids) END AS p,
+             CASE WHEN chosen_ids[1] = {BOS} THEN chosen_ids ELSE list_concat([{BOS}], chosen_ids) END AS c,
+             CASE WHEN rejected_ids[-1] = {EOS} THEN rejected_ids ELSE list_concat(rejected_ids, [{EOS}]) END AS r FROM ids)
+SELECT {_sout(['p', 'c', 'r'], 'conv_id')} FROM b""")
+def q_add_bos_sides(spark, sf):
+    x = _pref_ids(spark, sf)
+    x = T.add_bos_eos(x, BOS, EOS, prompts=[("prompt_input_ids", "prompt_attention_mask"), ("chosen_input_ids", "chosen_attention_mask")],
+                      seqs=[("rejected_input_ids", "rejected_attention_mask")])
+    return _out(x.select("conv_id", F.col("prompt_input_ids").alias("p"), F.col("chosen_input_ids").alias("c"), F.col("rejected_input_ids").alias("r")),
+                ["p", "c", "r"], keys=("conv_id",))

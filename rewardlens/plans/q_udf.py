@@ -8,19 +8,21 @@ from rewardlens.functions.common import round6
 from rewardlens.operators import udf as U
 from rewardlens.plans import fixtures as V
 from rewardlens.plans.catalog import query
+from rewardlens.session import ship_package
 
 
 @query("udf_reward", f"""
 SELECT idx, round(CAST(length(chosen) AS DOUBLE) / 100.0, 6) AS reward_length,
-       round(CAST(length(chosen) AS DOUBLE) / 100.0 * 2.0 + CAST(length(question) AS DOUBLE) / 1000.0 * 0.5, 6) AS reward
+       round(CAST(length(chosen) AS DOUBLE) / 100.0 * 2.0 + idx % 2 + CAST(length(question) AS DOUBLE) / 1000.0 * 0.5, 6) AS reward
 FROM ({V.SQL_PREF_TEXT})""")
 def q_udf_reward(spark, sf):
     t = V.pref_text(spark, sf).select("idx", F.col("question").alias("prompt"), F.col("chosen").alias("completion"))
     funcs = {
-        "length": lambda p, c, *rest: U.length_reward(c),
+        "length": lambda prompt, completion, **_: U.length_reward(completion),
+        "by_name": lambda prompt, completion, idx, **_: (idx % 2).cast("double"),
         "prompt": F.length("prompt").cast("double") / F.lit(1000.0),
     }
-    r = U.apply_rewards(t, funcs, [2.0, 0.5])
+    r = U.apply_rewards(t, funcs, [2.0, 1.0, 0.5])
     return r.select("idx", round6("reward_length").alias("reward_length"), round6("reward").alias("reward"))
 
 
@@ -29,6 +31,7 @@ WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0B
 SELECT doc_id, round(CASE WHEN len(toks) > 0 THEN CAST(len(list_distinct(toks)) AS DOUBLE) / len(toks) END, 6) AS score FROM t""")
 def q_udf_model_score(spark, sf):
     from rewardlens.sources.tables import read_table
+    ship_package(spark)
     d = read_table(spark, sf, "documents", ["doc_id", "text"])
     return d.select("doc_id", round6(U.model_scorer()(F.col("text"))).alias("score"))
 

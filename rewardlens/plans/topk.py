@@ -1,10 +1,8 @@
-"""Last / first K rows per key, safe against a hot key.
+"""Last / first K rows per key.
 
-A window partitioned by the key alone sends a key with a third of all rows
-into one task. Here the rows of every key are first spread over ``salts``
-sub-groups by a hash of the order columns; each sub-group keeps its own top K
-(a window over a bounded slice of the key), and a second window over at most
-``salts * K`` survivors per key picks the final K.
+``row_number() <= k`` is planned with a group limit before the shuffle
+(``WindowGroupLimit``, Spark 3.5+): every task keeps at most K rows of a key, so
+a key with a third of all rows sends K rows from each task, not its rows.
 """
 
 from __future__ import annotations
@@ -17,21 +15,15 @@ from pyspark.sql import functions as F
 from rewardlens.functions.common import as_col
 
 
-def top_k_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], k: int, last: bool = True, salts: int = 32, rank_col: str | None = None) -> DataFrame:
+def top_k_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], k: int, last: bool = True, rank_col: str | None = None) -> DataFrame:
     """Rows of ``df`` that are among the last (or first) ``k`` per ``keys`` by ``order``.
 
     ``order`` must be a total order inside a key. ``rank_col`` (0 = last/first)
     is added when given.
     """
-    keys = list(keys)
     ocols = [as_col(c) for c in order]
-    sort = [c.desc() for c in ocols] if last else [c.asc() for c in ocols]
-    salt = F.abs(F.xxhash64(*ocols)) % F.lit(salts)
-    s = df.withColumn("_salt", salt)
-    w1 = Window.partitionBy(*keys, "_salt").orderBy(*sort)
-    s = s.withColumn("_r1", F.row_number().over(w1)).filter(F.col("_r1") <= k).drop("_r1", "_salt")
-    w2 = Window.partitionBy(*keys).orderBy(*sort)
-    s = s.withColumn("_r2", F.row_number().over(w2)).filter(F.col("_r2") <= k)
+    w = Window.partitionBy(*keys).orderBy(*[c.desc() if last else c.asc() for c in ocols])
+    s = df.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= k)
     if rank_col:
-        return s.withColumn(rank_col, F.col("_r2") - 1).drop("_r2")
-    return s.drop("_r2")
+        s = s.withColumn(rank_col, F.col("_rank") - 1)
+    return s.drop("_rank")

@@ -16,8 +16,6 @@ TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
 
-TEXT_TABLES = frozenset({"documents", "conversations", "pages", "benchmark"})
-
 # Schema of a preference dataset as the reference loads it (image kept as a path).
 PREFERENCE_SCHEMA = T.StructType([
     T.StructField("idx", T.LongType()),
@@ -33,21 +31,9 @@ def table_path(sf_dir: str, name: str) -> str:
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
-    """Read a table, pruned to ``columns``.
-
-    A text table (heavy per-row work: splitting, rendering) with fewer scan
-    partitions than the cluster's default parallelism -- a single small file
-    with one row group -- is spread round-robin, so that work is not one task.
-    A large input has far more splits than that and is left alone; numeric
-    tables are cheap per row and never pay the extra exchange.
-    """
+    """Read a table, pruned to ``columns``; how it is split is left to Spark's file settings."""
     df = spark.read.parquet(table_path(sf_dir, name))
-    if columns:
-        df = df.select(*columns)
-    want = spark.sparkContext.defaultParallelism
-    if name in TEXT_TABLES and df.rdd.getNumPartitions() < want:
-        df = df.repartition(want)
-    return df
+    return df.select(*columns) if columns else df
 
 
 def read_preference(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -55,6 +41,29 @@ def read_preference(spark: SparkSession, path: str, fmt: str = "parquet") -> Dat
     return spark.read.schema(PREFERENCE_SCHEMA).format(fmt).load(path)
 
 
+def split_head(df: DataFrame, key: str, percent: float) -> DataFrame:
+    """The first ``percent`` of the rows by an integer ``key`` (``split="train[:5%]"``).
+
+    The key at that rank is found by counting rows in ranges that shrink
+    a thousandfold each round; then it is a filter. Only counts leave the tasks.
+    """
+    n, low, high = df.agg(F.count(F.lit(1)), F.min(key), F.max(key)).first()
+    k = round(n * percent / 100.0)  # halves go to the even number, as in the split syntax
+    if not k:
+        return df.limit(0)
+    below = 0
+    while low < high:
+        width = max(1, (high - low + 1) // 1000)
+        cell = F.floor((F.col(key) - low) / width)
+        counts = df.filter(F.col(key).between(low, high)).groupBy(cell.alias("c")).agg(F.count(F.lit(1)).alias("n")).collect()
+        for c, m in sorted((r["c"], r["n"]) for r in counts):
+            if below + m >= k:
+                low, high = low + c * width, min(high, low + (c + 1) * width - 1)
+                break
+            below += m
+    return df.filter(F.col(key) <= low)
+
+
 def image_path(idx, directory: str = "saved_images"):
     """``<dir>/<idx>.jpg`` per row; the image itself is never decoded."""
     return F.concat(F.lit(directory.rstrip("/") + "/"), idx.cast("string"), F.lit(".jpg"))

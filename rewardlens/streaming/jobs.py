@@ -20,8 +20,9 @@ from pyspark.errors import AnalysisException
 
 from rewardlens.operators import rewards as R
 from rewardlens.operators import stats as ST
+from rewardlens.plans.ordinal import running
 
-STATE_SCHEMA_MOMENTS = "cn double, csx double, csq double"
+STATE_SCHEMA_MOMENTS = "anchor double, pn double, psd double, psq double"
 
 
 def file_stream(spark: SparkSession, directory: str, file_name: str, schema: T.StructType, max_files: int = 1) -> DataFrame:
@@ -38,7 +39,9 @@ def _latest_state(spark: SparkSession, state_dir: str, epoch: int, schema: str)
     """
     try:
         t = spark.read.schema(f"{schema}, epoch long").parquet(state_dir)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":  # anything else is a fault, not a fresh start
+            raise
         return None
     prev = t.filter(F.col("epoch") < epoch)
     top = prev.agg(F.max("epoch")).first()[0]
@@ -47,6 +50,21 @@ def _latest_state(spark: SparkSession, state_dir: str, epoch: int, schema: str)
     return prev.filter(F.col("epoch") == top).drop("epoch")
 
 
+#: Every so many epochs the whole keyed state is written, and older epochs are not read any more.
+SNAPSHOT_EVERY = 16
+
+
+def _latest_by_key(spark: SparkSession, state_dir: str, epoch: int, schema: str, key: str) -> DataFrame | None:
+    """Each key's newest row from epochs since the last snapshot before ``epoch`` (None at the start)."""
+    if epoch == 0:
+        return None
+    snapshot = (epoch - 1) // SNAPSHOT_EVERY * SNAPSHOT_EVERY
+    t = spark.read.schema(f"{schema}, epoch long").parquet(state_dir).filter(F.col("epoch").between(snapshot, epoch - 1))
+    values = [c for c in t.columns if c not in (key, "epoch")]
+    newest = t.groupBy(key).agg(F.max_by(F.struct(*values), "epoch").alias("_v"))
+    return newest.select(key, *[F.col(f"_v.{c}").alias(c) for c in values])
+
+
 def _write_epoch(df: DataFrame, path: str, epoch: int) -> None:
     """Write one epoch's partition; a replayed epoch replaces only its own partition."""
     (df.withColumn("epoch", F.lit(epoch).cast("long")).write.mode("overwrite")
@@ -59,26 +77,17 @@ def run_running_moments(stream: DataFrame, value: str, batch: str, out_path: str
     def handle(mb: DataFrame, epoch: int):
         spark = mb.sparkSession
         prev = _latest_state(spark, state_dir, epoch, STATE_SCHEMA_MOMENTS)
-        x = F.col(value).cast("double")
-        per = mb.groupBy(batch).agg(F.count(x).cast("double").alias("n"), F.avg(x).alias("bmean"), F.var_pop(x).alias("bvar"))
-        per = per.withColumn("_sx", F.col("n") * F.col("bmean")).withColumn("_sq", F.col("n") * F.col("bvar") + F.col("n") * F.col("bmean") * F.col("bmean"))
+        per = ST.batch_table(mb, value, batch)
         if prev is None:
-            prev = spark.createDataFrame([(0.0, 0.0, 0.0)], STATE_SCHEMA_MOMENTS)
-        # the micro-batch's per-batch table is small (one row per reward batch)
-        from pyspark.sql import Window
-        w = Window.orderBy(batch).rowsBetween(Window.unboundedPreceding, 0)
-        acc = per.crossJoin(F.broadcast(prev.withColumnsRenamed({"cn": "_p_cn", "csx": "_p_csx", "csq": "_p_csq"})))
-        acc = acc.select("*", (F.col("_p_cn") + F.sum("n").over(w)).alias("cn"), (F.col("_p_csx") + F.sum("_sx").over(w)).alias("csx"),
-                         (F.col("_p_csq") + F.sum("_sq").over(w)).alias("csq")).cache()
-        c0 = F.lit(ST.MOMENTS_INIT_COUNT)
-        cnt = c0 + F.col("cn")
-        mean = F.col("csx") / cnt
-        var = (c0 * F.lit(ST.MOMENTS_INIT_VAR) + F.col("csq") - cnt * mean * mean) / cnt
-        res = acc.select(batch, F.col("bmean").alias("batch_mean"),
-                         F.sqrt(F.try_divide(F.col("bvar") * F.col("n"), F.col("n") - 1)).alias("batch_std"),
-                         mean.alias("mean"), var.alias("var"), F.sqrt(F.try_divide(var * cnt, cnt - 1)).alias("std"), cnt.alias("count"))
-        _write_epoch(res, out_path, epoch)
-        last = acc.orderBy(F.col(batch).desc()).limit(1).select("cn", "csx", "csq")
+            # the anchor is the mean of the first micro-batch; the start state counts from there
+            first = F.coalesce(F.sum(F.col("n") * F.col("bmean")) / F.sum("n"), F.lit(0.0)).alias("anchor")
+            c0 = F.lit(ST.MOMENTS_INIT_COUNT)
+            prev = per.agg(first).select("anchor", c0.alias("pn"), (c0 * (0 - F.col("anchor"))).alias("psd"),
+                                         (c0 * (F.lit(ST.MOMENTS_INIT_VAR) + F.col("anchor") * F.col("anchor"))).alias("psq"))
+        acc = running(per.crossJoin(F.broadcast(prev)), [batch], value=ST.deviation_sums(), inclusive=True).cache()
+        _write_epoch(acc.select(batch, *ST.merged_moments(F.col("pn"), F.col("psd"), F.col("psq"))), out_path, epoch)
+        last = acc.orderBy(F.col(batch).desc()).limit(1).select(
+            "anchor", (F.col("pn") + F.col("cn")).alias("pn"), (F.col("psd") + F.col("csd")).alias("psd"), (F.col("psq") + F.col("csq")).alias("psq"))
         _write_epoch(last, state_dir, epoch)
         acc.unpersist()
 
@@ -92,14 +101,14 @@ def run_prompt_tracker(stream: DataFrame, prompt: str, reward: str, batch: str,
 
     def handle(mb: DataFrame, epoch: int):
         spark = mb.sparkSession
-        prev = _latest_state(spark, state_dir, epoch, state_schema)
+        prev = _latest_by_key(spark, state_dir, epoch, state_schema, prompt)
         mb = mb.cache()
         adv = ST.prompt_tracker(mb, prompt, reward, batch, order, buffer_size, min_count, state=prev)
         _write_epoch(adv, out_path, epoch)
         new_state = ST.tracker_state(mb, prompt, reward, batch, order, buffer_size, state=prev)
-        if prev is not None:
-            # prompts absent from this micro-batch keep their state
-            new_state = new_state.unionByName(prev.join(new_state.select(prompt), prompt, "left_anti"))
+        if prev is not None and epoch % SNAPSHOT_EVERY:
+            # prompts absent from this micro-batch keep their older row
+            new_state = new_state.join(mb.select(F.col(prompt).alias("_seen")).distinct(), F.col(prompt).eqNullSafe(F.col("_seen")), "left_semi")
         _write_epoch(new_state, state_dir, epoch)
         mb.unpersist()
 

@@ -22,10 +22,11 @@ def test_weights_must_match():
     assert R.weights_check(["a", "b"], None) == [1.0, 1.0]
 
 
-def test_exact_div():
-    assert R.exact_div(12, 4) == 3
+def test_uneven_batches(spark):
+    df = spark.createDataFrame([(b, i) for b, n in ((1, 8), (2, 6), (None, 3)) for i in range(n)], "batch_id int, x int")
+    assert {(r.batch_id, r.rows, r.left_over) for r in R.uneven_batches(df, "batch_id", 4).collect()} == {(2, 6, 2), (None, 3, 3)}
     with pytest.raises(ValueError):
-        R.exact_div(10, 4, "batch")
+        R.uneven_batches(df, "batch_id", 1)
 
 
 def test_invalid_padding_side(spark):
@@ -72,6 +73,9 @@ def test_preference_rules():
         T.preference_padding_rules(["prompt_input_ids"], None)
     with pytest.raises(ValueError):
         T.preference_padding_rules(["other_labels_x_input_ids"], 0, encoder_decoder=True)
+    assert T.preference_padding_rules(["prompt_input_ids", "prompt_attention_mask", "chosen_labels", "rejected_decoder_input_ids"], 7, encoder_decoder=True) == {
+        "prompt_input_ids": (7, "right"), "prompt_attention_mask": (0, "right"), "chosen_labels": (-100, "right"), "rejected_decoder_input_ids": (-100, "right")}
+    assert T.preference_padding_rules(["prompt_pixel_values", "x_logps"], None) == {"prompt_pixel_values": (0.0, "right")}
 
 
 def test_strict_join_fails_on_unmatched(spark):

@@ -1,5 +1,6 @@
 """Golden rows from the reference's docstrings and the semantics list."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from rewardlens.functions import arrays as A
@@ -36,22 +37,34 @@ def test_extract_prompt_conversations(spark):
     assert [tuple(m) for m in r.rejected] == [("assistant", "It is green.")]
 
 
-def _py_extract(c, r):
-    # the reference's loop, restated
-    for idx in range(min(len(c), len(r))):
-        if c[idx] != r[idx]:
-            if c[idx - 1] == " ":
-                idx -= 1
-            break
-    return c[:idx], c[idx:], r[idx:]
-
-
 def test_extract_prompt_string_rules(spark):
-    pairs = [("the sky is blue", "the sky is green"), ("abc d", "xyz "), ("abc ", "xbc"), ("same", "same"),
-             ("ab", "abc"), ("héllo wörld", "héllo welt"), ("a b", "a c")]
-    df = spark.createDataFrame(pairs, "chosen string, rejected string")
-    got = sorted((r.prompt, r.chosen, r.rejected) for r in OC.extract_prompt(df).collect())
-    assert got == sorted(_py_extract(c, r) for c, r in pairs)
+    # (chosen, rejected) -> (prompt, rest of chosen, rest of rejected), by hand
+    want = {
+        ("the sky is blue", "the sky is green"): ("the sky is", " blue", " green"),
+        ("abc d", "xyz "): ("", "abc d", "xyz "),
+        ("abc ", "xbc"): ("abc", " ", "c"),  # the character before position 0 is the last one
+        ("same", "same"): ("sam", "e", "e"),
+        ("ab", "abc"): ("a", "b", "bc"),
+        ("héllo wörld", "héllo welt"): ("héllo w", "örld", "elt"),
+        ("a b", "a c"): ("a", " b", " c"),
+    }
+    df = spark.createDataFrame(list(want), "chosen string, rejected string")
+    got = sorted(tuple(r) for r in OC.extract_prompt(df).select("prompt", "chosen", "rejected").collect())
+    assert got == sorted(want.values())
+
+
+def test_extract_prompt_guards_every_column(spark):
+    df = spark.createDataFrame([("", "x")], "chosen string, rejected string")
+    for c in ("prompt", "chosen", "rejected"):
+        with pytest.raises(Exception, match="empty chosen or rejected"):
+            OC.extract_prompt(df).select(c).collect()
+
+
+def test_pair_ids(spark):
+    df = spark.createDataFrame([("p", "a", "b"), ("q", "c", "d")], "prompt string, chosen string, rejected string")
+    rows = OC.unpair_preference(df, "pair").collect()
+    assert {(r.prompt, r.label) for r in rows} == {("p", True), ("p", False), ("q", True), ("q", False)}
+    assert len({(r.prompt, r.pair) for r in rows}) == 2 == len({r.pair for r in rows})
 
 
 def test_templates(spark):
@@ -106,6 +119,30 @@ def test_numeric(spark):
     assert abs(r.lp - (3.0 - math.log(math.exp(1) + math.exp(2) + math.exp(3)))) < 1e-12 and r.am == 2
 
 
+def test_logits_with_minus_infinity(spark):
+    import math
+    ninf = float("-inf")
+    df = spark.createDataFrame([([ninf, 1.0, 2.0], 1), ([1e8, 1e8 + 1, ninf], 0), ([ninf, ninf, 5.0], 2)], "x array<double>, i int")
+    got = [r[0] for r in df.select(N.selective_log_softmax("x", F.col("i"))).collect()]
+    assert abs(got[0] - (1 - math.log(math.e + math.e**2))) < 1e-12 and abs(got[1] + math.log(1 + math.e)) < 1e-6 and got[2] == 0
+
+
+def test_seeds_give_unrelated_orders(spark):
+    keys = list(range(1, 1501)) + [2147483648, 9_000_000_000, -5, 2**62]
+    df = spark.createDataFrame([(k,) for k in keys], "k long")
+    order = {}
+    for seed in (42, 43):
+        rows = SM.shuffle_rows(df, "k", seed).collect()
+        assert sorted(r.ordinal for r in rows) == list(range(len(keys)))
+        order[seed] = [r.k for r in sorted(rows, key=lambda r: r.ordinal)]
+    a, b = order[42], order[43]
+    assert all(a != b[i:] + b[:i] for i in range(len(b)))
+    chunks = [{frozenset(o[i:i + 3]) for i in range(0, 1500, 3)} for o in (a, b)]
+    assert len(chunks[0] & chunks[1]) < 10
+    scores = [r[0] for r in df.select(SM.random_score("k", 42)).collect()]
+    assert all(0 <= s < 1 for s in scores) and 0.45 < sum(scores) / len(scores) < 0.55
+
+
 def test_format_reward_two_decimals(spark):
     df = spark.createDataFrame([(0.12345,), (0.68789,), (0.125,), (12345.678,)], "x double")
     got = [r[0] for r in df.select(C.format_reward("x")).collect()]

@@ -33,44 +33,85 @@ def test_packing_is_the_stream_cut(spark):
     assert got == want
 
 
-def test_running_moments_match_sequential(spark):
+def test_running_moments_are_those_of_all_rows_so_far(spark):
+    import numpy as np
     b = V.batches(spark, SF_SMALL)
     got = {r.batch_id: r for r in ST.running_moments(b, "reward", "batch_id").collect()}
-    vals = {}
-    for r in b.collect():
-        vals.setdefault(r.batch_id, []).append(r.reward)
-    mean, var, count = 0.0, 1.0, 1e-24
-    for k in sorted(vals):
-        xs = vals[k]
-        n = len(xs)
-        m = sum(xs) / n
-        v = sum((x - m) ** 2 for x in xs) / n
-        delta = m - mean
-        tot = count + n
-        old_sum = var * count + delta ** 2 * count * n / tot
-        mean += delta * n / tot
-        var = (old_sum + v * n) / tot
-        count = tot
-        assert abs(got[k].mean - mean) < 1e-9 and abs(got[k].var - var) < 1e-6
-
-
-def test_tracker_matches_sequential(spark):
+    rows = b.toPandas()
+    for k in sorted(got):
+        x = rows.reward[rows.batch_id <= k].to_numpy()
+        assert abs(got[k].mean - np.mean(x)) < 1e-9 and abs(got[k].var - np.var(x)) < 1e-6 and abs(got[k]["count"] - len(x)) < 1e-9
+
+
+def test_running_moments_of_large_values(spark):
     import numpy as np
-    from collections import deque
-    b = V.batches(spark, SF_SMALL)
-    got = {r.event_id: r.advantage for r in ST.prompt_tracker(b, "prompt", "reward", "batch_id", ["ts", "event_id"], 8, 3).collect()}
-    rows = sorted(b.collect(), key=lambda r: (r.batch_id, r.ts, r.event_id))
-    stats = {}
-    for bid in sorted({r.batch_id for r in rows}):
-        br = [r for r in rows if r.batch_id == bid]
-        rewards = np.array([r.reward for r in br])
-        for p in sorted({r.prompt for r in br}):
-            pr = [r for r in br if r.prompt == p]
-            dq = stats.setdefault(p, deque(maxlen=8))
-            dq.extend(r.reward for r in pr)
-            if len(dq) < 3:
-                mean, std = rewards.mean(), rewards.std() + 1e-6
-            else:
-                mean, std = np.mean(dq), np.std(dq) + 1e-6
-            for r in pr:
-                assert abs(got[r.event_id] - (r.reward - mean) / std) < 1e-6
+    rng = np.random.default_rng(0)
+    x = 1e8 + rng.normal(size=400)
+    df = spark.createDataFrame([(int(i // 40), float(v)) for i, v in enumerate(x)], "batch long, v double")
+    for r in ST.running_moments(df, "v", "batch").collect():
+        so_far = x[:(r.batch + 1) * 40]
+        assert abs(r.var / np.var(so_far) - 1) < 1e-6 and abs(r.mean - np.mean(so_far)) < 1e-6
+
+
+def test_tracker_takes_the_last_rewards_of_a_prompt(spark):
+    b = V.batches(spark, SF_SMALL).toPandas().sort_values(["batch_id", "ts", "event_id"])
+    got = {r.event_id: r.advantage for r in ST.prompt_tracker(V.batches(spark, SF_SMALL), "prompt", "reward", "batch_id", ["ts", "event_id"], 8, 3).collect()}
+    for (prompt, batch), rows in b.groupby(["prompt", "batch_id"]):
+        past = b[(b.prompt == prompt) & (b.batch_id <= batch)].reward.to_numpy()
+        use = past[-8:] if len(past) >= 3 else b[b.batch_id == batch].reward.to_numpy()
+        for e, r in zip(rows.event_id, rows.reward):
+            assert abs(got[e] - (r - use.mean()) / (use.std() + 1e-6)) < 1e-6
+
+
+def test_null_keys_keep_their_rows(spark):
+    df = spark.createDataFrame([(1, None, 1.0, 1, 1), (1, "a", 2.0, 2, 1), (None, "a", 3.0, 3, 0)], "batch_id int, prompt string, reward double, e int, m int")
+    assert ST.prompt_tracker(df, "prompt", "reward", "batch_id", ["e"], 8, 3).count() == 3
+    got = {r.batch_id: r["count"] for r in ST.batch_moments(df, "reward", "batch_id", mask="m").collect()}
+    assert got == {1: 2.0, None: 0.0}
+
+
+def test_encode_keeps_every_text(spark):
+    from rewardlens.operators import tokens as T
+    df = spark.createDataFrame([(1, "a b a"), (2, ""), (3, "  "), (4, "a zzz b")], "k long, text string")
+    words = T.words(df, "k", "text")
+    vocab = T.build_vocab(words.filter("token <> 'zzz'"))
+    got = {r.k: list(r.input_ids) for r in T.encode(words, vocab, "k", keys=df, unk_id=99).collect()}
+    assert got == {1: [0, 1, 0], 2: [], 3: [], 4: [0, 99, 1]}
+    import pytest
+    with pytest.raises(Exception, match="zzz"):
+        T.encode(words, vocab, "k", keys=df).collect()
+    text = {r.k: r.text for r in T.decode(T.encode(words, vocab, "k", keys=df, unk_id=99), vocab, "k", "input_ids", [0]).collect()}
+    assert text == {1: "b", 2: "", 3: "", 4: "b"}
+
+
+def test_ordinal_buckets_split_ties(spark):
+    from rewardlens.plans.ordinal import range_buckets, running
+    df = spark.range(40000).withColumn("tie", F.lit(1))
+    sizes = [r["count"] for r in range_buckets(df, [F.col("tie"), F.col("id")], "b").groupBy("b").count().collect()]
+    assert len(sizes) == 10 and max(sizes) < 3 * 4000
+    bad = running(df, ["tie", "id"], out="o").filter("o <> id").count()
+    assert bad == 0
+
+
+def _greedy(sizes, limit):
+    out, cur, b = [], 0, 0
+    for s in sizes:
+        out.append(b)
+        cur += s
+        if cur >= limit:
+            cur, b = 0, b + 1
+    return out
+
+
+def test_buffers_equal_a_walk(spark, monkeypatch):
+    import random
+
+    from rewardlens.operators import pack as P
+    from rewardlens.plans import ordinal
+    monkeypatch.setattr(ordinal, "bucket_count", lambda rows: 70)  # three levels of the tree
+    monkeypatch.setattr(P, "FAN", 5)
+    rng = random.Random(1)
+    for sizes, limit in (([100] * 3000, 3700), ([rng.randint(0, 50) for _ in range(3000)], 333), ([rng.randint(1, 9) for _ in range(500)], 100000), ([7] * 200, 3)):
+        df = spark.createDataFrame([(i, s) for i, s in enumerate(sizes)], "k long, s int")
+        got = [r.buffer_id for r in P.buffer_ids(df, F.col("s"), ["k"], limit).orderBy("k").collect()]
+        assert got == _greedy(sizes, limit)
