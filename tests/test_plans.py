@@ -1,7 +1,14 @@
-"""Plan checks: pruned scans, no single-partition exchange over row data."""
+"""Plan checks: pruned scans, no single-partition exchange over row data, few scans and exchanges."""
 
+from pyspark.sql import functions as F
+
+from rewardlens.operators import pack as P
 from rewardlens.operators import rewards as R
+from rewardlens.operators import tokens as T
 from rewardlens.plans import fixtures as V
+from rewardlens.plans import q_tokens as Q
+from rewardlens.plans.topk import top_k_per_key
+from rewardlens.sources.tables import read_table
 from tests.conftest import SF_SMALL
 
 
@@ -16,3 +23,36 @@ def test_group_advantage_plan(spark):
     assert "l_returnflag" not in p.split("ReadSchema")[1].split("\n")[0]  # unused columns pruned
     assert "Window" not in p  # aggregate + join, not a window over a whole group
     assert "PythonUDF" not in p and "ArrowEvalPython" not in p
+
+
+def test_top_k_limits_before_the_shuffle(spark):
+    p = _plan(top_k_per_key(read_table(spark, SF_SMALL, "events"), ["user_id"], ["ts", "event_id"], 5))
+    assert p.count("WindowGroupLimit") == 2 and p.count("Exchange") == 1
+
+
+def test_encode_reads_the_texts_once(spark):
+    p = _plan(Q.token_ids(spark, SF_SMALL))
+    # the words, the written vocabulary, and the list of documents
+    assert p.count("FileScan parquet") <= 4 and p.count("Generate") == 1
+
+
+def test_packing_sends_each_token_once(spark):
+    t = Q.token_table(spark, SF_SMALL)
+    p = _plan(P.pack_constant_length(t, "ids", ["doc_id"], 64, 5))
+    assert p.count("Generate explode(token") == 0 and p.count("FileScan parquet") <= 5
+
+
+def test_collator_plans_read_written_sequences(spark):
+    p = _plan(Q.q_collate_preference(spark, SF_SMALL))
+    assert "Generate" not in p and p.count("FileScan parquet") <= 2
+
+
+def test_padding_is_a_partial_aggregate_and_a_join(spark):
+    t = Q.token_table(spark, SF_SMALL)
+    p = _plan(T.pad_batch(t, {"ids": (0, "right")}))
+    assert "partial_max" in p and "Window" not in p and "Python" not in p
+
+
+def test_filters_reach_the_scan(spark):
+    p = _plan(read_table(spark, SF_SMALL, "orders", ["o_orderkey", "o_totalprice"]).filter(F.col("o_orderkey") < 100))
+    assert "PushedFilters: [IsNotNull(o_orderkey), LessThan(o_orderkey,100)]" in p and "o_custkey" not in p
