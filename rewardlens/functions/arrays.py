@@ -201,9 +201,20 @@ def label_completion_multi(df, labels: str, response_template: list[int], instru
         F.when(k == 0, F.lit(0)).otherwise(F.get(h2, k)).alias("s"), F.get(re_, k).alias("e"))))
     st = st.withColumn("_tail", F.when(F.size(re_) < F.size(h2), F.element_at(h2, -1)))
     st = st.withColumn("_none", (F.size(re_) == 0) | (F.size(hi) == 0))
-    a = F.col(labels)
-    masked = F.transform(a, lambda x, i: F.when(
-        F.exists(F.col("_spans"), lambda sp: (i >= sp["s"]) & (i < sp["e"])) | (F.col("_tail").isNotNull() & (i >= F.col("_tail"))),
-        F.lit(ignore_index)).otherwise(x))
+    # row by row one slice for each gap and one fill for each span; spans are in order, so a
+    # span's cursor is where the one before it ended
+    a, fill = F.col(labels), F.lit(ignore_index)
+
+    def piece(sp, k):
+        before = F.get(F.col("_spans"), k - 1)
+        at = F.when(k == 0, F.lit(0)).otherwise(F.greatest(before["s"], before["e"]))
+        begin = F.greatest(at, sp["s"])
+        return F.concat(F.slice(a, at + 1, begin - at), F.array_repeat(fill, F.greatest(sp["e"] - begin, F.lit(0))))
+
+    final = F.try_element_at("_spans", F.lit(-1))
+    st = st.withColumn("_end", F.coalesce(F.greatest(final["s"], final["e"]), F.lit(0)))
+    st = st.withColumn("_rest", F.greatest(F.col("_end"), F.coalesce("_tail", F.size(a))))
+    masked = F.concat(F.flatten(F.transform("_spans", piece)), F.slice(a, F.col("_end") + 1, F.col("_rest") - F.col("_end")),
+                      F.array_repeat(fill, F.size(a) - F.col("_rest")))
     res = F.when(F.col("_none"), F.array_repeat(F.lit(ignore_index), F.size(a))).otherwise(masked)
-    return st.withColumn(out, res).drop("_cs", "_hi2", "_spans", "_tail", "_none")
+    return st.withColumn(out, res).drop("_cs", "_hi2", "_spans", "_tail", "_none", "_end", "_rest")
