@@ -77,13 +77,14 @@ class Items:
     def seeds(self, count: dict[int, int]) -> np.ndarray:
         """Indices of the rarest n-gram in every run of SPAN of an item."""
         rare = np.array([count.get(int(g), 0) for g in self.gram.view(np.int64)], np.int64)
+        rank = np.lexsort((self.gram, rare)).argsort()
+        by = np.lexsort((self.pos, self.item))  # each item's n-grams in a row
+        bounds = np.r_[np.flatnonzero(np.r_[True, np.diff(self.item[by]) > 0]), len(by)] if len(by) else np.zeros(1, np.int64)
         keep = np.zeros(len(self.gram), bool)
-        for i in np.unique(self.item):
-            own = np.flatnonzero(self.item == i)
-            own = own[np.argsort(self.pos[own])]
-            rank = np.lexsort((self.gram[own], rare[own])).argsort()
-            for s in range(max(1, len(own) - SPAN + 1)):
-                keep[own[s + int(np.argmin(rank[s:s + SPAN]))]] = True
+        for a, b in zip(bounds, bounds[1:]):
+            own = by[a:b]
+            runs = np.lib.stride_tricks.sliding_window_view(rank[own], min(SPAN, b - a))
+            keep[own[np.arange(len(runs)) + runs.argmin(1)]] = True
         return np.flatnonzero(keep)
 
 
@@ -166,7 +167,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
         seeds = block.seeds(count)
         seeds = seeds[np.argsort(block.gram[seeds], kind="stable")]
         ready = spark.sparkContext.broadcast((block, seeds, sizes))
-        found = rows.mapInArrow(_align_task(ready, item_kind), f"rid long, id {kind}, item_id {item_kind}, score long, item_words long, first_word long, last_word long")
+        found = rows.mapInArrow(_align_task(ready, own.schema.field("id").type), f"rid long, id {kind}, item_id {item_kind}, score long, item_words long, first_word long, last_word long")
         out = found if out is None else out.unionByName(found)
     return out.select("rid", F.col("id").alias(id_col), F.col("item_id").alias(item_id), "score", (F.col("score") / F.col("item_words")).alias("share"),
                       "item_words", "first_word", "last_word")
@@ -186,7 +187,7 @@ def _count_task(sent):
     return task
 
 
-def _align_task(ready, item_kind: str):
+def _align_task(ready, id_type: pa.DataType):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, seeds, sizes = ready.value
         key = block.gram[seeds]
@@ -221,7 +222,7 @@ def _align_task(ready, item_kind: str):
                 cols = list(zip(*out)) or [()] * 6
                 yield pa.RecordBatch.from_arrays(
                     [*[part.column(c).take(pa.array(cols[0], pa.int64())) for c in ("rid", "id")],
-                     pa.array([block.ids[i] for i in cols[1]], pa.array(block.ids).type if block.ids else pa.int64()),
+                     pa.array([block.ids[i] for i in cols[1]], id_type),
                      *[pa.array([int(x) for x in c], pa.int64()) for c in cols[2:]]],
                     ["rid", "id", "item_id", "score", "item_words", "first_word", "last_word"])
 
