@@ -21,7 +21,7 @@ TOKENIZER = "byte_bpe_50k.json"
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts of an identified language. Null texts, texts without a letter and undecided ones go."""
+    """Texts of an identified language. Null texts and texts without a letter go."""
     return keep_identified(docs)
 
 
