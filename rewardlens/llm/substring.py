@@ -9,7 +9,7 @@ make up the graph that matters.
    document it holds, so copies that make up a third of all rows are no hot key.
 2. *Candidates.* Blocks send 40 bits of each edge's hash to the part that owns
    this range of the hash; parts answer with the edges that several blocks have.
-3. *Graph.* For candidate edges the blocks send both 64-bit hashes, the smallest
+3. *Graph.* For candidate edges the blocks send 96 bits of hashes, the smallest
    document id, and marks of the edge before and the edge after. Their join says
    which edges repeat, which document has them first, and where paths branch, begin
    or end: an edge continues only if every occurrence has the same neighbour.
@@ -26,6 +26,7 @@ Parts and blocks follow the input in number, not in size.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,14 +34,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rewardlens.llm.common import materialize
-from rewardlens.llm.textbatch import U64, Words, inside_row, mix, text_buffer, window_hashes
+from rewardlens.llm.textbatch import BASE, U64, Words, inside_row, mix, text_buffer, window_hashes
 from rewardlens.session import ship_package
 
 WINDOW = 13
 BLOCK_BYTES = 2 << 20
 EDGES_PER_PART = 1 << 20
 NO_ID = np.iinfo(np.int64).max
-EDGE = np.dtype([("k1", "<u8"), ("k2", "<u8"), ("id", "<i8"), ("before", "<u4"), ("after", "<u4")])
+EDGE = np.dtype([("k1", "<u8"), ("k2", "<u4"), ("id", "<i8"), ("before", "<u4"), ("after", "<u4")])
+#: The same with ids counted from the smallest one, for blobs whose ids lie close enough.
+NEAR_EDGE = np.dtype([("k1", "<u8"), ("k2", "<u4"), ("id", "<u4"), ("before", "<u4"), ("after", "<u4")])
 REPEATED, OLDER, CUT_BEFORE, CUT_AFTER = 1, 2, 4, 8
 SHORT = U64(24)
 
@@ -48,7 +51,8 @@ SHORT = U64(24)
 class Block:
     """The words and edges of one block of rows, in the order of (id, row number)."""
 
-    def __init__(self, table: pa.Table, window: int, seed: int):
+    def __init__(self, parcels: pa.Table, window: int, seed: int):
+        table = pa.concat_tables([pa.ipc.open_stream(x).read_all() for x in parcels.column("parcel").to_pylist()])
         table = table.combine_chunks().sort_by([("id", "ascending"), ("rid", "ascending")])
         self.table, self.window = table, window
         buf, offs = text_buffer(table.column("text"))
@@ -57,40 +61,50 @@ class Block:
         h = mix(self.words.hashes() + U64(seed))
         ok = inside_row(row, window, len(h))
         self.pos = np.flatnonzero(ok)
-        all1, all2 = window_hashes(h, window), window_hashes(mix(h ^ U64(0xA5A5A5A5A5A5A5A5)), window)
-        self.k1, self.k2 = all1[self.pos], all2[self.pos]
-        self.doc = np.searchsorted(row, self.pos, "right") - 1
+        self.other = mix(h ^ U64(0xA5A5A5A5A5A5A5A5))
+        all1 = window_hashes(h, window)
+        self.k1 = all1[self.pos]
+        self.doc = np.repeat(np.arange(len(row) - 1), np.maximum(np.diff(row) - window + 1, 0))
         self.id = table.column("id").fill_null(NO_ID).to_numpy().astype(np.int64)
-        # marks of the neighbouring edges; 0 where the document begins or ends
-        mark = ((all1 >> U64(8)) | U64(1)).astype(np.uint32)
-        joined = np.r_[False, np.diff(self.doc) == 0] if len(self.doc) else np.zeros(0, bool)
-        self.before, self.after = np.zeros(len(self.pos), np.uint32), np.zeros(len(self.pos), np.uint32)
-        at = np.flatnonzero(joined)
-        self.before[at] = mark[self.pos[at] - 1]
-        self.after[at - 1] = mark[self.pos[at]]
 
     def short_edges(self) -> np.ndarray:
-        return np.unique(self.k1 >> SHORT)
+        return _different(np.sort(self.k1 >> SHORT))
 
     def candidates(self, repeated: np.ndarray) -> np.ndarray:
-        """Indices of the edges that several blocks, or several ids of this block, have."""
+        """Indices of the edges that several blocks have, or that stand in this block more than once."""
         short = self.k1 >> SHORT
-        by = np.argsort(short, kind="stable")
-        here = np.flatnonzero(np.r_[True, np.diff(short[by]) > 0]) if len(by) else np.zeros(0, np.int64)
-        own = self.id[self.doc[by]]
-        local = np.minimum.reduceat(own, here) != np.maximum.reduceat(own, here) if len(here) else np.zeros(0, bool)
-        known = np.zeros(len(short), bool)
-        known[by] = np.repeat(local, np.diff(np.r_[here, len(by)]))
-        if len(repeated):
-            at = np.minimum(np.searchsorted(repeated, short), len(repeated) - 1)
-            known |= repeated[at] == short
-        return np.flatnonzero(known)
+        in_order = np.sort(short)
+        twice = in_order[1:][in_order[1:] == in_order[:-1]]
+        wanted = _different(np.sort(np.concatenate([repeated, twice])))
+        if not len(wanted):
+            return np.zeros(0, np.int64)
+        # a small table of the first 20 bits passes few others
+        table = np.zeros(1 << 20, bool)
+        table[(wanted >> U64(20)).astype(np.int64)] = True
+        may = np.flatnonzero(table[(short >> U64(20)).astype(np.int64)])
+        at = np.minimum(np.searchsorted(wanted, short[may]), len(wanted) - 1)
+        return may[wanted[at] == short[may]]
+
+    def second(self, use: np.ndarray) -> np.ndarray:
+        """32 bits of another hash of the windows ``use``."""
+        out = np.zeros(len(use), U64)
+        for i in range(self.window):
+            out = out * U64(BASE) + self.other[self.pos[use] + i]
+        return (mix(out) >> U64(32)).astype(np.uint32)
+
+    def marks(self, use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Marks of the edges before and after ``use``; 0 where the document begins or ends."""
+        mark = ((self.k1 >> U64(8)) | U64(1)).astype(np.uint32)
+        before, after = np.maximum(use - 1, 0), np.minimum(use + 1, len(self.k1) - 1)
+        return (np.where((use > 0) & (self.doc[before] == self.doc[use]), mark[before], 0),
+                np.where((use + 1 < len(self.k1)) & (self.doc[after] == self.doc[use]), mark[after], 0))
 
     def edges(self, use: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Different edges among ``use``, each occurrence's index among them, and whether several ids have the edge."""
-        by = np.lexsort((self.k2[use], self.k1[use]))
-        k1, k2 = self.k1[use][by], self.k2[use][by]
-        at = np.flatnonzero(np.r_[True, (np.diff(k1) > 0) | (np.diff(k2) > 0) | (k2[1:] < k2[:-1])]) if len(by) else np.zeros(0, np.int64)
+        k1, k2 = self.k1[use], self.second(use)
+        by = _order(k1, k2)
+        k1, k2 = k1[by], k2[by]
+        at = np.flatnonzero(np.r_[True, (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])]) if len(by) else np.zeros(0, np.int64)
         out = np.zeros(len(at), EDGE)
         which = np.zeros(len(by), np.int64)
         if not len(at):
@@ -98,26 +112,69 @@ class Block:
         which[by] = np.repeat(np.arange(len(at)), np.diff(np.r_[at, len(by)]))
         ids = self.id[self.doc[use]][by]
         out["k1"], out["k2"], out["id"] = k1[at], k2[at], np.minimum.reduceat(ids, at)
-        for name, marks in (("before", self.before[use][by]), ("after", self.after[use][by])):
-            low, high = np.minimum.reduceat(marks, at), np.maximum.reduceat(marks, at)
+        for name, marks in zip(("before", "after"), self.marks(use)):
+            low, high = np.minimum.reduceat(marks[by], at), np.maximum.reduceat(marks[by], at)
             out[name] = np.where(low == high, low, 0)
         return out, which, np.maximum.reduceat(ids, at) != out["id"]
 
 
+def _different(in_order: np.ndarray) -> np.ndarray:
+    """The different values of a sorted array."""
+    return in_order[np.r_[True, in_order[1:] != in_order[:-1]]] if len(in_order) else in_order
+
+
+def _order(k1: np.ndarray, k2: np.ndarray) -> np.ndarray:
+    """Sorts by (k1, k2); the second key matters only where the first one collides."""
+    by = np.argsort(k1, kind="stable")
+    a, b = k1[by], k2[by]
+    if np.any((a[1:] == a[:-1]) & (b[1:] != b[:-1])):
+        return np.lexsort((k2, k1))
+    return by
+
+
 def _part_bounds(short: np.ndarray, parts: int) -> np.ndarray:
     """Where each part's range begins in sorted 40-bit hashes."""
     return np.searchsorted((short * U64(parts)) >> U64(40), np.arange(parts + 1).astype(U64))
 
 
 def _pack(short: np.ndarray) -> bytes:
-    return np.ascontiguousarray(short.astype("<u8")[:, None].view(np.uint8)[:, :5]).tobytes()
+    """Sorted different 40-bit numbers as their gaps, in as many bytes each as the usual gap needs.
+
+    The largest number of that width stands for a gap that goes on in the next one.
+    """
+    gap = np.diff(short, prepend=U64(0)).astype(np.int64)
+    spread = int(short[-1] - short[0]) // len(short) * 4
+    width = max(1, -(-spread.bit_length() // 8))
+    top = (1 << 8 * width) - 1
+    full, rest = np.divmod(gap, top)
+    full[0], first = 0, int(gap[0])  # the first number stands in the head
+    rest[0] = 0
+    out = np.full(len(gap) + int(full.sum()), top, "<u8")
+    out[np.cumsum(full + 1) - 1] = rest
+    return bytes([width]) + first.to_bytes(8, "little") + np.ascontiguousarray(out[:, None].view(np.uint8)[:, :width]).tobytes()
 
 
 def _unpack(blob: bytes) -> np.ndarray:
-    raw = np.frombuffer(blob, np.uint8).reshape(-1, 5)
+    width, first = blob[0], int.from_bytes(blob[1:9], "little")
+    raw = np.frombuffer(blob, np.uint8, offset=9).reshape(-1, width)
     out = np.zeros((len(raw), 8), np.uint8)
-    out[:, :5] = raw
-    return out.view("<u8").ravel().astype(np.uint64)
+    out[:, :width] = raw
+    gap = out.view("<u8").ravel()
+    return (np.cumsum(gap, dtype=np.uint64) + U64(first))[gap != (1 << 8 * width) - 1]
+
+
+def _pack_edges(edges: np.ndarray) -> bytes:
+    low = int(edges["id"].min())
+    near = int(edges["id"].max()) - low < 1 << 32
+    out = edges.astype(EDGE)
+    out["id"] -= low
+    return bytes([near]) + low.to_bytes(8, "little", signed=True) + out.astype(NEAR_EDGE if near else EDGE).tobytes()
+
+
+def _unpack_edges(blob: bytes) -> np.ndarray:
+    out = np.frombuffer(blob, NEAR_EDGE if blob[0] else EDGE, offset=9).astype(EDGE)
+    out["id"] += int.from_bytes(blob[1:9], "little", signed=True)
+    return out
 
 
 def _sent(rows: list[tuple[int, int, bytes]]) -> pa.Table:
@@ -125,6 +182,25 @@ def _sent(rows: list[tuple[int, int, bytes]]) -> pa.Table:
     return pa.table({"block": pa.array(cols[0], pa.int64()), "part": pa.array(cols[1], pa.int64()), "blob": pa.array(cols[2], pa.binary())})
 
 
+PARCEL = "block long, parcel binary"
+
+
+def _parcels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch for each block, compressed: the text travels once, and small."""
+    options = pa.ipc.IpcWriteOptions(compression="zstd")
+    for batch in batches:
+        block = batch.column("block").to_numpy()
+        by = np.argsort(block, kind="stable")
+        at = np.flatnonzero(np.r_[True, np.diff(block[by]) > 0]) if len(by) else np.zeros(0, np.int64)
+        rows, out = batch.select(["rid", "id", "text"]), []
+        for i, j in zip(at, np.r_[at[1:], len(by)]):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema, options=options) as writer:
+                writer.write_batch(rows.take(pa.array(by[i:j])))
+            out.append(sink.getvalue().to_pybytes())
+        yield pa.RecordBatch.from_arrays([pa.array(block[by[at]], pa.int64()), pa.array(out, pa.binary())], ["block", "parcel"])
+
+
 SENT = "block long, part long, blob binary"
 
 
@@ -169,17 +245,17 @@ def _describe(parts: int, window: int, seed: int):
         block = Block(table, window, seed)
         edges, _, _ = block.edges(block.candidates(_repeated(answers)))
         at = _part_bounds(edges["k1"] >> SHORT, parts)
-        return _sent([(key[0].as_py(), p, edges[at[p]:at[p + 1]].tobytes()) for p in range(parts) if at[p] < at[p + 1]])
+        return _sent([(key[0].as_py(), p, _pack_edges(edges[at[p]:at[p + 1]])) for p in range(parts) if at[p] < at[p + 1]])
 
     return task
 
 
 def _judge(table: pa.Table) -> pa.Table:
     """Flags of every edge of one part, for each block in the order it sent them."""
-    sent = [np.frombuffer(b, EDGE) for b in table.column("blob").to_pylist()]
+    sent = [_unpack_edges(b) for b in table.column("blob").to_pylist()]
     size = [len(x) for x in sent]
     edges = np.concatenate(sent)
-    by = np.lexsort((edges["k2"], edges["k1"]))
+    by = _order(edges["k1"], edges["k2"])
     e = edges[by]
     at = np.flatnonzero(np.r_[True, (e["k1"][1:] != e["k1"][:-1]) | (e["k2"][1:] != e["k2"][:-1])])
     n = np.diff(np.r_[at, len(e)])
@@ -224,37 +300,37 @@ def _settle(window: int, seed: int, texts: bool):
         if len(use) > 1:
             new[1:] = (np.diff(pos) != 1) | (np.diff(doc) != 0) | (flag[:-1] & CUT_AFTER > 0) | (flag[1:] & CUT_BEFORE > 0)
         begin = np.flatnonzero(new)
-        end = np.r_[begin[1:], len(use)]
+        end = np.r_[begin[1:], len(use)][:len(begin)]
         w = block.words
         joined, start, stop = _joined(w)
-        total = np.zeros(len(w) + 1, np.int64)
-        np.add.at(total, pos[gone], 1)
-        np.add.at(total, pos[gone] + window, -1)
-        covered = np.cumsum(total)[:-1] > 0
-        rows = np.searchsorted(doc[begin], np.arange(len(w.row))) if len(begin) else np.zeros(len(w.row), np.int64)
-        cols: list[list] = [[] for _ in kinds[2:]]
-        for r in range(table.num_rows):
-            a, b = w.row[r], w.row[r + 1]
-            spans = []
-            for s in range(rows[r], rows[r + 1] if r + 1 < len(rows) else len(begin)):
-                i, j = pos[begin[s]], pos[end[s] - 1] + window
-                spans.append({"path": int(block.k1[use[begin[s]]].view(np.int64)), "start": int(i - a), "words": int(j - i), "removed": bool(gone[begin[s]]),
-                              "digest": hashlib.sha256(joined[start[i]:stop[j - 1]]).hexdigest()[:32]})
-            out = covered[a:b]
-            n = int(out.sum())
+        size = len(w) + 1
+        depth = np.bincount(pos[gone], minlength=size) - np.bincount(pos[gone] + window, minlength=size)
+        covered = np.cumsum(depth)[:-1] > 0
+        first, last = pos[begin], pos[end - 1] + window
+        digests = [hashlib.sha256(joined[i:j]).hexdigest()[:32] for i, j in zip(start[first].tolist(), stop[last - 1].tolist())]
+        spans = pa.ListArray.from_arrays(
+            pa.array(np.searchsorted(doc[begin], np.arange(len(w.row))), pa.int32()),
+            pa.StructArray.from_arrays([pa.array(block.k1[use[begin]].view(np.int64)), pa.array(first - w.row[doc[begin]]), pa.array(last - first),
+                                        pa.array(gone[begin]), pa.array(digests, pa.string())], fields=list(_SPANS.value_type)))
+        removed = np.diff(np.r_[0, np.cumsum(covered)][w.row])
+        shas, left = [], []
+        for a, b, n in zip(w.row[:-1].tolist(), w.row[1:].tolist(), removed.tolist()):
             if n:
-                edge = np.flatnonzero(np.diff(np.r_[True, out, True].astype(np.int8)))
-                kept = b" ".join(joined[start[a + i]:stop[a + j - 1]] for i, j in zip(edge[::2].tolist(), edge[1::2].tolist()))
+                edge = np.flatnonzero(np.diff(np.r_[True, covered[a:b], True].astype(np.int8))) + a
+                kept = b" ".join(joined[i:j] for i, j in zip(start[edge[::2]].tolist(), stop[edge[1::2] - 1].tolist()))
             else:
-                kept = joined[start[a]:stop[b - 1]] if a < b else b""
-            for c, v in zip(cols, (int(b - a), n, hashlib.sha256(kept).hexdigest(), spans, *[kept.decode()] * texts)):
-                c.append(v)
-        return pa.table([block.table.column("rid").combine_chunks(), block.table.column("id").combine_chunks(), *[pa.array(c, k) for c, k in zip(cols, kinds[2:])]], names)
+                kept = joined[int(start[a]):int(stop[b - 1])] if a < b else b""
+            shas.append(hashlib.sha256(kept).hexdigest())
+            if texts:
+                left.append(kept.decode())
+        cols = [block.table.column("rid").combine_chunks(), block.table.column("id").combine_chunks(), pa.array(np.diff(w.row)), pa.array(removed),
+                pa.array(shas, pa.string()), spans, *[pa.array(left, pa.string())] * texts]
+        return pa.table(cols, names)
 
     return task
 
 
-def _joined(w: Words) -> tuple[bytes, list[int], list[int]]:
+def _joined(w: Words) -> tuple[bytes, np.ndarray, np.ndarray]:
     """All words with one space after each, and where each word begins and ends there."""
     size = w.end - w.start + 1
     end = np.cumsum(size) - 1
@@ -262,7 +338,7 @@ def _joined(w: Words) -> tuple[bytes, list[int], list[int]]:
     keep = np.ones(len(out), bool)
     keep[end] = False
     out[keep] = w.buf[w.is_word]
-    return out.tobytes(), (end - size + 1).tolist(), end.tolist()
+    return out.tobytes(), end - size + 1, end
 
 
 def _once(docs: DataFrame, id_col: str, text_col: str, window: int, texts: bool, seed: int) -> DataFrame:
@@ -270,7 +346,7 @@ def _once(docs: DataFrame, id_col: str, text_col: str, window: int, texts: bool,
     size, words = docs.select(F.octet_length(text_col).cast("long").alias("b")).agg(F.coalesce(F.sum("b"), F.lit(0)), F.coalesce((F.sum("b") / 6).cast("long"), F.lit(0))).first()
     blocks, parts = 1 + size // BLOCK_BYTES, 1 + words // EDGES_PER_PART
     tasks = max(1, min(blocks, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("rid"), F.lit(blocks))).repartition(tasks, "block")
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("rid"), F.lit(blocks))).mapInArrow(_parcels, PARCEL).repartition(tasks, "block")
 
     def table(names: str):
         return "rid long, id long, " + names

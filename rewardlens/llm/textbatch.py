@@ -76,15 +76,27 @@ class Words:
     def hashes(self) -> np.ndarray:
         """A mixed 64-bit polynomial hash of each word's bytes."""
         n = len(self.buf)
-        powers = np.full(n + 1, BASE, U64)
-        powers[0] = 1
-        np.multiply.accumulate(powers, out=powers)
         total = np.zeros(n + 1, U64)
-        np.cumsum((self.buf.astype(U64) + U64(1)) * powers[:-1], out=total[1:])
-        back = np.full(n + 1, BASE_INVERSE, U64)
-        back[0] = 1
-        np.multiply.accumulate(back, out=back)
-        return mix((total[self.end] - total[self.start]) * back[self.start])
+        np.cumsum((self.buf.astype(U64) + U64(1)) * powers(BASE, n), out=total[1:])
+        return mix((total[self.end] - total[self.start]) * powers(BASE_INVERSE, n + 1)[self.start])
+
+
+_POWERS: dict[int, np.ndarray] = {}
+#: Longest run of powers that a Python worker keeps between slices.
+KEPT_POWERS = 4 << 20
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """``base ** 0 .. base ** (n - 1)`` modulo 2**64."""
+    kept = _POWERS.get(base)
+    if kept is not None and len(kept) >= n:
+        return kept[:n]
+    out = np.full(max(n, KEPT_POWERS), base, U64)
+    out[0] = 1
+    np.multiply.accumulate(out, out=out)
+    if len(out) == KEPT_POWERS:
+        _POWERS[base] = out
+    return out[:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
