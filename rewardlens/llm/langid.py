@@ -15,6 +15,10 @@ from rewardlens.llm.ppm import count_events, fit, score_rows
 from rewardlens.session import ship_package
 
 
+#: Longest context of the language models, in bytes.
+ORDER = 3
+
+
 def held_out(key: Column, buckets: int, which: int = 2) -> Column:
     """Whether crc32 of the key as text falls on ``which`` of ``buckets``; a null key counts as the empty text."""
     return (F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % buckets) == which
@@ -32,7 +36,7 @@ def with_language(docs: DataFrame, train: DataFrame, text_col: str = "text", lab
     """
     spark = docs.sparkSession
     ship_package(spark)
-    model = fit(count_events(train.select(F.col(label_col).alias("label"), F.col(text_col).alias("text"))), max_contexts)
+    model = fit(count_events(train.select(F.col(label_col).alias("label"), F.col(text_col).alias("text")), ORDER), max_contexts, ORDER)
     labels, each, bits = model.labels, prefix + "each", prefix + "bits"
     sent = spark.sparkContext.broadcast(model)
     # columns travel under plain names, whatever theirs are
@@ -59,8 +63,13 @@ def identify(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col
     return rows.select(F.col("id").alias(id_col), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_bits").alias("bits"))
 
 
-def keep_identified(docs: DataFrame, text_col: str = "text", label_col: str = "lang", least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose text has a language of at least ``least`` probability; learns from the labelled rows."""
+def keep_identified(docs: DataFrame, text_col: str = "text", label_col: str = "lang", least: float = 0.0) -> DataFrame:
+    """The rows of ``docs`` whose text has a language; learns from the labelled rows.
+
+    Texts judged ``und`` go, and those whose language has less than ``least``
+    probability. The default keeps a short text that two languages could have
+    written: it is undecided, not foreign.
+    """
     prefix = fresh(docs, "lang_each")[:-4]
     rows = with_language(docs, docs.filter(F.col(label_col).isNotNull()), text_col, label_col, prefix=prefix)
     return rows.filter((F.col(prefix + "pred") != "und") & (F.col(prefix + "score") >= least)).select(*columns(docs))

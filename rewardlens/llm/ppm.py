@@ -1,9 +1,8 @@
 """Prediction by partial matching over byte contexts, as Spark counts and a bounded automaton.
 
-*Counts.* Every byte of every training text is one event: its five preceding
-bytes (texts begin after five newlines) and itself. Tasks sort and count the
-packed six bytes, Spark adds the counts up. Contexts of order 0 to 5 are sums
-of these.
+*Counts.* Every byte of every training text is one event: its ``order`` preceding
+bytes (texts begin after as many newlines) and itself. Tasks sort and count the
+packed bytes, Spark adds the counts up. Contexts of lower orders are sums of these.
 
 *Trie.* The most frequent contexts stay, at most ``max_contexts``. Each suffix and
 prefix of a context is at least as frequent, so the set holds both, and the
@@ -16,7 +15,7 @@ ones; last comes a uniform choice among the bytes not excluded. With frozen
 counts the code length of a byte depends on context and byte only, so it is a
 table, and a text's exact code length is a sum of table entries.
 
-*Scoring.* Texts are cut into runs that start from their five preceding bytes,
+*Scoring.* Texts are cut into runs that start from their ``order`` preceding bytes,
 and all runs of a slice advance together, a byte at a time, in numpy.
 """
 
@@ -34,24 +33,24 @@ from pyspark.sql import functions as F
 from rewardlens.llm.common import materialize, most_frequent
 from rewardlens.llm.textbatch import slices, text_buffer
 
-ORDER = 5
-START = 10  # texts begin after ORDER newlines
+ORDER = 5  # the default; seven is the most that eight packed bytes allow
+START = 10  # texts begin after `order` newlines
 RUN = 256
 
 
-def padded(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The rows' bytes, each row after ORDER start bytes, and each byte's place there."""
+def padded(buf: np.ndarray, offs: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rows' bytes, each row after ``order`` start bytes, and each byte's place there."""
     rows = np.repeat(np.arange(len(offs) - 1), np.diff(offs))
-    place = np.arange(len(buf)) + ORDER * (rows + 1)
-    out = np.full(len(buf) + ORDER * (len(offs) - 1), START, np.uint8)
+    place = np.arange(len(buf)) + order * (rows + 1)
+    out = np.full(len(buf) + order * (len(offs) - 1), START, np.uint8)
     out[place] = buf
     return out, place
 
 
-def _events(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    out, place = padded(buf, offs)
+def _events(buf: np.ndarray, offs: np.ndarray, order: int) -> np.ndarray:
+    out, place = padded(buf, offs, order)
     key = np.zeros(len(place), np.uint64)
-    for back in range(ORDER, -1, -1):
+    for back in range(order, -1, -1):
         key = (key << np.uint64(8)) | out[place - back].astype(np.uint64)
     return key
 
@@ -67,7 +66,7 @@ def _add_up(keys: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray,
     return keys[at], np.add.reduceat(n, at) if len(at) else np.zeros(0, np.int64)
 
 
-def count_events(labelled: DataFrame) -> DataFrame:
+def count_events(labelled: DataFrame, order: int = ORDER) -> DataFrame:
     """``(label, event, n)``: byte events of ``labelled(label, text)``; rows with a null label are left out."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,8 +76,8 @@ def count_events(labelled: DataFrame) -> DataFrame:
                 labels = part.column("label").to_pylist()
                 for label in sorted(set(labels)):
                     own = part if len(set(labels)) == 1 else part.filter(pa.array([x == label for x in labels]))
-                    held.setdefault(label, []).append(_add_up(_events(*text_buffer(own.column("text")))))
-                    if len(held[label]) >= 16:
+                    held.setdefault(label, []).append(_add_up(_events(*text_buffer(own.column("text")), order)))
+                    if len(held[label]) >= 6:
                         held[label] = [_merge(held[label])]
         for label, parts in held.items():
             keys, n = _merge(parts)
@@ -96,6 +95,7 @@ def _merge(parts: list) -> tuple[np.ndarray, np.ndarray]:
 class Model:
     """Per (context, symbol): the next context and, for each label, the code length in bits."""
 
+    order: int
     labels: list[str]
     symbol: np.ndarray  # byte -> symbol; the last symbol is any byte without counts
     next: np.ndarray  # context * symbols + symbol -> context
@@ -105,7 +105,7 @@ class Model:
         """Code length in bits of each row under each label: ``(rows, labels)``."""
         rows, labels = len(offs) - 1, len(self.labels)
         out = np.zeros((rows, labels))
-        text, _ = padded(buf, offs)
+        text, _ = padded(buf, offs, self.order)
         text = self.symbol[text]
         sizes = np.diff(offs)
         per = -(-sizes // RUN)
@@ -113,14 +113,14 @@ class Model:
         if not len(owner):
             return out
         nth = np.arange(len(owner)) - np.repeat(np.cumsum(per) - per, per)
-        begin = offs[:-1][owner] + ORDER * (owner + 1) + nth * RUN
+        begin = offs[:-1][owner] + self.order * (owner + 1) + nth * RUN
         length = np.minimum(RUN, sizes[owner] - nth * RUN)
         by = np.argsort(-length, kind="stable")
         owner, begin, length = owner[by], begin[by], length[by]
         left = np.searchsorted(-length, -np.arange(RUN), "left")  # runs longer than t
         width = int(self.symbol.max()) + 1
         at = np.zeros(len(owner), np.int32)
-        for t in range(-ORDER, 0):
+        for t in range(-self.order, 0):
             at = self.next[at * width + text[begin + t]]
         total = np.zeros((len(owner), labels))
         for t in range(RUN):
@@ -135,9 +135,9 @@ class Model:
         return out
 
 
-def fit(events: DataFrame, max_contexts: int = 16384) -> Model:
+def fit(events: DataFrame, max_contexts: int = 16384, order: int = ORDER) -> Model:
     """A model of ``events(label, event, n)``; what reaches the driver is bounded by ``max_contexts`` contexts of 256 symbols."""
-    at_order = F.explode(F.sequence(F.lit(0), F.lit(ORDER))).alias("k")
+    at_order = F.explode(F.sequence(F.lit(0), F.lit(order))).alias("k")
     mask = F.expr("shiftleft(1L, 8 * k) - 1")
 
     def context(c: Column) -> Column:
@@ -156,10 +156,10 @@ def fit(events: DataFrame, max_contexts: int = 16384) -> Model:
     used = np.unique(np.r_[sym, START])  # contexts at a text's begin hold START
     symbol = np.full(256, min(len(used), 255), np.int32)
     symbol[used] = np.arange(len(used))
-    find = {o: (np.flatnonzero(k == o), ctx[k == o]) for o in range(ORDER + 1)}
+    find = {o: (np.flatnonzero(k == o), ctx[k == o]) for o in range(order + 1)}
 
-    def look(order: int, want: np.ndarray) -> np.ndarray:
-        ids, vals = find[order]
+    def look(o: int, want: np.ndarray) -> np.ndarray:
+        ids, vals = find[o]
         if not len(ids):
             return np.full(want.shape, -1)
         p = np.minimum(np.searchsorted(vals, want), len(vals) - 1)
@@ -167,15 +167,15 @@ def fit(events: DataFrame, max_contexts: int = 16384) -> Model:
 
     width = len(used) + (len(used) < 256)
     nxt = np.zeros((len(k), width), np.int32)
-    for order in range(1, ORDER + 1):
-        for rows in np.array_split(np.flatnonzero(k + 1 >= order), 1 + len(k) // 4096):
-            want = ((ctx[rows, None] << 8) | used[None, :]) & ((1 << (8 * order)) - 1)
-            got = look(order, want)
+    for o in range(1, order + 1):
+        for rows in np.array_split(np.flatnonzero(k + 1 >= o), 1 + len(k) // 4096):
+            want = ((ctx[rows, None] << 8) | used[None, :]) & ((1 << (8 * o)) - 1)
+            got = look(o, want)
             nxt[rows, :len(used)] = np.where(got >= 0, got, nxt[rows, :len(used)])
     parent = np.zeros(len(k), np.int64)
-    for order in range(1, ORDER + 1):
-        own = np.flatnonzero(k == order)
-        parent[own] = look(order - 1, ctx[own] & ((1 << (8 * (order - 1))) - 1))
+    for o in range(1, order + 1):
+        own = np.flatnonzero(k == o)
+        parent[own] = look(o - 1, ctx[own] & ((1 << (8 * (o - 1))) - 1))
     bits = np.zeros((len(k) * width, max(1, len(labels))), np.float32)
     row, column = np.searchsorted(contexts, place), symbol[sym]
     n = kept.column("n").to_numpy()
@@ -186,7 +186,7 @@ def fit(events: DataFrame, max_contexts: int = 16384) -> Model:
         for b in range(0, len(k), 4096):
             own = slice(b, b + 4096)
             bits[b * width:(b + 4096) * width, j] = _code_lengths(counts, np.arange(len(k))[own], k, parent, len(used)).ravel()
-    return Model(labels, symbol, nxt.ravel(), bits)
+    return Model(order, labels, symbol, nxt.ravel(), bits)
 
 
 def _code_lengths(counts: np.ndarray, at: np.ndarray, k: np.ndarray, parent: np.ndarray, used: int) -> np.ndarray:
@@ -195,7 +195,7 @@ def _code_lengths(counts: np.ndarray, at: np.ndarray, k: np.ndarray, parent: np.
     open_ = np.ones(prob.shape, bool)  # symbols not excluded
     escape = np.ones(len(at))
     live = np.ones(len(at), bool)
-    for _ in range(ORDER + 1):
+    for _ in range(int(k.max()) + 1):
         c = counts[at] * open_ * live[:, None]
         t, d = c.sum(1), (c > 0).sum(1)
         total = np.maximum(t + d, 1)
