@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 U64 = np.uint64
 #: Odd multiplier of the polynomial word hash, and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
@@ -83,7 +83,7 @@ class Words:
 
 _POWERS: dict[int, np.ndarray] = {}
 #: Longest run of powers that a Python worker keeps between slices.
-KEPT_POWERS = 4 << 20
+KEPT_POWERS = (1 << 20) + 1
 
 
 def powers(base: int, n: int) -> np.ndarray:
