@@ -10,13 +10,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rewardlens.llm.common import columns, fresh
+from rewardlens.llm.common import columns, fresh, materialize
 from rewardlens.llm.ppm import count_events, fit, score_rows
 from rewardlens.session import ship_package
 
 
 #: Longest context of the language models, in bytes.
 ORDER = 3
+#: Texts of fewer bytes are too little to tell a foreign text by.
+SHORT = 32
+#: A text may take so many times the bits a byte of its language's labelled texts, of which this share may be odd ones.
+SLACK = 2.0
+ODD = 0.01
 
 
 def held_out(key: Column, buckets: int, which: int = 2) -> Column:
@@ -63,13 +68,46 @@ def identify(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col
     return rows.select(F.col("id").alias(id_col), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_bits").alias("bits"))
 
 
+def fit_limits(rows: DataFrame, label: Column, rate: Column) -> dict[str, float]:
+    """For each label the most bits a byte that a text of it may take, from the fits ``rate`` of all labelled ``rows``.
+
+    ``SLACK`` times the fit that all but ``ODD`` of the label's texts reach, at
+    most the eight bits of a code without any model. Fits are counted in bins,
+    so labels times bins is what reaches the driver.
+    """
+    bins: dict[str, list] = {}
+    for r in rows.groupBy(label.alias("label"), F.ceil(rate * 16).alias("bin")).agg(F.count(F.lit(1)).alias("n")).collect():
+        bins.setdefault(r["label"], []).append((r["bin"], r["n"]))
+    limits = {}
+    for name, own in bins.items():
+        left = int(sum(n for _, n in own) * ODD)  # texts that may lie above
+        for at, n in sorted(own, reverse=True):
+            if n > left:
+                break
+            left -= n
+        limits[name] = min(8.0, SLACK * at / 16)
+    return limits
+
+
 def keep_identified(docs: DataFrame, text_col: str = "text", label_col: str = "lang", least: float = 0.0) -> DataFrame:
     """The rows of ``docs`` whose text has a language; learns from the labelled rows.
 
-    Texts judged ``und`` go, and those whose language has less than ``least``
-    probability. The default keeps a short text that two languages could have
-    written: it is undecided, not foreign.
+    Texts judged ``und`` go, those whose language has less than ``least``
+    probability, and those that fit none of the languages: their best model
+    takes more bits a byte than ``fit_limits`` allows for its language. The
+    default keeps a text that two languages could have written: it is undecided,
+    not foreign. A text under ``SHORT`` bytes is too little to tell and is kept
+    for its letters. Labelled texts are lessons, so a labelled text fits as far
+    as the model has learned it.
     """
     prefix = fresh(docs, "lang_each")[:-4]
+    pred, bits = prefix + "pred", prefix + "bits"
     rows = with_language(docs, docs.filter(F.col(label_col).isNotNull()), text_col, label_col, prefix=prefix)
-    return rows.filter((F.col(prefix + "pred") != "und") & (F.col(prefix + "score") >= least)).select(*columns(docs))
+    rows = materialize(rows.filter((F.col(pred) != "und") & (F.col(prefix + "score") >= least)), "lang-fits")
+    size = F.octet_length(text_col)
+    rate = F.col(bits) / size
+    limits = fit_limits(rows.filter(F.col(label_col).isNotNull() & (size >= SHORT)), F.col(label_col).cast("string"), rate)
+    limit = F.lit(8.0)
+    for name, most in sorted(limits.items()):
+        limit = F.when(F.col(pred) == name, F.lit(most)).otherwise(limit)
+    return rows.filter((size < SHORT) | (rate <= limit)).select(*columns(docs))

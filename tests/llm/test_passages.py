@@ -171,3 +171,17 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     check_pack(got, [(i, t) for i, t, _ in data if i in docs and i != 1077] + [(1077, "the same")] * (1077 in docs), 1024)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "exact_dedup", "simhash_dedup", "decontamination", "packing"]
     assert brute_exact(data)
+
+
+def test_pipeline_drops_texts_of_no_learned_language(spark, tmp_path):
+    rng = random.Random(11)
+    clean = [(i, prose(rng, 80, "en" if i % 2 else "de"), "en" if i % 2 else "de") for i in range(30)]
+    short = [(40, "the same", None), (41, "er", None)]  # either language, and unlabelled
+    unlabelled = [(50, prose(rng, 80), None), (51, prose(rng, 80, "de"), None)]
+    junk = [(60, " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(50)), None),
+            (61, "".join(rng.choice("0123456789abcdef") for _ in range(400)), None), (62, "= " * 200 + "a", None),
+            (63, "中文字符測試一二三四五六七八九十" * 5, None), (64, "a" + "~" * 40, None)]
+    docs = stored(spark, tmp_path, clean + short + unlabelled + junk)
+    left = corpus_pipeline.language_id(spark, docs, str(tmp_path))
+    assert left.columns == docs.columns
+    assert {r.doc_id for r in left.select("doc_id").collect()} == {i for i, _, _ in clean + short + unlabelled}
