@@ -16,7 +16,7 @@ from rewardlens.session import ship_package
 
 
 #: Longest context of the language models, in bytes.
-ORDER = 3
+ORDER = 5
 #: Texts of fewer bytes are too little to tell a foreign text by.
 SHORT = 32
 #: A text may take so many times the bits a byte of its language's labelled texts, of which this share may be odd ones.

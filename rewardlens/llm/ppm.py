@@ -2,7 +2,7 @@
 
 *Counts.* Every byte of every training text is one event: its ``order`` preceding
 bytes (texts begin after as many newlines) and itself. Tasks sort and count the
-packed bytes, Spark adds the counts up. Contexts of lower orders are sums of these.
+packed bytes and hand counts on whenever they hold many, Spark adds them up. Contexts of lower orders are sums of these.
 
 *Trie.* The most frequent contexts stay, at most ``max_contexts``. Each suffix and
 prefix of a context is at least as frequent, so the set holds both, and the
@@ -36,6 +36,7 @@ from rewardlens.llm.textbatch import slices, text_buffer
 ORDER = 5  # the default; seven is the most that eight packed bytes allow
 START = 10  # texts begin after `order` newlines
 RUN = 256
+HELD = 1 << 20  # different events that a counting task holds before it hands them on
 
 
 def padded(buf: np.ndarray, offs: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -71,6 +72,13 @@ def count_events(labelled: DataFrame, order: int = ORDER) -> DataFrame:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {}
+
+        def given() -> Iterator[pa.RecordBatch]:
+            for label, parts in held.items():
+                keys, n = _merge(parts)
+                yield pa.RecordBatch.from_arrays([pa.array([label] * len(keys), pa.string()), pa.array(keys.astype(np.int64)), pa.array(n)], ["label", "event", "n"])
+            held.clear()
+
         for batch in batches:
             for part in slices(batch, "text"):
                 labels = part.column("label").to_pylist()
@@ -79,9 +87,11 @@ def count_events(labelled: DataFrame, order: int = ORDER) -> DataFrame:
                     held.setdefault(label, []).append(_add_up(_events(*text_buffer(own.column("text")), order)))
                     if len(held[label]) >= 6:
                         held[label] = [_merge(held[label])]
-        for label, parts in held.items():
-            keys, n = _merge(parts)
-            yield pa.RecordBatch.from_arrays([pa.array([label] * len(keys), pa.string()), pa.array(keys.astype(np.int64)), pa.array(n)], ["label", "event", "n"])
+                if sum(len(keys) for parts in held.values() for keys, _ in parts) > HELD:
+                    held.update({label: [_merge(parts)] for label, parts in held.items()})
+                    if sum(len(parts[0][0]) for parts in held.values()) > HELD // 2:
+                        yield from given()
+        yield from given()
 
     rows = labelled.select(F.col("label").cast("string").alias("label"), "text").filter(F.col("label").isNotNull() & F.col("text").isNotNull())
     return rows.mapInArrow(task, "label string, event long, n long").groupBy("label", "event").agg(F.sum("n").alias("n"))
@@ -137,14 +147,18 @@ class Model:
 
 def fit(events: DataFrame, max_contexts: int = 16384, order: int = ORDER) -> Model:
     """A model of ``events(label, event, n)``; what reaches the driver is bounded by ``max_contexts`` contexts of 256 symbols."""
-    at_order = F.explode(F.sequence(F.lit(0), F.lit(order))).alias("k")
+    at_order = F.explode(F.sequence(F.lit(0), F.lit(order - 1))).alias("k")
     mask = F.expr("shiftleft(1L, 8 * k) - 1")
 
     def context(c: Column) -> Column:
         return F.shiftright(c, 8).bitwiseAND(mask)
 
-    every = events.select("label", "event", "n", at_order).select("label", "k", context(F.col("event")).alias("ctx"), F.col("event").bitwiseAND(F.lit(255)).alias("sym"), "n")
-    table = materialize(every.groupBy("label", "k", "ctx", "sym").agg(F.sum("n").alias("n")), "ppm-counts")
+    events = materialize(events, "ppm-events")
+    symbol_of = F.col("event").bitwiseAND(F.lit(255)).alias("sym")
+    every = events.select("label", "event", "n", at_order).select("label", "k", context(F.col("event")).alias("ctx"), symbol_of, "n")
+    lower = materialize(every.groupBy("label", "k", "ctx", "sym").agg(F.sum("n").alias("n")), "ppm-counts")
+    # the events are the counts of the longest order already
+    table = lower.unionByName(events.select("label", F.lit(order).alias("k"), F.expr(f"shiftright(event, 8) & (shiftleft(1L, {8 * order}) - 1)").alias("ctx"), symbol_of, "n"))
     top = most_frequent(materialize(table.groupBy("k", "ctx").agg(F.sum("n").alias("total")), "ppm-contexts"), "total", max_contexts)
     kept = table.join(top.select("k", "ctx"), ["k", "ctx"], "left_semi").toArrow()
     labels = sorted(kept.column("label").unique().to_pylist())

@@ -52,6 +52,30 @@ def test_code_lengths_are_exact(spark):
     assert np.allclose(got, [brute_code_length(t, lessons) for t in texts], rtol=1e-5)
 
 
+def test_language_models_hold_five_bytes_of_context(spark):
+    # the same bytes but for the order of two blocks: the languages part only in what follows four or five bytes
+    lessons = [("a", "abcdx efghy " * 30), ("b", "abcdy efghx " * 30)]
+    train = spark.createDataFrame(lessons, "lang string, text string")
+    docs = spark.createDataFrame([(1, "abcdx efghy " * 3), (2, "abcdy efghx " * 3)], "doc_id long, text string")
+    wide = {r.doc_id: (r.lang_pred, r.bits) for r in langid.identify(docs, train).collect()}
+    assert wide[1][0] == "a" and wide[2][0] == "b" and langid.ORDER == ppm.ORDER == 5
+    for i, (_, text) in enumerate(lessons, 1):
+        assert math.isclose(wide[i][1], brute_code_length(text[:36], [text]), rel_tol=1e-5)
+
+
+def test_counts_are_whole_however_often_they_are_handed_on(spark, monkeypatch):
+    lessons = [("a" if i % 3 else "b", t or "") for i, t, _ in rows() if i is not None]
+    want = Counter()
+    for label, t in lessons:
+        b = bytes([ppm.START]) * 5 + t.encode()
+        for p in range(5, len(b)):
+            want[(label, int.from_bytes(b[p - 5:p + 1], "big"))] += 1
+    for held in (50, 1 << 20):
+        monkeypatch.setattr(ppm, "HELD", held)
+        got = ppm.count_events(spark.createDataFrame(lessons, "label string, text string").repartition(3)).collect()
+        assert {(r.label, r.event): r.n for r in got} == want
+
+
 def test_pruned_model_is_a_distribution(spark):
     model = ppm.fit(ppm.count_events(spark.createDataFrame([("a", t or "") for _, t, _ in rows()[:60]], "label string, text string")), 300)
     width = int(model.symbol.max()) + 1
