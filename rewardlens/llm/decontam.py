@@ -1,11 +1,13 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-*Seeds.* The n-grams of all benchmark items are counted in the whole corpus.
-In every run of ``SPAN`` consecutive n-grams of an item the rarest one is a seed,
-so each stretch of ``SEED_WORDS + SPAN - 1`` unbroken words of an item has one,
-however common its words are.
+*Seeds.* Every pair of neighbouring words of an item is a seed. An alignment of
+``m`` matches and ``e`` edits has at most ``e + 1`` unbroken stretches, so at
+least ``m - e - 1`` pairs: one less than its score. Their offsets between
+document and item differ by at most ``e``, which is no more than the item's words
+less the least score. A place without so many pairs so close holds no passage
+that counts; nothing else is left out.
 
-*Join.* Items come in blocks of at most ``BLOCK_WORDS`` words; a block's seeds
+*Join.* Items come in blocks of at most ``BLOCK_WORDS`` words; a block's pairs
 and words go to every task (a proven size), and each block meets all documents.
 Nothing is shuffled, so a passage that stands in a third of all documents is no
 hot key.
@@ -13,7 +15,8 @@ hot key.
 *Alignment.* Around the seeds of one item a passage of the document is aligned
 with the item's words: match 1, mismatch and gap -1, local. A passage counts
 when its score is at least ``MIN_SHARE`` of the item's words (of at most
-``LONG_ITEM`` words, so that an excerpt of a long item counts too). Words are
+``LONG_ITEM`` words, so that an excerpt of a long item counts too). What is left
+of the place on both sides is aligned again. Words are
 compared in lower case without ASCII punctuation.
 """
 
@@ -31,8 +34,9 @@ from rewardlens.llm.common import columns, fresh, materialize
 from rewardlens.llm.textbatch import U64, Words, inside_row, slices, text_buffer, window_hashes
 from rewardlens.session import ship_package
 
-SEED_WORDS = 3
-SPAN = 3
+SEED_WORDS = 2
+#: Seeds that are looked at together, whole documents at a time.
+HITS = 1 << 20
 BLOCK_WORDS = 1 << 20
 MIN_SHARE = 0.5
 MIN_SCORE = 5
@@ -50,58 +54,37 @@ def _words(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Items:
-    """The words and n-grams of a block of benchmark items."""
+    """The words and word pairs of a block of benchmark items."""
 
     def __init__(self, ids: list, texts: list):
         self.ids = ids
         self.hash, self.row = _words(pa.array(texts, pa.string()))
         size = np.diff(self.row)
-        #: n-grams have SEED_WORDS words, or all words of a shorter item
-        self.gram, self.item, self.pos, self.n = [], [], [], []
-        for n in range(1, SEED_WORDS + 1):
-            own = size >= n if n == SEED_WORDS else size == n
-            g = window_hashes(self.hash, n)
-            ok = inside_row(self.row, n, len(self.hash))
-            at = np.flatnonzero(ok)
-            item = np.searchsorted(self.row, at, "right") - 1
-            use = own[item]
-            self.gram.append(g[at[use]])
-            self.item.append(item[use])
-            self.pos.append(at[use] - self.row[item[use]])
-            self.n.append(np.full(int(use.sum()), n))
-        self.gram, self.item, self.pos, self.n = (np.concatenate(x) for x in (self.gram, self.item, self.pos, self.n))
+        self.need = np.array([least_score(int(w)) for w in size])
+        at = np.flatnonzero(inside_row(self.row, SEED_WORDS, len(self.hash)))
+        item = np.searchsorted(self.row, at, "right") - 1
+        at, item = (x[size[item] >= MIN_SCORE] for x in (at, item))  # shorter ones never match
+        gram = window_hashes(self.hash, SEED_WORDS)[at]
+        by = np.argsort(gram, kind="stable")
+        self.gram, self.item, self.pos = gram[by], item[by], (at - self.row[item])[by]
 
     def words(self, item: int) -> np.ndarray:
         return self.hash[self.row[item]:self.row[item + 1]]
 
-    def seeds(self, count: dict[int, int]) -> np.ndarray:
-        """Indices of the rarest n-gram in every run of SPAN of an item."""
-        rare = np.array([count.get(int(g), 0) for g in self.gram.view(np.int64)], np.int64)
-        rank = np.lexsort((self.gram, rare)).argsort()
-        by = np.lexsort((self.pos, self.item))  # each item's n-grams in a row
-        bounds = np.r_[np.flatnonzero(np.r_[True, np.diff(self.item[by]) > 0]), len(by)] if len(by) else np.zeros(1, np.int64)
-        keep = np.zeros(len(self.gram), bool)
-        for a, b in zip(bounds, bounds[1:]):
-            own = by[a:b]
-            runs = np.lib.stride_tricks.sliding_window_view(rank[own], min(SPAN, b - a))
-            keep[own[np.arange(len(runs)) + runs.argmin(1)]] = True
-        return np.flatnonzero(keep)
-
-
-def _hits(part: pa.RecordBatch, grams: np.ndarray, sizes: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each n-gram size: positions whose n-gram is in sorted ``grams``, and which; the rows' begins and words."""
+
+def _hits(part: pa.RecordBatch, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Positions whose n-gram is in sorted ``grams``, and which; the rows' words and begins."""
     h, row = _words(part.column("text"))
-    for n in sizes:
-        g = window_hashes(h, n)
-        if not len(g) or not len(grams):
-            continue
-        # a small bit table first: most windows are in no item
-        table = np.zeros(1 << 20, bool)
-        table[(grams >> U64(44)).astype(np.int64)] = True
-        may = np.flatnonzero(table[(g >> U64(44)).astype(np.int64)] & inside_row(row, n, len(h)))
-        at = np.minimum(np.searchsorted(grams, g[may]), len(grams) - 1)
-        ok = grams[at] == g[may]
-        yield may[ok], at[ok], h, row
+    g = window_hashes(h, SEED_WORDS)
+    if not len(g) or not len(grams):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), h, row
+    # a small bit table first: most windows are in no item
+    table = np.zeros(1 << 20, bool)
+    table[(grams >> U64(44)).astype(np.int64)] = True
+    may = np.flatnonzero(table[(g >> U64(44)).astype(np.int64)] & inside_row(row, SEED_WORDS, len(h)))
+    at = np.minimum(np.searchsorted(grams, g[may]), len(grams) - 1)
+    ok = grams[at] == g[may]
+    return may[ok], at[ok], h, row
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
@@ -125,10 +108,18 @@ def least_score(words: int) -> float:
     return max(MIN_SCORE, MIN_SHARE * min(words, LONG_ITEM))
 
 
-def _passages(docs: np.ndarray, item: np.ndarray, diag: np.ndarray, slack: np.ndarray, size: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-    """(document, item, first, last) of the merged windows around hits of one item, in document words."""
+def _passages(docs: np.ndarray, item: np.ndarray, diag: np.ndarray, need: np.ndarray, size: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(document, item, first, last) of the merged places with enough pairs of one item, in document words.
+
+    ``need`` and ``size`` are the least score and the words of each hit's item.
+    """
     by = np.lexsort((diag, item, docs))
-    docs, item, low, high = docs[by], item[by], (diag - slack)[by], (diag + size + slack)[by]
+    docs, item, diag, need, size = docs[by], item[by], diag[by], need[by], size[by]
+    drift = np.floor(size - need).astype(np.int64)
+    last = np.arange(len(docs)) + np.ceil(need).astype(np.int64) - 2
+    end = np.minimum(last, len(docs) - 1)
+    dense = np.flatnonzero((last < len(docs)) & (docs[end] == docs) & (item[end] == item) & (diag[end] - diag <= drift))
+    docs, item, low, high = docs[dense], item[dense], (diag - drift)[dense], (diag + drift + size)[dense]
     i = 0
     while i < len(docs):
         j, top = i + 1, high[i]
@@ -139,6 +130,22 @@ def _passages(docs: np.ndarray, item: np.ndarray, diag: np.ndarray, slack: np.nd
         i = j
 
 
+def _aligned(item: np.ndarray, own: np.ndarray, doc: np.ndarray, first: int, last: int, need: float) -> Iterator[tuple[int, int, int]]:
+    """(score, first, last) of the passages of ``item`` (sorted: ``own``) in words ``first`` to ``last`` of ``doc``."""
+    left = [(first, last)]
+    while left:
+        a, b = left.pop()
+        passage = doc[a:b]
+        common = own[np.minimum(np.searchsorted(own, passage), len(own) - 1)] == passage
+        if common.sum() < need:
+            continue
+        score, end = align(item, passage)
+        if score >= need:
+            _, back = align(item[::-1], passage[:end][::-1])
+            yield score, a + end - back, a + end
+            left += [(a, a + end - back), (a + end, b)]
+
+
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """``(rid, id_col, item_id, score, share, item_words, first_word, last_word)``: one row for each aligned passage.
@@ -160,65 +167,45 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     for b in range(blocks):
         own = bench.filter(F.pmod(F.xxhash64("id", "text"), F.lit(2 * blocks)).isin(2 * b, 2 * b + 1)).orderBy("id", "text").toArrow()  # about BLOCK_WORDS words
         block = Items(own.column("id").to_pylist(), own.column("text").to_pylist())
-        grams, sizes = np.unique(block.gram), sorted(set(block.n.tolist()))
-        sent = spark.sparkContext.broadcast((grams, sizes))
-        counted = rows.select("text").mapInArrow(_count_task(sent), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-        count = {r["gram"]: r["n"] for r in counted.collect()}  # n-grams of this block
-        seeds = block.seeds(count)
-        seeds = seeds[np.argsort(block.gram[seeds], kind="stable")]
-        ready = spark.sparkContext.broadcast((block, seeds, sizes))
+        ready = spark.sparkContext.broadcast(block)
         found = rows.mapInArrow(_align_task(ready, own.schema.field("id").type), f"rid long, id {kind}, item_id {item_kind}, score long, item_words long, first_word long, last_word long")
         out = found if out is None else out.unionByName(found)
     return out.select("rid", F.col("id").alias(id_col), F.col("item_id").alias(item_id), "score", (F.col("score") / F.col("item_words")).alias("share"),
                       "item_words", "first_word", "last_word")
 
 
-def _count_task(sent):
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, sizes = sent.value
-        total = np.zeros(len(grams), np.int64)
-        for batch in batches:
-            for part in slices(batch, "text"):
-                for _, which, _, _ in _hits(part, grams, sizes):
-                    total += np.bincount(which, minlength=len(grams))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(grams[some].view(np.int64)), pa.array(total[some])], ["gram", "n"])
-
-    return task
-
-
 def _align_task(ready, id_type: pa.DataType):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, seeds, sizes = ready.value
-        key = block.gram[seeds]
-        grams, first = np.unique(key, return_index=True)
-        many = np.diff(np.r_[first, len(key)])
+        block = ready.value
+        grams, first = np.unique(block.gram, return_index=True)
+        many = np.diff(np.r_[first, len(block.gram)])
         words = np.diff(block.row)
-        sorted_words = [np.sort(block.words(i)) for i in range(len(words))]
+        sorted_words = {}
         for batch in batches:
             for part in slices(batch, "text"):
-                hits = [(at, which, h, row) for at, which, h, row in _hits(part, grams, sizes) if len(at)]
+                places, whiches, h, row = _hits(part, grams)
                 out: list[tuple] = []
-                if hits:
-                    h, row = hits[0][2], hits[0][3]
-                    at, which = (np.concatenate([x[i] for x in hits]) for i in (0, 1))
+                owner = np.searchsorted(row, places, "right") - 1
+                upto = np.cumsum(many[whiches])
+                i = 0
+                while i < len(places):
+                    j = int(np.searchsorted(upto, (upto[i - 1] if i else 0) + HITS, "right"))
+                    whole = int(np.searchsorted(owner, owner[j], "left")) if j < len(owner) else j
+                    j = whole if whole > i else int(np.searchsorted(owner, owner[i], "right"))
+                    at, which = places[i:j], whiches[i:j]
+                    i = j
                     n = many[which]
                     at = np.repeat(at, n)
-                    seed = seeds[np.repeat(first[which], n) + np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)]
+                    seed = np.repeat(first[which], n) + np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
                     doc = np.searchsorted(row, at, "right") - 1
                     item = block.item[seed]
                     diag = at - row[doc] - block.pos[seed]
-                    for d, i, low, high in _passages(doc, item, diag, words[item] // 4 + 8, words[item]):
-                        need = least_score(int(words[i]))
-                        a, b = row[d] + max(0, low), min(row[d] + high, row[d + 1])
-                        passage, own = h[a:b], sorted_words[i]
-                        common = own[np.minimum(np.searchsorted(own, passage), len(own) - 1)] == passage
-                        if common.sum() < need:
-                            continue
-                        score, end = align(block.words(i), passage)
-                        if score >= need:
-                            _, back = align(block.words(i)[::-1], passage[:end][::-1])
-                            out.append((d, i, score, int(words[i]), a - row[d] + end - back, a - row[d] + end))
+                    for d, i_, low, high in _passages(doc, item, diag, block.need[item], words[item]):
+                        if i_ not in sorted_words:
+                            sorted_words[i_] = np.sort(block.words(i_))
+                        text = h[row[d]:row[d + 1]]
+                        for score, begin, end in _aligned(block.words(i_), sorted_words[i_], text, max(0, low), min(high, len(text)), block.need[i_]):
+                            out.append((d, i_, score, int(words[i_]), begin, end))
                 cols = list(zip(*out)) or [()] * 6
                 yield pa.RecordBatch.from_arrays(
                     [*[part.column(c).take(pa.array(cols[0], pa.int64())) for c in ("rid", "id")],

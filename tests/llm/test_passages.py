@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -74,6 +75,32 @@ def test_leaks_are_found_and_nothing_else(spark, tmp_path, monkeypatch, block):
     assert {r.doc_id for r in kept.select("doc_id").collect()} == {d[0] for d in data} - {d for d, _ in truth} | {100, 101}
 
 
+def test_edited_copies_against_seedless_alignment(spark, tmp_path):
+    rng = random.Random(9)
+    items = [prose(rng, rng.randint(6, 23)) for _ in range(24)] + [prose(rng, 90)]
+    docs = []
+    for k, item in enumerate(items):
+        w = item.split()
+        for phase in range(4):  # every fourth word replaced
+            docs.append(" ".join([*prose(rng, 30).split(), *["edit" if i % 4 == phase else x for i, x in enumerate(w)], *prose(rng, 30).split()]))
+        # a word put in after every two: no stretch of three is left, yet half the words score
+        docs.append(" ".join([*prose(rng, 30).split(), *[y for i, x in enumerate(w) for y in ([x, "more"] if i % 2 and i + 1 < len(w) else [x])], *prose(rng, 30).split()]))
+        docs.append(" ".join([*w, *prose(rng, 3).split(), *w]))  # two copies close to each other
+    got = decontam.contaminated(stored(spark, tmp_path, [(k, t, "en") for k, t in enumerate(docs)]),
+                                spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()
+    best = {}
+    for r in got:
+        best[(r.doc_id, r.item_id)] = max(r.score, best.get((r.doc_id, r.item_id), 0))
+    want = {}
+    for k, d in enumerate(docs):
+        for i, item in enumerate(items):
+            score = decontam.align(decontam._words(pa.array([item]))[0], decontam._words(pa.array([d]))[0])[0]
+            if score >= decontam.least_score(len(item.split())):
+                want[(k, i)] = score
+    assert best == want
+    assert all(sum((r.doc_id, r.item_id) == (6 * i + 5, i) for r in got) == 2 for i in range(len(items)))
+
+
 def test_no_items_or_documents(spark, tmp_path):
     docs = stored(spark, tmp_path)
     bench = spark.createDataFrame([(1, "some item of more than five words")], "item_id long, text string")
