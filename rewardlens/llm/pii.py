@@ -7,12 +7,14 @@
 instance are its lexical patterns: the word before, the two words before, and the
 words on both sides. Patterns and instances form a graph. Seed instances (base
 spans) count fully for their kind. In each round a pattern's score for a kind is
-the weight of its instances of that kind over the number of its different
-instances plus one; patterns of ``MIN_SUPPORT`` sure instances and a score of at
-least ``SURE`` are kept, and an instance takes the best score of its kept
+the weight of its different instances of that kind over this weight and the number of
+its instances that contradict it: base spans of other kinds, and tokens that do not look
+like the kind (``looks_like``). Unknown tokens that do look like it count neither way.
+Patterns of ``MIN_SUPPORT`` sure instances and a score of at least ``SURE`` are kept, and
+an instance takes the best score of its kept
 patterns. At the end the kept patterns mark the instances, not yet covered, that
-stand in them. Instances that merely share a common word never come near
-``SURE``. Graph tables hold a row for each different (pattern, instance), so a
+stand in them. A common word has years, amounts and names with digits beside it, so it
+stays below ``SURE``. Graph tables hold a row for each different (pattern, instance), so a
 number repeated in a third of all texts counts once.
 """
 
@@ -20,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -45,6 +48,26 @@ _NOT_DIGIT = re.compile(r"[^0-9]")
 _HINT = re.compile(r"[0-9@]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _EDGE = ".,;:!?\"'()[]{}<>"
+_PHONE_LIKE = re.compile(r"[+0-9().\x20/-]+")
+_NUMBER = re.compile(r"[0-9]+[.,][0-9]+|(?:19|20)[0-9]{2}[-/](?:19|20)[0-9]{2}|[0-9]{4}([-./])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-./])[0-9]{1,2}\2(?:[0-9]{2}){1,2}")
+_IP_LIKE = re.compile(r"[0-9]+(?:\.[0-9]+){2,}|[0-9a-fA-F]*(?::[0-9a-fA-F]*){2,}")
+_CARD_LIKE = re.compile(r"[0-9xX*\x20-]+")
+_AT = re.compile(r"@|[(\[]at[)\]]", re.IGNORECASE)
+
+
+def looks_like(token: str) -> list[str]:
+    """The kinds that a token without a kind of its own might be, in another notation; amounts, dates and years are none."""
+    digits = len(_NOT_DIGIT.sub("", token))
+    out = ["email"] if _AT.search(token) else []
+    if _NUMBER.fullmatch(token):
+        return out
+    if _IP_LIKE.fullmatch(token):
+        return [*out, "ip"]
+    if _CARD_LIKE.fullmatch(token) and 12 <= len(re.sub(r"[\x20-]", "", token)) <= 19:
+        out.append("card")
+    if _PHONE_LIKE.fullmatch(token) and (9 if digits == len(token) else 7) <= digits <= 15:
+        out.append("phone")
+    return out
 
 
 def _luhn(digits: str) -> bool:
@@ -103,6 +126,34 @@ def _patterns(left: list[str], right: list[str]) -> list[str]:
     return out
 
 
+def _neighbours(text: str, found: list[tuple[int, int]]) -> Iterator[tuple[list[str], list[str]]]:
+    """The two words before each span and the one after it, whole; a span's own token counts up to the spans next to it."""
+    spans = [m.span() for m in _WORD.finditer(text)]
+    starts = [a for a, _ in spans]
+    begins, ends = sorted(a for a, _ in found), sorted(b for _, b in found)
+    for a, b in found:
+        left, right = [], []
+        w = bisect_left(starts, a) - 1
+        while w >= 0 and len(left) < 2:
+            low, high = spans[w]
+            if high > a:  # the span's own token
+                at = bisect_right(ends, a)
+                low, high = max([low, *ends[max(0, at - 1):at]]), a
+            if low < high:
+                left.insert(0, text[low:high].lower())
+            w -= 1
+        w = max(0, bisect_right(starts, b) - 1)
+        while w < len(spans) and not right:
+            low, high = max(spans[w][0], b), spans[w][1]
+            if spans[w][0] < b < high:
+                at = bisect_left(begins, b)
+                high = min([high, *begins[at:at + 1]])
+            if low < high and text[low:high].strip(_EDGE):
+                right.append(text[low:high].lower())
+            w += 1
+        yield left, right
+
+
 def mentions(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[int, int, str, str | None, list[str]]]:
     """(start, end, instance, kind or None, patterns) of base spans and identifier-shaped tokens."""
     if not spans and not _HINT.search(text):
@@ -119,9 +170,7 @@ def mentions(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[int
         b = a + len(m[0].strip(_EDGE))
         if b - a >= MIN_INSTANCE:
             found.append((a, b, None))
-    for a, b, kind in found:
-        left = [w.lower() for w in _WORD.findall(text, max(0, a - 80), a)][-2:]
-        right = [w.lower() for w in _WORD.findall(text, b, b + 40) if w.strip(_EDGE)][:1]
+    for (a, b, kind), (left, right) in zip(found, _neighbours(text, [(a, b) for a, b, _ in found])):
         yield a, b, text[a:b].lower(), kind, _patterns(left, right)
 
 
@@ -138,7 +187,7 @@ def extract(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     kinds = [k for k, _, _ in spans]
                     said = ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
                     row = (*[kinds.count(k) for k in KINDS], hashlib.sha256(said.encode()).hexdigest(), said,
-                           [{"a": a, "b": b, "instance": i, "kind": k, "patterns": p} for a, b, i, k, p in mentions(text, spans)])
+                           [{"a": a, "b": b, "instance": i, "kind": k, "looks": [] if k else looks_like(i), "patterns": p} for a, b, i, k, p in mentions(text, spans)])
                     for c, v in zip(cols, row):
                         c.append(v)
                 yield pa.RecordBatch.from_arrays(
@@ -149,22 +198,30 @@ def extract(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(task, f"rid long, id {kind}, {', '.join(f'n_{k} long' for k in KINDS)}, base_sha256 string, base string, "
-                                 "mentions array<struct<a: long, b: long, instance: string, kind: string, patterns: array<string>>>")
+                                 "mentions array<struct<a: long, b: long, instance: string, kind: string, looks: array<string>, patterns: array<string>>>")
+
 
+_MENTIONS = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64()), ("instance", pa.string()), ("kind", pa.string()), ("looks", pa.list_(pa.string())), ("patterns", pa.list_(pa.string()))]))
 
-_MENTIONS = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64()), ("instance", pa.string()), ("kind", pa.string()), ("patterns", pa.list_(pa.string()))]))
 
+def bootstrap(edges: DataFrame, seeds: DataFrame, looks: DataFrame, rounds: int = ROUNDS, support: int = MIN_SUPPORT, sure: float = SURE) -> DataFrame:
+    """Kept ``(pattern, kind, score)`` from distinct ``edges(pattern, instance)``, ``seeds(instance, kind)`` and ``looks(instance, kind)``.
 
-def bootstrap(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, support: int = MIN_SUPPORT, sure: float = SURE) -> DataFrame:
-    """Kept ``(pattern, kind, score)`` from distinct ``edges(pattern, instance)`` and ``seeds(instance, kind)``."""
+    ``looks`` has the kinds that instances without a kind might be.
+    """
     degree = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("degree"))
     first = seeds.withColumn("weight", F.lit(1.0))
+    undecided = looks.join(seeds.select("instance"), "instance", "left_anti")
     weights, kept = first, None
     for _ in range(rounds):
-        votes = (edges.join(weights, "instance").groupBy("pattern", "kind")
-                 .agg(F.sum("weight").alias("total"), F.count_if(F.col("weight") >= sure).alias("backed")))
+        # an instance of the kind has a weight; one that only looks like it is left out; all others contradict
+        known = weights.select("instance", "kind", "weight")
+        alike = undecided.join(weights, ["instance", "kind"], "left_anti").select("instance", "kind", F.lit(0.0).alias("weight"))
+        votes = (edges.join(known.unionByName(alike), "instance").groupBy("pattern", "kind")
+                 .agg(F.sum("weight").alias("total"), F.count_if(F.col("weight") >= sure).alias("backed"), F.count(F.lit(1)).alias("fit")))
         kept = materialize(
-            votes.filter(F.col("backed") >= support).join(degree, "pattern").withColumn("score", F.col("total") / (F.col("degree") + 1))
+            votes.filter(F.col("backed") >= support).join(degree, "pattern")
+            .withColumn("score", F.col("total") / (F.col("total") + F.col("degree") - F.col("fit")))
             .filter(F.col("score") >= sure).select("pattern", "kind", "score"), "pii-patterns")
         reached = edges.join(kept, "pattern").groupBy("instance", "kind").agg(F.max("score").alias("weight"))
         new = reached.join(first, "instance", "left_anti")
@@ -185,7 +242,8 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     said = materialize(rows.filter(F.size("mentions") > 0).select("rid", F.explode("mentions").alias("m")).select("rid", "m.*"), "pii-mentions")
     edges = materialize(said.select("instance", F.explode("patterns").alias("pattern")).distinct(), "pii-edges")
     seeds = materialize(said.filter(F.col("kind").isNotNull()).select("instance", "kind").distinct(), "pii-seeds")
-    kept = bootstrap(edges, seeds, rounds, support, sure)
+    looks = materialize(said.filter(F.col("kind").isNull()).select("instance", F.explode("looks").alias("kind")).distinct(), "pii-looks")
+    kept = bootstrap(edges, seeds, looks, rounds, support, sure)
     open_ = said.filter(F.col("kind").isNull()).select("rid", "a", "b", F.explode("patterns").alias("pattern"))
     marked = open_.join(kept.withColumnRenamed("kind", "found"), "pattern").groupBy("rid", "a", "b").agg(
         F.max(F.struct("score", "found")).alias("best"))

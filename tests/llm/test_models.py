@@ -230,3 +230,30 @@ def test_patterns_discover_unseen_identifiers(spark):
     got = {r.doc_id: r.spans for r in pii.find_personal_data(docs).collect()}
     assert got[12] == "phone:12:21" and got[13] == "" and got[14] == ""
     assert got[0].startswith("phone:12:")
+
+
+def test_patterns_with_many_unseen_identifiers(spark):
+    texts = [f"phone: +1 (555) 000-{1000 + i} ok" for i in range(30)]
+    texts += [f"phone: 555-{10000 + 7 * i} ok" for i in range(25)]  # nearly as many unseen ones as seeds
+    texts += [f"fax: +44 20 7946 0{i:03} ." for i in range(3)] + ["fax: 7946-0999 ."]  # three sure instances are enough
+    texts += [f"the +1 (555) 111-{2000 + i} and" for i in range(9)]
+    texts += [f"the {x} and" for x in ("2024-01-02", "199312", "b2b-42", "12345.67", "1990-1999", "x86_64", "3,000.50", "room101", "555-88776")]
+    long = "w" * 100
+    texts += [f"{long} +1 (555) 222-{3000 + i} z" for i in range(4)] + [f"{long} 555-33221 z", f"v{long[1:]} 555-44332 z"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {texts[r.doc_id]: r.spans for r in pii.find_personal_data(docs).collect()}
+    for t, spans in got.items():
+        if t.startswith("phone: 555"):
+            assert spans == "phone:7:16"
+        elif t.startswith("fax: 7946"):
+            assert spans == "phone:5:14"
+        elif t.startswith("the ") and "+" not in t:
+            assert spans == "", t
+    assert got[f"{long} 555-33221 z"] == "phone:101:110" and got[f"v{long[1:]} 555-44332 z"] == ""
+
+
+def test_neighbouring_words_are_whole():
+    text = "a " + "é" * 200 + " +1 555 000 1234, " + "b" * 90 + " x@y.z,q@y.z"
+    said = {i: p for _, _, i, _, p in pii.mentions(text, pii.base_spans(text))}
+    assert said["+1 555 000 1234"] == ["é" * 200 + " _", "a " + "é" * 200 + " _", "é" * 200 + " _ " + "b" * 90]
+    assert said["x@y.z"][0] == "b" * 90 + " _" and said["q@y.z"][0] == ", _"
