@@ -82,6 +82,43 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rewardlens.llm.repair import damage, digests, repair
+
+    rows = read(spark, sf_dir, "conversations")
+    found = repair(damage(rows))
+    sums = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    ids = rows.select("conv_id").distinct()
+    report = found.report.select(F.col("conv_id").alias("c"), *sums, "audit")
+    hashes = digests(found.turns).withColumnRenamed("conv_id", "d")
+    out = (ids.join(report, F.col("conv_id").eqNullSafe(F.col("c")), "left").join(hashes, F.col("conv_id").eqNullSafe(F.col("d")), "left"))
+    return out.select("conv_id", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in sums], F.coalesce("audit", F.lit("")).alias("audit"),
+                      F.coalesce("sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rewardlens.llm.runs import find_runs, plant_runs
+
+    found = find_runs(plant_runs(read(spark, sf_dir, "documents")))
+    # greatest length, then smallest start, then smallest period
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("n"), (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    text = F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise("")
+    found = found.withColumn("best", best)
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.s")).alias("start"), F.col("best.n").alias("length"),
+        (-F.col("best.p")).alias("period"), F.floor(F.col("best.n") * 1000 / -F.col("best.p")).cast("long").alias("exponent_milli"),
+        F.sha2(text.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"), "n_words")
+
+
+def op13_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from rewardlens.llm.windows import pack_in_order
+
+    return pack_in_order(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rewardlens.llm.urls import judge_urls
 
@@ -89,7 +126,7 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_sharding, op3_simhash, op4_exact_dedup, op5_language_id, op6_decontamination, op7_packing, op8_url_filter,
-                                    op9_personal_data, op10_lm_score)}
+                                    op9_personal_data, op10_lm_score, op11_conversation_repair, op12_periodic_runs, op13_window_packing)}
 QUERIES["pipeline"] = corpus_pipeline.run
 
 ORACLE = {
