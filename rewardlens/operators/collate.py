@@ -1,4 +1,4 @@
-"""Conversation collators built on the whitespace vocabulary."""
+"""Conversation collators, over the whitespace vocabulary or a sub-word one."""
 
 from __future__ import annotations
 
@@ -7,15 +7,18 @@ from pyspark.sql import functions as F
 
 from rewardlens.functions.chat import render
 from rewardlens.operators import tokens as T
+from rewardlens.operators.subword import SubwordVocabulary
 from rewardlens.plans.ordinal import written
 
 
-def encode_text(df: DataFrame, vocab: DataFrame, key: str, text: str, max_length: int | None = None) -> DataFrame:
+def encode_text(df: DataFrame, vocab: DataFrame | SubwordVocabulary, key: str, text: str, max_length: int | None = None) -> DataFrame:
     """``(key, input_ids, attention_mask)`` of a text column; rows without tokens get empty arrays."""
+    if isinstance(vocab, SubwordVocabulary):
+        return vocab.encode(df, key, text, max_length)
     return T.encode(T.words(df.select(key, text), key, text), vocab, key, max_length, keys=df)
 
 
-def chatml_collate(df: DataFrame, vocab: DataFrame, key: str = "conv_id", messages: str = "messages", pad_id: int = 0,
+def chatml_collate(df: DataFrame, vocab: DataFrame | SubwordVocabulary, key: str = "conv_id", messages: str = "messages", pad_id: int = 0,
                    max_length: int = 1024, template: str = "chatml", batch: str = "batch_id", ignore_index: int = T.IGNORE_INDEX) -> DataFrame:
     """Ids of the whole conversation (cut at ``max_length``), labels -100 over the prompt.
 

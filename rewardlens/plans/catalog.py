@@ -41,6 +41,7 @@ def load_all() -> None:
         q_sampling,
         q_stats,
         q_streaming,
+        q_subword,
         q_tokens,
         q_udf,
     )
