@@ -328,5 +328,5 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str
     ranked = slotted.withColumn("local", local).join(begins, ["length", "slot"]).withColumn("rank", F.col("begin") + F.col("local"))
     placed = ranked.join(F.broadcast(spots) if len(rows) <= 100_000 else spots,
                          (ranked["length"] == spots["length"]) & (F.col("rank") >= F.col("from_rank")) & (F.col("rank") < F.col("to_rank")))
-    return placed.select(F.col("id").alias(id_col), "piece", "start", ranked["length"].alias("length"), "ids_crc32",
+    return placed.select(F.col("id").alias(id_col), F.col("piece").cast("int").alias("piece"), "start", ranked["length"].alias("length"), "ids_crc32",
                          (F.col("first_sequence") + F.col("rank") - F.col("from_rank")).alias("sequence_id"), "offset")

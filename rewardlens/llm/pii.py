@@ -38,6 +38,8 @@ MIN_INSTANCE = 5
 MIN_SUPPORT = 3
 SURE = 0.8
 ROUNDS = 3
+#: Words and instances of more characters stand under their digests.
+NAMED = 256
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -46,6 +48,7 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]")
 _HINT = re.compile(r"[0-9@]")
+_DIGIT = re.compile(r"[0-9]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _EDGE = ".,;:!?\"'()[]{}<>"
 _PHONE_LIKE = re.compile(r"[+0-9().\x20/-]+")
@@ -114,6 +117,11 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def _named(word: str) -> str:
+    """The word itself, or, where it is too long to be a name in graph tables, its digest."""
+    return word if len(word) <= NAMED else "#" + hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+
+
 def _patterns(left: list[str], right: list[str]) -> list[str]:
     """Lexical patterns of the words left and right of an instance; ``_`` is the instance."""
     out = []
@@ -140,7 +148,7 @@ def _neighbours(text: str, found: list[tuple[int, int]]) -> Iterator[tuple[list[
                 at = bisect_right(ends, a)
                 low, high = max([low, *ends[max(0, at - 1):at]]), a
             if low < high:
-                left.insert(0, text[low:high].lower())
+                left.insert(0, _named(text[low:high].lower()))
             w -= 1
         w = max(0, bisect_right(starts, b) - 1)
         while w < len(spans) and not right:
@@ -149,7 +157,7 @@ def _neighbours(text: str, found: list[tuple[int, int]]) -> Iterator[tuple[list[
                 at = bisect_left(begins, b)
                 high = min([high, *begins[at:at + 1]])
             if low < high and text[low:high].strip(_EDGE):
-                right.append(text[low:high].lower())
+                right.append(_named(text[low:high].lower()))
             w += 1
         yield left, right
 
@@ -161,7 +169,9 @@ def mentions(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[int
     found = [(a, b, k) for k, a, b in spans]
     covered = sorted((a, b) for a, b, _ in found)
     c = 0
-    for m in re.finditer(r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*", text):
+    for m in _WORD.finditer(text):
+        if not _DIGIT.search(text, m.start(), m.end()):
+            continue
         while c < len(covered) and covered[c][1] <= m.start():
             c += 1
         if c < len(covered) and covered[c][0] < m.end():
@@ -171,7 +181,7 @@ def mentions(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[int
         if b - a >= MIN_INSTANCE:
             found.append((a, b, None))
     for (a, b, kind), (left, right) in zip(found, _neighbours(text, [(a, b) for a, b, _ in found])):
-        yield a, b, text[a:b].lower(), kind, _patterns(left, right)
+        yield a, b, _named(text[a:b].lower()), kind, _patterns(left, right)
 
 
 def extract(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -187,7 +197,7 @@ def extract(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     kinds = [k for k, _, _ in spans]
                     said = ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
                     row = (*[kinds.count(k) for k in KINDS], hashlib.sha256(said.encode()).hexdigest(), said,
-                           [{"a": a, "b": b, "instance": i, "kind": k, "looks": [] if k else looks_like(i), "patterns": p} for a, b, i, k, p in mentions(text, spans)])
+                           [{"a": a, "b": b, "instance": i, "kind": k, "looks": [] if k else looks_like(text[a:b].lower()), "patterns": p} for a, b, i, k, p in mentions(text, spans)])
                     for c, v in zip(cols, row):
                         c.append(v)
                 yield pa.RecordBatch.from_arrays(

@@ -9,8 +9,9 @@ large at that depth go on to further bits.
 
 Rows that share one hash (the same key repeated) cannot be told apart by any
 bit. Such a bucket is chained: its rows are numbered and dealt to as many
-overflow shards as the limit asks for. The number comes from counts per scan
-partition, so one key with a third of all rows is still dealt by many tasks.
+overflow shards as the limit asks for. The number comes from counts per slot, a
+scan partition's number that is written with the row, so one key with a third of
+all rows is still dealt by many tasks, and every later plan sees the same slots.
 """
 
 from __future__ import annotations
@@ -77,7 +78,8 @@ def extendible_shards(df: DataFrame, key: str, size: Column, limit: int, slack:
     size move; other columns of ``df``, whatever their names, are not read.
     """
     w = materialize(
-        df.select(F.col(key).alias("key"), hash60(F.col(key)).alias("hash"), F.coalesce(size, F.lit(0)).cast("long").alias("bytes")),
+        df.select(F.col(key).alias("key"), hash60(F.col(key)).alias("hash"), F.coalesce(size, F.lit(0)).cast("long").alias("bytes"),
+                  F.spark_partition_id().alias("slot")),
         "shard-weights")
     leaves = materialize(directory(w, limit, slack), "shard-directory")
     deepest = leaves.agg(F.max("depth")).first()[0] or 0
@@ -85,7 +87,7 @@ def extendible_shards(df: DataFrame, key: str, size: Column, limit: int, slack:
     # so a row finds its bucket by walking the depths that occur
     depths = [r[0] for r in leaves.select("depth").distinct().orderBy("depth").collect()]  # at most 61 values
     spot = F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), F.shiftright("hash", BITS - d).alias("prefix")) for d in depths or [deepest]]))
-    placed = (w.withColumn("at", spot).select("key", "hash", "bytes", "at.depth", "at.prefix")
+    placed = (w.withColumn("at", spot).select("key", "hash", "bytes", "slot", "at.depth", "at.prefix")
               .join(leaves.select("depth", "prefix", F.col("bytes").alias("leaf_bytes"), "n", "largest"), ["depth", "prefix"]))
     whole = placed.filter((F.col("leaf_bytes") <= limit) | (F.col("n") == 1)).withColumn("part", F.lit(0).cast("long"))
     chained = _chain(placed.filter((F.col("leaf_bytes") > limit) & (F.col("n") > 1)), limit)
@@ -100,7 +102,6 @@ def extendible_shards(df: DataFrame, key: str, size: Column, limit: int, slack:
 
 def _chain(rows: DataFrame, limit: int) -> DataFrame:
     """Deal the rows of each one-hash bucket to parts of ``floor(limit / largest row)`` rows, at least one."""
-    rows = rows.withColumn("slot", F.spark_partition_id())
     counts = rows.groupBy("hash", "slot").agg(F.count(F.lit(1)).alias("here"))
     before = Window.partitionBy("hash").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("start", F.coalesce(F.sum("here").over(before), F.lit(0)))

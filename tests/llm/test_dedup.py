@@ -192,6 +192,27 @@ def test_one_key_is_chained_over_shards(spark):
     assert len({r.shard for r in got if r.doc_id == 5}) == 30
 
 
+def test_a_chained_key_keeps_all_rows_under_any_join(spark):
+    """Half of all rows have one key, no side is broadcast, and AQE cuts and joins partitions as it likes."""
+    from pyspark.sql import functions as F
+
+    n = 40_000
+    docs = spark.range(0, n, 1, 40).select(F.when(F.col("id") % 2 == 0, F.lit(-1)).otherwise(F.col("id")).alias("doc_id"), (F.col("id") % 7).alias("n"))
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.shuffle.partitions": "23"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = sharding.extendible_shards(docs, "doc_id", F.col("n"), 500)
+        rows_, keys = got.count(), got.filter("doc_id = -1").count()
+        largest = got.groupBy("shard").agg(F.sum("bytes").alias("b")).agg(F.max("b")).first()[0]
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert (rows_, keys) == (n, n // 2) and largest <= 500
+
+
 @pytest.mark.parametrize("run", [
     lambda d: substring.remove_repeats(d), lambda d: exact.exact_dedup(d), lambda d: simhash.simhash_groups(d),
     lambda d: sharding.extendible_shards(d, "doc_id", __import__("pyspark").sql.functions.octet_length("text"), 100)])

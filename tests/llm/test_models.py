@@ -252,6 +252,64 @@ def test_patterns_with_many_unseen_identifiers(spark):
     assert got[f"{long} 555-33221 z"] == "phone:101:110" and got[f"v{long[1:]} 555-44332 z"] == ""
 
 
+@pytest.mark.parametrize("text", ["x" * 1_000_000 + " 1", "\u4e2d" * 1_000_000 + " 1", "a1" * 500_000, "@" * 1_000_000 + " 1", "1," * 500_000])
+def test_long_texts_without_spaces_take_linear_time(text):
+    import time
+
+    best = 9.0
+    for _ in range(2):
+        begin = time.process_time()
+        list(pii.mentions(text, pii.base_spans(text)))
+        best = min(best, time.process_time() - begin)
+    assert best < 1.0
+
+
+def brute_bootstrap(edges, seeds, looks):
+    """Kept (pattern, kind): score by plain loops over the pattern-instance graph."""
+    of = {}
+    for p, i in edges:
+        of.setdefault(p, set()).add(i)
+    first = {(i, k): 1.0 for i, k in seeds}
+    seeded = {i for i, _ in seeds}
+    weights, kept = dict(first), {}
+    for _ in range(pii.ROUNDS):
+        kept = {}
+        for p, own in of.items():
+            for kind in pii.KINDS:
+                sure = [weights[i, kind] for i in own if (i, kind) in weights]
+                alike = [i for i in own if i not in seeded and (i, kind) in looks and (i, kind) not in weights]
+                against = len(own) - len(sure) - len(alike)
+                if sum(w >= pii.SURE for w in sure) >= pii.MIN_SUPPORT and sum(sure) / (sum(sure) + against) >= pii.SURE:
+                    kept[p, kind] = sum(sure) / (sum(sure) + against)
+        weights = dict(first)
+        for (p, kind), score in kept.items():
+            for i in of[p]:
+                if all((i, k) not in first for k in pii.KINDS):
+                    weights[i, kind] = max(weights.get((i, kind), 0), score)
+    return kept
+
+
+def test_bootstrapping_against_plain_loops(spark):
+    import random
+
+    rng = random.Random(6)
+    for _ in range(4):
+        instances = [f"i{k}" for k in range(60)]
+        seeds = {(i, rng.choice(pii.KINDS[:2])) for i in instances[:30]}
+        looks = {(i, rng.choice(pii.KINDS[:2])) for i in instances[30:50]}
+        leaning = dict(seeds | looks)
+        edges = set()
+        for p in range(25):
+            kind = rng.choice(pii.KINDS[:2])
+            for i in rng.sample(instances, rng.randint(3, 14)):
+                if leaning.get(i) == kind or rng.random() < 0.12:
+                    edges.add((f"p{p}", i))
+        got = pii.bootstrap(spark.createDataFrame(sorted(edges), "pattern string, instance string"), spark.createDataFrame(sorted(seeds), "instance string, kind string"),
+                            spark.createDataFrame(sorted(looks), "instance string, kind string")).collect()
+        want = brute_bootstrap(edges, seeds, looks)
+        assert {(r.pattern, r.kind): pytest.approx(r.score) for r in got} == want and want
+
+
 def test_neighbouring_words_are_whole():
     text = "a " + "é" * 200 + " +1 555 000 1234, " + "b" * 90 + " x@y.z,q@y.z"
     said = {i: p for _, _, i, _, p in pii.mentions(text, pii.base_spans(text))}
