@@ -207,11 +207,12 @@ def metric_average(log: DataFrame, mode_col: str = "mode", key_col: str = "key",
     """Mean per (mode, key), and per ``step`` when one is named; keys get an ``eval_`` prefix in eval mode."""
     steps = [step] if step else []
     agg = log.groupBy(mode_col, *steps, key_col).agg(F.avg(F.col(value_col).cast("double")).alias("value"))
-    return agg.select(
-        F.col(mode_col).alias("mode"), *steps,
-        F.when(F.col(mode_col) == "eval", F.concat(F.lit("eval_"), F.col(key_col))).otherwise(F.col(key_col)).alias("key"),
-        "value",
-    )
+    return agg.select(F.col(mode_col).alias("mode"), *steps, metric_key(mode_col, key_col).alias("key"), "value")
+
+
+def metric_key(mode_col: str, key_col: str) -> Column:
+    """The logged name of a metric: with ``eval_`` before it in eval mode."""
+    return F.when(F.col(mode_col) == "eval", F.concat(F.lit("eval_"), F.col(key_col))).otherwise(F.col(key_col))
 
 
 def reward_passthrough_cols(df: DataFrame) -> list[str]:

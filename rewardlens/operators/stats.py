@@ -216,6 +216,11 @@ def prompt_tracker(df: DataFrame, prompt: str, reward: str, batch: str, order: S
     pb = pb.withColumn("_ps", F.sqrt(F.aggregate("_buf", F.lit(0.0), lambda a, x: a + (x - F.col("_pm")) * (x - F.col("_pm"))) / n))
     bstats = df.groupBy(batch).agg(F.avg(F.col(reward).cast("double")).alias("_bm"), F.stddev_pop(F.col(reward).cast("double")).alias("_bs"))
     j = null_safe_join(null_safe_join(df, pb.select(prompt, batch, "_len", "_pm", "_ps"), [prompt, batch]), bstats, [batch])
+    return with_advantage(j, reward, min_count, eps)
+
+
+def with_advantage(j: DataFrame, reward: str, min_count: int, eps: float) -> DataFrame:
+    """``advantage`` and ``cold`` from the buffer's ``_len, _pm, _ps`` and the batch's ``_bm, _bs``, which are dropped."""
     cold = F.col("_len") < min_count
     mean = F.when(cold, F.col("_bm")).otherwise(F.col("_pm"))
     std = F.when(cold, F.col("_bs")).otherwise(F.col("_ps")) + F.lit(eps)
@@ -251,5 +256,6 @@ def batch_width(df: DataFrame, arr: str, batch: str) -> DataFrame:
 
 
 def join_state(rows: DataFrame, state: DataFrame, key: str = "prompt") -> DataFrame:
-    """Look up each row's keyed state (``self.stats[prompt]``): an equi-join to the state table."""
-    return rows.join(state, key, "left")
+    """Look up each row's keyed state (``self.stats[prompt]``): an equi-join to the state table, in which a null key is a key."""
+    keyed = state.withColumnRenamed(key, "_state_key")
+    return rows.join(keyed, F.col(key).eqNullSafe(F.col("_state_key")), "left").drop("_state_key")

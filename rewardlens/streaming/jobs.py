@@ -1,28 +1,37 @@
 """Structured Streaming forms of the stateful operators.
 
-Each job reads a stream of reward rows, handles every micro-batch with
-``foreachBatch`` (distributed aggregates inside), and keeps its state as a
-small table written to a new path per epoch under a shared folder, so a
-replayed epoch overwrites its own output (idempotent) and never sees later
-state. Parity with the batch operators requires micro-batches to hold whole
-reward batches (each ``batch_id`` in one micro-batch), as the reference calls
-``update`` once per batch.
+State lives in the engine: Spark keeps, checkpoints and restores it, a file sink
+writes what leaves it exactly once, and a restarted query goes on where it
+stopped. Micro-batches may cut the data anywhere.
+
+**The batch clock.** Rows carry the ordinal of their reward batch, which serves
+as event time (one second a batch). A batch is closed once a row of a batch more
+than ``lateness`` ordinals later has been seen in an earlier micro-batch; what
+arrives for it after that is late and left out of all state. A row without a value
+moves the clock and counts in nothing, so such a row of a far batch (a
+*heartbeat*) closes what is open.
+
+**Hot keys.** Before rows meet by key, each task reduces its own rows: to
+moments for each batch, or to a count and the last K rewards for each
+(prompt, batch). So a key with a third of all rows sends a few rows a task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.errors import AnalysisException
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from rewardlens.operators import rewards as R
 from rewardlens.operators import stats as ST
-from rewardlens.plans.ordinal import running
-
-STATE_SCHEMA_MOMENTS = "anchor double, pn double, psd double, psq double"
+from rewardlens.operators.pack import with_concat_token
+from rewardlens.session import ship_package
 
 
 def file_stream(spark: SparkSession, directory: str, file_name: str, schema: T.StructType, max_files: int = 1) -> DataFrame:
@@ -31,101 +40,270 @@ def file_stream(spark: SparkSession, directory: str, file_name: str, schema: T.S
             .option("maxFilesPerTrigger", max_files).parquet(directory))
 
 
-def _latest_state(spark: SparkSession, state_dir: str, epoch: int, schema: str) -> DataFrame | None:
-    """State written by the newest epoch before ``epoch`` (None at the start).
+#: Seconds that batch 0 stands for: a watermark begins at 0, and what is not after it is late.
+CLOCK_ZERO = 1 << 32
+
+
+def batch_clock(df: DataFrame, batch: str, lateness: int = 0) -> DataFrame:
+    """``df`` with the event time ``_t`` of its batch and a watermark that closes batches."""
+    return df.withColumn("_t", F.timestamp_seconds(F.col(batch).cast("long") + CLOCK_ZERO)).withWatermark("_t", f"{lateness + 1} seconds")
+
+
+def _to_files(df: DataFrame, path: str, checkpoint: str):
+    return (df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+            .outputMode("append").trigger(availableNow=True).start())
+
+
+def _closed(batches: Sequence[int], state: GroupState) -> list[int]:
+    """Positions of the batches that the watermark has passed, oldest first."""
+    mark = state.getCurrentWatermarkMs()
+    return sorted((i for i, b in enumerate(batches) if (b + CLOCK_ZERO) * 1000 <= mark), key=lambda i: batches[i])
+
+
+def _wait_for(batches: Sequence[int], state: GroupState) -> None:
+    """Come back when the oldest of ``batches`` closes."""
+    if batches:
+        state.setTimeoutTimestamp((min(batches) + CLOCK_ZERO) * 1000 - 1)
 
-    State is one table partitioned by ``epoch`` in shared storage; any
-    filesystem Spark can read works (no local listing).
+
+# ---------------------------------------------------------------- running moments
+
+Moments = tuple[float, float, float]  # count, mean, sum of squared deviations
+
+
+def merge_moments(a: Moments, b: Moments) -> Moments:
+    """Moments of two sets of values together."""
+    n = a[0] + b[0]
+    if not b[0] or not n:
+        return a
+    d = b[1] - a[1]
+    return n, a[1] + d * (b[0] / n), a[2] + b[2] + d * d * (a[0] * b[0] / n)
+
+
+def _batch_partials(value: str, batch: str):
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            t = pa.table({"b": rb.column(batch).cast(pa.int64()), "x": rb.column(value).cast(pa.float64())})
+            g = t.group_by("b").aggregate([("x", "count"), ("x", "mean"), ("x", "variance")])
+            n = g["x_count"].cast(pa.float64()).to_numpy()
+            mean = np.nan_to_num(g["x_mean"].to_numpy(zero_copy_only=False).astype(float))
+            var = np.nan_to_num(g["x_variance"].to_numpy(zero_copy_only=False).astype(float))
+            yield pa.RecordBatch.from_arrays([g["b"].combine_chunks(), *[pa.array(c) for c in (n, mean, var * n)]], ["b", "n", "mean", "m2"])
+
+    return task
+
+
+def run_running_moments(stream: DataFrame, value: str, batch: str, out_path: str, checkpoint: str, lateness: int = 0):
+    """Running moments after each closed reward batch, as :func:`~rewardlens.operators.stats.running_moments` gives them.
+
+    Tasks send moments of their share of each batch; the one state holds the
+    moments so far and those of the batches still open. Null values count in
+    nothing; a batch without a value has null batch moments; rows without a
+    batch are left out.
     """
-    try:
-        t = spark.read.schema(f"{schema}, epoch long").parquet(state_dir)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":  # anything else is a fault, not a fresh start
-            raise
-        return None
-    prev = t.filter(F.col("epoch") < epoch)
-    top = prev.agg(F.max("epoch")).first()[0]
-    if top is None:
-        return None
-    return prev.filter(F.col("epoch") == top).drop("epoch")
+    ship_package(stream.sparkSession)
+    partial = (stream.select(F.col(batch).cast("long").alias(batch), F.col(value).cast("double").alias(value)).filter(F.col(batch).isNotNull())
+               .mapInArrow(_batch_partials(value, batch), "b long, n double, mean double, m2 double"))
+    kind = stream.schema[batch].dataType.simpleString()
 
+    def update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.exists:
+            *total, open_b, open_n, open_mean, open_m2 = state.get
+            open_ = {int(b): m for b, *m in zip(open_b, open_n, open_mean, open_m2)}
+        else:
+            total = [ST.MOMENTS_INIT_COUNT, 0.0, ST.MOMENTS_INIT_COUNT * ST.MOMENTS_INIT_VAR]
+            open_ = {}
+        if not state.hasTimedOut:
+            for part in parts:
+                for b, *m in part[["b", "n", "mean", "m2"]].itertuples(index=False):
+                    old = tuple(open_.get(b, (0.0, 0.0, 0.0)))
+                    open_[b] = merge_moments(old, tuple(m)) if old[0] else tuple(m)
+        out = []
+        for i in _closed(batches := list(open_), state):
+            own = tuple(open_.pop(batches[i]))
+            total = merge_moments(tuple(total), own)
+            n, mean, m2 = total
+            bn, bmean, bm2 = own
+            out.append((batches[i], bmean if bn else None, (bm2 / (bn - 1)) ** 0.5 if bn > 1 else None, mean, m2 / n,
+                        (m2 / (n - 1)) ** 0.5 if n > 1 else None, n))
+        columns = list(zip(*((b, *m) for b, m in open_.items()))) or [[], [], [], []]
+        state.update((*map(float, total), [int(b) for b in columns[0]], *[[float(x) for x in c] for c in columns[1:]]))
+        _wait_for(list(open_), state)
+        if out:
+            yield pd.DataFrame(out, columns=[batch, "batch_mean", "batch_std", "mean", "var", "std", "count"])
 
-#: Every so many epochs the whole keyed state is written, and older epochs are not read any more.
-SNAPSHOT_EVERY = 16
+    clocked = batch_clock(partial, "b", lateness).withColumn("_all", F.lit(0))
+    rows = clocked.groupBy("_all").applyInPandasWithState(
+        update, f"{batch} {kind}, batch_mean double, batch_std double, mean double, var double, std double, count double",
+        "n double, mean double, m2 double, open_b array<long>, open_n array<double>, open_mean array<double>, open_m2 array<double>",
+        "append", GroupStateTimeout.EventTimeTimeout)
+    return _to_files(rows, out_path, checkpoint)
 
 
-def _latest_by_key(spark: SparkSession, state_dir: str, epoch: int, schema: str, key: str) -> DataFrame | None:
-    """Each key's newest row from epochs since the last snapshot before ``epoch`` (None at the start)."""
-    if epoch == 0:
-        return None
-    snapshot = (epoch - 1) // SNAPSHOT_EVERY * SNAPSHOT_EVERY
-    t = spark.read.schema(f"{schema}, epoch long").parquet(state_dir).filter(F.col("epoch").between(snapshot, epoch - 1))
-    values = [c for c in t.columns if c not in (key, "epoch")]
-    newest = t.groupBy(key).agg(F.max_by(F.struct(*values), "epoch").alias("_v"))
-    return newest.select(key, *[F.col(f"_v.{c}").alias(c) for c in values])
+# ---------------------------------------------------------------- prompt tracker
 
 
-def _write_epoch(df: DataFrame, path: str, epoch: int) -> None:
-    """Write one epoch's partition; a replayed epoch replaces only its own partition."""
-    (df.withColumn("epoch", F.lit(epoch).cast("long")).write.mode("overwrite")
-       .option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(path))
+def _last_rewards(width: int, k: int):
+    """Each task's count and last ``k`` rewards of every (prompt, batch), with the ``width`` order values of each."""
 
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            prompts = rb.column("p").dictionary_encode(null_encoding="encode")
+            code, b, r = prompts.indices.to_numpy(), rb.column("b").to_numpy(), rb.column("r").to_numpy()
+            keys = [rb.column(f"_o{i}").to_numpy(zero_copy_only=False) for i in range(width)]
+            order = np.lexsort((*keys[::-1], b, code))
+            code, b = code[order], b[order]
+            first = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (b[1:] != b[:-1])]) if len(code) else np.zeros(0, np.int64)
+            size = np.diff(np.r_[first, len(code)])
+            kept = np.minimum(size, k)
+            done = np.r_[0, np.cumsum(kept)]
+            at = order[np.repeat(first + size - kept - done[:-1], kept) + np.arange(done[-1])]
+            flat = np.stack([c[at] for c in keys], 1).ravel()
+            yield pa.RecordBatch.from_arrays(
+                [prompts.dictionary.take(pa.array(code[first])), pa.array(b[first], pa.int64()), pa.array(size, pa.int64()),
+                 pa.ListArray.from_arrays(pa.array(done * width, pa.int32()), pa.array(flat, pa.int64())),
+                 pa.ListArray.from_arrays(pa.array(done, pa.int32()), pa.array(r[at], pa.float64()))], ["p", "b", "n", "keys", "rewards"])
 
-def run_running_moments(stream: DataFrame, value: str, batch: str, out_path: str, state_dir: str, checkpoint: str):
-    """Running moments per reward batch, merged into a one-row state per micro-batch."""
+    return task
 
-    def handle(mb: DataFrame, epoch: int):
-        spark = mb.sparkSession
-        prev = _latest_state(spark, state_dir, epoch, STATE_SCHEMA_MOMENTS)
-        per = ST.batch_table(mb, value, batch)
-        if prev is None:
-            # the anchor is the mean of the first micro-batch; the start state counts from there
-            first = F.coalesce(F.sum(F.col("n") * F.col("bmean")) / F.sum("n"), F.lit(0.0)).alias("anchor")
-            c0 = F.lit(ST.MOMENTS_INIT_COUNT)
-            prev = per.agg(first).select("anchor", c0.alias("pn"), (c0 * (0 - F.col("anchor"))).alias("psd"),
-                                         (c0 * (F.lit(ST.MOMENTS_INIT_VAR) + F.col("anchor") * F.col("anchor"))).alias("psq"))
-        acc = running(per.crossJoin(F.broadcast(prev)), [batch], value=ST.deviation_sums(), inclusive=True).cache()
-        _write_epoch(acc.select(batch, *ST.merged_moments(F.col("pn"), F.col("psd"), F.col("psq"))), out_path, epoch)
-        last = acc.orderBy(F.col(batch).desc()).limit(1).select(
-            "anchor", (F.col("pn") + F.col("cn")).alias("pn"), (F.col("psd") + F.col("csd")).alias("psd"), (F.col("psq") + F.col("csq")).alias("psq"))
-        _write_epoch(last, state_dir, epoch)
-        acc.unpersist()
 
-    return stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_prompt_tracker(stream: DataFrame, prompt: str, reward: str, batch: str, order: Sequence[str], out_path: str, checkpoint: str,
+                       buffer_size: int = 8, lateness: int = 0):
+    """One row for each (prompt, closed batch): ``(prompt, batch, len, mean, std)`` of the prompt's buffer after it.
 
+    The state of a prompt is its last ``buffer_size`` rewards and their number,
+    and for each open batch a count and the last ``buffer_size`` rewards by
+    ``order`` (integer or time columns). A null prompt is a prompt. Rows without a
+    reward only move the clock.
+    """
+    ship_package(stream.sparkSession)
+    k, width = buffer_size, len(order)
+    as_long = [(F.unix_micros(c) if stream.schema[c].dataType.typeName() == "timestamp" else F.col(c).cast("long")).alias(f"_o{i}") for i, c in enumerate(order)]
+    kind, batch_kind = (stream.schema[c].dataType.simpleString() for c in (prompt, batch))
+    rows = stream.select(F.col(prompt).alias("p"), F.col(batch).cast("long").alias("b"), F.col(reward).cast("double").alias("r"), *as_long).filter("b is not null")
+    values = rows.filter("r is not null").mapInArrow(_last_rewards(width, k), f"p {kind}, b long, n long, keys array<long>, rewards array<double>")
+    beats = rows.filter("r is null").select("p", "b", F.lit(0).cast("long").alias("n"), F.array().cast("array<long>").alias("keys"), F.array().cast("array<double>").alias("rewards"))
 
-def run_prompt_tracker(stream: DataFrame, prompt: str, reward: str, batch: str, order: Sequence[str], out_path: str, state_dir: str,
-                       checkpoint: str, buffer_size: int = 8, min_count: int = 3):
-    """Per-prompt tracker; the keyed state is ``(prompt, last K rewards, count)``."""
-    state_schema = f"{prompt} {dict(stream.dtypes)[prompt]}, last array<double>, count long"
+    def update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, count, open_ = [], 0, {}
+        if state.exists:
+            last, count, batches, counts, sizes, keys, rewards = state.get
+            at = 0
+            for b, n, size in zip(batches, counts, sizes):
+                own = [(tuple(keys[width * i:width * (i + 1)]), rewards[i]) for i in range(at, at + size)]
+                open_[int(b)] = (int(n), own)
+                at += size
+        if not state.hasTimedOut:
+            for part in parts:
+                for b, n, keys, rewards in part[["b", "n", "keys", "rewards"]].itertuples(index=False):
+                    if not n:
+                        continue
+                    had, own = open_.get(int(b), (0, []))
+                    more = [(tuple(int(x) for x in keys[width * i:width * (i + 1)]), float(r)) for i, r in enumerate(rewards)]
+                    open_[int(b)] = (had + int(n), sorted([*own, *more])[-k:])
+        last, out = [float(x) for x in last], []
+        for i in _closed(batches := list(open_), state):
+            n, own = open_.pop(batches[i])
+            last, count = [*last, *[r for _, r in own]][-k:], count + n
+            mean = sum(last) / len(last)
+            out.append((key[0], batches[i], min(k, count), mean, (sum((x - mean) ** 2 for x in last) / len(last)) ** 0.5))
+        if last or open_:
+            state.update((last, int(count), list(open_), [n for n, _ in open_.values()], [len(own) for _, own in open_.values()],
+                          [int(x) for _, own in open_.values() for o, _ in own for x in o], [r for _, own in open_.values() for _, r in own]))
+            _wait_for(list(open_), state)
+        if out:
+            yield pd.DataFrame(out, columns=[prompt, batch, "len", "mean", "std"])
 
-    def handle(mb: DataFrame, epoch: int):
-        spark = mb.sparkSession
-        prev = _latest_by_key(spark, state_dir, epoch, state_schema, prompt)
-        mb = mb.cache()
-        adv = ST.prompt_tracker(mb, prompt, reward, batch, order, buffer_size, min_count, state=prev)
-        _write_epoch(adv, out_path, epoch)
-        new_state = ST.tracker_state(mb, prompt, reward, batch, order, buffer_size, state=prev)
-        if prev is not None and epoch % SNAPSHOT_EVERY:
-            # prompts absent from this micro-batch keep their older row
-            new_state = new_state.join(mb.select(F.col(prompt).alias("_seen")).distinct(), F.col(prompt).eqNullSafe(F.col("_seen")), "left_semi")
-        _write_epoch(new_state, state_dir, epoch)
-        mb.unpersist()
+    tracked = batch_clock(values.unionByName(beats), "b", lateness).groupBy("p").applyInPandasWithState(
+        update, f"{prompt} {kind}, {batch} {batch_kind}, len long, mean double, std double",
+        "last array<double>, count long, open_b array<long>, open_n array<long>, open_size array<int>, keys array<long>, rewards array<double>",
+        "append", GroupStateTimeout.EventTimeTimeout)
+    return _to_files(tracked, out_path, checkpoint)
 
-    return stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+def run_batch_moments(stream: DataFrame, value: str, batch: str, out_path: str, checkpoint: str, lateness: int = 0):
+    """``(batch, mean, std, n)`` of each closed batch: an aggregate under the batch clock."""
+    kind = stream.schema[batch].dataType.simpleString()
+    x = F.col(value).cast("double")
+    per = batch_clock(stream, batch, lateness).groupBy("_t", F.col(batch).cast(kind).alias(batch)).agg(F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.count(x).alias("n"))
+    return _to_files(per.drop("_t"), out_path, checkpoint)
+
+
+def tracker_advantages(rows: DataFrame, tracked: DataFrame, batches: DataFrame, prompt: str, reward: str, batch: str,
+                       min_count: int = 3, eps: float = ST.TRACKER_EPS) -> DataFrame:
+    """``rows`` of closed batches with ``advantage`` and ``cold``, from what the two streams wrote.
+
+    A late row is in no buffer, but is judged by the closed statistics of its
+    batch if its prompt has any there.
+    """
+    t = tracked.select(prompt, batch, F.col("len").alias("_len"), F.col("mean").alias("_pm"), F.col("std").alias("_ps"))
+    b = batches.select(batch, F.col("mean").alias("_bm"), F.col("std").alias("_bs"))
+    j = ST.null_safe_join(ST.null_safe_join(rows.filter(F.col(reward).isNotNull()), t, [prompt, batch]), b, [batch])
+    return ST.with_advantage(j, reward, min_count, eps)
+
+
+# ---------------------------------------------------------------- metrics, logs
 
 
-def run_metric_average(stream: DataFrame, out_path: str, checkpoint: str, mode: str = "mode", key: str = "key", value: str = "value"):
-    """Metric means per log call (micro-batch); nothing is carried between calls."""
+def run_metric_average(stream: DataFrame, out_path: str, checkpoint: str, mode: str = "mode", key: str = "key", value: str = "value",
+                       step: str | None = None, lateness: int = 0):
+    """Metric means per log call.
+
+    With ``step`` (an integer), a log call is a step on the batch clock and its
+    rows may come in any number of micro-batches: ``(mode, step, key, value)`` is
+    written when the step closes. Without, a micro-batch is a log call.
+    """
+    if step is not None:
+        logged = stream.filter(F.col(step).isNotNull())
+        return _to_files(
+            batch_clock(logged, step, lateness).groupBy("_t", mode, step, key).agg(F.avg(F.col(value).cast("double")).alias("_mean"), F.count(value).alias("_n"))
+            .filter("_n > 0").select(F.col(mode).alias("mode"), step, R.metric_key(mode, key).alias("key"), F.col("_mean").alias("value")), out_path, checkpoint)
 
     def handle(mb: DataFrame, epoch: int):
-        _write_epoch(R.metric_average(mb, mode, key, value), out_path, epoch)
+        (R.metric_average(mb, mode, key, value).withColumn("epoch", F.lit(epoch).cast("long")).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(out_path))
 
     return stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def run_completion_log(stream: DataFrame, out_path: str, checkpoint: str, logging_steps: int, step: str = "step"):
     """Continuous append of the logged completions (file sink, exactly once)."""
-    return (R.filter_logging_steps(stream, logging_steps, step).writeStream.format("parquet")
-            .option("path", out_path).option("checkpointLocation", checkpoint).outputMode("append")
-            .trigger(availableNow=True).start())
+    return _to_files(R.filter_logging_steps(stream, logging_steps, step), out_path, checkpoint)
+
+
+# ---------------------------------------------------------------- packing
+
+
+def run_pack_constant_length(stream: DataFrame, lane: str, ids: str, order: Sequence[str], out_path: str, checkpoint: str,
+                             seq_length: int = 1024, concat_token_id: int | None = 0):
+    """``(lane, piece_id, input_ids, labels)``: an endless packer for each lane of the stream.
+
+    The rows of a lane, by micro-batch and in it by ``order``, are one run of
+    tokens, each sequence followed by ``concat_token_id``. Full pieces leave at
+    once; the unfinished piece and the number of the next one are the lane's state,
+    so pieces do not depend on where micro-batches cut. A lane is what one task
+    packs in turn: deal rows to lanes by a hash of their key, as many as tasks
+    should work. An empty sequence is its concat token; a null one is left out.
+    """
+    ship_package(stream.sparkSession)
+    kind = stream.schema[lane].dataType.simpleString()
+    keys = [f"_o{i}" for i in range(len(order))]
+    rows = stream.filter(F.col(ids).isNotNull()).select(F.col(lane).alias("lane"), with_concat_token(ids, concat_token_id).cast("array<int>").alias("seq"),
+                                                        *[F.col(c).alias(k) for c, k in zip(order, keys)])
+
+    def update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        carry, piece = state.get if state.exists else ([], 0)
+        frames = [p for p in parts if len(p)]
+        if not frames:
+            return
+        rows = pd.concat(frames).sort_values(keys, kind="stable")
+        flat = np.concatenate([np.asarray(carry, np.int32), *[np.asarray(s, np.int32) for s in rows["seq"]]])
+        full = len(flat) // seq_length
+        state.update((flat[full * seq_length:].tolist(), int(piece) + full))
+        pieces = [p.tolist() for p in flat[:full * seq_length].reshape(full, seq_length)]
+        if full:
+            yield pd.DataFrame({lane: [key[0]] * full, "piece_id": np.arange(piece, piece + full), "input_ids": pieces, "labels": pieces})
+
+    packed = rows.groupBy("lane").applyInPandasWithState(
+        update, f"{lane} {kind}, piece_id long, input_ids array<int>, labels array<int>", "carry array<int>, piece long", "append", GroupStateTimeout.NoTimeout)
+    return _to_files(packed, out_path, checkpoint)
