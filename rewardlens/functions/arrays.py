@@ -144,77 +144,3 @@ def replace_ids(arr, ids: list[int], value: int = -100) -> Column:
     """Replace any of ``ids`` (pad and listed special ids) by ``value``."""
     arr_ids = F.array(*[F.lit(x) for x in ids])
     return F.transform(as_col(arr), lambda x: F.when(F.array_contains(arr_ids, x), F.lit(value)).otherwise(x))
-
-
-def match_starts(arr, template: list[int]) -> Column:
-    """Sorted 0-based start positions where ``template`` occurs as a sub-array."""
-    a = as_col(arr)
-    m = len(template)
-    tpl = F.array(*[F.lit(x) for x in template])
-    n = F.size(a) - m + 1
-    # sequence(1, 0) counts down, so guard rows shorter than the template
-    starts = F.when(n >= 1, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    hits = F.filter(starts, lambda i: (F.get(a, i - 1) == F.lit(template[0])) & (F.slice(a, i, m) == tpl))
-    return F.transform(hits, lambda i: i - 1)
-
-
-def label_completion_single(labels, response_template: list[int], ignore_index: int = -100) -> Column:
-    """Mask labels through the end of the *last* response template; all if absent."""
-    a = as_col(labels)
-    starts = match_starts(a, response_template)
-    last = F.array_max(starts)
-    end = last + len(response_template)
-    masked = F.concat(F.array_repeat(F.lit(ignore_index), F.least(end, F.size(a))), F.slice(a, end + 1, F.size(a)))
-    return F.when(F.size(starts) == 0, F.array_repeat(F.lit(ignore_index), F.size(a))).otherwise(masked)
-
-
-def completion_spans(labels, response_template: list[int], instruction_template: list[int]) -> Column:
-    """``struct(spans, tail, none)`` for multi-turn masking (stage it as a column).
-
-    ``spans`` are [start, end) ranges to mask (the first from 0), ``tail`` the
-    start of a trailing instruction without a response, ``none`` true when a
-    template is missing (the whole row is masked).
-    """
-    a = as_col(labels)
-    resp_end = F.transform(match_starts(a, response_template), lambda i: i + len(response_template))
-    inst = match_starts(a, instruction_template)
-    return F.struct(resp_end.alias("re"), inst.alias("hi"))
-
-
-def label_completion_multi(df, labels: str, response_template: list[int], instruction_template: list[int], ignore_index: int = -100, out: str | None = None):
-    """Mask everything outside assistant responses (instruction/response spans).
-
-    Staged: the template searches and spans are columns of their own, so the
-    per-element mask only reads them (Spark re-evaluates any outer expression
-    inside a lambda once per element).
-    """
-    out = out or labels
-    st = df.withColumn("_cs", completion_spans(labels, response_template, instruction_template))
-    re_, hi = F.col("_cs.re"), F.col("_cs.hi")
-    # an instruction list starting after the first response gets a leading 0
-    hi2 = F.when((F.size(hi) > 0) & (F.size(re_) > 0) & (F.get(hi, 0) > F.get(re_, 0)), F.concat(F.array(F.lit(0)), hi)).otherwise(hi)
-    st = st.withColumn("_hi2", hi2)
-    h2 = F.col("_hi2")
-    npairs = F.least(F.size(h2), F.size(re_))
-    idxs = F.when(npairs > 0, F.sequence(F.lit(0), npairs - 1)).otherwise(F.array().cast("array<int>"))
-    st = st.withColumn("_spans", F.transform(idxs, lambda k: F.struct(
-        F.when(k == 0, F.lit(0)).otherwise(F.get(h2, k)).alias("s"), F.get(re_, k).alias("e"))))
-    st = st.withColumn("_tail", F.when(F.size(re_) < F.size(h2), F.element_at(h2, -1)))
-    st = st.withColumn("_none", (F.size(re_) == 0) | (F.size(hi) == 0))
-    # row by row one slice for each gap and one fill for each span; spans are in order, so a
-    # span's cursor is where the one before it ended
-    a, fill = F.col(labels), F.lit(ignore_index)
-
-    def piece(sp, k):
-        before = F.get(F.col("_spans"), k - 1)
-        at = F.when(k == 0, F.lit(0)).otherwise(F.greatest(before["s"], before["e"]))
-        begin = F.greatest(at, sp["s"])
-        return F.concat(F.slice(a, at + 1, begin - at), F.array_repeat(fill, F.greatest(sp["e"] - begin, F.lit(0))))
-
-    final = F.try_element_at("_spans", F.lit(-1))
-    st = st.withColumn("_end", F.coalesce(F.greatest(final["s"], final["e"]), F.lit(0)))
-    st = st.withColumn("_rest", F.greatest(F.col("_end"), F.coalesce("_tail", F.size(a))))
-    masked = F.concat(F.flatten(F.transform("_spans", piece)), F.slice(a, F.col("_end") + 1, F.col("_rest") - F.col("_end")),
-                      F.array_repeat(fill, F.size(a) - F.col("_rest")))
-    res = F.when(F.col("_none"), F.array_repeat(F.lit(ignore_index), F.size(a))).otherwise(masked)
-    return st.withColumn(out, res).drop("_cs", "_hi2", "_spans", "_tail", "_none", "_end", "_rest")

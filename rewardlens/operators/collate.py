@@ -15,7 +15,7 @@ def encode_text(df: DataFrame, vocab: DataFrame | SubwordVocabulary, key: str, t
     """``(key, input_ids, attention_mask)`` of a text column; rows without tokens get empty arrays."""
     if isinstance(vocab, SubwordVocabulary):
         return vocab.encode(df, key, text, max_length)
-    return T.encode(T.words(df.select(key, text), key, text), vocab, key, max_length, keys=df)
+    return T.encode_texts(df, key, text, vocab, max_length)
 
 
 def chatml_collate(df: DataFrame, vocab: DataFrame | SubwordVocabulary, key: str = "conv_id", messages: str = "messages", pad_id: int = 0,

@@ -11,14 +11,17 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rewardlens.functions import arrays as A
 from rewardlens.functions.common import as_col
-from rewardlens.plans.ordinal import running
+from rewardlens.plans.ordinal import running, written
 from rewardlens.plans.spread import spread
+from rewardlens.session import ship_package
 
 # Fixed value: the label that loss functions ignore.
 IGNORE_INDEX = -100
@@ -47,10 +50,69 @@ def build_vocab(words_df: DataFrame, token: str = "token") -> DataFrame:
     """``(token, n, token_id)``; ids by rank of (count desc, token asc), from 0.
 
     The rank is a running count over ranges of the whole order (count, token),
-    so neither frequent tokens nor the many that occur once share a task.
+    so neither frequent tokens nor the many that occur once share a task. The
+    counts are written once, and how many there are is read from their files.
     """
-    counts = words_df.groupBy(token).agg(F.count(F.lit(1)).alias("n"))
-    return running(counts, [F.col("n").desc(), F.col(token).asc()], out="token_id")
+    counts = written(words_df.groupBy(token).agg(F.count(F.lit(1)).alias("n")), "token-counts")
+    return running(counts, [F.col("n").desc(), F.col(token).asc()], out="token_id", rows=counts.count())
+
+
+def word_array(text) -> Column:
+    """The white-space words of a text as an array; none for a null or blank text."""
+    trimmed = F.trim(F.coalesce(as_col(text), F.lit("")), F.lit(WS_CHARS))
+    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, WS_PATTERN))
+
+
+#: Every task gets the words of the lowest ids, at most so many and none longer than so many characters.
+SENT_WORDS, SENT_CHARS = 1 << 18, 64
+
+
+def encode_texts(df: DataFrame, key: str, text: str, vocab: DataFrame, max_length: int | None = None, unk_id: int | None = None) -> DataFrame:
+    """``(key, input_ids, attention_mask)`` of a text column, one row for each row of ``df``.
+
+    Ids are ranks, so the lowest ids are the most frequent words: these go to
+    every task (``SENT_WORDS``, some 20 MB at most) and are looked up for the
+    distinct words of a batch. Only other words, rare ones, are joined to ``vocab``,
+    which should be a written table. A word outside it becomes ``unk_id``, or
+    fails the job when none is given.
+    """
+    spark = df.sparkSession
+    ship_package(spark)
+    sent = vocab.filter((F.col("token_id") < SENT_WORDS) & (F.length("token") <= SENT_CHARS)).select("token", F.col("token_id").cast("int").alias("id"))
+    table = sent.toArrow().combine_chunks()
+    complete = table.num_rows == vocab.count()
+    known = spark.sparkContext.broadcast((table["token"].combine_chunks(), table["id"].combine_chunks()))
+
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def look_up(words: pa.Array) -> pa.Array:
+        names, ids = known.value
+        flat = words.flatten().dictionary_encode()
+        found = ids.take(pc.index_in(flat.dictionary, value_set=names))
+        if complete and found.null_count:
+            if unk_id is None:
+                missing = flat.dictionary.filter(found.is_null())[0].as_py()
+                raise ValueError(f"token outside the vocabulary: {missing}")
+            found = found.fill_null(unk_id)
+        offsets = words.offsets.to_numpy()
+        return pa.ListArray.from_arrays(pa.array(offsets - offsets[0]), found.take(flat.indices))
+
+    words = word_array(text) if max_length is None else F.slice(word_array(text), 1, max_length)
+    if complete:
+        return _with_mask(df.select(key, look_up(words).alias("input_ids")))
+    staged = df.select(F.monotonically_increasing_id().alias("_rid"), F.col(key).alias("_key"), words.alias("_words"))
+    # written with their row numbers: the texts whose rare words are looked up are joined back by them
+    staged = written(staged.withColumn("_ids", look_up("_words")), "looked-up")
+    open_ = staged.select("_rid", F.posexplode(F.arrays_zip(F.col("_ids").alias("id"), F.col("_words").alias("token"))).alias("pos", "w")).filter("w.id is null")
+    j = open_.select("_rid", "pos", F.col("w.token").alias("token")).join(vocab.select("token", "token_id"), "token", "left")
+    missing = F.raise_error(F.concat(F.lit("token outside the vocabulary: "), F.col("token"))) if unk_id is None else F.lit(unk_id)
+    rare = j.groupBy("_rid").agg(F.map_from_entries(F.collect_list(F.struct("pos", F.coalesce(F.col("token_id").cast("int"), missing.cast("int")).alias("id")))).alias("_rare"))
+    ids = F.transform("_ids", lambda x, i: F.coalesce(x, F.element_at(F.col("_rare"), i)))
+    whole = staged.join(rare, "_rid", "left").select(F.col("_key").alias(key), F.when(F.col("_rare").isNull(), F.col("_ids")).otherwise(ids).alias("input_ids"))
+    return _with_mask(whole)
+
+
+def _with_mask(df: DataFrame) -> DataFrame:
+    return df.withColumn("attention_mask", F.array_repeat(F.lit(1), F.size("input_ids")))
 
 
 def encode(words_df: DataFrame, vocab: DataFrame, key: str, max_length: int | None = None, keys: DataFrame | None = None,
@@ -70,7 +132,7 @@ def encode(words_df: DataFrame, vocab: DataFrame, key: str, max_length: int | No
     if keys is not None:
         g = keys.select(key).join(g, key, "left")
     ids = F.coalesce(F.transform("_s", lambda s: s["id"]), F.array().cast("array<int>"))
-    return g.select(key, ids.alias("input_ids")).withColumn("attention_mask", F.array_repeat(F.lit(1), F.size("input_ids")))
+    return _with_mask(g.select(key, ids.alias("input_ids")))
 
 
 def encode_fixed(df: DataFrame, ids: str, length: int = 128, pad_id: int = 0) -> DataFrame:
@@ -158,19 +220,26 @@ def flush_left(df: DataFrame, mask: str, tensors: Sequence[str], batch: str = "b
     r = r.withColumns(rot)
     # First column that is 0 in every row of the batch. Each row's 1s form a
     # few runs [start, end); the batch's union of runs, merged from column 0,
-    # ends at that column. Only run boundaries leave the row, not tokens.
+    # ends at that column. Only run boundaries leave the row, not tokens. Most
+    # rows are one run of 1s and then 0s, which native searches find; only the
+    # others are walked element by element.
     m = F.col(mask)
     n = F.size(m)
+    zero = F.array_position(m, 0)
+    r = r.withColumn("_first0", F.when(zero == 0, n).otherwise(zero - 1).cast("int"))
+    r = r.withColumn("_more", F.array_position(F.slice(m, F.col("_first0") + 1, n), 1) > 0)
     idx = F.sequence(F.lit(0), n - 1)
     starts = F.filter(idx, lambda i: (F.get(m, i) == 1) & ((i == 0) | (F.get(m, i - 1) != 1)))
     ends = F.filter(idx, lambda i: (F.get(m, i) == 1) & ((i == n - 1) | (F.get(m, i + 1) != 1)))
-    runs = r.select(batch, F.explode(F.arrays_zip(starts.alias("s"), F.transform(ends, lambda e: e + 1).alias("e"))).alias("iv"))
+    walked = F.arrays_zip(starts.alias("s"), F.transform(ends, lambda e: e + 1).alias("e"))
+    one = F.array(F.struct(F.lit(0).alias("s"), F.col("_first0").alias("e")))
+    runs = r.select(batch, F.explode(F.when(F.col("_more"), walked).otherwise(one)).alias("iv"))
     merged = runs.groupBy(batch).agg(F.array_sort(F.collect_list(F.struct(F.col("iv.s").alias("s"), F.col("iv.e").alias("e")))).alias("_iv"))
     reach = F.aggregate("_iv", F.lit(0), lambda acc, iv: F.when(iv["s"] <= acc, F.greatest(acc, iv["e"])).otherwise(acc))
     cut = merged.select(batch, reach.alias("_cut"))
     r = r.join(cut, batch, "left")
     width = F.least(F.coalesce(F.col("_cut"), F.lit(0)), F.size(mask))
-    return r.withColumns({c: F.slice(c, 1, width) for c in [mask, *tensors]}).drop("_k", "_cut")
+    return r.withColumns({c: F.slice(c, 1, width) for c in [mask, *tensors]}).drop("_k", "_cut", "_first0", "_more")
 
 
 def mask_labels(df: DataFrame, ids: str, pad_id: int, special_ids: Sequence[int] = (), out: str = "labels") -> DataFrame:

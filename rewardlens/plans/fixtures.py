@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rewardlens.operators.conversation import assemble_messages
-from rewardlens.sources.tables import read_table
+from rewardlens.sources.tables import dealt, read_table
 
 # Fixed fixture parameters.
 ROLLOUT_REWARDS = ("reward_discount", "reward_tax", "reward_quantity")
@@ -202,8 +202,12 @@ def words(spark: SparkSession, sf: str) -> DataFrame:
     """``(doc_id, pos, token)``: whitespace tokens of every document, 0-based position."""
     from rewardlens.operators.tokens import words as split_words_long
 
-    d = read_table(spark, sf, "documents", ["doc_id", "text"])
-    return split_words_long(d, "doc_id", "text")
+    return split_words_long(documents(spark, sf), "doc_id", "text")
+
+
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    """``(doc_id, text)`` for work on whole texts."""
+    return dealt(read_table(spark, sf, "documents", ["doc_id", "text"]))
 
 
 SQL_WORDS = f"""

@@ -40,11 +40,16 @@ def bucket_count(rows: int) -> int:
     return max(1, math.ceil(math.sqrt(rows) / 20))
 
 
-def range_buckets(df: DataFrame, order: Sequence[Column], name: str = "bucket") -> DataFrame:
-    """``df`` as a written table with a bucket number that never decreases along ``order``."""
-    keyed = written(df, "unordered")
-    n = bucket_count(keyed.count())  # from the files' row counts
-    return written(keyed.repartitionByRange(n, *order).withColumn(name, F.spark_partition_id()), "ordered")
+def range_buckets(df: DataFrame, order: Sequence[Column], name: str = "bucket", rows: int | None = None) -> DataFrame:
+    """``df`` as a written table with a bucket number that never decreases along ``order``.
+
+    ``rows`` says how many rows there are (about) where the caller knows: then they
+    are written once. Otherwise they are written first and counted in the files.
+    """
+    if rows is None:
+        df = written(df, "unordered")
+        rows = df.count()  # from the files' row counts
+    return written(df.repartitionByRange(bucket_count(rows), *order).withColumn(name, F.spark_partition_id()), "ordered")
 
 
 def running(
@@ -53,13 +58,14 @@ def running(
     value: Column | dict[str, Column] | None = None,
     out: str = "ordinal",
     inclusive: bool = False,
+    rows: int | None = None,
 ) -> DataFrame:
     """Add running totals over the total order ``order_cols``.
 
     ``value=None`` counts rows into ``out``, giving a dense 0-based ordinal
     (``inclusive`` False) -- the order must be total (unique) for a
     deterministic result. ``value`` may be a dict ``{out_name: Column}`` to
-    compute several running totals in one pass.
+    compute several running totals in one pass. ``rows`` as in :func:`range_buckets`.
     """
     order = [as_col(c) for c in order_cols]
     if value is None:
@@ -69,7 +75,7 @@ def running(
     else:
         values = dict(value)
     vcols = {o: f"_v{i}" for i, o in enumerate(values)}
-    b = range_buckets(df.withColumns({vcols[o]: c for o, c in values.items()}), order, "_bucket")
+    b = range_buckets(df.withColumns({vcols[o]: c for o, c in values.items()}), order, "_bucket", rows)
 
     totals = b.groupBy("_bucket").agg(*[F.sum(v).alias(f"_t{v}") for v in vcols.values()])
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -11,6 +11,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rewardlens.functions import arrays as A
+from rewardlens.functions import matching as M
 from rewardlens.operators import pack as P
 from rewardlens.operators import tokens as T
 from rewardlens.plans import fixtures as V
@@ -44,10 +45,19 @@ SELECT doc_id, coalesce(ids, CAST([] AS INTEGER[])) AS ids FROM documents LEFT J
   FROM ({V.SQL_WORDS}) w JOIN ({V.SQL_VOCAB}) v USING (token) GROUP BY w.doc_id) USING (doc_id)"""
 
 
+_VOCABULARIES: dict[tuple[str, str], object] = {}
+
+
+def doc_vocab(spark, sf):
+    """The vocabulary of ``documents``, built and written once in a session."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _VOCABULARIES:
+        _VOCABULARIES[key] = written(T.build_vocab(V.words(spark, sf)), "vocabulary")
+    return _VOCABULARIES[key]
+
+
 def token_ids(spark, sf):
-    w = V.words(spark, sf)
-    vocab = T.build_vocab(w)
-    ids = T.encode(w, vocab, "doc_id", keys=read_table(spark, sf, "documents", ["doc_id"]))
+    ids = T.encode_texts(V.documents(spark, sf), "doc_id", "text", doc_vocab(spark, sf))
     return ids.select("doc_id", F.col("input_ids").alias("ids"), (F.col("doc_id") / BATCH).cast("long").alias("batch_id"))
 
 
@@ -88,9 +98,8 @@ SELECT doc_id, coalesce(t, '') AS text FROM documents LEFT JOIN (
   SELECT w.doc_id, string_agg(w.token, ' ' ORDER BY w.pos) AS t
   FROM ({V.SQL_WORDS}) w JOIN ({V.SQL_VOCAB}) v USING (token) WHERE v.token_id NOT IN ({BOS}, {EOS}) GROUP BY w.doc_id) USING (doc_id)""")
 def q_decode_tokens(spark, sf):
-    w = V.words(spark, sf)
-    vocab = T.build_vocab(w)
-    ids = written(T.encode(w, vocab, "doc_id", keys=read_table(spark, sf, "documents", ["doc_id"])), "token-ids")
+    vocab = doc_vocab(spark, sf)
+    ids = written(T.encode_texts(V.documents(spark, sf), "doc_id", "text", vocab), "token-ids")
     return T.decode(ids, vocab, "doc_id", "input_ids", SPECIAL)
 
 
@@ -277,7 +286,7 @@ SELECT {_sout(['labels'])} FROM (SELECT doc_id,
   CASE WHEN e IS NULL THEN list_transform(labels, lambda x: -100) ELSE list_transform(labels, lambda x, i: CASE WHEN i - 1 < e THEN -100 ELSE x END) END AS labels FROM a)""")
 def q_label_completion_single(spark, sf):
     lab = T.mask_labels(right_padded(spark, sf), "ids", PAD, SPECIAL)
-    return _out(lab.withColumn("labels", A.label_completion_single("labels", RESPONSE_TPL)), ["labels"])
+    return _out(lab.withColumn("labels", M.label_completion_single("labels", RESPONSE_TPL)), ["labels"])
 
 
 @query("label_completion_multi", f"""
@@ -293,7 +302,7 @@ SELECT {_sout(['labels'])} FROM (SELECT doc_id,
                                                      OR (tail IS NOT NULL AND i - 1 >= tail) THEN -100 ELSE x END) END AS labels FROM c)""")
 def q_label_completion_multi(spark, sf):
     lab = T.mask_labels(right_padded(spark, sf), "ids", PAD, SPECIAL)
-    return _out(A.label_completion_multi(lab, "labels", RESPONSE_TPL, INSTRUCTION_TPL), ["labels"])
+    return _out(lab.withColumn("labels", M.label_completion_multi("labels", RESPONSE_TPL, INSTRUCTION_TPL)), ["labels"])
 
 
 @query("padding_free_batch", f"""
@@ -311,9 +320,8 @@ def q_padding_free_batch(spark, sf):
     r = right_padded(spark, sf).withColumn("mask", A.attention_mask("ids", PAD))
     r = T.mask_labels(r, "ids", PAD, SPECIAL)
     p = T.padding_free_batch(r, "ids", "labels", "mask", "batch_id", "doc_id")
-    out = _out(p, ["input_ids", "position_ids", "labels"], keys=("batch_id",))
-    cu = p.select("batch_id", F.array_join(F.col("cu_seq_lens").cast("array<string>"), " ").alias("cu_seq_lens"), F.col("max_length").cast("long").alias("max_length"))
-    return out.join(cu, "batch_id")
+    p = p.withColumns({"cu_seq_lens": F.array_join(F.col("cu_seq_lens").cast("array<string>"), " "), "max_length": F.col("max_length").cast("long")})
+    return _out(p, ["input_ids", "position_ids", "labels"], keys=("batch_id", "cu_seq_lens", "max_length"))
 
 
 # ---------------------------------------------------------------- packing
@@ -406,7 +414,7 @@ def conv_vocab(spark, sf):
     from rewardlens.functions.chat import render
     m = V.messages(spark, sf)
     w = T.words(m.select("conv_id", render("messages").alias("text")), "conv_id", "text")
-    return T.build_vocab(w)
+    return written(T.build_vocab(w), "vocabulary")
 
 
 SQL_CONV_WORDS = f"""
@@ -492,9 +500,8 @@ def q_collate_reward_pairs(spark, sf):
         F.concat("prompt_attention_mask", "rejected_attention_mask").alias("attention_mask_rejected"),
     )
     x = x.withColumn("margin", (F.size("input_ids_rejected") - F.size("input_ids_chosen")).cast("double"))
-    c = T.collate_reward_pairs(x, pad_id=0)
-    out = _out(c, ["input_ids_chosen", "attention_mask_chosen", "input_ids_rejected", "attention_mask_rejected"], keys=("conv_id",))
-    return out.join(c.select("conv_id", F.round(F.col("margin").cast("double"), 6).alias("margin")), "conv_id")
+    c = T.collate_reward_pairs(x, pad_id=0).withColumn("margin", F.round(F.col("margin").cast("double"), 6))
+    return _out(c, ["input_ids_chosen", "attention_mask_chosen", "input_ids_rejected", "attention_mask_rejected"], keys=("conv_id", "margin"))
 
 
 @query("collate_preference", f"""

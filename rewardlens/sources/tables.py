@@ -36,6 +36,19 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] |
     return df.select(*columns) if columns else df
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """Rows of a small table in few files, dealt to all cores; any other table as it is.
+
+    A file with one row group is one task however it is split, and work on whole
+    texts costs more than moving them once. A table with as many files as the
+    session has cores, or of more than a few scan tasks a core, is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= 4 * cores or len(df.inputFiles()) >= cores:
+        return df
+    return df.repartition(cores)
+
+
 def read_preference(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """A preference dataset with the declared schema (no inference)."""
     return spark.read.schema(PREFERENCE_SCHEMA).format(fmt).load(path)

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rewardlens.functions import arrays as A
+from rewardlens.functions import matching as M
 from rewardlens.functions import chat as C
 from rewardlens.functions import numeric as N
 from rewardlens.operators import conversation as OC
@@ -103,10 +104,10 @@ def test_first_true_and_truncate(spark):
 
 def test_label_completion(spark):
     df = spark.createDataFrame([([5, 1, 2, 8, 9, 1, 2, 7],), ([5, 6],)], "l array<int>")
-    single = [list(r[0]) for r in df.select(A.label_completion_single("l", [1, 2])).collect()]
+    single = [list(r[0]) for r in df.select(M.label_completion_single("l", [1, 2])).collect()]
     assert single == [[-100] * 7 + [7], [-100, -100]]
     # instruction [5], response [1, 2]: mask through first response end, keep the answer
-    multi = A.label_completion_multi(df, "l", [1, 2], [5]).collect()
+    multi = df.withColumn("l", M.label_completion_multi("l", [1, 2], [5])).collect()
     assert list(multi[0].l) == [-100, -100, -100, 8, 9, 1, 2, 7]
     assert list(multi[1].l) == [-100, -100]
 

@@ -84,6 +84,85 @@ def test_encode_keeps_every_text(spark):
     assert text == {1: "b", 2: "", 3: "", 4: "b"}
 
 
+def test_encoding_joins_only_the_rare_words(spark, monkeypatch):
+    from rewardlens.operators import tokens as T
+    from rewardlens.plans.ordinal import written
+    import pytest
+    data = [(1, "a b a"), (2, ""), (3, None), (4, "a zzz\tb  " + "y" * 70), (4, "c"), (None, " c a "), (5, "zzz " * 3)]
+    df = spark.createDataFrame(data, "k long, text string")
+    vocab = written(T.build_vocab(T.words(df, "k", "text").filter("token <> 'zzz'")), "vocab")
+    ids = {r.token: r.token_id for r in vocab.collect()}
+    want = sorted([(k, [ids.get(w, 99) for w in (t or "").split()]) for k, t in data], key=repr)
+    for sent in (1 << 18, 2, 0):  # all words sent but the long one, the two most frequent, none
+        monkeypatch.setattr(T, "SENT_WORDS", sent)
+        got = T.encode_texts(df, "k", "text", vocab, unk_id=99).collect()
+        assert sorted([(r.k, list(r.input_ids)) for r in got], key=repr) == want
+        assert all(r.attention_mask == [1] * len(r.input_ids) for r in got)
+        cut = T.encode_texts(df, "k", "text", vocab, max_length=2, unk_id=99).collect()
+        assert sorted([(r.k, list(r.input_ids)) for r in cut], key=repr) == sorted([(k, i[:2]) for k, i in want], key=repr)
+        with pytest.raises(Exception, match="token outside the vocabulary: zzz"):
+            T.encode_texts(df, "k", "text", vocab).collect()
+    monkeypatch.setattr(T, "SENT_CHARS", 100)
+    monkeypatch.setattr(T, "SENT_WORDS", 1 << 18)
+    got = T.encode_texts(df, "k", "text", vocab, unk_id=99)
+    assert sorted([(r.k, list(r.input_ids)) for r in got.collect()], key=repr) == want and "Join" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_table_in_few_files_is_dealt_out(spark):
+    from rewardlens.sources.tables import dealt, read_table
+    docs = read_table(spark, SF_SMALL, "documents", ["doc_id", "text"])
+    assert dealt(docs).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    many = docs.repartition(40)
+    assert dealt(many) is many
+
+
+def test_labels_by_plain_search(spark):
+    """All templates in one pass against a slice at every position."""
+    import random
+    from rewardlens.functions import matching as M
+    rng = random.Random(8)
+    rows = [(i, None if i == 3 else [rng.choice([1, 1, 2, 2, 5, 7, None, -100]) for _ in range(rng.choice([0, 1, 2, 9, 30]))]) for i in range(300)]
+
+    def starts(a, t):
+        return [i for i in range(len(a) - len(t) + 1) if a[i:i + len(t)] == t]
+
+    def single(a, t):
+        at = starts(a, t)
+        return [-100] * len(a) if not at else [-100 if i < at[-1] + len(t) else x for i, x in enumerate(a)]
+
+    def multi(a, said, asked):
+        e, s = [i + len(said) for i in starts(a, said)], starts(a, asked)
+        if not e or not s:
+            return [-100] * len(a)
+        s = [0] + s if s[0] > e[0] else s
+        out = list(a)
+        for k in range(min(len(s), len(e))):
+            for i in range(0 if k == 0 else s[k], e[k]):
+                out[i] = -100
+        return out[:s[-1]] + [-100] * (len(a) - s[-1]) if len(e) < len(s) else out
+
+    df = spark.createDataFrame(rows, "k int, l array<int>").repartition(3)
+    for said, asked in (([1, 2], [5]), ([1, 1], [1, 2, 1]), ([2], [2, 2])):
+        got = df.select("k", M.label_completion_single("l", said).alias("s"), M.label_completion_multi("l", said, asked).alias("m")).collect()
+        for r in got:
+            a = rows[r.k][1]
+            assert (r.s, r.m) == ((None, None) if a is None else (single(a, said), multi(a, said, asked))), (a, said, asked)
+
+
+def test_automaton_finds_overlapping_and_nested_templates():
+    import random
+    import numpy as np
+    from rewardlens.functions.matching import TemplateAutomaton
+    rng = random.Random(2)
+    for _ in range(300):
+        templates = [[rng.randint(0, 2) for _ in range(rng.randint(1, 5))] for _ in range(rng.randint(1, 6))]
+        docs = [[rng.randint(0, 3) for _ in range(rng.randint(0, 40))] for _ in range(3)]
+        bounds = np.r_[0, np.cumsum([len(d) for d in docs])]
+        got = TemplateAutomaton(templates).find(np.array(sum(docs, []), np.int64), bounds)
+        for t, at in zip(templates, got):
+            assert at.tolist() == [b + i for b, d in zip(bounds, docs) for i in range(len(d) - len(t) + 1) if d[i:i + len(t)] == t]
+
+
 def test_ordinal_buckets_split_ties(spark):
     from rewardlens.plans.ordinal import range_buckets, running
     df = spark.range(40000).withColumn("tie", F.lit(1))
