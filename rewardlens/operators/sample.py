@@ -42,10 +42,14 @@ def repeat_sampler(df: DataFrame, key: str, mini_repeat_count: int, batch_size:
     repeated ``mini_repeat_count`` times. The output position is computed,
     so no ordering of the exploded rows is needed.
     """
-    B, m, r = batch_size, mini_repeat_count, repeat_count
     o = shuffle_rows(df.select(key), key, seed, "_ord")
     n = o.agg(F.count(F.lit(1)).alias("_n"))  # one row
-    o = o.crossJoin(F.broadcast(n))
+    return emit_repeats(o.crossJoin(F.broadcast(n)), key, mini_repeat_count, batch_size, repeat_count)
+
+
+def emit_repeats(o: DataFrame, key: str, mini_repeat_count: int, batch_size: int, repeat_count: int) -> DataFrame:
+    """``(position, key)`` of every emission of rows that have their place ``_ord`` in the order and its length ``_n``."""
+    B, m, r = batch_size, mini_repeat_count, repeat_count
     chunk = (F.col("_ord") / B).cast("long")
     o = o.filter(chunk < (F.col("_n") / B).cast("long"))
     o = o.withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(r - 1))))

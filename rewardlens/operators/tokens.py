@@ -64,14 +64,14 @@ def word_array(text) -> Column:
 
 
 #: Every task gets the words of the lowest ids, at most so many and none longer than so many characters.
-SENT_WORDS, SENT_CHARS = 1 << 18, 64
+SENT_WORDS, SENT_CHARS = 1 << 19, 64
 
 
 def encode_texts(df: DataFrame, key: str, text: str, vocab: DataFrame, max_length: int | None = None, unk_id: int | None = None) -> DataFrame:
     """``(key, input_ids, attention_mask)`` of a text column, one row for each row of ``df``.
 
     Ids are ranks, so the lowest ids are the most frequent words: these go to
-    every task (``SENT_WORDS``, some 20 MB at most) and are looked up for the
+    every task (``SENT_WORDS``, 10 MB as a rule, 36 at most) and are looked up for the
     distinct words of a batch. Only other words, rare ones, are joined to ``vocab``,
     which should be a written table. A word outside it becomes ``unk_id``, or
     fails the job when none is given.

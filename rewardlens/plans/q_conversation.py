@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rewardlens.functions import chat as C
+from rewardlens.functions import template as TP
 from rewardlens.operators import conversation as OC
 from rewardlens.plans import fixtures as V
 from rewardlens.plans import sqltext as S
@@ -80,6 +81,35 @@ SELECT conv_id, {S.render('messages', tpl)} AS text FROM ({V.SQL_MESSAGES})""")
     _mk(_tpl)
 
 
+@query("template_compiled", f"""
+SELECT conv_id, {S.render('messages', 'chatml', gen=True)} AS chatml, {S.render('messages', 'simple_chat', gen=True)} AS simple_chat,
+       {S.render('messages', 'simple_sft')} AS simple_sft FROM ({V.SQL_MESSAGES})""")
+def q_template_compiled(spark, sf):
+    m = V.messages(spark, sf)
+    return m.select(
+        "conv_id", TP.Template(TP.CHATML).column(m, add_generation_prompt=True).alias("chatml"),
+        TP.Template(TP.SIMPLE_CHAT).column(m, add_generation_prompt=True).alias("simple_chat"),
+        TP.Template(TP.SIMPLE_SFT).column(m, eos_token="</s>").alias("simple_sft"))
+
+
+@query("template_tools", f"""
+WITH t AS (SELECT conv_id, messages, range(len(messages) % 3) AS tools FROM ({V.SQL_MESSAGES})),
+p AS (SELECT *, len(tools) > 0 AND messages[1].role = 'system' AS moved FROM t)
+SELECT conv_id, CASE WHEN len(tools) > 0 THEN '<|im_start|>system' || chr(10)
+         || CASE WHEN moved THEN messages[1].content || chr(10) || chr(10) ELSE '' END || '# Tools' || chr(10)
+         || array_to_string(list_transform(tools, lambda i: '{{"name":"tool_' || i || '","turns":' || len(messages) || '}}' || chr(10)), '')
+         || '<|im_end|>' || chr(10) ELSE '' END
+       || {S.render('CASE WHEN moved THEN messages[2:] ELSE messages END', 'chatml', gen=True)} AS text
+FROM p""")
+def q_template_tools(spark, sf):
+    m = V.messages(spark, sf)
+    n = F.size("messages") % 3
+    tools = F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")),
+                        lambda i: F.struct(F.concat(F.lit("tool_"), i.cast("string")).alias("name"), F.size("messages").alias("turns")))
+    m = m.withColumn("tools", tools)
+    return m.select("conv_id", TP.Template(TP.CHATML_TOOLS).column(m, ["messages", "tools"], add_generation_prompt=True).alias("text"))
+
+
 def _sql_apply(view: str, tpl: str, keys=("chosen", "rejected")) -> str:
     p = S.render("prompt", tpl, gen=True)
     parts = ", ".join(f"substr({S.render(f'list_concat(prompt, {k})', tpl)}, length({p}) + 1) AS {k}" for k in keys)

@@ -12,7 +12,8 @@ from rewardlens.plans.catalog import query
 from rewardlens.plans.q_stats import SQL_SCORE_HISTOGRAM, long_scores
 from rewardlens.session import scratch_path
 from rewardlens.sources import sinks as K
-from rewardlens.sources.tables import read_preference, read_table, split_head
+from rewardlens.sources.split_source import read_split
+from rewardlens.sources.tables import read_preference, read_table, split_head, table_path
 
 
 @query("src_preference", f"""
@@ -38,6 +39,30 @@ def q_src_split_head(spark, sf):
     return split_head(o, "o_orderkey", PCT)
 
 
+def _sql_rows(low: str, high: str, also: str = "true") -> str:
+    return f"""
+SELECT o_orderkey, o_custkey, o_totalprice FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS ord, count(*) OVER () AS n FROM orders)
+WHERE ord >= {low} AND ord < {high} AND {also}"""
+
+
+def _sql_pct(pct: int) -> str:
+    return f"CAST(round_even(n * {pct} / 100.0, 0) AS BIGINT)"
+
+
+# the file of orders is in key order, so its first rows are those of the lowest keys
+@query("src_split_option", _sql_rows("0", _sql_pct(PCT)))
+def q_src_split_option(spark, sf):
+    return read_split(spark, table_path(sf, "orders"), f"train[:{PCT}%]", ["o_orderkey", "o_custkey", "o_totalprice"])
+
+
+@query("src_split_parts", f"""{_sql_rows(_sql_pct(40), _sql_pct(60), "o_totalprice > 100000")}
+UNION ALL {_sql_rows("n - 100", "n", "o_totalprice > 100000")}""")
+def q_src_split_parts(spark, sf):
+    """The middle fifth and the last hundred rows, of these the dearer ones: the filter reaches the source."""
+    o = read_split(spark, table_path(sf, "orders"), "train[40%:60%]+train[-100:]", ["o_orderkey", "o_custkey", "o_totalprice"])
+    return o.filter(F.col("o_totalprice") > 100000)
+
+
 @query("src_take", """SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 501""")
 def q_src_take(spark, sf):
     # the reference stops after its counter passes 500: 501 rows

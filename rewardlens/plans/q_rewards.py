@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from rewardlens.functions.common import round6
 from rewardlens.operators import rewards as R
 from rewardlens.plans import fixtures as V
-from rewardlens.plans.catalog import query
+from rewardlens.plans.catalog import ORACLE, query
+from rewardlens.sources.bucketed import co_joined, write_bucketed
 
 W = V.ROLLOUT_WEIGHTS
 RCOLS = list(V.ROLLOUT_REWARDS)
@@ -198,3 +199,34 @@ def q_join_rewards(spark, sf):
 SELECT batch_id, count(*) AS rows, count(*) % 4 AS left_over FROM ({V.SQL_BATCHES}) GROUP BY batch_id HAVING count(*) % 4 > 0""")
 def q_uneven_batches(spark, sf):
     return R.uneven_batches(V.batches(spark, sf), "batch_id", 4)
+
+
+# ---------------------------------------------------------------- joins of tables that are in place
+BUCKETS = 8
+
+
+@query("join_logps_bucketed", ORACLE["join_logps"])
+def q_join_logps_bucketed(spark, sf):
+    t = V.logps(spark, sf)
+    keys = ["sample_id", "pos"]
+    pol, old, ref = (write_bucketed(t.select(*keys, c), keys, f"logps_{c}", BUCKETS) for c in ("logp", "old_logp", "ref_logp"))
+    j = co_joined(pol, old, ref, on=keys)
+    return j.select(*keys, *[round6(c).alias(c) for c in ("logp", "old_logp", "ref_logp")])
+
+
+@query("join_rewards_bucketed", ORACLE["join_rewards"])
+def q_join_rewards_bucketed(spark, sf):
+    r = V.rollouts(spark, sf)
+    long = write_bucketed(r.select(*FULL_KEYS, F.explode(F.array(*[
+        F.struct(F.lit(c).alias("func"), F.col(c).alias("reward")) for c in RCOLS
+    ])).alias("x")).select(*FULL_KEYS, "x.func", "x.reward"), FULL_KEYS, "rewards", BUCKETS)
+    wide = R.join_rewards_long(long, FULL_KEYS, RCOLS)
+    return wide.select(*KEYS, *[round6(c).alias(c) for c in RCOLS])
+
+
+@query("join_prompt_completion_bucketed", ORACLE["join_prompt_completion"])
+def q_join_prompt_completion_bucketed(spark, sf):
+    pc = V.prompt_completion(spark, sf).withColumnRenamed("conv_id", "sample_id")
+    prompts = write_bucketed(pc.select("sample_id", F.size("prompt").alias("n_prompt_turns")), ["sample_id"], "prompts", BUCKETS)
+    comps = write_bucketed(pc.select("sample_id", F.get("completion", 0)["content"].alias("completion")), ["sample_id"], "completions", BUCKETS)
+    return R.join_prompt_completion(prompts, comps.hint("merge"), "sample_id", strict=True)

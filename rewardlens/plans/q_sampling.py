@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rewardlens.functions.common import round6
+from rewardlens.operators import permute as PM
 from rewardlens.operators import sample as SM
 from rewardlens.plans import fixtures as V
 from rewardlens.plans.catalog import query
@@ -78,3 +79,59 @@ def q_reuse_schedule(spark, sf):
     gen = ev.filter(((F.col("event_id") / ACCUM).cast("long") % MU) == 0).select(F.col("event_id").alias("step"), "value")
     r = SM.reuse_schedule(steps, gen, "step", MU, ACCUM)
     return r.select("step", "source_step", "value")
+
+
+# ---------------------------------------------------------------- orders by arithmetic
+
+
+def _sql_permuted(table: str, key: str, back: bool = False) -> str:
+    """``(key, ord, place)``: the walk of every ordinal through the network, step by step."""
+    steps = 2 * PM.ROUNDS
+    h = f"('0x' || substr(md5('{SEED}:' || j || ':' || CASE WHEN j % 2 = 1 THEN r ELSE l END), 1, 15))::BIGINT"
+    sign = "-" if back else "+"
+    first, last, on = (steps, 0, -1) if back else (1, steps + 1, 1)
+    return f"""
+WITH RECURSIVE src AS (SELECT {key}, row_number() OVER (ORDER BY {key}) - 1 AS ord FROM ({table})),
+c AS (SELECT count(*) AS n, greatest(CAST(ceil(sqrt(count(*))) AS BIGINT), 1) AS side FROM src),
+d AS (SELECT any_value(n) AS n, arg_min(a, ((-n % a) + a) % a * 100000000 + a) AS a FROM c, range(0, {PM.TRIED} + 1) t(k), LATERAL (SELECT side + k AS a) s
+      WHERE a <= least(side + {PM.TRIED}, 2 * side)),
+e AS (SELECT n, a, greatest((n + a - 1) // a, 1) AS b FROM d),
+walk AS (
+  SELECT ord, n, a, b, ord % a AS l, ord // a AS r, {first} AS j FROM src, e
+  UNION ALL
+  SELECT ord, n, a, b,
+         CASE WHEN j % 2 = 1 THEN ((l {sign} {h} % a) + a) % a ELSE l END,
+         CASE WHEN j % 2 = 1 THEN r ELSE ((r {sign} {h} % b) + b) % b END, j + {on}
+  FROM (SELECT ord, n, a, b, l, r, CASE WHEN j = {last} THEN {first} ELSE j END AS j FROM walk WHERE j <> {last} OR l + r * a >= n)),
+p AS (SELECT ord, l + r * a AS place FROM walk WHERE j = {last} AND l + r * a < n)
+SELECT {key}, ord, place, (SELECT n FROM e) AS n FROM p JOIN src USING (ord)"""
+
+
+_SQL_ORDERS = _sql_permuted("SELECT o_orderkey FROM orders", "o_orderkey")
+
+
+@query("shuffle_rows_permuted", f"SELECT o_orderkey, place AS ordinal FROM ({_SQL_ORDERS})")
+def q_shuffle_rows_permuted(spark, sf):
+    return PM.shuffle_rows(_orders(spark, sf), "o_orderkey", SEED)
+
+
+@query("repeat_sampler_permuted", f"""
+SELECT CAST(place // 3 * 24 + t.r * 12 + (place % 3) * 4 + m AS BIGINT) AS position, o_orderkey
+FROM ({_SQL_ORDERS}) o, range(2) t(r), range(4) u(m) WHERE place // 3 < n // 3""")
+def q_repeat_sampler_permuted(spark, sf):
+    return PM.repeat_sampler(_orders(spark, sf), "o_orderkey", mini_repeat_count=4, batch_size=3, repeat_count=2, seed=SEED)
+
+
+@query("sampler_index_permuted", f"""
+SELECT CAST(ord // 3 * 24 + t.r * 12 + (ord % 3) * 4 + m AS BIGINT) AS position, place AS index
+FROM ({_sql_permuted("SELECT o_orderkey FROM orders", "o_orderkey", back=True)}) o, range(2) t(r), range(4) u(m) WHERE ord // 3 < n // 3""")
+def q_sampler_index_permuted(spark, sf):
+    n = _orders(spark, sf).count()  # from the file's row counts
+    return PM.sampler_index(spark, n, mini_repeat_count=4, batch_size=3, repeat_count=2, seed=SEED)
+
+
+@query("expand_generations_permuted", f"""
+SELECT place AS prompt_rank, prompt, g AS generation FROM ({_sql_permuted(f"SELECT DISTINCT prompt FROM ({V.SQL_BATCHES})", "prompt")}), range(4) t(g)""")
+def q_expand_generations_permuted(spark, sf):
+    e = PM.expand_generations(V.batches(spark, sf), "prompt", 4, SEED)
+    return e.select("prompt_rank", "prompt", F.col("generation").cast("long").alias("generation"))

@@ -32,31 +32,33 @@ FAR = 10_000_000
 
 
 def arriving(df: DataFrame, run: F.Column, name: str, last: DataFrame | None = None) -> DataFrame:
-    """``df`` as a stream whose rows arrive by ``run`` (0, 1, 2), a micro-batch each, and then ``last``.
+    """``df`` as a stream whose rows arrive by ``run`` (0, 1, 2), a micro-batch each, the rows of ``last`` with the third.
 
     Every run is written by as many tasks as the session has cores, one file each.
     """
     spark = df.sparkSession
     path, files = scratch_path(spark, name), spark.sparkContext.defaultParallelism
     for k in range(MICRO_BATCHES):
-        df.filter(run == k).repartition(files).write.mode("append").parquet(path)
-    if last is not None:
-        last.write.mode("append").parquet(path)
+        rows = df.filter(run == k)
+        if last is not None and k == MICRO_BATCHES - 1:
+            rows = rows.unionByName(last)
+        rows.repartition(files).write.mode("append").parquet(path)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def _batches_stream(spark, sf):
     b = V.batches(spark, sf)
     # thirds of the month that begin and end inside a day
-    run = F.floor((F.unix_seconds("ts") / 86400 - F.lit(19723)) * MICRO_BATCHES / 31)
+    run = F.floor((F.unix_seconds(F.col("ts").cast("timestamp")) / 86400 - F.lit(19723)) * MICRO_BATCHES / 31)
     beat = spark.range(1).select(*[(F.lit(FAR) if f.name == "batch_id" else F.lit(None)).cast(f.dataType).alias(f.name) for f in b.schema.fields])
     return arriving(b, F.greatest(F.lit(0), F.least(run, F.lit(MICRO_BATCHES - 1))), "event-files", beat)
 
 
-def _run(q):
-    q.awaitTermination()
-    if q.exception() is not None:
-        raise RuntimeError(str(q.exception()))
+def _run(*queries):
+    for q in queries:
+        q.awaitTermination()
+        if q.exception() is not None:
+            raise RuntimeError(str(q.exception()))
 
 
 @query("stream_running_moments", SQL_RUNNING_MOMENTS)
@@ -71,8 +73,8 @@ def q_stream_running_moments(spark, sf):
 def q_stream_prompt_tracker(spark, sf):
     tracked, tracked_ck, closed, closed_ck = (scratch_path(spark, n) for n in ("pt-out", "pt-ckpt", "pb-out", "pb-ckpt"))
     stream = _batches_stream(spark, sf)
-    _run(J.run_prompt_tracker(stream, "prompt", "reward", "batch_id", ["ts", "event_id"], tracked, tracked_ck, K))
-    _run(J.run_batch_moments(stream, "reward", "batch_id", closed, closed_ck))
+    _run(J.run_prompt_tracker(stream, "prompt", "reward", "batch_id", ["ts", "event_id"], tracked, tracked_ck, K),
+         J.run_batch_moments(stream, "reward", "batch_id", closed, closed_ck))
     r = J.tracker_advantages(V.batches(spark, sf), spark.read.parquet(tracked), spark.read.parquet(closed), "prompt", "reward", "batch_id", MIN_COUNT)
     return r.select("event_id", "batch_id", "prompt", "cold", round6("advantage").alias("advantage"))
 
@@ -102,7 +104,7 @@ STEP = 500
 
 
 @query("stream_metric_average_steps", f"""
-SELECT mode, step, CASE WHEN mode = 'eval' THEN 'eval_' || key ELSE key END AS key, round(avg(value), 6) AS value
+SELECT mode, step, CASE WHEN mode = 'eval' THEN 'eval_' || key ELSE key END AS key, round(avg(value), 9) AS value
 FROM (SELECT mode, step // {STEP} AS step, key, value FROM ({V.SQL_METRIC_LOG})) GROUP BY mode, step, key""")
 def q_stream_metric_average_steps(spark, sf):
     """Log calls of ``STEP`` steps whose rows come in three micro-batches, dealt by hash and in no order."""
@@ -112,7 +114,8 @@ def q_stream_metric_average_steps(spark, sf):
     log = arriving(m, F.pmod(F.xxhash64("step", "key", "value"), F.lit(MICRO_BATCHES)), "metric-files", beat)
     out, ck = scratch_path(spark, "ms-out"), scratch_path(spark, "ms-ckpt")
     _run(J.run_metric_average(log, out, ck, step="step", lateness=steps))
-    return spark.read.parquet(out).select("mode", "step", "key", round6("value").alias("value"))
+    # values have two decimals, so at six an average over a multiple of 32 rows may fall halfway
+    return spark.read.parquet(out).select("mode", "step", "key", F.round("value", 9).alias("value"))
 
 
 LANES = 8

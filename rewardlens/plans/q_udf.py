@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from rewardlens.functions.common import round6
+from rewardlens.functions.udtf import register_table_functions
 from rewardlens.operators import udf as U
 from rewardlens.plans import fixtures as V
 from rewardlens.plans.catalog import query
@@ -50,3 +53,26 @@ UNION ALL SELECT idx, question, rejected, false FROM ({V.SQL_PREF_TEXT})""")
 def q_udf_map_batched(spark, sf):
     t = V.pref_text(spark, sf).withColumnRenamed("question", "prompt")
     return U.map_batched(t, U.unpair_batch, "idx long, prompt string, completion string, label boolean")
+
+
+def _pref_view(spark, sf) -> str:
+    """A temporary view of the preference texts, under a name of its own."""
+    name = f"pref_{uuid.uuid4().hex}"
+    V.pref_text(spark, sf).withColumnRenamed("question", "prompt").createTempView(name)
+    register_table_functions(spark)
+    return name
+
+
+@query("udtf_unpair", f"""
+SELECT idx, question AS prompt, chosen AS completion, true AS label FROM ({V.SQL_PREF_TEXT})
+UNION ALL SELECT idx, question, rejected, false FROM ({V.SQL_PREF_TEXT})""")
+def q_udtf_unpair(spark, sf):
+    return spark.sql(f"SELECT * FROM unpair_rows(TABLE({_pref_view(spark, sf)}))")
+
+
+@query("udtf_format", f"""
+SELECT idx, '### Question: ' || coalesce(question, '') || ' ### Answer: ' || chosen AS text FROM ({V.SQL_PREF_TEXT})""")
+def q_udtf_format(spark, sf):
+    return spark.sql(f"""
+        SELECT t.idx, f.text FROM {_pref_view(spark, sf)} t,
+        LATERAL format_row(template => '### Question: {{question}} ### Answer: {{chosen}}', question => t.prompt, chosen => t.chosen) f""")

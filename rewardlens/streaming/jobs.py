@@ -23,7 +23,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -167,6 +167,18 @@ def _last_rewards(width: int, k: int):
     return task
 
 
+def _as_long(df: DataFrame, column: str) -> Column:
+    """An order column as a number: microseconds of a time, an integer as it is."""
+    kind = df.schema[column].dataType
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(column)
+    if isinstance(kind, T.TimestampNTZType):
+        return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(column))
+    if not isinstance(kind, T.IntegralType):
+        raise ValueError(f"the order column {column} is neither an integer nor a time")
+    return F.col(column).cast("long")
+
+
 def run_prompt_tracker(stream: DataFrame, prompt: str, reward: str, batch: str, order: Sequence[str], out_path: str, checkpoint: str,
                        buffer_size: int = 8, lateness: int = 0):
     """One row for each (prompt, closed batch): ``(prompt, batch, len, mean, std)`` of the prompt's buffer after it.
@@ -178,7 +190,7 @@ def run_prompt_tracker(stream: DataFrame, prompt: str, reward: str, batch: str,
     """
     ship_package(stream.sparkSession)
     k, width = buffer_size, len(order)
-    as_long = [(F.unix_micros(c) if stream.schema[c].dataType.typeName() == "timestamp" else F.col(c).cast("long")).alias(f"_o{i}") for i, c in enumerate(order)]
+    as_long = [_as_long(stream, c).alias(f"_o{i}") for i, c in enumerate(order)]
     kind, batch_kind = (stream.schema[c].dataType.simpleString() for c in (prompt, batch))
     rows = stream.select(F.col(prompt).alias("p"), F.col(batch).cast("long").alias("b"), F.col(reward).cast("double").alias("r"), *as_long).filter("b is not null")
     values = rows.filter("r is not null").mapInArrow(_last_rewards(width, k), f"p {kind}, b long, n long, keys array<long>, rewards array<double>")

@@ -48,4 +48,5 @@ def test_entry_runs(spark):
 def test_every_query_has_oracle():
     from rewardlens.plans.catalog import ORACLE, QUERIES
 
-    assert set(QUERIES) == set(ORACLE)
+    # byte pairs cannot be merged in SQL: these are tested against the public tokenizer (tests/test_subword.py)
+    assert set(QUERIES) - set(ORACLE) == {"encode_subword", "subword_counts", "label_chatml_subword"} and set(ORACLE) <= set(QUERIES)
