@@ -8,10 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from rewardlens.llm.common import columns, fresh, materialize
-from rewardlens.llm.ppm import count_events, fit, score_rows
+from rewardlens.llm.ppm import count_events, fit, score_texts
 from rewardlens.session import ship_package
 
 
@@ -29,42 +28,42 @@ def held_out(key: Column, buckets: int, which: int = 2) -> Column:
     return (F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % buckets) == which
 
 
-def with_language(docs: DataFrame, train: DataFrame, text_col: str = "text", label_col: str = "lang",
-                  max_contexts: int = 16384, prefix: str = "lang_") -> DataFrame:
-    """``docs`` with ``lang_pred``, ``lang_score`` and ``lang_bits`` (under ``prefix``); one map over the rows, nothing shuffled.
+def languages(rows: DataFrame, lessons: DataFrame | None = None) -> DataFrame:
+    """``rows`` without ``text`` and ``lesson``, with ``lang_pred``, ``lang_score`` and ``lang_bits``.
 
-    ``train`` has ``label_col`` and ``text_col``; rows with a null there teach
-    nothing. Predictions read the text alone. The language is ``und`` with score
-    0 for a null text, one without a letter, or when there was nothing to learn
-    from. The score is the language's posterior probability under equal priors;
-    ties go to the first label in order. The bits are the code length.
+    Lessons are the rows with a non-null ``lesson`` (their label) and those of
+    ``lessons(label, text)``. Predictions read the text alone. The language is
+    ``und`` with score 0 for a null text, one without a letter, or when there was
+    nothing to learn from; an empty table gives no rows, and repeated rows keep a row
+    each. The score is the language's posterior probability under equal
+    priors; ties go to the first label in order. The bits are the code length.
     """
-    spark = docs.sparkSession
-    ship_package(spark)
-    model = fit(count_events(train.select(F.col(label_col).alias("label"), F.col(text_col).alias("text")), ORDER), max_contexts, ORDER)
-    labels, each, bits = model.labels, prefix + "each", prefix + "bits"
-    sent = spark.sparkContext.broadcast(model)
-    # columns travel under plain names, whatever theirs are
-    plain = docs.select(*columns(docs)).toDF(*[f"c{i}" for i in range(len(docs.columns))])
-    text = plain.columns[docs.columns.index(text_col)]
-    schema = T.StructType([*plain.schema.fields, T.StructField("bits", T.ArrayType(T.DoubleType()))])
-    scored = plain.mapInArrow(score_rows(lambda: sent.value, text, "bits"), schema).toDF(*docs.columns, each)
-    letters = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
-    if not labels:
-        return scored.drop(each).withColumns({prefix + "pred": F.lit("und"), prefix + "score": F.lit(0.0), bits: F.lit(0.0)})
-    best = scored.withColumn(bits, F.array_min(each))
-    at = F.array_position(each, F.col(bits)).cast("int")
-    post = 1 / F.aggregate(each, F.lit(0.0), lambda a, b: a + F.pow(F.lit(2.0), F.col(bits) - b))
+    ship_package(rows.sparkSession)
+    counted = rows.select(F.col("lesson").cast("string").alias("label"), "text")
+    if lessons is not None:
+        counted = counted.unionByName(lessons.select(F.col("label").cast("string").alias("label"), "text").filter("label is not null"))
+    model = fit(count_events(counted, ORDER), ORDER)
+    letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    scored = score_texts(rows.withColumn("_letters", letters).drop("lesson"), model, "text", "_each")
+    if not model.labels:
+        return scored.drop("_each", "_letters").withColumns({"lang_pred": F.lit("und"), "lang_score": F.lit(0.0), "lang_bits": F.lit(0.0)})
+    best = scored.withColumn("lang_bits", F.array_min("_each"))
+    at = F.array_position("_each", F.col("lang_bits")).cast("int")
+    post = 1 / F.aggregate("_each", F.lit(0.0), lambda a, b: a + F.pow(F.lit(2.0), F.col("lang_bits") - b))
     return best.withColumns({
-        prefix + "pred": F.when(letters, F.element_at(F.array(*[F.lit(x) for x in labels]), at)).otherwise("und"),
-        prefix + "score": F.when(letters, post).otherwise(F.lit(0.0))}).drop(each)
+        "lang_pred": F.when(F.col("_letters"), F.element_at(F.array(*[F.lit(x) for x in model.labels]), at)).otherwise("und"),
+        "lang_score": F.when(F.col("_letters"), post).otherwise(F.lit(0.0))}).drop("_each", "_letters")
 
 
-def identify(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang",
-             max_contexts: int = 16384) -> DataFrame:
-    """``(id_col, lang_pred, score, bits)`` for every row of ``docs``; only its id and text are read."""
-    rows = with_language(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")),
-                         train.select(F.col(label_col).alias("lang"), F.col(text_col).alias("text")), max_contexts=max_contexts)
+def identify(docs: DataFrame, train: DataFrame | Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> DataFrame:
+    """``(id_col, lang_pred, score, bits)`` for every row of ``docs``; only its id and text are read.
+
+    ``train`` is a table with ``label_col`` and ``text_col``, or the label of those
+    rows of ``docs`` that are lessons, as an expression: then texts are read once less.
+    """
+    own = train if isinstance(train, Column) else F.lit(None).cast("string")
+    lessons = None if isinstance(train, Column) else train.select(F.col(label_col).alias("label"), F.col(text_col).alias("text"))
+    rows = languages(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), own.alias("lesson")), lessons)
     return rows.select(F.col("id").alias(id_col), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_bits").alias("bits"))
 
 
@@ -100,14 +99,19 @@ def keep_identified(docs: DataFrame, text_col: str = "text", label_col: str = "l
     for its letters. Labelled texts are lessons, so a labelled text fits as far
     as the model has learned it.
     """
-    prefix = fresh(docs, "lang_each")[:-4]
-    pred, bits = prefix + "pred", prefix + "bits"
-    rows = with_language(docs, docs.filter(F.col(label_col).isNotNull()), text_col, label_col, prefix=prefix)
-    rows = materialize(rows.filter((F.col(pred) != "und") & (F.col(prefix + "score") >= least)), "lang-fits")
+    row = fresh(docs, "row")
+    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "lang-rows")
     size = F.octet_length(text_col)
-    rate = F.col(bits) / size
-    limits = fit_limits(rows.filter(F.col(label_col).isNotNull() & (size >= SHORT)), F.col(label_col).cast("string"), rate)
+    judged = languages(numbered.select(F.col(row).alias("row"), F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("lesson"),
+                                       F.col(label_col).cast("string").alias("label"), size.alias("size")))
+    judged = materialize(judged, "lang-fits")
+    fits = judged.filter((F.col("lang_pred") != "und") & (F.col("lang_score") >= least))
+    rate = F.col("lang_bits") / F.col("size")
+    limits = fit_limits(fits.filter(F.col("label").isNotNull() & (F.col("size") >= SHORT)), F.col("label"), rate)
     limit = F.lit(8.0)
     for name, most in sorted(limits.items()):
-        limit = F.when(F.col(pred) == name, F.lit(most)).otherwise(limit)
-    return rows.filter((size < SHORT) | (rate <= limit)).select(*columns(docs))
+        limit = F.when(F.col("lang_pred") == name, F.lit(most)).otherwise(limit)
+    good = (F.col("lang_pred") != "und") & (F.col("lang_score") >= least) & ((F.col("size") < SHORT) | (rate <= limit))
+    # rejected rows are few as a rule: their numbers go to the texts, not the texts to them
+    bad = judged.filter(~F.coalesce(good, F.lit(False))).select(F.col("row").alias(row))
+    return numbered.join(bad, row, "left_anti").select(*columns(docs))

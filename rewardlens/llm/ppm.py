@@ -1,33 +1,35 @@
-"""Prediction by partial matching over byte contexts, as Spark counts and a bounded automaton.
+"""Prediction by partial matching over byte contexts, with whole counts and exact code lengths.
 
-*Counts.* Every byte of every training text is one event: its ``order`` preceding
-bytes (texts begin after as many newlines) and itself. Tasks sort and count the
-packed bytes and hand counts on whenever they hold many, Spark adds them up. Contexts of lower orders are sums of these.
+*Counts.* Every byte of every text is one event: its ``order`` preceding bytes
+(texts begin after as many newlines) and itself. Tasks sort and count the packed
+bytes and hand counts on whenever they hold many, Spark adds them up.
 
-*Trie.* The most frequent contexts stay, at most ``max_contexts``. Each suffix and
-prefix of a context is at least as frequent, so the set holds both, and the
-context after any byte follows from the context before it.
+*Trie.* A context's suffixes are its shorter contexts, down to the empty one. Events
+whose contexts end in the same two bytes share all their contexts of two bytes
+and more, so they are dealt out by these two bytes, and a task has whole branches of
+the trie at a time; contexts of one byte and none are small tables that all tasks get. No context is left out.
 
 *Probabilities.* Escape method C with symbol exclusion: in a context of ``t``
 events of ``d`` symbols a seen symbol has ``c / (t + d)``, the escape
 ``d / (t + d)``; symbols of the longer contexts are excluded from the shorter
 ones; last comes a uniform choice among the bytes not excluded. With frozen
-counts the code length of a byte depends on context and byte only, so it is a
-table, and a text's exact code length is a sum of table entries.
+counts the code length of a byte depends on its event only, so it is a table with
+a row for each different event of any text, and for each label a code length.
 
-*Scoring.* Texts are cut into runs that start from their ``order`` preceding bytes,
-and all runs of a slice advance together, a byte at a time, in numpy.
+*Scoring.* A text's exact code length is the sum over its events. The most frequent
+events (``SENT`` numbers of table at most) go to every task; the different
+other events of a text are looked up by a join with the whole table.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rewardlens.llm.common import materialize, most_frequent
@@ -35,8 +37,13 @@ from rewardlens.llm.textbatch import slices, text_buffer
 
 ORDER = 5  # the default; seven is the most that eight packed bytes allow
 START = 10  # texts begin after `order` newlines
-RUN = 256
 HELD = 1 << 20  # different events that a counting task holds before it hands them on
+#: Contexts are dealt out by their last bytes, so many of them.
+SHARED = 2
+#: Events that a task works on together, but for those of one shared suffix.
+TOGETHER = 1 << 17
+#: Numbers of the events' table (one for each label and two for the event) that every task gets.
+SENT = 1 << 23
 
 
 def padded(buf: np.ndarray, offs: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -68,10 +75,10 @@ def _add_up(keys: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray,
 
 
 def count_events(labelled: DataFrame, order: int = ORDER) -> DataFrame:
-    """``(label, event, n)``: byte events of ``labelled(label, text)``; rows with a null label are left out."""
+    """``(label, event, n)``: byte events of ``labelled(label, text)``; texts of no label count under a null one."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list] = {}
+        held: dict[str | None, list] = {}
 
         def given() -> Iterator[pa.RecordBatch]:
             for label, parts in held.items():
@@ -82,8 +89,8 @@ def count_events(labelled: DataFrame, order: int = ORDER) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text"):
                 labels = part.column("label").to_pylist()
-                for label in sorted(set(labels)):
-                    own = part if len(set(labels)) == 1 else part.filter(pa.array([x == label for x in labels]))
+                for label in dict.fromkeys(labels):
+                    own = part if labels.count(label) == len(labels) else part.filter(pa.array([x == label for x in labels]))
                     held.setdefault(label, []).append(_add_up(_events(*text_buffer(own.column("text")), order)))
                     if len(held[label]) >= 6:
                         held[label] = [_merge(held[label])]
@@ -93,7 +100,7 @@ def count_events(labelled: DataFrame, order: int = ORDER) -> DataFrame:
                         yield from given()
         yield from given()
 
-    rows = labelled.select(F.col("label").cast("string").alias("label"), "text").filter(F.col("label").isNotNull() & F.col("text").isNotNull())
+    rows = labelled.select(F.col("label").cast("string").alias("label"), "text").filter(F.col("text").isNotNull())
     return rows.mapInArrow(task, "label string, event long, n long").groupBy("label", "event").agg(F.sum("n").alias("n"))
 
 
@@ -101,139 +108,177 @@ def _merge(parts: list) -> tuple[np.ndarray, np.ndarray]:
     return _add_up(np.concatenate([k for k, _ in parts]), np.concatenate([n for _, n in parts]))
 
 
-@dataclass
-class Model:
-    """Per (context, symbol): the next context and, for each label, the code length in bits."""
+class Model(NamedTuple):
+    """Labels in order, and ``(event, m, bits)``: each event's number in all texts and its code length under each label."""
 
     order: int
     labels: list[str]
-    symbol: np.ndarray  # byte -> symbol; the last symbol is any byte without counts
-    next: np.ndarray  # context * symbols + symbol -> context
-    bits: np.ndarray  # context * symbols + symbol -> bits for each label
-
-    def runs(self, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
-        """Code length in bits of each row under each label: ``(rows, labels)``."""
-        rows, labels = len(offs) - 1, len(self.labels)
-        out = np.zeros((rows, labels))
-        text, _ = padded(buf, offs, self.order)
-        text = self.symbol[text]
-        sizes = np.diff(offs)
-        per = -(-sizes // RUN)
-        owner = np.repeat(np.arange(rows), per)
-        if not len(owner):
-            return out
-        nth = np.arange(len(owner)) - np.repeat(np.cumsum(per) - per, per)
-        begin = offs[:-1][owner] + self.order * (owner + 1) + nth * RUN
-        length = np.minimum(RUN, sizes[owner] - nth * RUN)
-        by = np.argsort(-length, kind="stable")
-        owner, begin, length = owner[by], begin[by], length[by]
-        left = np.searchsorted(-length, -np.arange(RUN), "left")  # runs longer than t
-        width = int(self.symbol.max()) + 1
-        at = np.zeros(len(owner), np.int32)
-        for t in range(-self.order, 0):
-            at = self.next[at * width + text[begin + t]]
-        total = np.zeros((len(owner), labels))
-        for t in range(RUN):
-            m = int(left[t])
-            if not m:
-                break
-            i = at[:m] * width + text[begin[:m] + t]
-            total[:m] += self.bits[i]
-            at[:m] = self.next[i]
-        for k in range(labels):
-            out[:, k] = np.bincount(owner, total[:, k], rows)
-        return out
-
-
-def fit(events: DataFrame, max_contexts: int = 16384, order: int = ORDER) -> Model:
-    """A model of ``events(label, event, n)``; what reaches the driver is bounded by ``max_contexts`` contexts of 256 symbols."""
-    at_order = F.explode(F.sequence(F.lit(0), F.lit(order - 1))).alias("k")
-    mask = F.expr("shiftleft(1L, 8 * k) - 1")
-
-    def context(c: Column) -> Column:
-        return F.shiftright(c, 8).bitwiseAND(mask)
-
+    table: DataFrame
+
+
+def _sums(values: np.ndarray, group: np.ndarray, groups: int) -> np.ndarray:
+    """Column sums of ``values`` (rows x labels) for each group."""
+    return np.array([np.bincount(group, column, groups) for column in values.T]).reshape(-1, groups).T
+
+
+def code_lengths(event: np.ndarray, count: np.ndarray, lower: np.ndarray, order: int) -> np.ndarray:
+    """Bits of each event under each label, from the counts (events x labels) of all events of whole shared suffixes.
+
+    ``lower`` has the counts of every (label, byte, next byte).
+    """
+    labels = count.shape[1]
+    symbol = (event & 255).astype(np.int64)
+    zero = np.zeros((len(event), labels))
+    bits, found = zero.copy(), zero.astype(bool)
+    # what the context one longer left: its events' counts here, and how many symbols it has seen
+    gone, seen = zero, zero
+    empty = lower.sum(1)  # label x next byte
+    for k in range(order, -1, -1):
+        if k >= SHARED:
+            pair, of_pair = np.unique(event & ((1 << (8 * k + 8)) - 1), return_inverse=True)
+            n_pair = _sums(count, of_pair, len(pair))
+            context, of_context = np.unique(pair >> 8, return_inverse=True)
+            here = n_pair[of_pair]
+            total, kinds = (_sums(x, of_context, len(context)) for x in (n_pair, (n_pair > 0).astype(float)))
+            own = of_context[of_pair]
+            total, kinds = total[own], kinds[own]
+        elif k == 1:
+            byte = (event >> 8 & 255).astype(np.int64)
+            here = lower[:, byte, symbol].T
+            total, kinds = lower.sum(2)[:, byte].T, (lower > 0).sum(2)[:, byte].T
+        else:
+            here = empty[:, symbol].T
+            total, kinds = (np.broadcast_to(x, zero.shape) for x in (empty.sum(1), (empty > 0).sum(1)))
+        t, d = total - gone, kinds - seen
+        new = ~found & (here > 0)
+        whole = np.maximum(t + d, 1)
+        bits += np.where(new, np.log2(whole) - np.log2(np.maximum(here, 1)), 0.0)
+        found |= new
+        bits += np.where(~found & (d > 0), np.log2(whole) - np.log2(np.maximum(d, 1)), 0.0)
+        if k:
+            # the counts that this context's symbols have in the next shorter one
+            if k > SHARED:
+                shorter, of_shorter = np.unique(event & ((1 << (8 * k)) - 1), return_inverse=True)
+                below = _sums(count, of_shorter, len(shorter))[of_shorter]
+            else:
+                below = lower[:, event >> 8 & 255, symbol].T if k == SHARED else None
+            if k >= SHARED:
+                first = np.unique(of_pair, return_index=True)[1]
+                gone = _sums(np.where(n_pair > 0, below[first], 0.0), of_context, len(context))[own]
+            else:
+                gone = np.einsum("jbs,js->jb", (lower > 0).astype(float), empty)[:, byte].T
+            seen = kinds
+    left = 256 - (empty > 0).sum(1)
+    return bits + np.where(found, 0.0, np.log2(np.maximum(left, 1)))
+
+
+def fit(events: DataFrame, order: int = ORDER) -> Model:
+    """The model of counted ``events(label, event, n)``: learned from those with a label, with a row for every event.
+
+    What reaches the driver are the labels, and at most 65,536 counts for each.
+    """
+    if not SHARED <= order <= 7:
+        raise ValueError(f"the order must be from {SHARED} to 7")
+    spark = events.sparkSession
     events = materialize(events, "ppm-events")
-    symbol_of = F.col("event").bitwiseAND(F.lit(255)).alias("sym")
-    every = events.select("label", "event", "n", at_order).select("label", "k", context(F.col("event")).alias("ctx"), symbol_of, "n")
-    lower = materialize(every.groupBy("label", "k", "ctx", "sym").agg(F.sum("n").alias("n")), "ppm-counts")
-    # the events are the counts of the longest order already
-    table = lower.unionByName(events.select("label", F.lit(order).alias("k"), F.expr(f"shiftright(event, 8) & (shiftleft(1L, {8 * order}) - 1)").alias("ctx"), symbol_of, "n"))
-    top = most_frequent(materialize(table.groupBy("k", "ctx").agg(F.sum("n").alias("total")), "ppm-contexts"), "total", max_contexts)
-    kept = table.join(top.select("k", "ctx"), ["k", "ctx"], "left_semi").toArrow()
-    labels = sorted(kept.column("label").unique().to_pylist())
-    of_label = {x: pc.equal(kept.column("label"), x) for x in labels}
-    place = (kept.column("k").to_numpy().astype(np.int64) << 48) | kept.column("ctx").to_numpy()
-    contexts = np.unique(np.r_[place, 0])  # by order, then bytes; the empty context always
-    k, ctx = contexts >> 48, contexts & ((1 << 48) - 1)
-    sym = kept.column("sym").to_numpy().astype(np.int64)
-    used = np.unique(np.r_[sym, START])  # contexts at a text's begin hold START
-    symbol = np.full(256, min(len(used), 255), np.int32)
-    symbol[used] = np.arange(len(used))
-    find = {o: (np.flatnonzero(k == o), ctx[k == o]) for o in range(order + 1)}
-
-    def look(o: int, want: np.ndarray) -> np.ndarray:
-        ids, vals = find[o]
-        if not len(ids):
-            return np.full(want.shape, -1)
-        p = np.minimum(np.searchsorted(vals, want), len(vals) - 1)
-        return np.where(vals[p] == want, ids[p], -1)
-
-    width = len(used) + (len(used) < 256)
-    nxt = np.zeros((len(k), width), np.int32)
-    for o in range(1, order + 1):
-        for rows in np.array_split(np.flatnonzero(k + 1 >= o), 1 + len(k) // 4096):
-            want = ((ctx[rows, None] << 8) | used[None, :]) & ((1 << (8 * o)) - 1)
-            got = look(o, want)
-            nxt[rows, :len(used)] = np.where(got >= 0, got, nxt[rows, :len(used)])
-    parent = np.zeros(len(k), np.int64)
-    for o in range(1, order + 1):
-        own = np.flatnonzero(k == o)
-        parent[own] = look(o - 1, ctx[own] & ((1 << (8 * (o - 1))) - 1))
-    bits = np.zeros((len(k) * width, max(1, len(labels))), np.float32)
-    row, column = np.searchsorted(contexts, place), symbol[sym]
-    n = kept.column("n").to_numpy()
-    for j, label in enumerate(labels):
-        own = np.flatnonzero(of_label[label].to_numpy())
-        counts = np.zeros((len(k), width), np.float32)
-        counts[row[own], column[own]] = n[own]
-        for b in range(0, len(k), 4096):
-            own = slice(b, b + 4096)
-            bits[b * width:(b + 4096) * width, j] = _code_lengths(counts, np.arange(len(k))[own], k, parent, len(used)).ravel()
-    return Model(order, labels, symbol, nxt.ravel(), bits)
-
-
-def _code_lengths(counts: np.ndarray, at: np.ndarray, k: np.ndarray, parent: np.ndarray, used: int) -> np.ndarray:
-    """Bits of every symbol in the contexts ``at``: escape method C, symbol exclusion, uniform last."""
-    prob = np.zeros((len(at), counts.shape[1]))
-    open_ = np.ones(prob.shape, bool)  # symbols not excluded
-    escape = np.ones(len(at))
-    live = np.ones(len(at), bool)
-    for _ in range(int(k.max()) + 1):
-        c = counts[at] * open_ * live[:, None]
-        t, d = c.sum(1), (c > 0).sum(1)
-        total = np.maximum(t + d, 1)
-        prob += escape[:, None] * c / total[:, None]
-        escape = np.where(d > 0, escape * d / total, escape)
-        open_ &= c == 0
-        live = live & (k[at] > 0)
-        at = parent[at]
-    left = open_[:, :used].sum(1) + (256 - used)
-    rest = escape / np.maximum(left, 1)
-    prob += open_ * rest[:, None]
-    return -np.log2(np.maximum(prob, 1e-300))
-
-
-def score_rows(model_of, text: str, name: str):
-    """A ``mapInArrow`` body: all columns of each row and the list ``name``, its code length under each label."""
+    pairs = events.filter("label is not null").groupBy("label", F.col("event").bitwiseAND(F.lit(0xFFFF)).alias("pair")).agg(F.sum("n").alias("n")).toArrow()
+    labels = sorted(pairs.column("label").unique().to_pylist())
+    lower = np.zeros((len(labels), 1 << 16))
+    place = {x: j for j, x in enumerate(labels)}
+    lower[[place[x] for x in pairs.column("label").to_pylist()], pairs.column("pair").to_numpy()] = pairs.column("n").to_numpy()
+    sent = spark.sparkContext.broadcast((labels, lower.reshape(-1, 256, 256)))
+
+    def worked(event: np.ndarray, label: pa.Array, n: np.ndarray) -> pa.RecordBatch:
+        labels, lower = sent.value
+        keys, row = np.unique(event, return_inverse=True)
+        count = np.zeros((len(keys), len(labels)))
+        codes = pa.compute.index_in(label, value_set=pa.array(labels, pa.string())).fill_null(-1).to_numpy(zero_copy_only=False)
+        own = codes >= 0
+        np.add.at(count, (row[own], codes[own]), n[own])
+        bits = code_lengths(keys, count, lower, order).astype(np.float32)
+        offs = np.arange(len(keys) + 1, dtype=np.int32) * len(labels)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(keys), pa.array(np.bincount(row, n, len(keys)).astype(np.int64)), pa.ListArray.from_arrays(pa.array(offs), pa.array(bits.ravel()))], ["event", "m", "bits"])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = model_of()
+        held: list[pa.RecordBatch] = []
+        size = 0
+
+        def flush(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+            t = pa.Table.from_batches(parts)
+            return worked(t["event"].to_numpy(), t["label"].combine_chunks(), t["n"].to_numpy())
+
         for batch in batches:
-            for part in slices(batch, text):
-                bits = model.runs(*text_buffer(part.column(text)))
-                n, labels = bits.shape
-                col = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * labels), pa.array(bits.ravel()))
-                yield pa.RecordBatch.from_arrays([*part.columns, col], [*part.schema.names, name])
+            held.append(batch)
+            size += batch.num_rows
+            if size < TOGETHER:
+                continue
+            # all but the last shared suffix are complete
+            suffix = batch.column("suffix").to_numpy()
+            at = int(np.searchsorted(suffix, suffix[-1]))
+            if at == 0 and (len(held) == 1 or held[0].column("suffix")[0].as_py() == suffix[-1]):
+                continue
+            if at == 0:  # the last suffix began in an earlier batch
+                whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                batch, held = whole, [whole]
+                at = int(np.searchsorted(whole.column("suffix").to_numpy(), suffix[-1]))
+            yield flush([*held[:-1], batch.slice(0, at)])
+            held, size = [batch.slice(at)], batch.num_rows - at
+        if held:
+            yield flush(held)
+
+    suffix = F.shiftright("event", 8).bitwiseAND(F.lit((1 << 8 * SHARED) - 1)).cast("int")
+    dealt = events.withColumn("suffix", suffix).repartition("suffix").sortWithinPartitions("suffix")
+    return Model(order, labels, materialize(dealt.mapInArrow(task, "event long, m long, bits array<float>"), "ppm-bits"))
+
+
+def score_texts(rows: DataFrame, model: Model, text: str, name: str, also: Callable[[pa.RecordBatch], list[pa.Array]] | None = None,
+                also_schema: str = "", sent: int = SENT) -> DataFrame:
+    """``rows`` without their ``text``, with the list column ``name``: its code length under each label of ``model``.
+
+    A null text is empty and takes no bits. Every event of the texts must be in the
+    model's table. ``also`` may read more from the same slices, as columns of
+    ``also_schema``. Texts are read once and not written.
+    """
+    spark = rows.sparkSession
+    order, labels, table = model
+    width = len(labels)
+    top = most_frequent(table, "m", sent // (width + 2)).select("event", "bits").orderBy("event").toArrow()
+    lists = pa.chunked_array(top.column("bits").chunks, pa.list_(pa.float32())).combine_chunks()
+    flat = lists.flatten().to_numpy(zero_copy_only=False)
+    shared = spark.sparkContext.broadcast((top.column("event").to_numpy(), flat.reshape(top.num_rows, width)))
+    kept = [c for c in rows.columns if c != text]
+    more = [c.split()[0] for c in also_schema.split(", ")] if also else []
 
-    return task
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, table = shared.value
+        item = pa.struct([("event", pa.int64()), ("n", pa.int64())])
+        for batch in batches:
+            for part in slices(batch, text):
+                buf, offs = text_buffer(part.column(text))
+                keys, inverse = np.unique(_events(buf, offs, order).astype(np.int64), return_inverse=True)
+                at = np.minimum(np.searchsorted(known, keys), max(len(known) - 1, 0))
+                hit = known[at] == keys if len(known) else np.zeros(len(keys), bool)
+                bits = np.zeros((part.num_rows, width))
+                for j in range(width):
+                    each = np.zeros(len(keys))
+                    each[hit] = table[at[hit], j]
+                    bits[:, j] = np.diff(np.r_[0.0, np.cumsum(each[inverse])][offs])
+                missed = np.flatnonzero(~hit[inverse]) if width else np.zeros(0, np.int64)
+                owner = np.searchsorted(offs, missed, "right") - 1
+                pairs, n = np.unique(owner * np.int64(len(keys) or 1) + inverse[missed], return_counts=True)
+                misses = pa.StructArray.from_arrays([pa.array(keys[pairs % (len(keys) or 1)]), pa.array(n.astype(np.int64))], fields=list(item))
+                bounds = np.searchsorted(pairs // (len(keys) or 1), np.arange(part.num_rows + 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [*[part.column(c) for c in kept], *(also(part) if also else []),
+                     pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * width), pa.array(bits.ravel())),
+                     pa.ListArray.from_arrays(pa.array(bounds), misses)], [*kept, *more, "_sent_bits", "_missed"])
+
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != text]
+    schema = ", ".join([*kinds, *([also_schema] if also else []), "_sent_bits array<double>", "_missed array<struct<event: long, n: long>>"])
+    staged = materialize(rows.mapInArrow(task, schema).withColumn("_text", F.monotonically_increasing_id()), "ppm-scored")
+    open_ = staged.filter(F.size("_missed") > 0).select("_text", F.explode("_missed").alias("e")).select("_text", "e.event", "e.n")
+    found = open_.join(table.select("event", "bits"), "event")
+    rest = found.groupBy("_text").agg(F.array(*[F.sum(F.get("bits", j).cast("double") * F.col("n")) for j in range(width)]).cast("array<double>").alias("_rest"))
+    total = F.when(F.col("_rest").isNull(), F.col("_sent_bits")).otherwise(F.zip_with("_sent_bits", "_rest", lambda a, b: a + b))
+    return staged.join(rest, "_text", "left").select(*[F.col(f"`{c}`") for c in [*kept, *more]], total.alias(name))

@@ -47,7 +47,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = read(spark, sf_dir, "documents")
     out = held_out(F.col("doc_id"), 4)
-    pred = identify(docs, docs.filter(~out & F.col("lang").isNotNull()))
+    pred = identify(docs, F.when(~out, F.col("lang")))
     return pred.select("doc_id", out.alias("held_out"), "lang_pred", "score", "bits")
 
 
@@ -63,7 +63,7 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = read(spark, sf_dir, "documents")
     out = held_out(F.col("doc_id"), 7)
-    s = score_texts(docs, docs.filter(~out))
+    s = score_texts(docs, ~out)
     return s.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

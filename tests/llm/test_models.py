@@ -42,14 +42,32 @@ def brute_code_length(text, lessons, order=ppm.ORDER):
     return bits
 
 
-def test_code_lengths_are_exact(spark):
-    lessons = ["the cat sat on the mat", "that cat, the fat one", "", "ein Käfer läuft"]
-    model = ppm.fit(ppm.count_events(spark.createDataFrame([("x", t) for t in lessons], "label string, text string")), 1 << 20)
-    texts = ["the cat", "", "Käfer the", "zzz \u4e2d", "the cat sat on the mat " * 40]
-    data = [t.encode() for t in texts]
-    offs = np.r_[0, np.cumsum([len(d) for d in data])]
-    got = model.runs(np.frombuffer(b"".join(data), np.uint8), offs)[:, 0]
-    assert np.allclose(got, [brute_code_length(t, lessons) for t in texts], rtol=1e-5)
+def bits_of(spark, model, texts, sent=ppm.SENT):
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, text string").repartition(2)
+    return [r.b for r in sorted(ppm.score_texts(df, model, "text", "b", sent=sent).collect(), key=lambda r: r.k)]
+
+
+@pytest.mark.parametrize("sent", [ppm.SENT, 60, 0])
+@pytest.mark.parametrize("order", [2, 5])
+def test_code_lengths_are_exact(spark, monkeypatch, sent, order):
+    """All events sent, few, none: the others are joined, and no context is left out."""
+    monkeypatch.setattr(ppm, "TOGETHER", 40)  # many chunks of whole suffixes
+    lessons = {"x": ["the cat sat on the mat", "that cat, the fat one", "", "ein K\u00e4fer l\u00e4uft"], "y": ["abab abab the abba", "\u4e2d\u6587 \u4e2d\u4e2d"]}
+    texts = ["the cat", "", "K\u00e4fer the", "zzz \u4e2d", "the cat sat on the mat " * 40, None, "\n\n", "abababab"]
+    rows_ = [(label, t) for label, own in lessons.items() for t in own] + [(None, t) for t in texts]
+    model = ppm.fit(ppm.count_events(spark.createDataFrame(rows_, "label string, text string").repartition(3), order), order)
+    assert model.labels == ["x", "y"]
+    got = bits_of(spark, model, texts, sent)
+    want = [[brute_code_length(t or "", lessons[label], order) for label in "xy"] for t in texts]
+    assert np.allclose(got, want, rtol=1e-5)
+
+
+def test_code_lengths_of_awkward_texts(spark):
+    data = [t for _, t, _ in rows() if t and len(t) < 3000]
+    train, rest = data[::2], data[1::2] + ["\x00\x01", "".join(map(chr, range(32, 400)))]
+    model = ppm.fit(ppm.count_events(spark.createDataFrame([("a", t) for t in train] + [(None, t) for t in rest], "label string, text string")))
+    got = bits_of(spark, model, rest[:6] + rest[-2:])
+    assert np.allclose([b[0] for b in got], [brute_code_length(t, train) for t in rest[:6] + rest[-2:]], rtol=1e-5)
 
 
 def test_language_models_hold_five_bytes_of_context(spark):
@@ -76,12 +94,18 @@ def test_counts_are_whole_however_often_they_are_handed_on(spark, monkeypatch):
         assert {(r.label, r.event): r.n for r in got} == want
 
 
-def test_pruned_model_is_a_distribution(spark):
-    model = ppm.fit(ppm.count_events(spark.createDataFrame([("a", t or "") for _, t, _ in rows()[:60]], "label string, text string")), 300)
-    width = int(model.symbol.max()) + 1
-    p = 2.0 ** -model.bits[:, 0].reshape(-1, width).astype(float)
-    many = np.bincount(model.symbol, minlength=width)
-    assert len(p) <= 300 and np.allclose((p * many).sum(1), 1, atol=1e-4)
+def test_code_lengths_are_a_distribution(spark):
+    """After any context the probabilities of all 256 bytes add up to one."""
+    lessons = [t for _, t, _ in rows()[:60] if t]
+    contexts = [int.from_bytes(x, "big") for x in (b"the o", b"zzzzz", b"\n\n\n\n\n", lessons[3].encode()[20:25], lessons[7].encode()[40:45])]
+    every = [(None, (c << 8) | s, 1) for c in contexts for s in range(256)]
+    counted = ppm.count_events(spark.createDataFrame([("a", t) for t in lessons], "label string, text string"))
+    model = ppm.fit(counted.unionByName(spark.createDataFrame(every, "label string, event long, n long")))
+    wanted = {e for _, e, _ in every}
+    bits = {r.event: r.bits[0] for r in model.table.collect() if r.event in wanted}
+    assert len(bits) == len(wanted)
+    for c in contexts:
+        assert abs(sum(2.0 ** -bits[(c << 8) | s] for s in range(256)) - 1) < 1e-4
 
 
 def test_identify(spark):
@@ -101,6 +125,27 @@ def test_identify(spark):
     assert kept.columns == docs.columns and not {70, 71, 72, 75} & {r.doc_id for r in kept.select("doc_id").collect()}
 
 
+def test_predictions_are_the_shortest_codes(spark, tmp_path):
+    """The whole table's predictions and code lengths against brute force, with lessons marked among the rows."""
+    data = [(i, t, lang) for i, t, lang in rows() if (t is None or len(t) < 1500)][:60]
+    docs = stored(spark, tmp_path, data)
+    out = langid.held_out(F.col("doc_id"), 4)
+    got = langid.identify(docs, F.when(~out, F.col("lang"))).collect()
+    lessons = {lang: [t or "" for i, t, own in data if own == lang and i is not None and zlib.crc32(str(i).encode()) % 4 != 2] for lang in ("de", "en")}
+    texts = {i: t for i, t, _ in data if i is not None}
+    for r in got:
+        t = texts[r.doc_id] or ""
+        each = {lang: brute_code_length(t, own) for lang, own in lessons.items()}
+        best = min(each, key=lambda x: (each[x], x))
+        if not re.search(r"[^\W\d_]", t):
+            assert (r.lang_pred, r.score) == ("und", 0)
+        elif abs(each["de"] - each["en"]) > 1e-3:
+            assert r.lang_pred == best and math.isclose(r.bits, each[best], rel_tol=1e-5)
+            assert math.isclose(r.score, 1 / sum(2.0 ** min(900, each[best] - x) if each[best] - x > -900 else 0.0 for x in each.values()), rel_tol=1e-2)
+    again = langid.identify(docs, docs.filter(~out & F.col("lang").isNotNull())).collect()
+    assert sorted((r.doc_id, r.lang_pred, round(r.bits, 3)) for r in got) == sorted((r.doc_id, r.lang_pred, round(r.bits, 3)) for r in again)
+
+
 def test_identify_without_lessons(spark):
     docs = table(spark)
     got = langid.identify(docs, docs.filter("false"))
@@ -111,7 +156,7 @@ def test_identify_without_lessons(spark):
 @pytest.mark.parametrize("hot", [1 << 18, 8])
 def test_base_scores(spark, tmp_path, hot):
     docs = stored(spark, tmp_path)
-    got = lm.score_texts(docs, docs.filter(~langid.held_out(F.col("doc_id"), 7)), hot_words=hot).collect()
+    got = lm.score_texts(docs, ~langid.held_out(F.col("doc_id"), 7), hot_words=hot).collect()
     counts, n_docs = Counter(), 0
     for i, t, _ in rows():
         if zlib.crc32(("" if i is None else str(i)).encode()) % 7 != 2:
@@ -130,15 +175,15 @@ def test_base_scores(spark, tmp_path, hot):
 
 def test_model_predicts_held_out_text_better_than_bytes(spark, tmp_path):
     docs = stored(spark, tmp_path)
-    got = {r.doc_id: r.score for r in lm.score_texts(docs, docs.filter(~langid.held_out(F.col("doc_id"), 7))).collect()}
+    got = {r.doc_id: r.score for r in lm.score_texts(docs, ~langid.held_out(F.col("doc_id"), 7)).collect()}
     for i, t, _ in rows()[:40]:
         assert got[i] > -len(t.encode()) * math.log10(256) * 0.6
 
 
 def test_scores_of_empty_tables(spark):
     docs = table(spark)
-    assert lm.score_texts(docs.filter("false"), docs).count() == 0
-    alone = lm.score_texts(docs.limit(3), docs.filter("false")).collect()
+    assert lm.score_texts(docs.filter("false"), F.lit(True)).count() == 0
+    alone = lm.score_texts(docs.limit(3), F.lit(False)).collect()
     assert len(alone) == 3 and all(r.train_tokens == 0 and r.n_known == 0 for r in alone)
 
 
