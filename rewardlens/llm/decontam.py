@@ -1,16 +1,20 @@
-"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
-
-*Seeds.* Every pair of neighbouring words of an item is a seed. An alignment of
-``m`` matches and ``e`` edits has at most ``e + 1`` unbroken stretches, so at
-least ``m - e - 1`` pairs: one less than its score. Their offsets between
-document and item differ by at most ``e``, which is no more than the item's words
-less the least score. A place without so many pairs so close holds no passage
-that counts; nothing else is left out.
-
-*Join.* Items come in blocks of at most ``BLOCK_WORDS`` words; a block's pairs
-and words go to every task (a proven size), and each block meets all documents.
+"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+
+*Seeds.* An alignment of ``m`` matches and ``e`` edits has at most ``e + 1`` unbroken
+stretches, so it keeps at least ``m - e - 1`` pairs of neighbouring item words: one
+less than its score. Of the pairs that the least score asks for, half may be missing
+and the other half still be found, so every item gives up that many of its pairs:
+the most frequent ones, by the documents that hold a pair times the items that do,
+counted over the whole corpus. The other, rarer pairs are its seeds. A passage that counts has as many seeds as
+are then left, and their offsets between document and item differ by at most
+``e``, which is no more than the item's words less the least score. A place without so
+many seeds so close holds no passage that counts; nothing else is left out.
+
+*Join.* Items come in blocks of at most ``BLOCK_WORDS`` words; a block's seeds
+and words go to every task (a proven size), where documents meet them. Each block
+meets all documents twice, once to count and once to align.
 Nothing is shuffled, so a passage that stands in a third of all documents is no
-hot key.
+hot key. What a document and the items make of frequent seeds is worked off in parts of ``HITS``.
 
 *Alignment.* Around the seeds of one item a passage of the document is aligned
 with the item's words: match 1, mismatch and gap -1, local. A passage counts
@@ -35,7 +39,7 @@ from rewardlens.llm.textbatch import U64, Words, inside_row, slices, text_buffer
 from rewardlens.session import ship_package
 
 SEED_WORDS = 2
-#: Seeds that are looked at together, whole documents at a time.
+#: Meetings of a document's and an item's seed that are looked at together.
 HITS = 1 << 20
 BLOCK_WORDS = 1 << 20
 MIN_SHARE = 0.5
@@ -59,18 +63,42 @@ class Items:
     def __init__(self, ids: list, texts: list):
         self.ids = ids
         self.hash, self.row = _words(pa.array(texts, pa.string()))
-        size = np.diff(self.row)
-        self.need = np.array([least_score(int(w)) for w in size])
+        self.size = np.diff(self.row)
+        self.need = np.array([least_score(int(w)) for w in self.size])
+        #: pairs that a passage keeps, how many of them may be no seeds, and how many seeds it has then
+        pairs = np.ceil(self.need).astype(np.int64) - 1
+        self.spared = pairs // 2
+        self.seeds = pairs - self.spared
         at = np.flatnonzero(inside_row(self.row, SEED_WORDS, len(self.hash)))
         item = np.searchsorted(self.row, at, "right") - 1
-        at, item = (x[size[item] >= MIN_SCORE] for x in (at, item))  # shorter ones never match
-        gram = window_hashes(self.hash, SEED_WORDS)[at]
-        by = np.argsort(gram, kind="stable")
-        self.gram, self.item, self.pos = gram[by], item[by], (at - self.row[item])[by]
+        at, item = (x[self.size[item] >= MIN_SCORE] for x in (at, item))  # shorter ones never match
+        self._set(window_hashes(self.hash, SEED_WORDS)[at], item, at - self.row[item])
+
+    def _set(self, gram: np.ndarray, item: np.ndarray, pos: np.ndarray) -> None:
+        by = np.lexsort((pos, item, gram))
+        self.gram, self.item, self.pos = gram[by], item[by], pos[by]
 
     def words(self, item: int) -> np.ndarray:
         return self.hash[self.row[item]:self.row[item + 1]]
 
+    def keep_rare(self, gram: np.ndarray, documents: np.ndarray) -> None:
+        """Drop each item's most frequent pairs, as many as it may spare; ``documents`` hold each (sorted) ``gram``."""
+        at = np.minimum(np.searchsorted(gram, self.gram), max(len(gram) - 1, 0))
+        held = np.where(gram[at] == self.gram, documents[at], 0) if len(gram) else np.zeros(len(self.gram), np.int64)
+        _, which = np.unique(self.gram, return_inverse=True)
+        in_items = np.bincount(np.unique(np.stack([which, self.item]), axis=1)[0], minlength=len(which)) if len(which) else which
+        cost = held * in_items[which]
+        by = np.lexsort((self.pos, -cost, self.item))  # an item's most frequent pairs first
+        item = self.item[by]
+        rank = np.arange(len(by)) - np.searchsorted(item, item)
+        keep = by[rank >= self.spared[item]]
+        self._set(self.gram[keep], self.item[keep], self.pos[keep])
+
+    def of_items(self, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Seeds (gram, item, position) of the items from ``low`` up to ``high``."""
+        own = (self.item >= low) & (self.item < high)
+        return self.gram[own], self.item[own], self.pos[own]
+
 
 def _hits(part: pa.RecordBatch, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Positions whose n-gram is in sorted ``grams``, and which; the rows' words and begins."""
@@ -108,15 +136,13 @@ def least_score(words: int) -> float:
     return max(MIN_SCORE, MIN_SHARE * min(words, LONG_ITEM))
 
 
-def _passages(docs: np.ndarray, item: np.ndarray, diag: np.ndarray, need: np.ndarray, size: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-    """(document, item, first, last) of the merged places with enough pairs of one item, in document words.
-
-    ``need`` and ``size`` are the least score and the words of each hit's item.
-    """
+def _passages(docs: np.ndarray, item: np.ndarray, diag: np.ndarray, block: Items) -> Iterator[tuple[int, int, int, int]]:
+    """(document, item, first, last) of the merged places with enough seeds of one item, in document words."""
     by = np.lexsort((diag, item, docs))
-    docs, item, diag, need, size = docs[by], item[by], diag[by], need[by], size[by]
-    drift = np.floor(size - need).astype(np.int64)
-    last = np.arange(len(docs)) + np.ceil(need).astype(np.int64) - 2
+    docs, item, diag = docs[by], item[by], diag[by]
+    size = block.size[item]
+    drift = np.floor(size - block.need[item]).astype(np.int64)
+    last = np.arange(len(docs)) + block.seeds[item] - 1
     end = np.minimum(last, len(docs) - 1)
     dense = np.flatnonzero((last < len(docs)) & (docs[end] == docs) & (item[end] == item) & (diag[end] - diag <= drift))
     docs, item, low, high = docs[dense], item[dense], (diag - drift)[dense], (diag + drift + size)[dense]
@@ -167,6 +193,11 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     for b in range(blocks):
         own = bench.filter(F.pmod(F.xxhash64("id", "text"), F.lit(2 * blocks)).isin(2 * b, 2 * b + 1)).orderBy("id", "text").toArrow()  # about BLOCK_WORDS words
         block = Items(own.column("id").to_pylist(), own.column("text").to_pylist())
+        pairs = spark.sparkContext.broadcast(np.unique(block.gram))
+        counts = rows.mapInArrow(_count_task(pairs), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()  # at most a block's pairs
+        gram, n = counts.column("gram").to_numpy().astype(np.int64).view(U64), counts.column("n").to_numpy()
+        by = np.argsort(gram)
+        block.keep_rare(gram[by], n[by])
         ready = spark.sparkContext.broadcast(block)
         found = rows.mapInArrow(_align_task(ready, own.schema.field("id").type), f"rid long, id {kind}, item_id {item_kind}, score long, item_words long, first_word long, last_word long")
         out = found if out is None else out.unionByName(found)
@@ -174,38 +205,73 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
                       "item_words", "first_word", "last_word")
 
 
+def _count_task(pairs):
+    """In how many documents of the task each of the sorted ``pairs`` stands."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams = pairs.value
+        total = np.zeros(len(grams), np.int64)
+        for batch in batches:
+            for part in slices(batch, "text"):
+                places, which, _, row = _hits(part, grams)
+                doc = np.searchsorted(row, places, "right") - 1
+                once = np.unique(doc * np.int64(len(grams) or 1) + which)
+                total += np.bincount(once % (len(grams) or 1), minlength=len(grams))
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(grams[some].view(np.int64)), pa.array(total[some])], ["gram", "n"])
+
+    return task
+
+
 def _align_task(ready, id_type: pa.DataType):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = ready.value
         grams, first = np.unique(block.gram, return_index=True)
         many = np.diff(np.r_[first, len(block.gram)])
-        words = np.diff(block.row)
         sorted_words = {}
+
+        def meetings(places: np.ndarray, which: np.ndarray, row: np.ndarray, first: np.ndarray, many: np.ndarray, item: np.ndarray, pos: np.ndarray):
+            """Documents, items and offsets of the seeds ``which`` at ``places``."""
+            n = many[which]
+            at = np.repeat(places, n)
+            seed = np.repeat(first[which], n) + np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+            doc = np.searchsorted(row, at, "right") - 1
+            return doc, item[seed], at - row[doc] - pos[seed]
+
+        def parts_of(places: np.ndarray, which: np.ndarray, row: np.ndarray):
+            """All meetings, in parts of about ``HITS``: whole documents, or one document and a range of items."""
+            owner = np.searchsorted(row, places, "right") - 1
+            upto = np.cumsum(many[which])
+            i = 0
+            while i < len(places):
+                j = int(np.searchsorted(upto, (upto[i - 1] if i else 0) + HITS, "right"))
+                j = int(np.searchsorted(owner, owner[j], "left")) if j < len(owner) else j
+                if j > i:
+                    yield meetings(places[i:j], which[i:j], row, first, many, block.item, block.pos)
+                    i = j
+                    continue
+                j = int(np.searchsorted(owner, owner[i], "right"))
+                total = int(upto[j - 1] - (upto[i - 1] if i else 0))
+                cuts = np.linspace(0, len(block.ids), 2 + total // HITS).astype(np.int64)
+                for low, high in zip(cuts, cuts[1:]):
+                    gram, item, pos = block.of_items(low, high)
+                    begin = np.searchsorted(gram, grams[which[i:j]])
+                    own = np.searchsorted(gram, grams[which[i:j]], "right") - begin
+                    if own.any():
+                        yield meetings(places[i:j], np.arange(j - i), row, begin, own, item, pos)
+                i = j
+
         for batch in batches:
             for part in slices(batch, "text"):
-                places, whiches, h, row = _hits(part, grams)
+                places, which, h, row = _hits(part, grams)
                 out: list[tuple] = []
-                owner = np.searchsorted(row, places, "right") - 1
-                upto = np.cumsum(many[whiches])
-                i = 0
-                while i < len(places):
-                    j = int(np.searchsorted(upto, (upto[i - 1] if i else 0) + HITS, "right"))
-                    whole = int(np.searchsorted(owner, owner[j], "left")) if j < len(owner) else j
-                    j = whole if whole > i else int(np.searchsorted(owner, owner[i], "right"))
-                    at, which = places[i:j], whiches[i:j]
-                    i = j
-                    n = many[which]
-                    at = np.repeat(at, n)
-                    seed = np.repeat(first[which], n) + np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
-                    doc = np.searchsorted(row, at, "right") - 1
-                    item = block.item[seed]
-                    diag = at - row[doc] - block.pos[seed]
-                    for d, i_, low, high in _passages(doc, item, diag, block.need[item], words[item]):
+                for doc, item, diag in parts_of(places, which, row):
+                    for d, i_, low, high in _passages(doc, item, diag, block):
                         if i_ not in sorted_words:
                             sorted_words[i_] = np.sort(block.words(i_))
                         text = h[row[d]:row[d + 1]]
                         for score, begin, end in _aligned(block.words(i_), sorted_words[i_], text, max(0, low), min(high, len(text)), block.need[i_]):
-                            out.append((d, i_, score, int(words[i_]), begin, end))
+                            out.append((d, i_, score, int(block.size[i_]), begin, end))
                 cols = list(zip(*out)) or [()] * 6
                 yield pa.RecordBatch.from_arrays(
                     [*[part.column(c).take(pa.array(cols[0], pa.int64())) for c in ("rid", "id")],
@@ -217,8 +283,8 @@ def _align_task(ready, id_type: pa.DataType):
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` (a table as read) without an aligned passage, with all columns."""
+    """The rows of ``docs`` without an aligned passage, with all columns; they are numbered in a written copy."""
     row = fresh(docs, "row")
-    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "leak-rows")
     hit = contaminated(numbered, items, row, text_col).select(row).distinct()
     return numbered.join(hit, row, "left_anti").select(*columns(docs))

@@ -1,16 +1,15 @@
 """Exact deduplication on an extendible-hash index in shared files.
 
 1. *Entry log*: each row's hash, digest, size and row number, without its text, in the shared folder.
-2. *Index*: one entry for each distinct text (copies meet in map-side partial
-   aggregates first, so a text with a third of all rows is one entry), placed in
+2. *Classes*: rows are grouped by hash and normalised text, so bytes are what decides
+   (copies meet in map-side partial aggregates first, so a text with a third of all rows is one row a task, and each text moves once).
+3. *Index*: one entry for each class, placed in
    the bucket of its hash prefix. An overfull bucket doubles its part of the
    directory, that is, it splits on a further bit (``sharding.directory``).
    Owner tasks take runs of buckets, which are ranges of the hash, and write
-   them sorted to shared files. Entries with one hash and different texts are
-   chained: they differ in the digest and keep their own place in the chain.
-3. *Rows* find their entry by (hash, digest); AQE splits the partition of a hot text.
-4. *Bytes*: the normalised text of every copy is compared with that of the row
-   that stays; a difference stops the job.
+   them sorted to shared files. Classes with one hash are chained. An entry's
+   digest is that of its class's text; two classes of one digest would stop the job.
+4. *Rows* find the entry of their class in the chain of their hash; AQE splits the partition of a hot text.
 """
 
 from __future__ import annotations
@@ -35,12 +34,22 @@ def _log(docs: DataFrame, id_col: str, text_col: str, rid_col: str | None) -> Da
         F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("n_chars"))
 
 
-def build_index(log: DataFrame, capacity: int = BUCKET_ENTRIES) -> DataFrame:
-    """The index files of an entry log: ``(bucket, depth, h, chain, sha, group_size, keep_rid, keep_id)``."""
+def byte_classes(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``(h, sha, group_size)``: one row for each different normalised text, told apart by its bytes."""
+    norm = strip_space(F.col(text_col))
+    whole = docs.select(F.xxhash64(norm).alias("h"), norm.alias("norm")).groupBy("h", "norm").agg(F.count(F.lit(1)).alias("group_size"))
+    return whole.select("h", F.sha2("norm", 256).alias("sha"), "group_size")
+
+
+def build_index(log: DataFrame, classes: DataFrame, capacity: int = BUCKET_ENTRIES) -> DataFrame:
+    """The index files of an entry log and its byte classes: ``(bucket, depth, h, chain, sha, group_size, keep_rid, keep_id)``."""
     first = F.min(F.struct((-F.col("n_chars")).alias("short"), F.col("id").isNull().alias("no_id"), "id", "rid"))
+    best = log.groupBy("h", "sha").agg(F.count(F.lit(1)).alias("logged"), first.alias("best"))
+    # a class whose rows the log counts otherwise shares its digest with another one
+    size = F.when(F.col("logged") == F.col("group_size"), F.col("group_size")).otherwise(F.raise_error(F.lit("texts of one digest differ in their bytes")).cast("long"))
     entries = materialize(
-        log.groupBy("h", "sha").agg(F.count(F.lit(1)).alias("group_size"), first.alias("best"))
-        .select("h", "sha", "group_size", F.col("best.rid").alias("keep_rid"), F.col("best.id").alias("keep_id"),
+        classes.join(best, ["h", "sha"])
+        .select("h", "sha", size.alias("group_size"), F.col("best.rid").alias("keep_rid"), F.col("best.id").alias("keep_id"),
                 F.shiftrightunsigned("h", 64 - BITS).alias("hash")),
         "dedup-entries")
     buckets = directory(entries.select("hash", F.lit(1).cast("long").alias("bytes")), capacity)
@@ -56,19 +65,6 @@ def build_index(log: DataFrame, capacity: int = BUCKET_ENTRIES) -> DataFrame:
     return log.sparkSession.read.parquet(path)
 
 
-def _compare_bytes(docs: DataFrame, id_col: str, text_col: str, rows: DataFrame) -> None:
-    """Every copy's normalised bytes against those of the row that stays."""
-    classes = rows.filter("group_size > 1").select("h", "sha", "keep_id").distinct()
-    norm = strip_space(F.col(text_col))
-    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(norm).alias("h"), F.sha2(norm, 256).alias("sha"), norm.alias("norm"))
-    copies = materialize(texts.join(classes, ["h", "sha"]), "dedup-copies")
-    homes = materialize(copies.filter(F.col("id").eqNullSafe(F.col("keep_id"))).groupBy("h", "sha")
-                        .agg(F.min("norm").alias("home"), F.max("norm").alias("other")), "dedup-homes")
-    bad = copies.join(homes, ["h", "sha"]).filter((F.col("norm") != F.col("home")) | (F.col("home") != F.col("other")))
-    if not bad.isEmpty():
-        raise RuntimeError("texts of one digest differ in their bytes")
-
-
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = BUCKET_ENTRIES,
                 rid_col: str | None = None) -> DataFrame:
     """Classes of rows whose texts are equal without white space.
@@ -80,22 +76,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     than the two named are not read.
     """
     log = materialize(_log(docs, id_col, text_col, rid_col), "dedup-log")
-    index = build_index(log, capacity)
+    index = build_index(log, byte_classes(docs, text_col), capacity)
     rows = log.join(index, ["h", "sha"]).select(
         "rid", "id", "h", "sha", "keep_id", "keep_rid", "group_size", "bucket", "chain")
-    rows = materialize(rows, "dedup-rows")
-    _compare_bytes(docs, id_col, text_col, rows)
     return rows.select("rid", F.col("id").alias(id_col), "keep_id", F.col("group_size").cast("long").alias("group_size"),
                        (F.col("rid") == F.col("keep_rid")).alias("kept"), F.col("sha").alias("text_sha256"), "bucket",
                        F.col("chain").cast("long").alias("chain"))
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = BUCKET_ENTRIES) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; of wholly repeated rows one.
-
-    Row numbers come from the scan, so ``docs`` should be a table as read.
-    """
+    """The rows of ``docs`` that stay, with all their columns; of wholly repeated rows one. They are numbered in a written copy."""
     row = fresh(docs, "row")
-    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "dedup-numbered")
     kept = exact_dedup(numbered, id_col, text_col, capacity, row).filter("kept").select(F.col("rid").alias(row))
     return numbered.join(kept, row, "left_semi").select(*columns(docs))

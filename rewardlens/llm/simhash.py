@@ -183,8 +183,8 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
-    """One row of each near-duplicate group, with all columns of ``docs``, which should be a table as read."""
+    """One row of each near-duplicate group, with all columns of ``docs``; rows are numbered in a written copy."""
     row = fresh(docs, "row")
-    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "simhash-numbered")
     kept = simhash_groups(numbered, id_col, text_col, words, row).filter("kept").select(F.col("rid").alias(row))
     return numbered.join(kept, row, "left_semi").select(*columns(docs))

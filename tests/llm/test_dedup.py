@@ -87,11 +87,33 @@ def test_exact_matches_brute_force(spark, tmp_path, capacity):
 
 
 def test_index_buckets_hold_their_entries(spark, tmp_path):
-    log = exact._log(stored(spark, tmp_path), "doc_id", "text", None)
-    index = exact.build_index(log, capacity=3).collect()
+    docs = stored(spark, tmp_path)
+    log = exact._log(docs, "doc_id", "text", None)
+    classes = exact.byte_classes(docs)
+    index = exact.build_index(log, classes, capacity=3).collect()
     sizes = Counter(r.bucket for r in index)
     assert max(sizes.values()) <= 3 and len(sizes) > 10
     assert len({(r.h, r.sha) for r in index}) == len(index)
+    # classes of one hash are chained, each with its own size; texts of one digest that differ in bytes stop the job
+    from pyspark.sql import functions as F
+    h = index[0].h
+    same_hash = classes.withColumn("h", F.lit(h)), log.withColumn("h", F.lit(h))
+    chained = exact.build_index(same_hash[1], same_hash[0]).collect()
+    assert sorted(r.chain for r in chained) == list(range(len(index))) and Counter((r.sha, r.group_size) for r in chained) == Counter((r.sha, r.group_size) for r in index)
+    with pytest.raises(Exception, match="differ in their bytes"):
+        exact.build_index(same_hash[1].withColumn("sha", F.lit("x")), same_hash[0].withColumn("sha", F.lit("x"))).collect()
+
+
+def test_rows_are_numbered_once(spark, tmp_path):
+    """Stages on a plan that is no table as read, and that comes out in another order each time."""
+    from pyspark.sql import functions as F
+    data = [(i, t, "en") for i, t, _ in rows() if t and len(t) < 5000]
+    docs = stored(spark, tmp_path, data).repartition(7).withColumn("z", F.rand()).orderBy("z").drop("z")
+    _, classes = brute_exact(data)
+    kept = exact.drop_copies(docs)
+    assert kept.count() == classes and len({SPACE.sub("", r.text) for r in kept.select("text").collect()}) == classes
+    near = simhash.drop_near_copies(docs)
+    assert near.count() == len({r.component_id for r in simhash.simhash_groups(stored(spark, tmp_path, data, "again")).collect()})
 
 
 def brute_simhash(data, n=4):

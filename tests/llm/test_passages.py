@@ -59,6 +59,48 @@ def leak_case():
     return [tuple(d) for d in docs], items, truth
 
 
+def test_seeds_are_rare_pairs_and_cover_every_passage():
+    rng = random.Random(3)
+    texts = [prose(rng, rng.randint(5, 60)) for _ in range(40)] + ["the of the of the of the of the of the of"]
+    block = decontam.Items(list(range(41)), texts)
+    gram = np.unique(block.gram)
+    held = np.array([rng.randint(0, 1000) for _ in gram])
+    every = Counter(block.item.tolist())
+    cost = {g: n * len({i for h, i in zip(block.gram.tolist(), block.item.tolist()) if h == g}) for g, n in zip(gram.tolist(), held.tolist())}
+    all_pairs = list(zip(block.gram.tolist(), block.item.tolist(), block.pos.tolist()))
+    block.keep_rare(gram, held)
+    kept = set(zip(block.gram.tolist(), block.item.tolist(), block.pos.tolist()))
+    for i, n in every.items():
+        need = int(np.ceil(decontam.least_score(len(texts[i].split()))))
+        own = [p for p in all_pairs if p[1] == i]
+        dropped = [p for p in own if p not in kept]
+        assert len(dropped) == (need - 1) // 2 == block.spared[i] and block.seeds[i] == need - 1 - len(dropped) >= 1
+        assert max((cost[p[0]] for p in kept if p[1] == i), default=0) <= min((cost[p[0]] for p in dropped), default=10**9)
+
+
+@pytest.mark.parametrize("hits", [1 << 20, 7])
+def test_frequent_seeds_are_worked_off_in_parts(spark, tmp_path, monkeypatch, hits):
+    """Many items of the same pairs in one document: parts of any size give the same rows."""
+    monkeypatch.setattr(decontam, "HITS", hits)
+    rng = random.Random(4)
+    items = ["one two one two one two " + prose(rng, 4) for _ in range(12)] + [prose(rng, 30)]
+    data = [(0, "one two " * 40 + items[3] + " one two" * 5, "en"), (1, prose(rng, 50) + " " + items[12] + " " + items[5], "en"), (2, items[12] * 1, None), (2, items[12] * 1, None), (3, None, None)]
+    bench = spark.createDataFrame([(k, t) for k, t in enumerate(items)] + [(12, items[12])], "item_id long, text string")
+    got = sorted(tuple(r)[1:] for r in decontam.contaminated(stored(spark, tmp_path, data), bench).collect())
+    want = set()
+    for i, text, _ in data:
+        for k, item in enumerate(items):
+            score = decontam.align(decontam._words(pa.array([item]))[0], decontam._words(pa.array([text or ""]))[0])[0]
+            if score >= decontam.least_score(len(item.split())):
+                want.add((i, k))
+    assert {(r[0], r[1]) for r in got} == want
+    # repeated rows and repeated items give a row each
+    assert sum((r[0], r[1]) == (2, 12) for r in got) == 4
+    if hits == 7:
+        monkeypatch.setattr(decontam, "HITS", 1 << 20)
+        assert got == sorted(tuple(r)[1:] for r in decontam.contaminated(spark.read.parquet(f"{tmp_path}/documents.parquet"), bench).collect())
+
+
 @pytest.mark.parametrize("block", [1 << 20, 200])
 def test_leaks_are_found_and_nothing_else(spark, tmp_path, monkeypatch, block):
     monkeypatch.setattr(decontam, "BLOCK_WORDS", block)
