@@ -10,10 +10,13 @@ the number of documents.
 The planner is a branch and bound over bin completions. Best-fit decreasing
 gives the first incumbent. A branch takes the longest piece left, enumerates the
 undominated fillings of the rest of its sequence (no further piece fits, and no
-chosen piece can give way to a longer one), least waste first, and uses a
-filling for as many sequences as the counts allow at once. A branch ends when
-its waste leaves no room below the incumbent; the search ends at the lower bound
-or after ``nodes`` fillings, with the incumbent as the answer.
+chosen piece can give way to a longer one), and uses a
+filling for as many sequences as the counts allow at once. Fillings are enumerated
+longest pieces first and handed out in handfuls, of each the least waste first; the rest of
+a level's fillings is enumerated when the search comes back to it, so none is left out. A branch ends when
+its waste leaves no room below the incumbent; the search ends at the lower bound, with
+the tree, or when its effort is spent (``nodes`` fillings tried, or ``STEPS`` pieces put in for
+each of them), with the incumbent as the answer.
 
 Pieces then get their rank among the pieces of their length, by windows over
 (length, slot) with slots from a hash, so one frequent length is dealt to many
@@ -25,6 +28,7 @@ from __future__ import annotations
 import itertools
 import os
 import zlib
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -199,52 +203,59 @@ def best_fit(hist: dict[int, int], capacity: int) -> Plan:
     return list(bins.items())
 
 
-def fillings(room: int, hist: dict[int, int], limit: int) -> list[tuple[int, ...]]:
-    """Up to ``limit`` undominated fillings of ``room``, least waste first, longest pieces first."""
+#: Undominated fillings in a handful, and pieces put in before one is handed out with what it has.
+HANDFUL, STEPS = 16, 448
+
+
+def fillings(room: int, hist: dict[int, int], effort: list[int] | None = None) -> Iterator[tuple[int, ...]]:
+    """All undominated fillings of ``room``, handful by handful; ``effort[0]`` counts the pieces put in."""
     sizes = sorted((s for s, n in hist.items() if n and s <= room), reverse=True)
-    out: list[tuple[int, tuple[int, ...]]] = []
-    steps = 0
+    effort = [0] if effort is None else effort
+    falling = [-s for s in sizes]
 
-    def dominated(chosen: tuple[int, ...], waste: int) -> bool:
-        used = Counter(chosen)
+    def dominated(used: Counter, waste: int) -> bool:
         for s in sizes:  # longest first
             if hist[s] > used[s]:
                 if s <= waste:
                     return True
-                if any(c < s <= c + waste for c in used):
+                if any(n and c < s <= c + waste for c, n in used.items()):
                     return True
         return False
 
-    def go(i: int, left: int, chosen: tuple[int, ...]) -> bool:
-        nonlocal steps
-        steps += 1
-        if steps > 64 * limit + 256:
-            return True
-        grown = False
-        for j in range(i, len(sizes)):
+    chosen: list[int] = []
+    used: Counter = Counter()
+    left, since, whole = room, effort[0], 0
+    found: list[tuple[int, tuple[int, ...]]] = []
+    # per depth: the next size to try, and whether any went in
+    stack, grown = [0], [False]
+    while stack:
+        j = max(stack[-1], bisect_left(falling, -left))
+        while j < len(sizes) and used[sizes[j]] >= hist[sizes[j]]:
+            j += 1
+        if j < len(sizes):
             s = sizes[j]
-            if s > left or chosen.count(s) >= hist[s]:
-                continue
-            grown = True
-            if go(j, left - s, chosen + (s,)):
-                return True
-        if not grown and not dominated(chosen, left):
-            out.append((left, chosen))
-            if left == 0 and len(out) >= limit or sum(w == 0 for w, _ in out) >= limit:
-                return True
-        return False
-
-    go(0, room, ())
-    if not out:  # the step bound came first: the plain longest-first filling
-        left, chosen = room, ()
-        for s in sizes:
-            k = min(left // s, hist[s])
-            left, chosen = left - k * s, chosen + (s,) * k
-        out = [(left, chosen)]
-    return [c for _, c in sorted(out, key=lambda x: (x[0], len(x[1])))[:limit]]
-
-
-def bin_completion(hist: dict[int, int], capacity: int, nodes: int = 4000, width: int = 3) -> Plan:
+            stack[-1], grown[-1] = j + 1, True
+            chosen.append(s)
+            used[s] += 1
+            left -= s
+            stack.append(j)
+            grown.append(False)
+            effort[0] += 1
+        else:
+            if not grown[-1] and not dominated(used, left):
+                found.append((left, tuple(chosen)))
+                whole += left == 0
+            stack.pop()
+            grown.pop()
+            if chosen:
+                used[chosen[-1]] -= 1
+                left += chosen.pop()
+        if found and (not stack or len(found) >= HANDFUL or whole >= 3 or effort[0] - since > STEPS):
+            yield from (c for _, c in sorted(found, key=lambda x: (x[0], len(x[1]))))
+            found, since, whole = [], effort[0], 0
+
+
+def bin_completion(hist: dict[int, int], capacity: int, nodes: int = 4000) -> Plan:
     """Fillings and how many sequences use each; every piece of ``hist`` is in exactly one."""
     hist = {s: n for s, n in hist.items() if n}
     if not hist:
@@ -255,10 +266,10 @@ def bin_completion(hist: dict[int, int], capacity: int, nodes: int = 4000, width
     best = best_fit(hist, capacity)
     fewest = sum(n for _, n in best)
     # each level: counts left, fillings not tried yet, the filling in use, waste so far
-    state, waste, path, spent = dict(hist), 0, [], 0
-    levels: list[tuple[dict[int, int], int, list[tuple[int, ...]]]] = []
+    state, waste, path, spent, effort = dict(hist), 0, [], 0, [0]
+    levels: list[tuple[dict[int, int], int, Iterator[tuple[int, ...]]]] = []
     fresh = True
-    while spent < nodes and fewest > lower:
+    while spent < nodes and effort[0] < nodes * STEPS and fewest > lower:
         if fresh:
             if not state:
                 if sum(n for _, n in path) < fewest:
@@ -268,19 +279,19 @@ def bin_completion(hist: dict[int, int], capacity: int, nodes: int = 4000, width
             longest = max(state)
             rest = dict(state)
             rest[longest] -= 1
-            options = [(longest, *f) for f in fillings(capacity - longest, {s: n for s, n in rest.items() if n}, width)]
-            levels.append((state, waste, options))
+            levels.append((state, waste, _completed(longest, capacity - longest, {s: n for s, n in rest.items() if n}, effort)))
         elif not levels:
             break
         state, waste, options = levels[-1]
-        if not options:
+        filling = next(options, None)
+        if filling is None:
             levels.pop()
             if path and len(path) > len(levels) - 1:
                 path = path[:max(0, len(levels) - 1)]
             fresh = False
             continue
         path = path[:len(levels) - 1]
-        use = Counter(options.pop(0))
+        use = Counter(filling)
         times = min(state[s] // n for s, n in use.items())
         lost = (capacity - sum(use.elements())) * times
         spent += 1
@@ -294,6 +305,16 @@ def bin_completion(hist: dict[int, int], capacity: int, nodes: int = 4000, width
     return best
 
 
+def _completed(longest: int, room: int, rest: dict[int, int], effort: list[int]) -> Iterator[tuple[int, ...]]:
+    """Sequences that begin with ``longest``; alone where nothing fits beside it."""
+    any_ = False
+    for f in fillings(room, rest, effort):
+        any_ = True
+        yield (longest, *f)
+    if not any_:
+        yield (longest,)
+
+
 # ---------------------------------------------------------------- assignment
 
 

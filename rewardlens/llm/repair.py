@@ -200,8 +200,9 @@ def repair(conversations: DataFrame, id_col: str = "conv_id", turn_col: str = "t
     """The cheapest edits that give every conversation the role initials ``(s?(ua)+)?``.
 
     ``report`` has ``(id_col, n_rows, gaps, blank, duplicate, truncated, illegal,
-    cost, audit)``; ``turns`` has ``(id_col, part, seq, lines)`` with ``lines`` an
-    array of ``(edit, role, text)`` and (part, seq) the order of the pieces.
+    cost, audit)``; ``turns`` has ``(id_col, part, seq, whole, lines)`` with ``lines`` an
+    array of ``(edit, role, text)``, (part, seq) the order of the pieces, and ``whole``
+    true where a piece is surely all of its conversation.
 
     Rows are taken by turn, null turns first, equal turns by role and text. Null
     roles and texts count as one space. A null conversation id is a conversation
@@ -226,10 +227,10 @@ def repair(conversations: DataFrame, id_col: str = "conv_id", turn_col: str = "t
     whole = segments.filter("whole").select("conv", "part", "seq", *[c.split()[0] for c in _COUNTS.split(", ")], "cost", "audit", "lines")
     divided = segments.filter("not whole").select("conv", "part", "seq", "turns", "roles", "texts")
     report = whole.withColumn("shared_turns", F.lit(0).cast("long")).drop("part", "seq", "lines")
-    pieces = whole.select("conv", "part", "seq", "lines")
+    pieces = whole.select("conv", "part", "seq", F.lit(True).alias("whole"), "lines")
     if not divided.isEmpty():
         more_report, more_pieces = _repair_divided(divided, kind)
-        report, pieces = report.unionByName(more_report), pieces.unionByName(more_pieces)
+        report, pieces = report.unionByName(more_report), pieces.unionByName(more_pieces.withColumn("whole", F.lit(False)))
     gaps = F.coalesce(F.col("last_turn") - F.col("first_turn") + 1 - F.col("distinct_turns") + F.col("shared_turns"), F.lit(0))
     return Repaired(
         report.select(F.col("conv").alias(id_col), "n_rows", gaps.alias("gaps"), *FAULTS, "illegal", "cost", "audit"),
@@ -402,18 +403,16 @@ def _repair_divided(divided: DataFrame, kind: str) -> tuple[DataFrame, DataFrame
 def digests(turns: DataFrame, id_col: str = "conv_id") -> DataFrame:
     """``(id_col, sha256)`` of each conversation's ``role:text`` lines joined by newlines.
 
-    A conversation in one piece is hashed where it is. Those in several are hashed
+    A conversation known to be in one piece is hashed where it is. The others are hashed
     as streams, piece after piece, by the task that owns the conversation: a
     SHA-256 has one order of reading, but no more than a piece is held.
     """
     spark = turns.sparkSession
     ship_package(spark)
     lines = F.array_join(F.transform("lines", lambda x: F.concat(x["role"], F.lit(":"), x["text"])), "\n")
-    text = turns.select(F.col(id_col).alias("conv"), "part", "seq", lines.alias("text"), (F.size("lines") > 0).alias("some"))
-    count = turns.groupBy(F.col(id_col).alias("c")).agg(F.count(F.lit(1)).alias("pieces")).filter("pieces > 1").select("c")
+    text = turns.select(F.col(id_col).alias("conv"), "part", "seq", "whole", lines.alias("text"), (F.size("lines") > 0).alias("some"))
     kind = text.schema["conv"].dataType.simpleString()
-    same = F.col("conv").eqNullSafe(F.col("c"))
-    one = text.join(count, same, "left_anti").select("conv", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
+    one = text.filter("whole").select("conv", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         conv, digest, some, type_ = None, None, False, None
@@ -434,7 +433,7 @@ def digests(turns: DataFrame, id_col: str = "conv_id") -> DataFrame:
         if digest is not None:
             yield done()
 
-    split = text.join(count, same, "left_semi").repartition("conv").sortWithinPartitions(F.col("conv").asc_nulls_first(), "part", "seq")
+    split = text.filter("not whole").repartition("conv").sortWithinPartitions(F.col("conv").asc_nulls_first(), "part", "seq")
     many = split.select("conv", "text", "some").mapInArrow(task, f"conv {kind}, sha256 string")
     return one.unionByName(many).withColumnRenamed("conv", id_col)
 
