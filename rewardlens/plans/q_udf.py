@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from rewardlens.functions.common import round6
 from rewardlens.functions.udtf import register_table_functions
+from rewardlens.operators import reward_model as RM
 from rewardlens.operators import udf as U
 from rewardlens.plans import fixtures as V
 from rewardlens.plans.catalog import query
@@ -76,3 +77,11 @@ def q_udtf_format(spark, sf):
     return spark.sql(f"""
         SELECT t.idx, f.text FROM {_pref_view(spark, sf)} t,
         LATERAL format_row(template => '### Question: {{question}} ### Answer: {{chosen}}', question => t.prompt, chosen => t.chosen) f""")
+
+
+@query("reward_model_score")
+def q_reward_model_score(spark, sf):
+    """A reward model of the preference pairs, on the pairs themselves (SQL cannot fit it; tested against a plain fit)."""
+    pairs = V.pref_text(spark, sf)
+    score = RM.reward_scorer(spark, RM.fit_reward_model(pairs))
+    return pairs.select("idx", round6(score("chosen")).alias("chosen_score"), round6(score("rejected")).alias("rejected_score"))

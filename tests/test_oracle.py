@@ -48,5 +48,6 @@ def test_entry_runs(spark):
 def test_every_query_has_oracle():
     from rewardlens.plans.catalog import ORACLE, QUERIES
 
-    # byte pairs cannot be merged in SQL: these are tested against the public tokenizer (tests/test_subword.py)
-    assert set(QUERIES) - set(ORACLE) == {"encode_subword", "subword_counts", "label_chatml_subword"} and set(ORACLE) <= set(QUERIES)
+    # SQL can neither merge byte pairs nor fit a model: these are tested against the public tokenizer
+    # (tests/test_subword.py) and a plain fit (tests/test_reward_model.py)
+    assert set(QUERIES) - set(ORACLE) == {"encode_subword", "subword_counts", "label_chatml_subword", "reward_model_score"} and set(ORACLE) <= set(QUERIES)
