@@ -7,7 +7,8 @@ make up the graph that matters.
 1. *Blocks.* Rows are dealt to blocks of about ``BLOCK_BYTES`` of text by a hash of
    the row's number. A block names each of its edges once, however many copies of a
    document it holds, so copies that make up a third of all rows are no hot key.
-2. *Candidates.* Blocks send 40 bits of each edge's hash to the part that owns
+2. *Candidates.* Blocks send the first bits of each edge's hash (forty, and more than the
+   edges need from some thousand million on) to the part that owns
    this range of the hash; parts answer with the edges that several blocks have.
 3. *Graph.* For candidate edges the blocks send 96 bits of hashes, the smallest
    document id, and marks of the edge before and the edge after. Their join says
@@ -20,13 +21,18 @@ make up the graph that matters.
    occurrences of a path must agree; if hashes ever collide the job starts over
    with other hashes.
 
-Parts and blocks follow the input in number, not in size.
+Parts and blocks follow the input in number, not in size, while there are few of them. What
+travels is a message for each block and part, so that a message would hold ever fewer edges; from
+some hundred million edges on both grow with the square root of the input, which keeps
+``MESSAGE_EDGES`` to a message and the messages in proportion to the input.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -40,18 +46,43 @@ from rewardlens.session import ship_package
 WINDOW = 13
 BLOCK_BYTES = 2 << 20
 EDGES_PER_PART = 1 << 20
+#: Edges that a block sends to a part, on average, before blocks and parts grow.
+MESSAGE_EDGES = 1000
+LEAST_BITS = 40
 NO_ID = np.iinfo(np.int64).max
 EDGE = np.dtype([("k1", "<u8"), ("k2", "<u4"), ("id", "<i8"), ("before", "<u4"), ("after", "<u4")])
 #: The same with ids counted from the smallest one, for blobs whose ids lie close enough.
 NEAR_EDGE = np.dtype([("k1", "<u8"), ("k2", "<u4"), ("id", "<u4"), ("before", "<u4"), ("after", "<u4")])
 REPEATED, OLDER, CUT_BEFORE, CUT_AFTER = 1, 2, 4, 8
-SHORT = U64(24)
+
+
+class Layout(NamedTuple):
+    """How many blocks and parts there are, and how many bits of a hash name an edge at first."""
+
+    blocks: int
+    parts: int
+    bits: int
+
+    @staticmethod
+    def of(size: int, edges: int) -> Layout:
+        """For ``size`` bytes of text with about so many ``edges``."""
+        even = math.isqrt(MESSAGE_EDGES * edges)
+        per_block = max(BLOCK_BYTES, even * size // max(edges, 1))
+        return Layout(1 + size // per_block, 1 + edges // max(EDGES_PER_PART, even), max(LEAST_BITS, min(56, edges.bit_length() + 8)))
+
+    def short(self, k1: np.ndarray) -> np.ndarray:
+        return k1 >> U64(64 - self.bits)
+
+    def bounds(self, short: np.ndarray) -> np.ndarray:
+        """Where each part's range begins in sorted short hashes."""
+        return np.searchsorted(((short >> U64(self.bits - 40)) * U64(self.parts)) >> U64(40), np.arange(self.parts + 1).astype(U64))
 
 
 class Block:
     """The words and edges of one block of rows, in the order of (id, row number)."""
 
-    def __init__(self, parcels: pa.Table, window: int, seed: int):
+    def __init__(self, parcels: pa.Table, window: int, seed: int, layout: Layout):
+        self.layout = layout
         table = pa.concat_tables([pa.ipc.open_stream(x).read_all() for x in parcels.column("parcel").to_pylist()])
         table = table.combine_chunks().sort_by([("id", "ascending"), ("rid", "ascending")])
         self.table, self.window = table, window
@@ -68,11 +99,11 @@ class Block:
         self.id = table.column("id").fill_null(NO_ID).to_numpy().astype(np.int64)
 
     def short_edges(self) -> np.ndarray:
-        return _different(np.sort(self.k1 >> SHORT))
+        return _different(np.sort(self.layout.short(self.k1)))
 
     def candidates(self, repeated: np.ndarray) -> np.ndarray:
         """Indices of the edges that several blocks have, or that stand in this block more than once."""
-        short = self.k1 >> SHORT
+        short, rest = self.layout.short(self.k1), U64(self.layout.bits - 20)
         in_order = np.sort(short)
         twice = in_order[1:][in_order[1:] == in_order[:-1]]
         wanted = _different(np.sort(np.concatenate([repeated, twice])))
@@ -80,8 +111,8 @@ class Block:
             return np.zeros(0, np.int64)
         # a small table of the first 20 bits passes few others
         table = np.zeros(1 << 20, bool)
-        table[(wanted >> U64(20)).astype(np.int64)] = True
-        may = np.flatnonzero(table[(short >> U64(20)).astype(np.int64)])
+        table[(wanted >> rest).astype(np.int64)] = True
+        may = np.flatnonzero(table[(short >> rest).astype(np.int64)])
         at = np.minimum(np.searchsorted(wanted, short[may]), len(wanted) - 1)
         return may[wanted[at] == short[may]]
 
@@ -132,19 +163,14 @@ def _order(k1: np.ndarray, k2: np.ndarray) -> np.ndarray:
     return by
 
 
-def _part_bounds(short: np.ndarray, parts: int) -> np.ndarray:
-    """Where each part's range begins in sorted 40-bit hashes."""
-    return np.searchsorted((short * U64(parts)) >> U64(40), np.arange(parts + 1).astype(U64))
-
-
 def _pack(short: np.ndarray) -> bytes:
-    """Sorted different 40-bit numbers as their gaps, in as many bytes each as the usual gap needs.
+    """Sorted different numbers as their gaps, in as many bytes each as the usual gap needs.
 
     The largest number of that width stands for a gap that goes on in the next one.
     """
     gap = np.diff(short, prepend=U64(0)).astype(np.int64)
     spread = int(short[-1] - short[0]) // len(short) * 4
-    width = max(1, -(-spread.bit_length() // 8))
+    width = min(7, max(1, -(-spread.bit_length() // 8)))
     top = (1 << 8 * width) - 1
     full, rest = np.divmod(gap, top)
     full[0], first = 0, int(gap[0])  # the first number stands in the head
@@ -204,32 +230,40 @@ def _parcels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 SENT = "block long, part long, blob binary"
 
 
-def _offer(parts: int, window: int, seed: int):
+def _offer(layout: Layout, window: int, seed: int):
     def task(key: tuple, table: pa.Table) -> pa.Table:
-        short = Block(table, window, seed).short_edges()
-        at = _part_bounds(short, parts)
-        return _sent([(key[0].as_py(), p, _pack(short[at[p]:at[p + 1]])) for p in range(parts) if at[p] < at[p + 1]])
+        short = Block(table, window, seed, layout).short_edges()
+        at = layout.bounds(short)
+        return _sent([(key[0].as_py(), p, _pack(short[at[p]:at[p + 1]])) for p in range(layout.parts) if at[p] < at[p + 1]])
 
     return task
 
 
-def _meet(table: pa.Table) -> pa.Table:
+def _meet(layout: Layout):
     """The edges of one part that several blocks offer, for each of these blocks."""
-    blocks = table.column("block").to_numpy()
-    keys = [_unpack(b) for b in table.column("blob").to_pylist()]
-    own = np.repeat(np.arange(len(keys)).astype(U64), [len(k) for k in keys])
-    both = np.sort((np.concatenate(keys) << U64(24)) | own) if len(keys) < 1 << 24 else None
-    if both is None:
-        raise ValueError("more than 2**24 blocks in one part: take larger blocks")
-    key = both >> U64(24)
-    same = np.r_[False, key[1:] == key[:-1]]
-    hit = same | np.r_[same[1:], False]
-    key, own = key[hit], (both[hit] & U64((1 << 24) - 1)).astype(np.int64)
-    by = np.argsort(own, kind="stable")
-    key, own = key[by], own[by]
-    at = np.searchsorted(own, np.arange(len(keys) + 1))
-    part = table.column("part")[0].as_py()
-    return _sent([(int(blocks[i]), part, _pack(key[at[i]:at[i + 1]])) for i in range(len(keys)) if at[i] < at[i + 1]])
+
+    def task(table: pa.Table) -> pa.Table:
+        blocks = table.column("block").to_numpy()
+        keys = [_unpack(b) for b in table.column("blob").to_pylist()]
+        size = [len(k) for k in keys]
+        key = np.concatenate(keys)
+        room = 64 - layout.bits
+        if len(keys) <= 1 << room:  # hash and sender in one number
+            both = np.sort((key << U64(room)) | np.repeat(np.arange(len(keys)).astype(U64), size))
+            key, own = both >> U64(room), (both & U64((1 << room) - 1)).astype(np.int64)
+        else:
+            by = np.argsort(key, kind="stable")
+            key, own = key[by], np.repeat(np.arange(len(keys)), size)[by]
+        same = np.r_[False, key[1:] == key[:-1]]
+        hit = same | np.r_[same[1:], False]
+        key, own = key[hit], own[hit]
+        by = np.argsort(own, kind="stable")
+        key, own = key[by], own[by]
+        at = np.searchsorted(own, np.arange(len(keys) + 1))
+        part = table.column("part")[0].as_py()
+        return _sent([(int(blocks[i]), part, _pack(key[at[i]:at[i + 1]])) for i in range(len(keys)) if at[i] < at[i + 1]])
+
+    return task
 
 
 def _repeated(answers: pa.Table) -> np.ndarray:
@@ -238,14 +272,14 @@ def _repeated(answers: pa.Table) -> np.ndarray:
     return np.sort(np.concatenate([_unpack(b) for b in answers.column("blob").to_pylist()]))
 
 
-def _describe(parts: int, window: int, seed: int):
+def _describe(layout: Layout, window: int, seed: int):
     def task(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
             return _sent([])
-        block = Block(table, window, seed)
+        block = Block(table, window, seed, layout)
         edges, _, _ = block.edges(block.candidates(_repeated(answers)))
-        at = _part_bounds(edges["k1"] >> SHORT, parts)
-        return _sent([(key[0].as_py(), p, _pack_edges(edges[at[p]:at[p + 1]])) for p in range(parts) if at[p] < at[p + 1]])
+        at = layout.bounds(layout.short(edges["k1"]))
+        return _sent([(key[0].as_py(), p, _pack_edges(edges[at[p]:at[p + 1]])) for p in range(layout.parts) if at[p] < at[p + 1]])
 
     return task
 
@@ -275,13 +309,13 @@ def _judge(table: pa.Table) -> pa.Table:
 _SPANS = pa.list_(pa.struct([("path", pa.int64()), ("start", pa.int64()), ("words", pa.int64()), ("removed", pa.bool_()), ("digest", pa.string())]))
 
 
-def _settle(window: int, seed: int, texts: bool):
+def _settle(layout: Layout, window: int, seed: int, texts: bool):
     def task(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
         names = ["rid", "id", "n_words", "n_removed", "kept_sha256", "spans", *["kept"] * texts]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), _SPANS, *[pa.string()] * texts]
         if not table.num_rows:
             return pa.table([pa.array([], k) for k in kinds], names)
-        block = Block(table, window, seed)
+        block = Block(table, window, seed, layout)
         kind = answers.column("kind").to_numpy() if answers.num_rows else np.zeros(0)
         use = block.candidates(_repeated(answers.filter(pa.array(kind == 1))))
         edges, which, several = block.edges(use)
@@ -344,20 +378,20 @@ def _joined(w: Words) -> tuple[bytes, np.ndarray, np.ndarray]:
 def _once(docs: DataFrame, id_col: str, text_col: str, window: int, texts: bool, seed: int) -> DataFrame:
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     size, words = docs.select(F.octet_length(text_col).cast("long").alias("b")).agg(F.coalesce(F.sum("b"), F.lit(0)), F.coalesce((F.sum("b") / 6).cast("long"), F.lit(0))).first()
-    blocks, parts = 1 + size // BLOCK_BYTES, 1 + words // EDGES_PER_PART
-    tasks = max(1, min(blocks, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("rid"), F.lit(blocks))).mapInArrow(_parcels, PARCEL).repartition(tasks, "block")
+    layout = Layout.of(size, words)
+    tasks = max(1, min(layout.blocks, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("rid"), F.lit(layout.blocks))).mapInArrow(_parcels, PARCEL).repartition(tasks, "block")
 
     def table(names: str):
         return "rid long, id long, " + names
 
-    offered = dealt.groupBy("block").applyInArrow(_offer(parts, window, seed), SENT)
-    shared = offered.groupBy("part").applyInArrow(_meet, SENT)
-    described = dealt.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_describe(parts, window, seed), SENT)
+    offered = dealt.groupBy("block").applyInArrow(_offer(layout, window, seed), SENT)
+    shared = offered.groupBy("part").applyInArrow(_meet(layout), SENT)
+    described = dealt.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_describe(layout, window, seed), SENT)
     judged = described.groupBy("part").applyInArrow(_judge, SENT)
     answers = shared.withColumn("kind", F.lit(1)).unionByName(judged.withColumn("kind", F.lit(2)))
     out = table("n_words long, n_removed long, kept_sha256 string, spans array<struct<path: long, start: long, words: long, removed: boolean, digest: string>>")
-    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_settle(window, seed, texts), out + ", kept string" * texts)
+    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_settle(layout, window, seed, texts), out + ", kept string" * texts)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, texts: bool = False) -> DataFrame:

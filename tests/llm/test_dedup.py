@@ -3,6 +3,7 @@
 import hashlib
 from collections import Counter
 
+import numpy as np
 import pytest
 import xxhash
 
@@ -32,8 +33,20 @@ def brute_repeats(data, window=13):
     return Counter(out)
 
 
-@pytest.mark.parametrize("block", [1 << 21, 4000])
-def test_substring_matches_brute_force(spark, tmp_path, monkeypatch, block):
+def test_messages_follow_the_input():
+    for edges in (0, 1, 10**6, 10**8, 10**10, 10**13):
+        layout = substring.Layout.of(6 * edges, edges)
+        assert layout.blocks * layout.parts <= 4 + 3 * edges // substring.MESSAGE_EDGES + edges // 10**5
+        assert 40 <= layout.bits <= 56 and 2 ** layout.bits >= 100 * edges
+        short = layout.short(np.sort(np.random.default_rng(1).integers(0, 2**64, 1000, np.uint64)))
+        at = layout.bounds(short) if layout.parts < 10**5 else [0, len(short)]
+        assert at[0] == 0 and at[-1] == len(short)
+    assert substring.Layout.of(10**8, 16 * 10**6) == (1 + 10**8 // substring.BLOCK_BYTES, 1 + 16 * 10**6 // substring.EDGES_PER_PART, 40)
+
+
+@pytest.mark.parametrize("block, bits", [(1 << 21, 40), (4000, 40), (4000, 56), (2000, 62)])
+def test_substring_matches_brute_force(spark, tmp_path, monkeypatch, block, bits):
+    monkeypatch.setattr(substring, "LEAST_BITS", bits)  # 62: more senders than fit beside a hash
     monkeypatch.setattr(substring, "BLOCK_BYTES", block)
     monkeypatch.setattr(substring, "EDGES_PER_PART", block // 4)
     found = substring.remove_repeats(stored(spark, tmp_path), texts=True)
