@@ -21,27 +21,37 @@ TOKENIZER = "byte_bpe_50k.json"
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts of an identified language. Null texts and texts without a letter go."""
+    """Texts of an identified language. Null texts, texts without a letter and texts that fit no learned language go.
+
+    Repeated rows are judged alike and all stay; a null ``lang`` teaches nothing; without labelled rows no language
+    is known and nothing stays. An empty table stays empty.
+    """
     return keep_identified(docs)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each class of texts that are equal without white space."""
+    """One row of each class of texts that are equal without white space: the longest, then that of the smallest id.
+
+    Null texts are empty ones; a null id comes last; of wholly repeated rows the first written stays. An empty table stays empty.
+    """
     return drop_copies(docs)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each near-duplicate group, that of the smallest id."""
+    """One row of each near-duplicate group: that of the smallest id, a null id last, then the first written.
+
+    Null, empty and blank texts have one fingerprint and are a group. An empty table stays empty.
+    """
     return drop_near_copies(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows without a passage of a benchmark item."""
+    """Rows without a passage of a benchmark item. Null texts hold none, null and short items stand in none; repeated rows go or stay together."""
     return drop_contaminated(docs, read(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all rows and their places in sequences of 1024 tokens."""
+    """The pieces of all rows and their places in sequences of 1024 tokens. A null or empty text is its end id; every row, repeated or with a null id, has its pieces."""
     return pack(docs, public_tokenizers.path(TOKENIZER))
 
 
