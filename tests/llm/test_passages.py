@@ -254,3 +254,14 @@ def test_pipeline_drops_texts_of_no_learned_language(spark, tmp_path):
     left = corpus_pipeline.language_id(spark, docs, str(tmp_path))
     assert left.columns == docs.columns
     assert {r.doc_id for r in left.select("doc_id").collect()} == {i for i, _, _ in clean + short + unlabelled}
+
+
+@pytest.mark.parametrize("data", [
+    [], [(1, None, "en")], [(1, "12 34", "en"), (2, "", None)],  # no rows; a stage keeps nothing
+    [(None, "the of and the of", "en"), (None, "the of and the of", "en"), (None, None, None), (5, "the  of and the of", "en"), (6, "und der", "de"), (6, "und der", "de")]])
+def test_pipeline_of_awkward_tables(spark, tmp_path, data):
+    stored(spark, tmp_path, data)
+    spark.createDataFrame([(1, None), (2, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    # of equal texts the longest stays, then the smallest id; null ids come last; repeated rows are one
+    assert sorted(r.doc_id for r in got) == ([5, 6] if len(data) > 2 else [])
