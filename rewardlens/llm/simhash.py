@@ -7,8 +7,10 @@ where over half of the hashes have it. Equal fingerprints are one node.
 differing bits some segment begins a chain along the ring whose first segment
 has none, whose first two have at most one, whose first three at most two, and
 so on: l segments have at most ``l * 4 / 5``. The join key of a chain is its
-first segment and two of the four quarters of the next two segments, since two
-differing bits leave two quarters alike. Pairs that meet must pass the whole
+first segment and two of the four halves of the next two segments, since two
+differing bits leave two halves alike. With more fingerprints a key reaches on to a third
+and fourth segment (three of six halves, four of eight), so that keys stay rarer than
+fingerprints are many. Pairs that meet must pass the whole
 chain before the full Hamming distance is taken.
 
 *Groups.* A crowd of near copies meets under the same keys. All pairs of a crowd
@@ -19,6 +21,7 @@ and a key whose members are all in one component is dropped.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -36,8 +39,19 @@ SEED = 42
 #: Widths of the ring's segments, the top bits first.
 SEGMENTS = (13, 13, 13, 13, 12)
 MAX_DISTANCE = 4
-#: A key holds at most a 13-bit segment and two 7-bit quarters; above them stands the number of its choice.
-KEY_BITS = 27
+#: A key has halves of two segments up to so many different fingerprints, of three up to so many, and then of four.
+REACH_UP_TO = ((2, 1 << 26), (3, 1 << 33))
+
+
+def reach_of(fingerprints: int) -> int:
+    return next((reach for reach, most in REACH_UP_TO if fingerprints <= most), 4)
+
+
+def key_bits(reach: int) -> int:
+    """A key holds at most a 13-bit segment and 7-bit halves; above them stands the number of its choice."""
+    return 13 + 7 * reach
+
+
 SHINGLES_AT_ONCE = 1 << 16
 
 
@@ -94,24 +108,24 @@ def _layout() -> list[tuple[int, int]]:
     return out
 
 
-def chain_keys(fp: Column) -> Column:
-    """The keys under which a fingerprint meets others: for each chain begin, six choices of two quarters."""
-    seg, keys = _layout(), []
+def chain_keys(fp: Column, reach: int = 2) -> Column:
+    """The keys under which a fingerprint meets others: for each chain begin, every choice of ``reach`` halves of the next ``reach`` segments."""
+    seg, keys, choices = _layout(), [], math.comb(2 * reach, reach)
     for i in range(len(seg)):
-        quarters = []
-        for low, width in (seg[(i + 1) % len(seg)], seg[(i + 2) % len(seg)]):
-            half = width // 2
-            quarters += [(low + half, width - half), (low, half)]
-        for j, (p, q) in enumerate(combinations(quarters, 2)):
+        halves = []
+        for l in range(1, reach + 1):
+            low, width = seg[(i + l) % len(seg)]
+            halves += [(low + width // 2, width - width // 2), (low, width // 2)]
+        for j, chosen in enumerate(combinations(halves, reach)):
             key = F.lit(0).cast("long")
-            for low, width in (seg[i], p, q):
+            for low, width in (seg[i], *chosen):
                 key = F.shiftleft(key, width).bitwiseOR(_bits(fp, low, width))
-            keys.append(key.bitwiseOR(F.lit((i * 6 + j) << KEY_BITS)))
+            keys.append(key.bitwiseOR(F.lit((i * choices + j) << key_bits(reach))))
     return F.array(*keys)
 
 
-def chain_begin(key: Column) -> Column:
-    return F.floor(F.shiftright(key, KEY_BITS) / 6).cast("int")
+def chain_begin(key: Column, reach: int = 2) -> Column:
+    return F.floor(F.shiftright(key, key_bits(reach)) / math.comb(2 * reach, reach)).cast("int")
 
 
 def passes_chain(x: Column, begin: Column) -> Column:
@@ -136,7 +150,8 @@ def link_fingerprints(fps: DataFrame) -> DataFrame:
     ``n`` is how many rows have the fingerprint; the most frequent one of a key
     is tried as the centre of its crowd.
     """
-    keyed = materialize(fps.select("fp", "n", F.explode(chain_keys(F.col("fp"))).alias("key")), "simhash-keys")
+    reach = reach_of(fps.count())
+    keyed = materialize(fps.select("fp", "n", F.explode(chain_keys(F.col("fp"), reach)).alias("key")), "simhash-keys")
     order = Window.partitionBy("key").orderBy("fp")
     beside = keyed.select("fp", F.array(F.lag("fp", 1).over(order), F.lag("fp", 2).over(order)).alias("before")).select("fp", F.explode("before").alias("other"))
     centre = materialize(keyed.groupBy("key").agg(F.count("fp").alias("members"), F.max(F.struct("n", "fp")).alias("top"))
@@ -150,7 +165,7 @@ def link_fingerprints(fps: DataFrame) -> DataFrame:
     open_ = materialize(labelled.join(mixed, "key"), "simhash-open")
     a, b = open_.alias("a"), open_.alias("b")
     x = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
-    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.root") < F.col("b.root")) & passes_chain(x, chain_begin(F.col("a.key"))))
+    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.root") < F.col("b.root")) & passes_chain(x, chain_begin(F.col("a.key"), reach)))
     across = met.filter(near(F.col("a.fp"), F.col("b.fp"))).select(F.col("a.root").alias("a"), F.col("b.root").alias("b"))
     joined = materialize(components(across).select(F.col("node").alias("root"), F.col("root").alias("last")), "simhash-joined")
     own = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))

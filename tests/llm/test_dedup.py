@@ -164,10 +164,13 @@ def test_simhash_matches_brute_force(spark, tmp_path):
     assert kept.columns == docs.columns and kept.count() == groups
 
 
-def test_simhash_links_every_near_pair(spark):
+@pytest.mark.parametrize("reach", [2, 3, 4])
+def test_simhash_links_every_near_pair(spark, monkeypatch, reach):
     """Planted fingerprints around some centres: components equal those of all pairs."""
     import random
 
+    monkeypatch.setattr(simhash, "REACH_UP_TO", ((reach, 1 << 40),))
+    assert simhash.reach_of(10) == reach
     rng = random.Random(3)
     fps = set()
     for _ in range(30):
