@@ -1,9 +1,10 @@
 """URL filter: rules first, then logistic regression on hashed character n-grams (native DataFrame operations only).
 
 The model sees the n-grams of host and path, hashed to ``dims`` weights. It is
-trained by full-batch gradient steps on a small labelled URL table; the table is
-cut to ``max_rows`` rows by the order of a hash (a documented bound), so the
-weights that reach the driver and the plan number ``dims`` at any input size.
+trained by full-batch gradient steps on a small labelled URL table: at most ``max_rows``
+different urls (a documented bound), half of each class, by the order of a hash. A url
+weighs as much as its copies, and a class as much as all its rows, so copies neither crowd out
+other urls nor get lost. The weights that reach the driver and the plan number ``dims`` at any input size.
 """
 
 from __future__ import annotations
@@ -64,17 +65,26 @@ def train(labelled: DataFrame, dims: int = 4096, max_rows: int = 4000, steps: in
     """Weights and bias from ``labelled(host, path, y)``; y is 1 for allow, 0 for block.
 
     Rows with a null label are left out. No rows give zero weights, so every
-    url then scores one half. Equal urls count as often as they occur.
+    url then scores one half.
     """
     rows = labelled.filter(F.col("y").isNotNull()).select("host", "path", F.col("y").cast("double").alias("y"))
-    rows = rows.orderBy(F.xxhash64("host", "path"), "host", "path", "y").limit(max_rows)
-    rows = materialize(rows.select("y", ngram_features(F.col("host"), F.col("path"), dims).alias("f")), "url-train")
-    n, pos = rows.agg(F.count("y"), F.sum("y")).first()
+    counted = materialize(rows.groupBy("host", "path", "y").agg(F.count(F.lit(1)).alias("copies")), "url-counts")
+    totals = {r["y"]: r["n"] for r in counted.groupBy("y").agg(F.sum("copies").alias("n")).collect()}  # a row for each class
+    taken = None
+    for y in sorted(totals):
+        own = counted.filter(F.col("y") == y).orderBy(F.xxhash64("host", "path"), "host", "path").limit(max(1, max_rows // len(totals)))
+        taken = own if taken is None else taken.unionByName(own)
+    if taken is None:
+        return [0.0] * dims, 0.0
+    sample = materialize(taken.select("y", F.col("copies").cast("double").alias("copies"), ngram_features(F.col("host"), F.col("path"), dims).alias("f")), "url-train")
+    of_class = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.sum("copies").alias("n")).collect()}
+    scale = F.lit(1.0)
+    for y, n in of_class.items():
+        scale = F.when(F.col("y") == y, F.lit(totals[y] / n)).otherwise(scale)
+    rows, n = sample.withColumn("weight", F.col("copies") * scale), float(sum(totals.values()))
     w, seen, bias, bias_seen = [0.0] * dims, [1e-8] * dims, 0.0, 1e-8
-    if not n:
-        return w, bias
     for _ in range(steps):
-        err = F.col("y") - F.lit(1.0) / (1 + F.exp(-_margin(F.col("f"), w, bias)))
+        err = F.col("weight") * (F.col("y") - F.lit(1.0) / (1 + F.exp(-_margin(F.col("f"), w, bias))))
         e = rows.select(err.alias("e"), "f")
         step = (e.select((F.col("e") / F.sqrt(F.size("f").cast("double"))).alias("g"), F.explode("f").alias("i")).groupBy("i").agg(F.sum("g").alias("g"))
                 .unionByName(e.groupBy(F.lit(-1).alias("i")).agg(F.sum("e").alias("g"))))
@@ -97,7 +107,8 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], labelled: DataFrame | No
     rule's; the longest wins and decides. The rest goes to the model: ``allow``
     from a score of 0.5. ``labelled(host, path, y)`` trains it; without one, the
     urls that rules decide are the labels. A null url, or one without ``://``,
-    has an empty host and path. An empty table gives no rows.
+    has an empty host and path. Repeated rows keep a row each, other columns are
+    not read, an empty table gives no rows, and urls of any length are read whole.
     """
     base = pages.select(F.col(id_col).alias("id"), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"))
     rule, decided = match_rule(F.col("host"), F.col("path"), rules)

@@ -227,6 +227,40 @@ def test_url_model_learns_from_a_given_table(spark):
     assert got == {1: "allow", 2: "block"}
 
 
+@pytest.mark.parametrize("max_rows", [4000, 40])
+def test_url_model_is_a_plain_weighted_fit(spark, max_rows):
+    """Against numpy on the same urls: copies weigh, and a url with thousands of them leaves room for the others."""
+    import random
+
+    rng = random.Random(2)
+    made = [(f"h{rng.randint(0, 30)}.org", f"/{rng.choice(['ok', 'casino', 'a', 'b'])}/{rng.randint(0, 9)}", int(rng.random() < 0.6)) for _ in range(150)]
+    made += [("copy.org", "/all/the/same", 0)] * 600 + [("other.org", "/x", None)]
+    df = spark.createDataFrame(made, "host string, path string, y int")
+    dims, steps = 64, 6
+    weights, bias = urls.train(df, dims, max_rows, steps)
+    counts = Counter(m for m in made if m[2] is not None)
+    feats = {(r.host, r.path): (r.h, r.f) for r in df.select("host", "path", F.xxhash64("host", "path").alias("h"), urls.ngram_features(F.col("host"), F.col("path"), dims).alias("f")).distinct().collect()}
+    rows_ = []
+    for y in (0, 1):
+        own = sorted((m for m in counts if m[2] == y), key=lambda m: feats[m[:2]][0])[:max_rows // 2]
+        total, have = sum(n for m, n in counts.items() if m[2] == y), sum(counts[m] for m in own)
+        rows_ += [(y, counts[m] * total / have, feats[m[:2]][1]) for m in own]
+    assert len(rows_) > 10 and max_rows == 4000 or len(rows_) == max_rows
+    w, seen, b, bseen, n = np.zeros(dims), np.full(dims, 1e-8), 0.0, 1e-8, sum(counts.values())
+    for _ in range(steps):
+        g, gb = np.zeros(dims), 0.0
+        for y, weight, f in rows_:
+            e = weight * (y - 1 / (1 + math.exp(-(sum(w[i] for i in f) / math.sqrt(len(f)) + b))))
+            gb += e / n
+            for i in f:
+                g[i] += e / math.sqrt(len(f)) / n
+        bseen += gb * gb
+        b += 0.5 * gb / math.sqrt(bseen)
+        seen += g * g
+        w += 0.5 * g / np.sqrt(seen)
+    assert np.allclose(weights, w, atol=1e-6) and abs(bias - b) < 1e-6
+
+
 def brute_base(text):
     out = [("email", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
     out += [("ip", m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
