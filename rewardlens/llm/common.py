@@ -55,6 +55,16 @@ def most_frequent(df: DataFrame, count: str, most: int) -> DataFrame:
     return df.limit(0) if low is None else df.filter(bin_ >= low)
 
 
+def numbered_rows(df: DataFrame, name: str, as_read: bool, table: str) -> DataFrame:
+    """``df`` with a row number ``name`` that every later plan sees alike.
+
+    The numbers of a table ``as_read`` come from its scan, which is the same in
+    every plan. Any other frame is written with its numbers.
+    """
+    rows = df.withColumn(name, F.monotonically_increasing_id())
+    return rows if as_read else materialize(rows, table)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, with underscores before it until no column of ``df`` has it in any case."""
     taken = {c.lower() for c in df.columns}

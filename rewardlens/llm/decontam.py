@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rewardlens.llm.common import columns, fresh, materialize
+from rewardlens.llm.common import columns, fresh, materialize, numbered_rows
 from rewardlens.llm.textbatch import U64, Words, inside_row, slices, text_buffer, window_hashes
 from rewardlens.session import ship_package
 
@@ -282,9 +282,12 @@ def _align_task(ready, id_type: pa.DataType):
     return task
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without an aligned passage, with all columns; they are numbered in a written copy."""
+def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", as_read: bool = False) -> DataFrame:
+    """The rows of ``docs`` without an aligned passage, with all columns.
+
+    They are numbered in a written copy, or in place if ``docs`` is a table ``as_read``.
+    """
     row = fresh(docs, "row")
-    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "leak-rows")
+    numbered = numbered_rows(docs, row, as_read, "leak-rows")
     hit = contaminated(numbered, items, row, text_col).select(row).distinct()
     return numbered.join(hit, row, "left_anti").select(*columns(docs))

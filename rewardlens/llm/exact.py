@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rewardlens.llm.common import columns, fresh, materialize, strip_space
+from rewardlens.llm.common import columns, fresh, materialize, numbered_rows, strip_space
 from rewardlens.llm.sharding import BITS, directory
 from rewardlens.session import scratch_path
 
@@ -84,9 +84,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                        F.col("chain").cast("long").alias("chain"))
 
 
-def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = BUCKET_ENTRIES) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; of wholly repeated rows one. They are numbered in a written copy."""
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = BUCKET_ENTRIES, as_read: bool = False) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns; of wholly repeated rows one.
+
+    They are numbered in a written copy, or in place if ``docs`` is a table ``as_read``.
+    """
     row = fresh(docs, "row")
-    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "dedup-numbered")
+    numbered = numbered_rows(docs, row, as_read, "dedup-numbered")
     kept = exact_dedup(numbered, id_col, text_col, capacity, row).filter("kept").select(F.col("rid").alias(row))
     return numbered.join(kept, row, "left_semi").select(*columns(docs))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rewardlens.llm.common import columns, fresh, materialize
+from rewardlens.llm.common import columns, fresh, materialize, numbered_rows
 from rewardlens.llm.ppm import count_events, fit, score_texts
 from rewardlens.session import ship_package
 
@@ -88,7 +88,7 @@ def fit_limits(rows: DataFrame, label: Column, rate: Column) -> dict[str, float]
     return limits
 
 
-def keep_identified(docs: DataFrame, text_col: str = "text", label_col: str = "lang", least: float = 0.0) -> DataFrame:
+def keep_identified(docs: DataFrame, text_col: str = "text", label_col: str = "lang", least: float = 0.0, as_read: bool = False) -> DataFrame:
     """The rows of ``docs`` whose text has a language; learns from the labelled rows.
 
     Texts judged ``und`` go, those whose language has less than ``least``
@@ -97,10 +97,11 @@ def keep_identified(docs: DataFrame, text_col: str = "text", label_col: str = "l
     default keeps a text that two languages could have written: it is undecided,
     not foreign. A text under ``SHORT`` bytes is too little to tell and is kept
     for its letters. Labelled texts are lessons, so a labelled text fits as far
-    as the model has learned it.
+    as the model has learned it. Rows are numbered in a written copy, or in place
+    if ``docs`` is a table ``as_read``.
     """
     row = fresh(docs, "row")
-    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "lang-rows")
+    numbered = numbered_rows(docs, row, as_read, "lang-rows")
     size = F.octet_length(text_col)
     judged = languages(numbered.select(F.col(row).alias("row"), F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("lesson"),
                                        F.col(label_col).cast("string").alias("label"), size.alias("size")))

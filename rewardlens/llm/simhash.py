@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rewardlens.llm.common import columns, fresh, materialize
+from rewardlens.llm.common import columns, fresh, materialize, numbered_rows
 from rewardlens.llm.components import components
 from rewardlens.llm.textbatch import LOWER, Words, slices, text_buffer
 from rewardlens.session import ship_package
@@ -197,9 +197,12 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.col("first.id").alias("component_id"), "group_size", (F.col("rid") == F.col("first.rid")).alias("kept"))
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
-    """One row of each near-duplicate group, with all columns of ``docs``; rows are numbered in a written copy."""
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, as_read: bool = False) -> DataFrame:
+    """One row of each near-duplicate group, with all columns of ``docs``.
+
+    Rows are numbered in a written copy, or in place if ``docs`` is a table ``as_read``.
+    """
     row = fresh(docs, "row")
-    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "simhash-numbered")
+    numbered = numbered_rows(docs, row, as_read, "simhash-numbered")
     kept = simhash_groups(numbered, id_col, text_col, words, row).filter("kept").select(F.col("rid").alias(row))
     return numbered.join(kept, row, "left_semi").select(*columns(docs))
