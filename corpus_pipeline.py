@@ -2,7 +2,7 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and works on all rows its predecessor
 kept; between stages the rows are written as Parquet in the shared scratch folder
-and read again. All stages but the last return the columns of ``documents``.
+and read again, so ``docs`` is a table as read (row numbers come from its scan). All stages but the last return the columns of ``documents``.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Repeated rows are judged alike and all stay; a null ``lang`` teaches nothing; without labelled rows no language
     is known and nothing stays. An empty table stays empty.
     """
-    return keep_identified(docs)
+    return keep_identified(docs, as_read=True)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null texts are empty ones; a null id comes last; of wholly repeated rows the first written stays. An empty table stays empty.
     """
-    return drop_copies(docs)
+    return drop_copies(docs, as_read=True)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,12 +42,12 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     Null, empty and blank texts have one fingerprint and are a group. An empty table stays empty.
     """
-    return drop_near_copies(docs)
+    return drop_near_copies(docs, as_read=True)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows without a passage of a benchmark item. Null texts hold none, null and short items stand in none; repeated rows go or stay together."""
-    return drop_contaminated(docs, read(spark, sf_dir, "benchmark"))
+    return drop_contaminated(docs, read(spark, sf_dir, "benchmark"), as_read=True)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
