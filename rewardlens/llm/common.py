@@ -65,6 +65,15 @@ def numbered_rows(df: DataFrame, name: str, as_read: bool, table: str) -> DataFr
     return rows if as_read else materialize(rows, table)
 
 
+def without(df: DataFrame, gone: DataFrame, name: str, table: str) -> DataFrame:
+    """The rows of ``df`` whose number ``name`` is not in ``gone``.
+
+    The dropped numbers are written first, so their size is known: few of them go to
+    the rows, and only many make Spark move rows to meet them.
+    """
+    return df.join(materialize(gone, table), name, "left_anti")
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, with underscores before it until no column of ``df`` has it in any case."""
     taken = {c.lower() for c in df.columns}

@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rewardlens.llm.common import columns, fresh, materialize, numbered_rows
+from rewardlens.llm.common import columns, fresh, materialize, numbered_rows, without
 from rewardlens.llm.textbatch import U64, Words, inside_row, slices, text_buffer, window_hashes
 from rewardlens.session import ship_package
 
@@ -290,4 +290,4 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text",
     row = fresh(docs, "row")
     numbered = numbered_rows(docs, row, as_read, "leak-rows")
     hit = contaminated(numbered, items, row, text_col).select(row).distinct()
-    return numbered.join(hit, row, "left_anti").select(*columns(docs))
+    return without(numbered, hit, row, "leak-gone").select(*columns(docs))

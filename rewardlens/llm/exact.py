@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rewardlens.llm.common import columns, fresh, materialize, numbered_rows, strip_space
+from rewardlens.llm.common import columns, fresh, materialize, numbered_rows, strip_space, without
 from rewardlens.llm.sharding import BITS, directory
 from rewardlens.session import scratch_path
 
@@ -91,5 +91,5 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     row = fresh(docs, "row")
     numbered = numbered_rows(docs, row, as_read, "dedup-numbered")
-    kept = exact_dedup(numbered, id_col, text_col, capacity, row).filter("kept").select(F.col("rid").alias(row))
-    return numbered.join(kept, row, "left_semi").select(*columns(docs))
+    gone = exact_dedup(numbered, id_col, text_col, capacity, row).filter("not kept").select(F.col("rid").alias(row))
+    return without(numbered, gone, row, "dedup-gone").select(*columns(docs))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rewardlens.llm.common import columns, fresh, materialize, numbered_rows
+from rewardlens.llm.common import columns, fresh, materialize, numbered_rows, without
 from rewardlens.llm.ppm import count_events, fit, score_texts
 from rewardlens.session import ship_package
 
@@ -113,6 +113,5 @@ def keep_identified(docs: DataFrame, text_col: str = "text", label_col: str = "l
     for name, most in sorted(limits.items()):
         limit = F.when(F.col("lang_pred") == name, F.lit(most)).otherwise(limit)
     good = (F.col("lang_pred") != "und") & (F.col("lang_score") >= least) & ((F.col("size") < SHORT) | (rate <= limit))
-    # rejected rows are few as a rule: their numbers go to the texts, not the texts to them
     bad = judged.filter(~F.coalesce(good, F.lit(False))).select(F.col("row").alias(row))
-    return numbered.join(bad, row, "left_anti").select(*columns(docs))
+    return without(numbered, bad, row, "lang-gone").select(*columns(docs))

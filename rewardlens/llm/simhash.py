@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rewardlens.llm.common import columns, fresh, materialize, numbered_rows
+from rewardlens.llm.common import columns, fresh, materialize, numbered_rows, without
 from rewardlens.llm.components import components
 from rewardlens.llm.textbatch import LOWER, Words, slices, text_buffer
 from rewardlens.session import ship_package
@@ -204,5 +204,5 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     row = fresh(docs, "row")
     numbered = numbered_rows(docs, row, as_read, "simhash-numbered")
-    kept = simhash_groups(numbered, id_col, text_col, words, row).filter("kept").select(F.col("rid").alias(row))
-    return numbered.join(kept, row, "left_semi").select(*columns(docs))
+    gone = simhash_groups(numbered, id_col, text_col, words, row).filter("not kept").select(F.col("rid").alias(row))
+    return without(numbered, gone, row, "simhash-gone").select(*columns(docs))
