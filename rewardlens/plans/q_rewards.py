@@ -8,7 +8,8 @@ from rewardlens.functions.common import round6
 from rewardlens.operators import rewards as R
 from rewardlens.plans import fixtures as V
 from rewardlens.plans.catalog import ORACLE, query
-from rewardlens.sources.bucketed import co_joined, write_bucketed
+from rewardlens.sources.bucketed import buckets_for, co_joined, write_bucketed
+from rewardlens.sources.tables import read_table
 
 W = V.ROLLOUT_WEIGHTS
 RCOLS = list(V.ROLLOUT_REWARDS)
@@ -202,14 +203,13 @@ def q_uneven_batches(spark, sf):
 
 
 # ---------------------------------------------------------------- joins of tables that are in place
-BUCKETS = 8
-
 
 @query("join_logps_bucketed", ORACLE["join_logps"])
 def q_join_logps_bucketed(spark, sf):
     t = V.logps(spark, sf)
     keys = ["sample_id", "pos"]
-    pol, old, ref = (write_bucketed(t.select(*keys, c), keys, f"logps_{c}", BUCKETS) for c in ("logp", "old_logp", "ref_logp"))
+    n = buckets_for(read_table(spark, sf, "embeddings", ["embedding"]).agg(F.sum(F.size("embedding"))).first()[0] or 0)
+    pol, old, ref = (write_bucketed(t.select(*keys, c), keys, f"logps_{c}", n) for c in ("logp", "old_logp", "ref_logp"))
     j = co_joined(pol, old, ref, on=keys)
     return j.select(*keys, *[round6(c).alias(c) for c in ("logp", "old_logp", "ref_logp")])
 
@@ -219,7 +219,7 @@ def q_join_rewards_bucketed(spark, sf):
     r = V.rollouts(spark, sf)
     long = write_bucketed(r.select(*FULL_KEYS, F.explode(F.array(*[
         F.struct(F.lit(c).alias("func"), F.col(c).alias("reward")) for c in RCOLS
-    ])).alias("x")).select(*FULL_KEYS, "x.func", "x.reward"), FULL_KEYS, "rewards", BUCKETS)
+    ])).alias("x")).select(*FULL_KEYS, "x.func", "x.reward"), FULL_KEYS, "rewards", buckets_for(len(RCOLS) * r.count()))
     wide = R.join_rewards_long(long, FULL_KEYS, RCOLS)
     return wide.select(*KEYS, *[round6(c).alias(c) for c in RCOLS])
 
@@ -227,6 +227,7 @@ def q_join_rewards_bucketed(spark, sf):
 @query("join_prompt_completion_bucketed", ORACLE["join_prompt_completion"])
 def q_join_prompt_completion_bucketed(spark, sf):
     pc = V.prompt_completion(spark, sf).withColumnRenamed("conv_id", "sample_id")
-    prompts = write_bucketed(pc.select("sample_id", F.size("prompt").alias("n_prompt_turns")), ["sample_id"], "prompts", BUCKETS)
-    comps = write_bucketed(pc.select("sample_id", F.get("completion", 0)["content"].alias("completion")), ["sample_id"], "completions", BUCKETS)
+    n = buckets_for(read_table(spark, sf, "conversations").count())  # a conversation has a turn at least
+    prompts = write_bucketed(pc.select("sample_id", F.size("prompt").alias("n_prompt_turns")), ["sample_id"], "prompts", n)
+    comps = write_bucketed(pc.select("sample_id", F.get("completion", 0)["content"].alias("completion")), ["sample_id"], "completions", n)
     return R.join_prompt_completion(prompts, comps.hint("merge"), "sample_id", strict=True)

@@ -18,6 +18,13 @@ from rewardlens.session import scratch_path
 
 #: Spark's default bound on buckets (``spark.sql.sources.bucketing.maxBuckets``).
 MOST_BUCKETS = 100_000
+#: Rows that one task of a join or group over buckets holds and sorts.
+ROWS_A_BUCKET = 500_000
+
+
+def buckets_for(rows: int, least: int = 8) -> int:
+    """Buckets for a table of (about) ``rows`` rows, so that a bucket's rows do not grow with the table."""
+    return min(MOST_BUCKETS, max(least, -(-rows // ROWS_A_BUCKET)))
 
 
 def write_bucketed(df: DataFrame, keys: Sequence[str], name: str, buckets: int | None = None, path: str | None = None) -> DataFrame:

@@ -204,3 +204,10 @@ def test_lateral_formatting(spark):
     assert sorted(map(tuple, got)) == [(1, "a:2.5 {} a"), (2, ": {} ")]
     with pytest.raises(Exception, match="no argument"):
         spark.sql("SELECT * FROM fmt t, LATERAL format_row(template => '{z}', x => t.x) f").collect()
+
+
+def test_buckets_follow_the_rows():
+    from rewardlens.sources.bucketed import MOST_BUCKETS, ROWS_A_BUCKET, buckets_for
+    assert buckets_for(0) == buckets_for(1000) == 8 and buckets_for(10 ** 12) == MOST_BUCKETS
+    for rows in (10 ** 7, 10 ** 8, 648 * 10 ** 6):
+        assert rows / buckets_for(rows) <= ROWS_A_BUCKET < rows / (buckets_for(rows) - 1)
