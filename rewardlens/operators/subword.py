@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rewardlens.functions.batches import in_slices
 from rewardlens.functions.common import as_col
 from rewardlens.session import ship_package
 
@@ -147,6 +148,9 @@ class SubwordVocabulary:
 
         @F.arrow_udf(IDS)
         def encode(pieces: pa.Array) -> pa.Array:
+            return in_slices(pieces, encode_slice)
+
+        def encode_slice(pieces: pa.Array) -> pa.Array:
             encoder = _encoder(shared)
             flat = pieces.flatten().dictionary_encode()
             found = [encoder.encode(p) for p in flat.dictionary.to_pylist()]
@@ -167,6 +171,9 @@ class SubwordVocabulary:
 
         @F.arrow_udf(T.StringType())
         def decode(ids: pa.Array) -> pa.Array:
+            return in_slices(ids, decode_slice)
+
+        def decode_slice(ids: pa.Array) -> pa.Array:
             tokens, size, first = _bytes_of(shared)
             flat = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
             known = (flat >= 0) & (flat < len(size)) & ~np.isin(flat, skip)

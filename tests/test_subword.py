@@ -128,3 +128,19 @@ def test_vocabulary_errors(spark):
         SubwordVocabulary(spark, {b"a": 0})
     with pytest.raises(ValueError, match="share"):
         SubwordVocabulary(spark, {bytes([b]): b for b in range(256)} | {b"ab": 3})
+
+
+def test_batches_are_coded_in_slices():
+    """No array over all pieces or ids of a batch is made."""
+    import pyarrow as pa
+    from rewardlens.functions import batches
+    data = [[f" word{i}", " the", "!"] * (i % 5) for i in range(40)]
+    pieces = pa.array(data, pa.list_(pa.string()))
+    sizes = []
+
+    def coded(part):
+        sizes.append(len(part.flatten()))
+        return pa.array([[len(p) for p in row] for row in part.to_pylist()], pa.list_(pa.int32()))
+
+    got = batches.in_slices(pieces, coded, 16)
+    assert max(sizes) <= 16 and len(sizes) > 10 and got.to_pylist() == [[len(p) for p in row] for row in data]
