@@ -101,13 +101,17 @@ def repeat_sampler(df: DataFrame, key: str, mini_repeat_count: int, batch_size:
 def sampler_index(spark: SparkSession, n: int, mini_repeat_count: int, batch_size: int = 1, repeat_count: int = 1, seed: int = 0) -> DataFrame:
     """``(position, index)``: the sampler's output itself, for ``n`` rows that need not be there.
 
-    Each position finds its index by the inverse permutation, in one narrow pass.
+    Each place of the shuffled order finds its index by the inverse permutation once
+    and is then repeated at all its positions, in one narrow pass.
     """
-    chunks = n // batch_size
-    position = F.col("id")
-    block = mini_repeat_count * batch_size
-    place = _div(position, block * repeat_count) * batch_size + _div(position % block, mini_repeat_count)
-    return spark.range(chunks * block * repeat_count).select(position.alias("position"), permuted(place, domain(n), seed, back=True).alias("index"))
+    place, block = F.col("id"), mini_repeat_count * batch_size
+    repeats = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(mini_repeat_count * repeat_count - 1).cast("long")))
+    found = spark.range(n // batch_size * batch_size).select(place, permuted(place, domain(n), seed, back=True).alias("index"))
+    first = _div(place, batch_size) * (block * repeat_count) + place % batch_size * mini_repeat_count
+    again = _div(F.col("_k"), mini_repeat_count) * block + F.col("_k") % mini_repeat_count
+    if mini_repeat_count * repeat_count < 1:
+        return found.filter(F.lit(False)).select(place.alias("position"), "index")
+    return found.select(place, "index", repeats.alias("_k")).select((first + again).alias("position"), "index")
 
 
 def expand_generations(df: DataFrame, prompt: str, num_generations: int, seed: int = 0) -> DataFrame:

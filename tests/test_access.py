@@ -211,3 +211,10 @@ def test_buckets_follow_the_rows():
     assert buckets_for(0) == buckets_for(1000) == 8 and buckets_for(10 ** 12) == MOST_BUCKETS
     for rows in (10 ** 7, 10 ** 8, 648 * 10 ** 6):
         assert rows / buckets_for(rows) <= ROWS_A_BUCKET < rows / (buckets_for(rows) - 1)
+
+
+def test_a_place_of_the_sampler_is_computed_once(spark):
+    df = PM.sampler_index(spark, 23, 2, 4, 3, seed=9)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Range (0, 20" in plan and plan.index("Generate") < plan.index("aggregate(") and plan.count("Generate") == 1
+    assert PM.sampler_index(spark, 23, 0, 4, 3).count() == PM.sampler_index(spark, 3, 2, 4, 3).count() == 0
