@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rewardlens.functions import arrays as A
+from rewardlens.functions.batches import in_slices
 from rewardlens.functions.common import as_col
 from rewardlens.plans.ordinal import running, written
 from rewardlens.plans.spread import spread
@@ -147,15 +148,54 @@ def encode_fixed(df: DataFrame, ids: str, length: int = 128, pad_id: int = 0) ->
 def decode(df: DataFrame, vocab: DataFrame, key: str, ids: str, skip_ids: Sequence[int] = ()) -> DataFrame:
     """``(key, text)``: tokens joined by a space, in position order; ``skip_ids`` and ids without a token dropped.
 
-    A row of which nothing remains has an empty text.
+    A row of which nothing remains has an empty text. Rows that share a key share a
+    text, that of all their tokens by position; a row without a key has an empty one.
+
+    As in :func:`encode_texts` every task gets the words of the lowest ids, so no row
+    per token is made or moved; only rare ids are joined to ``vocab``, whose ids are
+    distinct. ``df`` and ``vocab`` are read more than once and should be written tables.
     """
-    ex = df.select(key, F.posexplode(ids).alias("pos", "token_id"))
-    if skip_ids:
-        ex = ex.filter(~F.col("token_id").isin(list(skip_ids)))
-    j = ex.join(vocab.select("token", "token_id"), "token_id")
-    g = j.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("_s"))
-    text = F.array_join(F.transform("_s", lambda s: s["token"]), " ").alias("text")
-    return df.select(key).join(g.select(key, text), key, "left").select(key, F.coalesce("text", F.lit("")).alias("text"))
+    spark = df.sparkSession
+    ship_package(spark)
+    sent = vocab.filter(F.col("token_id").between(0, SENT_WORDS - 1) & (F.length("token") <= SENT_CHARS)).select("token_id", "token")
+    table = sent.toArrow().combine_chunks()
+    complete = table.num_rows == vocab.count()
+    at = np.full(int(pc.max(table["token_id"]).as_py() or 0) + 1, -1, np.int64)
+    at[table["token_id"].to_numpy()] = np.arange(table.num_rows)
+    known = spark.sparkContext.broadcast(table["token"].take(pa.array(at, mask=at < 0)).combine_chunks())
+    skipped = pa.array(sorted(skip_ids), pa.int64())
+
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def look_up(ids: pa.Array) -> pa.Array:
+        return in_slices(ids, look_up_slice)
+
+    def look_up_slice(ids: pa.Array) -> pa.Array:
+        names = known.value
+        flat = ids.flatten().cast(pa.int64())
+        there = pc.and_(pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(names))), pc.invert(pc.is_in(flat, value_set=skipped)))
+        found = names.take(pc.if_else(there, flat, pa.scalar(None, pa.int64())))
+        offsets = ids.offsets.to_numpy()
+        return pa.ListArray.from_arrays(pa.array(offsets - offsets[0]), found, mask=ids.is_null() if ids.null_count else None)
+
+    if complete:
+        looked = df.select(key, look_up(ids).alias("_words"))
+    else:
+        staged = written(df.select(F.monotonically_increasing_id().alias("_rid"), F.col(key), F.col(ids).alias("_ids")), "id-rows")
+        staged = staged.withColumn("_words", look_up("_ids"))
+        open_ = staged.select("_rid", F.posexplode(F.arrays_zip(F.col("_ids").alias("id"), F.col("_words").alias("token"))).alias("pos", "w")).filter("w.token is null")
+        open_ = open_.select("_rid", "pos", F.col("w.id").alias("token_id")).filter(~F.col("token_id").isin(list(skip_ids)))
+        rare = open_.join(vocab.select("token", "token_id"), "token_id").groupBy("_rid").agg(F.map_from_entries(F.collect_list(F.struct("pos", "token"))).alias("_rare"))
+        words = F.transform("_words", lambda w, i: F.coalesce(w, F.element_at(F.col("_rare"), i)))
+        looked = staged.join(rare, "_rid", "left").select(key, F.when(F.col("_rare").isNull(), F.col("_words")).otherwise(words).alias("_words"))
+    text = F.when(F.col(key).isNull(), F.lit("")).otherwise(F.coalesce(F.array_join("_words", " "), F.lit(""))).alias("text")
+    keys = df.select(key).filter(F.col(key).isNotNull())
+    repeated = written(keys.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(key), "repeated-keys")
+    if not repeated.count():
+        return looked.select(key, text)
+    places = F.filter(F.transform("_words", lambda w, i: F.struct(i.alias("pos"), w.alias("token"))), lambda p: p["token"].isNotNull())
+    shared = looked.join(repeated, key, "left_semi").groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.array_sort(F.flatten(F.collect_list(places))).alias("_s"))
+    shared = shared.select(key, "_n", F.array_join(F.transform("_s", lambda p: p["token"]), " ").alias("text"))
+    return looked.join(repeated, key, "left_anti").select(key, text).unionByName(shared.select(key, F.explode(F.array_repeat("text", F.col("_n").cast("int"))).alias("text")))
 
 
 @F.pandas_udf(T.ArrayType(T.IntegerType()))

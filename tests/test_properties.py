@@ -194,3 +194,22 @@ def test_buffers_equal_a_walk(spark, monkeypatch):
         df = spark.createDataFrame([(i, s) for i, s in enumerate(sizes)], "k long, s int")
         got = [r.buffer_id for r in P.buffer_ids(df, F.col("s"), ["k"], limit).orderBy("k").collect()]
         assert got == _greedy(sizes, limit)
+
+
+def test_decode_moves_no_row_per_token(spark, monkeypatch):
+    from rewardlens.operators import tokens as T
+    from rewardlens.plans.ordinal import written
+    long = "y" * 70
+    vocab = written(spark.createDataFrame([("a", 0), ("b", 1), ("c", 2), (long, 5), ("d", 7)], "token string, token_id long"), "vocab")
+    data = [(1, [0, 1, 2]), (2, []), (3, None), (None, [0]), (4, [5, 1]), (4, [2, 0, 7]), (5, [0, 99, -1, None, 2])]
+    df = written(spark.createDataFrame(data, "k long, ids array<int>"), "ids")
+    want = [(1, "a c"), (2, ""), (3, ""), (4, f"c {long} a d"), (4, f"c {long} a d"), (5, "a c"), (None, "")]
+    for sent, chars in ((1 << 19, 64), (1 << 19, 100), (2, 64), (0, 64)):
+        monkeypatch.setattr(T, "SENT_WORDS", sent)
+        monkeypatch.setattr(T, "SENT_CHARS", chars)
+        got = [(r.k, r.text) for r in T.decode(df, vocab, "k", "ids", [1]).collect()]
+        assert sorted(got, key=lambda r: (r[0] is None, r[0] or 0)) == want, sent
+    monkeypatch.setattr(T, "SENT_WORDS", 1 << 19)
+    monkeypatch.setattr(T, "SENT_CHARS", 100)
+    plan = T.decode(df.filter("k <> 4"), vocab, "k", "ids", [1])._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan
