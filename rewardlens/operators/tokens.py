@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -198,22 +197,21 @@ def decode(df: DataFrame, vocab: DataFrame, key: str, ids: str, skip_ids: Sequen
     return looked.join(repeated, key, "left_anti").select(key, text).unionByName(shared.select(key, F.explode(F.array_repeat("text", F.col("_n").cast("int"))).alias("text")))
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def exclusive_cumsum(masks: pd.Series) -> pd.Series:
-    """``cumsum(mask) - mask`` per row, vectorised with numpy (O(n) per row).
+def _cumsum_before(masks: pa.Array) -> pa.Array:
+    bounds = masks.offsets.to_numpy() - masks.offsets[0].as_py()
+    sums = np.r_[0, np.cumsum(masks.flatten().to_numpy(zero_copy_only=False).astype(np.int64))]
+    out = sums[:-1] - np.repeat(sums[bounds[:-1]], np.diff(bounds))
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(out.astype(np.int32)), mask=masks.is_null() if masks.null_count else None)
+
+
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def exclusive_cumsum(masks: pa.Array) -> pa.Array:
+    """``cumsum(mask) - mask`` per row, vectorised with numpy (O(n) per row) over slices of the batch.
 
     Spark has no array prefix-sum; an ``aggregate`` that appends to an array
     copies it every step (O(n^2)), so this one expression runs in Arrow batches.
     """
-    there = masks.notna()
-    rows = masks[there]
-    size = rows.map(len).to_numpy(np.int64)
-    flat = np.concatenate([np.asarray(m, np.int64) for m in rows]) if len(rows) else np.zeros(0, np.int64)
-    before = np.cumsum(flat) - flat
-    start = np.cumsum(size) - size
-    before -= np.repeat(np.r_[before, 0][start], size)
-    parts = iter(np.split(before.astype(np.int32), start[1:]) if len(rows) else [])
-    return pd.Series([next(parts) if t else None for t in there], index=masks.index, dtype=object)
+    return in_slices(masks, _cumsum_before)
 
 
 def position_ids(mask) -> Column:

@@ -213,3 +213,15 @@ def test_decode_moves_no_row_per_token(spark, monkeypatch):
     monkeypatch.setattr(T, "SENT_CHARS", 100)
     plan = T.decode(df.filter("k <> 4"), vocab, "k", "ids", [1])._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Generate" not in plan
+
+
+def test_positions_come_in_slices(spark):
+    import pyarrow as pa
+    from rewardlens.functions.batches import in_slices, slices
+    from rewardlens.operators import tokens as T
+    masks = pa.array([[0, 1, 1], None, [], [1] * 9, [0, 0], [1, 0, 1]], pa.list_(pa.int32()))[1:]
+    assert [len(s.flatten()) for s in slices(masks, 4)] == [0, 9, 2, 3]
+    want = [None, [], list(range(9)), [0, 0], [0, 1, 1]]
+    assert in_slices(masks, T._cumsum_before, 4).to_pylist() == want == T._cumsum_before(masks).to_pylist()
+    df = spark.createDataFrame([(i, m) for i, m in enumerate(masks.to_pylist())], "k int, m array<int>")
+    assert [r.p for r in df.select("k", T.position_ids("m").alias("p")).orderBy("k").collect()] == want
