@@ -184,8 +184,18 @@ def join_prompt_completion(prompts: DataFrame, completions: DataFrame, key: str
 
 
 def join_rewards_long(df: DataFrame, sample_cols: Sequence[str], funcs: Sequence[str], func_col: str = "func", reward_col: str = "reward") -> DataFrame:
-    """Long ``(sample, func, reward)`` -> one column per function (pivot with fixed values)."""
-    return df.groupBy(*sample_cols).pivot(func_col, list(funcs)).agg(F.first(reward_col))
+    """Long ``(sample, func, reward)`` -> one column per function.
+
+    A pivot with fixed values would first group by sample *and* function, which moves
+    every long row; here a task makes one wide row of a sample's rows before anything
+    moves. Of several rewards of a function the first one counts, null or not.
+    """
+    aggs = []
+    for i, f in enumerate(funcs):
+        own, reward = F.col(func_col) == F.lit(f), F.col(reward_col)
+        aggs += [F.first(F.when(own, reward.isNull()), ignorenulls=True).alias(f"_none{i}"), F.first(F.when(own, reward), ignorenulls=True).alias(f"_some{i}")]
+    wide = df.groupBy(*sample_cols).agg(*aggs)
+    return wide.select(*sample_cols, *[F.when(~F.col(f"_none{i}"), F.col(f"_some{i}")).alias(f) for i, f in enumerate(funcs)])
 
 
 def filter_logging_steps(df: DataFrame, logging_steps: int, step_col: str = "step") -> DataFrame:

@@ -218,3 +218,10 @@ def test_a_place_of_the_sampler_is_computed_once(spark):
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "Range (0, 20" in plan and plan.index("Generate") < plan.index("aggregate(") and plan.count("Generate") == 1
     assert PM.sampler_index(spark, 23, 0, 4, 3).count() == PM.sampler_index(spark, 3, 2, 4, 3).count() == 0
+
+
+def test_rewards_are_joined_by_one_exchange(spark):
+    rows = [(1, "a", 1.0), (1, "b", None), (2, "a", 3.0), (None, "b", 4.0), (3, "other", 5.0), (2, "a", 3.0)]
+    wide = R.join_rewards_long(spark.createDataFrame(rows, "s long, func string, reward double").repartition(3), ["s"], ["a", "b"])
+    assert _plan(wide).count("Exchange hashpartitioning") == 1
+    assert sorted([tuple(r) for r in wide.collect()], key=str) == sorted([(1, 1.0, None), (2, 3.0, None), (None, None, 4.0), (3, None, None)], key=str)
