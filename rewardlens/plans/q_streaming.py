@@ -31,16 +31,17 @@ MICRO_BATCHES = 3
 FAR = 10_000_000
 
 
-def arriving(df: DataFrame, run: F.Column, name: str, last: DataFrame | None = None) -> DataFrame:
-    """``df`` as a stream whose rows arrive by ``run`` (0, 1, 2), a micro-batch each, the rows of ``last`` with the third.
+def arriving(df: DataFrame, run: F.Column | list[F.Column], name: str, last: DataFrame | None = None) -> DataFrame:
+    """``df`` as a stream whose rows arrive by ``run`` (0, 1, 2, or a condition for each turn), a micro-batch each, the rows of ``last`` with the last.
 
     Every run is written by as many tasks as the session has cores, one file each.
     """
     spark = df.sparkSession
     path, files = scratch_path(spark, name), spark.sparkContext.defaultParallelism
-    for k in range(MICRO_BATCHES):
-        rows = df.filter(run == k)
-        if last is not None and k == MICRO_BATCHES - 1:
+    turns = run if isinstance(run, list) else [run == k for k in range(MICRO_BATCHES)]
+    for k, turn in enumerate(turns):
+        rows = df.filter(turn)
+        if last is not None and k == len(turns) - 1:
             rows = rows.unionByName(last)
         rows.repartition(files).write.mode("append").parquet(path)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
@@ -119,6 +120,19 @@ def q_stream_metric_average_steps(spark, sf):
 
 
 LANES = 8
+#: Tokens that a lane packs in one micro-batch, about.
+TURN_TOKENS = 1 << 23
+
+
+def doc_turns(t: DataFrame, tokens: int, turn_tokens: int = TURN_TOKENS) -> list[F.Column]:
+    """Conditions that cut the documents into ranges of ids, as many as keep a lane's share of one small, three at least."""
+    n = max(MICRO_BATCHES, -(-tokens // (LANES * turn_tokens)))
+    doc = F.col("doc_id")
+    if n == MICRO_BATCHES:
+        most = t.agg(F.max(doc)).first()[0] or 0
+        return [F.floor(doc * n / (most + 1)) == k for k in range(n)]
+    cut = sorted(set(t.agg(F.percentile_approx(doc, [k / n for k in range(1, n)], 10_000)).first()[0]))
+    return [doc <= cut[0], *[(doc > a) & (doc <= b) for a, b in zip(cut, cut[1:])], doc > cut[-1]]
 
 
 @query("stream_pack_constant_length", f"""
@@ -129,8 +143,8 @@ SELECT lane, gp // {PACK_LEN} AS piece_id, count(*) AS input_ids_size, CAST(sum(
 FROM g WHERE gp // {PACK_LEN} < n // {PACK_LEN} GROUP BY lane, gp // {PACK_LEN}""")
 def q_stream_pack_constant_length(spark, sf):
     t = token_table(spark, sf).withColumn("lane", F.col("doc_id") % LANES)
-    most = t.agg(F.max("doc_id")).first()[0] or 0
-    stream = arriving(t, F.floor(F.col("doc_id") * MICRO_BATCHES / (most + 1)), "token-files")
+    tokens = t.agg(F.sum(F.size("ids") + 1)).first()[0] or 0
+    stream = arriving(t, doc_turns(t, tokens), "token-files")
     out, ck = scratch_path(spark, "pc-out"), scratch_path(spark, "pc-ckpt")
     _run(J.run_pack_constant_length(stream, "lane", "ids", ["doc_id"], out, ck, PACK_LEN, EOS))
     return _out(spark.read.parquet(out), ["input_ids"], keys=("lane", "piece_id"))

@@ -285,6 +285,9 @@ def run_completion_log(stream: DataFrame, out_path: str, checkpoint: str, loggin
 
 # ---------------------------------------------------------------- packing
 
+#: Pieces leave a task in frames of about so many tokens.
+FRAME_TOKENS = 1 << 20
+
 
 def run_pack_constant_length(stream: DataFrame, lane: str, ids: str, order: Sequence[str], out_path: str, checkpoint: str,
                              seq_length: int = 1024, concat_token_id: int | None = 0):
@@ -309,12 +312,27 @@ def run_pack_constant_length(stream: DataFrame, lane: str, ids: str, order: Sequ
         if not frames:
             return
         rows = pd.concat(frames).sort_values(keys, kind="stable")
-        flat = np.concatenate([np.asarray(carry, np.int32), *[np.asarray(s, np.int32) for s in rows["seq"]]])
-        full = len(flat) // seq_length
-        state.update((flat[full * seq_length:].tolist(), int(piece) + full))
-        pieces = [p.tolist() for p in flat[:full * seq_length].reshape(full, seq_length)]
-        if full:
-            yield pd.DataFrame({lane: [key[0]] * full, "piece_id": np.arange(piece, piece + full), "input_ids": pieces, "labels": pieces})
+        runs = [np.asarray(carry, np.int32), *[np.asarray(s, np.int32) for s in rows["seq"]]]
+        total = sum(map(len, runs))
+        tail, missing = [], total % seq_length
+        for run in reversed(runs):  # the unfinished piece: the last tokens of all
+            if not missing:
+                break
+            tail.insert(0, run[max(0, len(run) - missing):])
+            missing -= len(tail[0])
+        state.update((np.concatenate([np.zeros(0, np.int32), *tail]).tolist(), int(piece) + total // seq_length))
+        held, size = [], 0
+        for i, run in enumerate(runs):  # pieces leave a frame at a time
+            held.append(run)
+            size += len(run)
+            if size < max(seq_length, FRAME_TOKENS) and i + 1 < len(runs):
+                continue
+            flat = np.concatenate(held)
+            full = size // seq_length
+            pieces = list(flat[:full * seq_length].reshape(full, seq_length))
+            if full:
+                yield pd.DataFrame({lane: [key[0]] * full, "piece_id": np.arange(piece, piece + full), "input_ids": pieces, "labels": pieces})
+            held, size, piece = [flat[full * seq_length:]], size - full * seq_length, piece + full
 
     packed = rows.groupBy("lane").applyInPandasWithState(
         update, f"{lane} {kind}, piece_id long, input_ids array<int>, labels array<int>", "carry array<int>, piece long", "append", GroupStateTimeout.NoTimeout)

@@ -198,3 +198,28 @@ def test_state_is_the_engines(spark, tmp_path):
     assert sorted(os.listdir(tmp_path)) == ["ck", "out", "src"]
     with open(next((tmp_path / "ck/offsets").glob("[0-9]*"))) as f:
         assert json.loads(f.read().splitlines()[1])["conf"]["spark.sql.streaming.stateStore.providerClass"]
+
+
+def test_turns_follow_the_tokens(spark):
+    from pyspark.sql import functions as F
+    from rewardlens.plans.q_streaming import LANES, MICRO_BATCHES, doc_turns
+    t = spark.range(0, 4000, 4).withColumnRenamed("id", "doc_id")
+    assert len(doc_turns(t, 1000)) == MICRO_BATCHES
+    turns = doc_turns(t, LANES * 100 * 20, turn_tokens=100)
+    assert len(turns) == 20
+    held = [t.filter(c).agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first() for c in turns]
+    assert sum(h[2] for h in held) == 1000 and max(h[2] for h in held) <= 60
+    assert all(a[1] < b[0] for a, b in zip(held, held[1:]))
+
+
+def test_pieces_leave_in_frames(spark, tmp_path):
+    """More tokens than a frame holds, in a lane's one micro-batch."""
+    from pyspark.sql import functions as F
+    from rewardlens.streaming import jobs as J
+    n, size = 60, 40_000
+    rows = spark.range(n).select(F.lit(0).alias("lane"), F.col("id").alias("k"), F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: (i + F.col("id") * size).cast("int")).alias("ids"))
+    rows.write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
+    J.run_pack_constant_length(stream, "lane", "ids", ["k"], f"{tmp_path}/out", f"{tmp_path}/ck", 1000, None).awaitTermination()
+    got = spark.read.parquet(f"{tmp_path}/out").select("piece_id", F.get("input_ids", 0).alias("a"), F.get("input_ids", 999).alias("b"), F.size("labels").alias("n")).orderBy("piece_id").collect()
+    assert n * size > J.FRAME_TOKENS and [tuple(r) for r in got] == [(i, 1000 * i, 1000 * i + 999, 1000) for i in range(n * size // 1000)]
