@@ -15,10 +15,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rewardlens.functions.batches import cuts
 from rewardlens.operators.rewards import weighted_reward, weights_check
 from rewardlens.session import ship_package
 
 WS = re.compile(r"[ \t\n\x0b\f\r]+")
+#: Texts are split a slice of so many characters at a time; the words of a whole batch would take many times its size.
+SLICE_CHARS = 1 << 20
 
 RewardFn = Column | Callable[..., Column]
 
@@ -53,6 +56,12 @@ class LexicalDiversityScorer:
         self.split = WS.split
 
     def score(self, texts: pd.Series) -> pd.Series:
+        if not len(texts):
+            return self._shares(texts)
+        at = cuts(texts.fillna("").str.len().to_numpy().cumsum(), SLICE_CHARS)
+        return pd.concat([self._shares(texts.iloc[a:b]) for a, b in zip(at, at[1:])])
+
+    def _shares(self, texts: pd.Series) -> pd.Series:
         tokens = texts.fillna("").str.strip(" \t\n\x0b\f\r").str.split(WS, regex=True).explode()
         tokens = tokens[tokens.notna() & (tokens != "")]
         by = tokens.groupby(level=0)

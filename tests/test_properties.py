@@ -225,3 +225,17 @@ def test_positions_come_in_slices(spark):
     assert in_slices(masks, T._cumsum_before, 4).to_pylist() == want == T._cumsum_before(masks).to_pylist()
     df = spark.createDataFrame([(i, m) for i, m in enumerate(masks.to_pylist())], "k int, m array<int>")
     assert [r.p for r in df.select("k", T.position_ids("m").alias("p")).orderBy("k").collect()] == want
+
+
+def test_the_stand_in_model_scores_in_slices(monkeypatch):
+    import pandas as pd
+    from rewardlens.operators import udf as U
+    texts = pd.Series(["a b a", None, "", " c ", "a a a a", "x y z"] * 3, index=range(40, 58))
+    seen = []
+    plain = U.LexicalDiversityScorer._shares
+    monkeypatch.setattr(U, "SLICE_CHARS", 8)
+    monkeypatch.setattr(U.LexicalDiversityScorer, "_shares", lambda self, t: seen.append(t.fillna("").str.len().sum()) or plain(self, t))
+    got = U.LexicalDiversityScorer().score(texts)
+    assert len(seen) > 3 and max(seen) <= 8 and list(got.index) == list(texts.index)
+    assert [None if x != x else round(x, 6) for x in got] == [0.666667, None, None, 1.0, 0.25, 1.0] * 3
+    assert len(U.LexicalDiversityScorer().score(texts[:0])) == 0
