@@ -70,11 +70,16 @@ def q_stream_running_moments(spark, sf):
     return r.select(*[round6(c).alias(c) if t == "double" else F.col(c) for c, t in r.dtypes])
 
 
+#: Events of a bucket of prompts, about.
+BUCKET_ROWS = 50_000
+
+
 @query("stream_prompt_tracker", SQL_PROMPT_TRACKER)
 def q_stream_prompt_tracker(spark, sf):
     tracked, tracked_ck, closed, closed_ck = (scratch_path(spark, n) for n in ("pt-out", "pt-ckpt", "pb-out", "pb-ckpt"))
     stream = _batches_stream(spark, sf)
-    _run(J.run_prompt_tracker(stream, "prompt", "reward", "batch_id", ["ts", "event_id"], tracked, tracked_ck, K),
+    buckets = max(32, -(-V.batches(spark, sf).count() // BUCKET_ROWS))
+    _run(J.run_prompt_tracker(stream, "prompt", "reward", "batch_id", ["ts", "event_id"], tracked, tracked_ck, K, buckets=buckets),
          J.run_batch_moments(stream, "reward", "batch_id", closed, closed_ck))
     r = J.tracker_advantages(V.batches(spark, sf), spark.read.parquet(tracked), spark.read.parquet(closed), "prompt", "reward", "batch_id", MIN_COUNT)
     return r.select("event_id", "batch_id", "prompt", "cold", round6("advantage").alias("advantage"))

@@ -12,8 +12,8 @@ moves the clock and counts in nothing, so such a row of a far batch (a
 *heartbeat*) closes what is open.
 
 **Hot keys.** Before rows meet by key, each task reduces its own rows: to
-moments for each batch, or to a count and the last K rewards for each
-(prompt, batch). So a key with a third of all rows sends a few rows a task.
+moments for each batch, or to the last K rewards of each (prompt, batch). So a
+key with a third of all rows sends a few rows a task.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -144,29 +145,45 @@ def run_running_moments(stream: DataFrame, value: str, batch: str, out_path: str
 
 
 def _last_rewards(width: int, k: int):
-    """Each task's count and last ``k`` rewards of every (prompt, batch), with the ``width`` order values of each."""
+    """The last ``k`` rewards of every (prompt, batch) of a task's rows, a row each; rows without a reward become one, of their latest batch."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
-            prompts = rb.column("p").dictionary_encode(null_encoding="encode")
-            code, b, r = prompts.indices.to_numpy(), rb.column("b").to_numpy(), rb.column("r").to_numpy()
-            keys = [rb.column(f"_o{i}").to_numpy(zero_copy_only=False) for i in range(width)]
-            order = np.lexsort((*keys[::-1], b, code))
-            code, b = code[order], b[order]
-            first = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (b[1:] != b[:-1])]) if len(code) else np.zeros(0, np.int64)
-            size = np.diff(np.r_[first, len(code)])
-            kept = np.minimum(size, k)
-            done = np.r_[0, np.cumsum(kept)]
-            at = order[np.repeat(first + size - kept - done[:-1], kept) + np.arange(done[-1])]
-            flat = np.stack([c[at] for c in keys], 1).ravel()
-            yield pa.RecordBatch.from_arrays(
-                [prompts.dictionary.take(pa.array(code[first])), pa.array(b[first], pa.int64()), pa.array(size, pa.int64()),
-                 pa.ListArray.from_arrays(pa.array(done * width, pa.int32()), pa.array(flat, pa.int64())),
-                 pa.ListArray.from_arrays(pa.array(done, pa.int32()), pa.array(r[at], pa.float64()))], ["p", "b", "n", "keys", "rewards"])
+            valued = rb.column("valued")
+            beats = rb.filter(pc.invert(valued))
+            if beats.num_rows:
+                yield beats.slice(int(np.argmax(beats.column("b").to_numpy())), 1)
+            rb = rb.filter(valued)
+            if not rb.num_rows:
+                continue
+            code, b, r = _codes(rb.column("p"))[0], rb.column("b").to_numpy(), rb.column("r").to_numpy()
+            order = np.lexsort((r, *[rb.column(f"_o{i}").to_numpy() for i in range(width)][::-1], b, code))
+            yield rb.take(pa.array(order[_among_last(k, code[order], b[order])]))
 
     return task
 
 
+def _codes(prompts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """A number for each prompt, the null one too, and the prompts by number."""
+    d = prompts.dictionary_encode(null_encoding="encode")
+    return d.indices.to_numpy(), d.dictionary
+
+
+def _last_of_run(*keys: np.ndarray) -> np.ndarray:
+    """For rows that lie together by ``keys``: the position of the last row with the same keys."""
+    n = len(keys[0])
+    new = np.zeros(max(n - 1, 0), bool)
+    for c in keys:
+        new |= c[1:] != c[:-1]
+    ends = np.r_[np.flatnonzero(new), n - 1] if n else np.zeros(0, np.int64)
+    return np.repeat(ends, np.diff(np.r_[-1, ends]))
+
+
+def _among_last(k: int, *keys: np.ndarray) -> np.ndarray:
+    """Which rows are among the last ``k`` with the same keys."""
+    return _last_of_run(*keys) - np.arange(len(keys[0])) < k
+
+
 def _as_long(df: DataFrame, column: str) -> Column:
     """An order column as a number: microseconds of a time, an integer as it is."""
     kind = df.schema[column].dataType
@@ -180,57 +197,65 @@ def _as_long(df: DataFrame, column: str) -> Column:
 
 
 def run_prompt_tracker(stream: DataFrame, prompt: str, reward: str, batch: str, order: Sequence[str], out_path: str, checkpoint: str,
-                       buffer_size: int = 8, lateness: int = 0):
+                       buffer_size: int = 8, lateness: int = 0, buckets: int = 64):
     """One row for each (prompt, closed batch): ``(prompt, batch, len, mean, std)`` of the prompt's buffer after it.
 
-    The state of a prompt is its last ``buffer_size`` rewards and their number,
-    and for each open batch a count and the last ``buffer_size`` rewards by
-    ``order`` (integer or time columns). A null prompt is a prompt. Rows without a
-    reward only move the clock.
+    Prompts are dealt by a hash to ``buckets``, and the state is one of a bucket: a
+    call of the state function costs milliseconds, so it takes many prompts in turn.
+    It holds of each prompt the last ``buffer_size`` rewards of closed batches, and as
+    many of each open batch by ``order`` (integer or time columns, nulls first). Give
+    as many buckets as keep one small; a restart needs the number it began with.
+    A null prompt is a prompt. Rows without a reward only move the clock.
     """
     ship_package(stream.sparkSession)
-    k, width = buffer_size, len(order)
-    as_long = [_as_long(stream, c).alias(f"_o{i}") for i, c in enumerate(order)]
+    k, names = buffer_size, [f"_o{i}" for i in range(len(order))]
     kind, batch_kind = (stream.schema[c].dataType.simpleString() for c in (prompt, batch))
-    rows = stream.select(F.col(prompt).alias("p"), F.col(batch).cast("long").alias("b"), F.col(reward).cast("double").alias("r"), *as_long).filter("b is not null")
-    values = rows.filter("r is not null").mapInArrow(_last_rewards(width, k), f"p {kind}, b long, n long, keys array<long>, rewards array<double>")
-    beats = rows.filter("r is null").select("p", "b", F.lit(0).cast("long").alias("n"), F.array().cast("array<long>").alias("keys"), F.array().cast("array<double>").alias("rewards"))
+    # a prompt travels as text: pandas has no integers with nulls
+    plain = isinstance(stream.schema[prompt].dataType, T.AtomicType)
+    text = F.col(prompt).cast("string") if plain else F.to_json(F.struct(prompt))
+    back = F.col("p").cast(kind) if plain else F.from_json("p", stream.select(prompt).schema)[prompt]
+    rows = stream.select(text.alias("p"), F.col(batch).cast("long").alias("b"), F.col(reward).isNotNull().alias("valued"), F.col(reward).cast("double").alias("r"),
+                         *[F.coalesce(_as_long(stream, c), F.lit(-(1 << 63))).alias(o) for c, o in zip(order, names)]).filter("b is not null")
+    values = rows.mapInArrow(_last_rewards(len(order), k), rows.schema)
 
     def update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, count, open_ = [], 0, {}
+        frames, seen = [], -1
         if state.exists:
-            last, count, batches, counts, sizes, keys, rewards = state.get
-            at = 0
-            for b, n, size in zip(batches, counts, sizes):
-                own = [(tuple(keys[width * i:width * (i + 1)]), rewards[i]) for i in range(at, at + size)]
-                open_[int(b)] = (int(n), own)
-                at += size
+            prompts, of, *columns, seen = state.get
+            frames.append(pd.DataFrame({"p": np.array(prompts, object)[np.array(of, int)], **{c: np.array(x, float if c == "r" else np.int64) for c, x in zip(["b", "r", *names], columns)}}))
         if not state.hasTimedOut:
-            for part in parts:
-                for b, n, keys, rewards in part[["b", "n", "keys", "rewards"]].itertuples(index=False):
-                    if not n:
-                        continue
-                    had, own = open_.get(int(b), (0, []))
-                    more = [(tuple(int(x) for x in keys[width * i:width * (i + 1)]), float(r)) for i, r in enumerate(rewards)]
-                    open_[int(b)] = (had + int(n), sorted([*own, *more])[-k:])
-        last, out = [float(x) for x in last], []
-        for i in _closed(batches := list(open_), state):
-            n, own = open_.pop(batches[i])
-            last, count = [*last, *[r for _, r in own]][-k:], count + n
-            mean = sum(last) / len(last)
-            out.append((key[0], batches[i], min(k, count), mean, (sum((x - mean) ** 2 for x in last) / len(last)) ** 0.5))
-        if last or open_:
-            state.update((last, int(count), list(open_), [n for n, _ in open_.values()], [len(own) for _, own in open_.values()],
-                          [int(x) for _, own in open_.values() for o, _ in own for x in o], [r for _, own in open_.values() for _, r in own]))
-            _wait_for(list(open_), state)
-        if out:
-            yield pd.DataFrame(out, columns=[prompt, batch, "len", "mean", "std"])
-
-    tracked = batch_clock(values.unionByName(beats), "b", lateness).groupBy("p").applyInPandasWithState(
-        update, f"{prompt} {kind}, {batch} {batch_kind}, len long, mean double, std double",
-        "last array<double>, count long, open_b array<long>, open_n array<long>, open_size array<int>, keys array<long>, rewards array<double>",
+            frames += [part[part["valued"]][["p", "b", "r", *names]] for part in parts]
+        if not sum(map(len, frames)):
+            return
+        rows = pd.concat(frames)
+        code, prompts = _codes(pa.array(rows["p"], pa.string(), from_pandas=True))
+        columns = {c: rows[c].to_numpy() for c in ["b", "r", *names]}
+        by = np.lexsort((columns["r"], *[columns[c] for c in names[::-1]], columns["b"], code))
+        code, columns = code[by], {c: x[by] for c, x in columns.items()}
+        b, r = columns["b"], columns["r"]
+        mark, ms = state.getCurrentWatermarkMs(), (b + CLOCK_ZERO) * 1000
+        closed = ms <= mark
+        ends = np.unique(_last_of_run(code, b)[closed & (ms > seen)])
+        if len(ends):
+            first = np.searchsorted(code, code[ends])
+            size = np.minimum(k, ends - first + 1)
+            at = ends[:, None] - np.arange(k)
+            there = at >= first[:, None]
+            buffer = np.where(there, r[np.maximum(at, 0)], 0.0)
+            mean = buffer.sum(1) / size
+            std = np.sqrt((np.where(there, buffer - mean[:, None], 0.0) ** 2).sum(1) / size)
+            yield pd.DataFrame({"p": prompts.take(pa.array(code[ends])).to_pandas(), "b": b[ends], "len": size, "mean": mean, "std": std})
+        kept = _among_last(k, code, np.where(closed, -1, b))
+        state.update((prompts.to_pylist(), code[kept].tolist(), *[x[kept].tolist() for x in columns.values()], int(mark)))
+        if not closed.all():
+            _wait_for([int(b[~closed].min())], state)
+
+    dealt = batch_clock(values, "b", lateness).withColumn("_bucket", F.pmod(F.xxhash64("p"), F.lit(buckets)))
+    tracked = dealt.groupBy("_bucket").applyInPandasWithState(
+        update, "p string, b long, len long, mean double, std double",
+        f"p array<string>, of array<int>, b array<long>, r array<double>, {''.join(f'{o} array<long>, ' for o in names)}seen long",
         "append", GroupStateTimeout.EventTimeTimeout)
-    return _to_files(tracked, out_path, checkpoint)
+    return _to_files(tracked.select(back.alias(prompt), F.col("b").cast(batch_kind).alias(batch), "len", "mean", "std"), out_path, checkpoint)
 
 
 def run_batch_moments(stream: DataFrame, value: str, batch: str, out_path: str, checkpoint: str, lateness: int = 0):

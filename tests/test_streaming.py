@@ -190,6 +190,21 @@ def test_pieces_do_not_depend_on_micro_batches(spark, tmp_path, cuts):
     assert got == want and len(got) > 20
 
 
+def test_prompts_share_the_trackers_state(spark, tmp_path):
+    """300 prompts are a state of 4 buckets; numbers beyond 2^53 and none stay what they are."""
+    feed = Feed(spark, f"{tmp_path}/src", SCHEMA.replace("prompt string", "prompt long"))
+    big = (1 << 60) + 1
+    rows = [(b, START, 1000 * b + i, big + i if i else None, float(i + b)) for b in range(3) for i in range(300)]
+    feed.add(rows[:450])
+    feed.add(rows[450:])
+    feed.add(beat())
+    q = J.run_prompt_tracker(feed.stream(), "prompt", "reward", "batch_id", ["ts", "event_id"], f"{tmp_path}/out", f"{tmp_path}/ck", 2, buckets=4)
+    done(q)
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in map(lambda p: json.loads(p.json), q.recentProgress)) <= 5  # a heartbeat's bucket too
+    got = {(r.prompt, r.batch_id): (r.len, r.mean) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == {(big + i if i else None, b): (min(b + 1, 2), i + b - (0.5 if b else 0)) for b in range(3) for i in range(300)}
+
+
 def test_state_is_the_engines(spark, tmp_path):
     """No table of epochs is kept beside the stream: the sink and the checkpoint are all there is."""
     feed = Feed(spark, tmp_path / "src", SCHEMA)
