@@ -7,7 +7,7 @@ aggregate joined back on ``batch_id`` (see :mod:`rewardlens.plans.spread`).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rewardlens.functions import arrays as A
-from rewardlens.functions.batches import in_slices
+from rewardlens.functions.batches import cuts, in_slices
 from rewardlens.functions.common import as_col
 from rewardlens.plans.ordinal import running, written
 from rewardlens.plans.spread import spread
@@ -67,14 +67,45 @@ def word_array(text) -> Column:
 SENT_WORDS, SENT_CHARS = 1 << 19, 64
 
 
+#: Characters of texts that a task splits at once, about.
+SLICE_CHARS = 1 << 24
+
+
+def _words_of(texts: pa.Array, max_length: int | None) -> tuple[pa.Array, np.ndarray]:
+    """The words of trimmed texts in one array, and where each text's begin and end in it."""
+    lists = pc.ascii_split_whitespace(texts)
+    ends, flat = lists.offsets.to_numpy(), lists.flatten()
+    real = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)  # a blank text is one empty piece
+    bounds = np.r_[0, np.cumsum(real)][ends - ends[0]]
+    flat = flat.filter(pa.array(real)) if not real.all() else flat
+    if max_length is None:
+        return flat, bounds
+    kept = np.minimum(np.diff(bounds), max_length)
+    done = np.r_[0, np.cumsum(kept)]
+    return flat.take(pa.array(np.arange(done[-1]) + np.repeat(bounds[:-1] - done[:-1], kept))), done
+
+
+def _lists(values: pa.Array, bounds: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), values)
+
+
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def fill_nulls(ids: pa.Array, more: pa.Array) -> pa.Array:
+    """``ids`` with the nulls of each row replaced, in order, by the items of ``more``."""
+    flat, fill = ids.flatten(), more.flatten()
+    bounds = ids.offsets.to_numpy() - ids.offsets[0].as_py()
+    return _lists(pc.replace_with_mask(flat, flat.is_null(), fill) if len(fill) else flat, bounds)
+
+
 def encode_texts(df: DataFrame, key: str, text: str, vocab: DataFrame, max_length: int | None = None, unk_id: int | None = None) -> DataFrame:
     """``(key, input_ids, attention_mask)`` of a text column, one row for each row of ``df``.
 
     Ids are ranks, so the lowest ids are the most frequent words: these go to
     every task (``SENT_WORDS``, 10 MB as a rule, 36 at most) and are looked up for the
-    distinct words of a batch. Only other words, rare ones, are joined to ``vocab``,
-    which should be a written table. A word outside it becomes ``unk_id``, or
-    fails the job when none is given.
+    distinct words of a slice of texts, which a task splits itself: no array of all
+    words is made or written. Only other words, rare ones, leave it, and are joined to
+    ``vocab``, which should be a written table. A word outside it becomes ``unk_id``,
+    or fails the job when none is given.
     """
     spark = df.sparkSession
     ship_package(spark)
@@ -82,33 +113,51 @@ def encode_texts(df: DataFrame, key: str, text: str, vocab: DataFrame, max_lengt
     table = sent.toArrow().combine_chunks()
     complete = table.num_rows == vocab.count()
     known = spark.sparkContext.broadcast((table["token"].combine_chunks(), table["id"].combine_chunks()))
+    INTS, WORDS = T.ArrayType(T.IntegerType()), T.ArrayType(T.StringType())
 
-    @F.arrow_udf(T.ArrayType(T.IntegerType()))
-    def look_up(words: pa.Array) -> pa.Array:
+    def found_in(texts: pa.Array) -> Iterator[tuple[pa.Array, pa.Array, np.ndarray]]:
         names, ids = known.value
-        flat = words.flatten().dictionary_encode()
-        found = ids.take(pc.index_in(flat.dictionary, value_set=names))
-        if complete and found.null_count:
-            if unk_id is None:
-                missing = flat.dictionary.filter(found.is_null())[0].as_py()
-                raise ValueError(f"token outside the vocabulary: {missing}")
-            found = found.fill_null(unk_id)
-        offsets = words.offsets.to_numpy()
-        return pa.ListArray.from_arrays(pa.array(offsets - offsets[0]), found.take(flat.indices))
-
-    words = word_array(text) if max_length is None else F.slice(word_array(text), 1, max_length)
+        texts = texts.cast(pa.string())
+        at = cuts(np.cumsum(pc.binary_length(texts).to_numpy()), SLICE_CHARS)
+        for a, b in zip(at, at[1:]):
+            flat, bounds = _words_of(texts.slice(a, b - a), max_length)
+            flat = flat.dictionary_encode()
+            yield ids.take(pc.index_in(flat.dictionary, value_set=names)), flat, bounds
+
+    @F.arrow_udf(INTS)
+    def look_up(texts: pa.Array) -> pa.Array:
+        out = [pa.array([], pa.list_(pa.int32()))]
+        for found, flat, bounds in found_in(texts):
+            if found.null_count:
+                if unk_id is None:
+                    missing = flat.dictionary.filter(found.is_null())[0].as_py()
+                    raise ValueError(f"token outside the vocabulary: {missing}")
+                found = found.fill_null(unk_id)
+            out.append(_lists(found.take(flat.indices), bounds))
+        return pa.concat_arrays(out)
+
+    @F.arrow_udf(T.StructType([T.StructField("ids", INTS), T.StructField("rare", WORDS)]))
+    def look_up_open(texts: pa.Array) -> pa.Array:
+        out, rare = [pa.array([], pa.list_(pa.int32()))], [pa.array([], pa.list_(pa.string()))]
+        for found, flat, bounds in found_in(texts):
+            ids = found.take(flat.indices)
+            open_ = ids.is_null()
+            out.append(_lists(ids, bounds))
+            before = np.r_[0, np.cumsum(open_.to_numpy(zero_copy_only=False))]
+            rare.append(_lists(flat.dictionary.take(flat.indices.filter(open_)), before[bounds]))
+        return pa.StructArray.from_arrays([pa.concat_arrays(out), pa.concat_arrays(rare)], ["ids", "rare"])
+
+    trimmed = F.trim(F.coalesce(as_col(text), F.lit("")), F.lit(WS_CHARS))
     if complete:
-        return _with_mask(df.select(key, look_up(words).alias("input_ids")))
-    staged = df.select(F.monotonically_increasing_id().alias("_rid"), F.col(key).alias("_key"), words.alias("_words"))
+        return _with_mask(df.select(key, look_up(trimmed).alias("input_ids")))
+    staged = df.select(F.monotonically_increasing_id().alias("_rid"), F.col(key).alias("_key"), look_up_open(trimmed).alias("_w"))
     # written with their row numbers: the texts whose rare words are looked up are joined back by them
-    staged = written(staged.withColumn("_ids", look_up("_words")), "looked-up")
-    open_ = staged.select("_rid", F.posexplode(F.arrays_zip(F.col("_ids").alias("id"), F.col("_words").alias("token"))).alias("pos", "w")).filter("w.id is null")
-    j = open_.select("_rid", "pos", F.col("w.token").alias("token")).join(vocab.select("token", "token_id"), "token", "left")
+    staged = written(staged.select("_rid", "_key", F.col("_w.ids").alias("_ids"), F.col("_w.rare").alias("_words")), "looked-up")
+    j = staged.select("_rid", F.posexplode("_words").alias("pos", "token")).join(vocab.select("token", "token_id"), "token", "left")
     missing = F.raise_error(F.concat(F.lit("token outside the vocabulary: "), F.col("token"))) if unk_id is None else F.lit(unk_id)
-    rare = j.groupBy("_rid").agg(F.map_from_entries(F.collect_list(F.struct("pos", F.coalesce(F.col("token_id").cast("int"), missing.cast("int")).alias("id")))).alias("_rare"))
-    ids = F.transform("_ids", lambda x, i: F.coalesce(x, F.element_at(F.col("_rare"), i)))
-    whole = staged.join(rare, "_rid", "left").select(F.col("_key").alias(key), F.when(F.col("_rare").isNull(), F.col("_ids")).otherwise(ids).alias("input_ids"))
-    return _with_mask(whole)
+    rare = j.groupBy("_rid").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce(F.col("token_id").cast("int"), missing.cast("int")).alias("id")))).alias("_rare"))
+    found = F.coalesce(F.col("_rare.id"), F.array().cast("array<int>"))
+    return _with_mask(staged.select("_rid", "_key", "_ids").join(rare, "_rid", "left").select(F.col("_key").alias(key), fill_nulls("_ids", found).alias("input_ids")))
 
 
 def _with_mask(df: DataFrame) -> DataFrame:

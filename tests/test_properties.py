@@ -1,5 +1,7 @@
 """Invariants over the driver's tables."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from rewardlens.operators import rewards as R
@@ -108,6 +110,24 @@ def test_encoding_joins_only_the_rare_words(spark, monkeypatch):
     assert sorted([(r.k, list(r.input_ids)) for r in got.collect()], key=repr) == want and "Join" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_only_rare_words_leave_the_look_up(spark, monkeypatch):
+    """Of the words of a text only those that are not sent are written; white space of every kind parts words."""
+    from rewardlens.operators import tokens as T
+    from rewardlens.plans.ordinal import written
+    data = [(1, "a\x0bb\x0ca  r1 a\u00a0b "), (2, "r2\r\nr1 b a"), (3, " \t"), (4, None), (5, "a b " * 50 + "r2")]
+    df = spark.createDataFrame(data, "k long, text string")
+    vocab = written(T.build_vocab(T.words(df, "k", "text")), "vocab")
+    ids = {r.token: r.token_id for r in vocab.collect()}
+    staged = {}
+    monkeypatch.setattr(T, "SENT_WORDS", 2)
+    monkeypatch.setattr(T, "SLICE_CHARS", 8)
+    monkeypatch.setattr(T, "written", lambda f, name: staged.setdefault(name, written(f, name)))
+    got = {r.k: list(r.input_ids) for r in T.encode_texts(df, "k", "text", vocab).collect()}
+    split = {k: [w for w in re.split("[ \t\n\x0b\x0c\r]+", t or "") if w] for k, t in data}
+    assert got == {k: [ids[w] for w in ws] for k, ws in split.items()}
+    assert {r["_key"]: r["_words"] for r in staged["looked-up"].collect()} == {k: [w for w in ws if ids[w] >= 2] for k, ws in split.items()}
+
+
 def test_a_table_in_few_files_is_dealt_out(spark):
     from rewardlens.sources.tables import dealt, read_table
     docs = read_table(spark, SF_SMALL, "documents", ["doc_id", "text"])
