@@ -323,7 +323,9 @@ def flush_left(df: DataFrame, mask: str, tensors: Sequence[str], batch: str = "b
     runs = r.select(batch, F.explode(F.when(F.col("_more"), walked).otherwise(one)).alias("iv"))
     merged = runs.groupBy(batch).agg(F.array_sort(F.collect_list(F.struct(F.col("iv.s").alias("s"), F.col("iv.e").alias("e")))).alias("_iv"))
     reach = F.aggregate("_iv", F.lit(0), lambda acc, iv: F.when(iv["s"] <= acc, F.greatest(acc, iv["e"])).otherwise(acc))
-    cut = merged.select(batch, reach.alias("_cut"))
+    # Written, as the rows are shuffled for it without their other columns: that
+    # shuffle is gone when the rows are shuffled again for the result.
+    cut = written(merged.select(batch, reach.alias("_cut")), "batch-cuts")
     r = r.join(cut, batch, "left")
     width = F.least(F.coalesce(F.col("_cut"), F.lit(0)), F.size(mask))
     return r.withColumns({c: F.slice(c, 1, width) for c in [mask, *tensors]}).drop("_k", "_cut", "_first0", "_more")

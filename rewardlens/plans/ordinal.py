@@ -28,11 +28,24 @@ from rewardlens.functions.common import as_col
 from rewardlens.session import scratch_path
 
 
+#: Spark removes the shuffle files of a job when it ends, where this is set.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared scratch folder: later jobs read files instead of the lineage."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """``df`` as a table in the shared scratch folder: later jobs read files instead of the lineage.
+
+    Nothing reads the shuffle files of the write again, so Spark removes them when it ends.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def bucket_count(rows: int) -> int:
